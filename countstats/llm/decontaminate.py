@@ -99,15 +99,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
     keyed = docs.select(F.col("text"), *_text_key(F.col("text")))
     hits = contamination(keyed, benchmark, n, ("_k1", "_k2", "_k3")).filter("contaminated").select("_k1", "_k2", "_k3", "spans").dropDuplicates(["_k1", "_k2", "_k3"])
-    rows = docs.withColumns({f"_k{i + 1}": c for i, c in enumerate(_text_key(F.col("text")))})
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"), *_text_key(F.col("text")))
     if remove == "documents":
-        return rows.join(hits, ["_k1", "_k2", "_k3"], "left_anti").select(*docs.columns)
+        return rows.drop("text").join(hits, ["_k1", "_k2", "_k3"], "left_anti").select("_doc.*")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$"), F.lit(0))
     hit_at = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
     kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("_pieces") - 1).alias("i"), F.col("_pieces").alias("p")), lambda z: ~F.array_contains(F.col("_hit_at"), z["i"])), lambda z: z["p"]), "")
     joined = rows.join(hits, ["_k1", "_k2", "_k3"], "left").withColumn("_pieces", pieces).withColumn("_hit_at", hit_at)
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumn("text", text).select(*docs.columns)
+    return joined.select(F.col("_doc").withField("text", text).alias("_doc")).select("_doc.*")
 
 
 ORACLE = r"""

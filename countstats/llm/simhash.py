@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .components import connected_components
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 512), pa.array(fp)], names=["id", "fp"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, fp bigint"
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType())])
     return source.mapInArrow(run, schema).select(F.col("id").alias(id_col), "fp")
 
 
@@ -137,7 +138,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks: int =
     Rows that repeat that doc_id are told apart by their text and then by a hash of the whole row;
     rows that are alike in all columns count as one. A component without a doc_id keeps one row.
     """
-    fp = fingerprints(docs.select(F.xxhash64(F.struct(*[F.col(c) for c in docs.columns])).alias("_row"), "doc_id", "text").select(F.struct("doc_id", "_row").alias("_key"), "text"), shingle, id_col="_key")
+    hashed = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    marked = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", hashed.alias("_row"))
+    fp = fingerprints(marked.select(F.struct("doc_id", "_row").alias("_key"), F.col("_doc.text").alias("text")), shingle, id_col="_key")
     rows = materialize(fp.select("_key.doc_id", "_key._row", "fp"))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("_first"))
     labels = connected_components(materialize(links(nodes.select("fp"), distance, blocks)))
@@ -146,9 +149,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks: int =
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")
     best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(parts, "fp").groupBy("label").agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best._row").alias("_row"))
-    marked = docs.withColumn("_row", F.xxhash64(F.struct(*[F.col(c) for c in docs.columns])))
     joined = marked.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._row") == F.col("k._row")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    return joined.dropDuplicates(["doc_id", "_row"]).select("_doc.*")
 
 
 def as_hex(fp: Column) -> Column:
