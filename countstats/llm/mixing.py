@@ -176,7 +176,7 @@ def mix_report(docs: DataFrame, seed: int = 11, block: int = BLOCK, shards: int
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _copies(text: str, spans: list[dict]) -> Iterator[str]:
+def _copies(text: str, spans: list[dict], size: int) -> Iterator[str]:
     """The text of each copy: the first holds the words taken once at least, and so on."""
     spans = sorted(spans, key=lambda s: s["first"])
     for copy in range(1, MAX_REPEAT + 1):
@@ -189,7 +189,7 @@ def _copies(text: str, spans: list[dict]) -> Iterator[str]:
                     runs.append([s["first"], s["first"] + s["words"]])
         if not runs:
             return
-        if len(runs) == 1 and len(spans) and runs[0] == [0, spans[-1]["first"] + spans[-1]["words"]]:
+        if runs == [[0, size]]:
             yield text
             continue
         words = [m.span() for m in _WORD.finditer(text)]
@@ -206,15 +206,15 @@ def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shards: int = SHARD
     # Narrow rows go through the blocks; the texts meet their spans once, by their place in the stream.
     narrow = materialize(_located(docs, ["doc_id"], sources, starts))
     spans = _pieces(narrow, taken, block).filter("_times > 0").groupBy("_rank", "_at").agg(F.collect_list(F.struct(F.col("_first").alias("first"), F.col("_words").alias("words"), F.col("_times").alias("times"))).alias("_spans"))
-    found = rows.filter("_size > 0").join(spans, ["_rank", "_at"]).select("_row", F.col("_row.text").alias("_text"), "_spans")
+    found = rows.filter("_size > 0").join(spans, ["_rank", "_at"]).select("_row", F.col("_row.text").alias("_text"), "_spans", "_size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 index, texts = [], []
-                for i, (text, own) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                    for copy in _copies(text, own):
+                for i, row in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))):
+                    for copy in _copies(*row):
                         index.append(i)
                         texts.append(copy)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index, pa.int64())), pa.array(texts, pa.string())], names=["_row", "_text"])
