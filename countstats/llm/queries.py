@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, sharding, simhash
+from . import covertree, decontaminate, language, mixing, sharding, simhash
 from .common import table
 
 
@@ -35,9 +35,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op6_mixing, op7_sharding, op9_simhash)}
+    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op6_mixing, op7_sharding, op9_simhash, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op10_top_k": covertree.ORACLE}
