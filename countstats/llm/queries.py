@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, language, mixing, sharding, simhash
+from . import covertree, decontaminate, language, lines, mixing, sharding, simhash, substrings
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10).drop("spans")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), min_lines=2, keep=["doc_id"])
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), seed=11)
 
@@ -30,6 +34,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40, keep=["doc_id"])
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2, blocks=5)
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -40,8 +48,8 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op6_mixing, op7_sharding, op9_simhash, op10_top_k)}
+    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op5_line_dedup, op6_mixing, op7_sharding, op8_substring_dedup, op9_simhash, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op10_top_k": covertree.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op5_line_dedup": lines.ORACLE, "op10_top_k": covertree.ORACLE}
