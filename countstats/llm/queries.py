@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, language, lines, mixing, sharding, simhash, substrings
+from . import covertree, decontaminate, language, lines, mixing, quality, sharding, simhash, substrings, tokens
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
@@ -22,6 +26,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10).drop("spans")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    found = quality.score(docs, model, keep=["doc_id"])
+    return found.withColumn("keep", F.col("quality_score") >= 0.5)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), min_lines=2, keep=["doc_id"])
 
@@ -48,7 +59,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_decontaminate, op5_line_dedup, op6_mixing, op7_sharding, op8_substring_dedup, op9_simhash, op10_top_k)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_decontaminate, op4_quality, op5_line_dedup, op6_mixing, op7_sharding, op8_substring_dedup, op9_simhash, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
