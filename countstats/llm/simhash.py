@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -18,13 +19,15 @@ from .components import connected_components
 BITS = 64
 #: A bucket of at most so many fingerprints is joined with itself; a larger one is linked through its one-bit neighbourhoods.
 PAIR_BUCKET = 32
+#: A bucket of more rows is split into tiles of half as many.
+TILE = 2048
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def _fingerprint_batch(texts: list[bytes | None], shingle: int, seed: int) -> np.ndarray:
-    """Unsigned fingerprints of UTF-8 texts: a bit is set if it is in over half of the shingles' hashes."""
+def _fingerprint_batch(texts: list[list[bytes]], shingle: int, seed: int) -> np.ndarray:
+    """Unsigned fingerprints of word lists: a bit is set if it is in over half of the shingles' hashes."""
     hashes, counts = [], np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        words = text.lower().split() if text else []
+    for i, words in enumerate(texts):
         if not words:
             continue
         shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
@@ -43,24 +46,26 @@ def _fingerprint_batch(texts: list[bytes | None], shingle: int, seed: int) -> np
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fp`` (the fingerprint as a signed long) for every row.
+def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", with_words: bool = False) -> DataFrame:
+    """``id_col``, ``fp`` and, if ``with_words``, ``word_fp`` (fingerprints as signed longs) for every row.
 
     Words lie between ASCII white space, A-Z count as a-z. A text of fewer words than ``shingle``
-    is one shingle; a null or empty one has fingerprint 0. All other columns are ignored.
+    is one shingle; a null or empty one has fingerprint 0. ``word_fp`` is the fingerprint of the
+    set of words without punctuation. All other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for start in range(0, len(texts), 512):  # bounds the shingles held at once
-                part = texts.slice(start, 512).to_pylist()
-                fp = _fingerprint_batch(part, shingle, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 512), pa.array(fp)], names=["id", "fp"])
+                part = [(t or b"").lower() for t in texts.slice(start, 512).to_pylist()]
+                fp = _fingerprint_batch([t.split() for t in part], shingle, seed)
+                word_fp = _fingerprint_batch([list(dict.fromkeys(_WORD.findall(t))) for t in part], 1, seed) if with_words else fp
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 512), pa.array(fp.view(np.int64)), pa.array(word_fp.view(np.int64))], names=["id", "fp", "word_fp"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType())])
-    return source.mapInArrow(run, schema).select(F.col("id").alias(id_col), "fp")
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType()), T.StructField("word_fp", T.LongType())])
+    return source.mapInArrow(run, schema).select(F.col("id").alias(id_col), "fp", *["word_fp"] * with_words)
 
 
 def _block_masks(distance: int, blocks: int) -> list[int]:
@@ -132,22 +137,114 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks: int = 5) -> DataFrame:
+def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all of ``fps`` at ``distance`` or fewer differing bits: fewer links than
+    fingerprints, whatever the number of close pairs."""
+    left, a, b = fps, [], []
+    while len(left):
+        todo, left = [left[:1]], left[1:]
+        while todo and len(left):
+            near = todo.pop()
+            for fp in near:
+                close = np.bitwise_count(left ^ fp) <= distance
+                if close.any():
+                    b.append(left[close])
+                    a.append(np.full(len(b[-1]), fp))
+                    todo.append(b[-1])
+                    left = left[~close]
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.uint64)
+    return join(a), join(b)
+
+
+def similar_links(nodes: DataFrame, similarity: float = 0.8, agreeing: int = 4, blocks: int = 9) -> DataFrame:
+    """Edges (a, b) over the ``fp`` of ``nodes`` (fp, word_fp).
+
+    Two nodes are linked if their word fingerprints agree on ``agreeing`` of ``blocks`` blocks, as any
+    two that differ in ``blocks - agreeing`` bits do, and their shingle fingerprints on a share of
+    ``similarity`` of the bits. The rows of a bucket come to one task sorted, which emits a spanning
+    forest of the verified links, never all pairs. A bucket of over TILE rows is split into tiles,
+    and each two tiles meet in a task of their own.
+    """
+    distance = int(BITS * (1 - similarity) + 1e-9)
+    masks = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(_block_masks(blocks - agreeing, blocks))])
+    keyed = nodes.select("fp", F.explode(F.transform(masks, lambda m: F.xxhash64(m["choice"], F.col("word_fp").bitwiseAND(m["mask"])))).alias("key"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        large = None  # the key of a bucket that is passed on row by row
+
+        def runs(end: bool) -> pa.RecordBatch:
+            nonlocal key, fp, large
+            starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(key))
+            a, b, tiled = [], [], [(key[:0], fp[:0])]
+            pair = ends - starts == 2
+            if not end and len(pair):
+                pair[-1] = False
+            x, y = fp[starts[pair]], fp[starts[pair] + 1]
+            close = (np.bitwise_count(x ^ y) <= distance) & (x != y)
+            a.append(x[close])
+            b.append(y[close])
+            rest = 0 if not len(starts) else (len(key) if end else starts[-1])
+            for s, e in zip(*(z[~pair & (ends - starts > 1)].tolist() for z in (starts, ends))):
+                if key[s] == large or e - s > TILE:
+                    large = key[s]
+                    tiled.append((key[s:e], fp[s:e]))
+                    rest = max(rest, e) if e == len(key) else rest
+                elif e <= rest:
+                    x, y = _forest(np.unique(fp[s:e]), distance)
+                    a.append(x)
+                    b.append(y)
+            if len(starts) and ends[-1] - starts[-1] == 1 and key[-1] == large:
+                tiled.append((key[-1:], fp[-1:]))
+                rest = len(key)
+            key, fp = key[rest:], fp[rest:]
+            links = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
+            tile_key, tile_fp = (np.concatenate(z) for z in zip(*tiled))
+            n, m = len(links), len(tile_key)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([None] * n + tile_key.tolist(), pa.int64()), pa.array(np.concatenate([links[:, 0], tile_fp]).view(np.int64)), pa.array(np.concatenate([links[:, 1], np.zeros(m, np.uint64)]).view(np.int64))], names=["key", "a", "b"]
+            )
+
+        for batch in batches:
+            key = np.concatenate([key, batch.column(0).to_numpy()])
+            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
+            yield runs(False)
+        yield runs(True)
+
+    partitions = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    found = keyed.select("key", "fp").repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(scan, "key bigint, a bigint, b bigint")
+    found = materialize(found)
+
+    hot = found.filter("key is not null").select("key", F.col("a").alias("fp")).distinct()
+    tiles = hot.groupBy("key").agg(F.ceil(F.count("*") / (TILE / 2)).cast("int").alias("tiles"))
+    own = hot.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "fp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        a, b = _forest(np.unique(table.column("fp").to_numpy().view(np.uint64)), distance)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    across = meets.groupBy("key", "i", "j").applyInArrow(meet, "a bigint, b bigint")
+    return found.filter("key is null").select("a", "b").union(across).distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of its smallest doc_id.
 
-    Rows that repeat that doc_id are told apart by their text and then by a hash of the whole row;
-    rows that are alike in all columns count as one. A component without a doc_id keeps one row.
+    Links are those of ``similar_links``. Rows that repeat that doc_id are told apart by a hash of
+    the whole row; rows that are alike in all columns count as one. A component without a doc_id
+    keeps one row. Null and empty texts are alike.
     """
     hashed = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
     marked = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", hashed.alias("_row"))
-    fp = fingerprints(marked.select(F.struct("doc_id", "_row").alias("_key"), F.col("_doc.text").alias("text")), shingle, id_col="_key")
-    rows = materialize(fp.select("_key.doc_id", "_key._row", "fp"))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("_first"))
-    labels = connected_components(materialize(links(nodes.select("fp"), distance, blocks)))
-    parts = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    fp = fingerprints(marked.select(F.struct("doc_id", "_row").alias("_key"), F.col("_doc.text").alias("text")), shingle, id_col="_key", with_words=True)
+    rows = materialize(fp.select("_key.doc_id", "_key._row", "fp", "word_fp"))
+    labels = connected_components(similar_links(rows.select("fp", "word_fp").distinct(), similarity))
     # Two steps, so that a hot component is first reduced within each fingerprint's tasks.
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")
-    best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(parts, "fp").groupBy("label").agg(F.min("best").alias("best"))
+    parts = rows.groupBy("fp").agg(F.min(order).alias("best")).join(labels, F.col("fp") == F.col("node"), "left")
+    best = parts.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best._row").alias("_row"))
     joined = marked.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._row") == F.col("k._row")), "left_semi")
     return joined.dropDuplicates(["doc_id", "_row"]).select("_doc.*")
