@@ -68,7 +68,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     first = blocks.groupBy("rank").agg(F.min(order).alias("first"))
     later = blocks.join(first, "rank").filter(order != F.col("first"))
     own = Window.partitionBy("id", "ref").orderBy("at")
-    apart = F.coalesce(F.col("at") - F.lag("at").over(own) > min_lines, F.lit(True))
+    apart = F.coalesce(F.col("at") - F.lag("at").over(own) >= min_lines, F.lit(True))
     islands = later.select("id", "ref", "at", F.when(apart, 1).otherwise(0).alias("new")).withColumn("island", F.sum("new").over(own))
     runs = islands.groupBy("id", "ref", "island").agg(F.min("at").alias("start"), (F.max("at") + min_lines).alias("end"))
     return runs.groupBy("id", "ref").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
