@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_START = "▁"
 #: A worker's trie is emptied when it has so many nodes; counts are then worked out anew.
-MAX_NODES = 400_000
+MAX_NODES = 1_000_000
+_CODE = 0x110000  # more than any code point
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -27,6 +28,13 @@ class Vocabulary:
     unknown: float
     longest: int
 
+    def lengths_by_end(self) -> dict[str, list[int]]:
+        """Of each last character or two of a piece: the lengths of the pieces that end so."""
+        found: dict[str, set[int]] = {}
+        for piece in self.scores:
+            found.setdefault(piece[-2:], set()).add(len(piece))
+        return {end: sorted(lengths, reverse=True) for end, lengths in found.items()}
+
 
 def load_vocabulary(path: str = TOKENIZER) -> Vocabulary:
     """The pieces of a sentencepiece model file, read on the driver.
@@ -54,35 +62,47 @@ class TokenTrie(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.lengths = vocabulary, vocabulary.lengths_by_end()
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # node and next character -> node
         self.score, self.count = [0.0], [0]
 
     def __missing__(self, word: str) -> int:
         if len(self.score) > MAX_NODES:
             self._reset()
-        scores, longest, unknown = self.vocabulary.scores, self.vocabulary.longest, self.vocabulary.unknown
+        child, score, count = self.child, self.score, self.count
         path, node = [0], 0
-        for end in range(1, len(word) + 1):
-            key = (node, word[end - 1])
-            node = self.child.get(key, -1)
+        for end, letter in enumerate(word, 1):
+            key = node * _CODE + ord(letter)
+            node = child.get(key, -1)
             if node < 0:
-                above = path[end - 1]
-                best, count = self.score[above] + unknown, self.count[above] + len(key[1].encode("utf-8", "surrogatepass"))
-                for start in range(max(0, end - longest), end):
-                    piece = scores.get(word[start:end])
-                    if piece is not None and self.score[path[start]] + piece > best:
-                        best, count = self.score[path[start]] + piece, self.count[path[start]] + 1
-                node = self.child[key] = len(self.score)
-                self.score.append(best)
-                self.count.append(count)
+                node = child[key] = len(score)
+                best, tokens = self._extend(word, end, path)
+                score.append(best)
+                count.append(tokens)
             path.append(node)
-        self[word] = self.count[node]
-        return self.count[node]
+        self[word] = count[node]
+        return count[node]
+
+    def _extend(self, word: str, end: int, path: list[int]) -> tuple[float, int]:
+        """The forward score of ``word[:end]`` from those of shorter prefixes, and its tokens."""
+        scores, score, above = self.vocabulary.scores, self.score, path[end - 1]
+        letter, two = word[end - 1], word[max(0, end - 2) : end]
+        best, start = score[above] + self.vocabulary.unknown, -1
+        one = scores.get(letter)
+        if one is not None:
+            best, start = score[above] + one, end - 1
+        for length in self.lengths.get(two, ()):
+            if length <= end:
+                piece = scores.get(word[end - length : end])
+                if piece is not None and score[path[end - length]] + piece > best:
+                    best, start = score[path[end - length]] + piece, end - length
+        if start < 0:
+            return best, self.count[above] + len(letter.encode("utf-8", "surrogatepass"))
+        return best, self.count[path[start]] + 1
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None, keep: list[str] | None = None) -> DataFrame:
