@@ -65,7 +65,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     blocks = repeated_blocks(materialize(sequences), min_lines)
 
     order = F.struct(F.col("id").isNull().alias("z"), "id", "ref", "at")
-    first = blocks.groupBy("rank").agg(F.min(order).alias("first"))
+    # Written first, so that the join below meets two plain exchanges and a hot rank can be split.
+    first = materialize(blocks.groupBy("rank").agg(F.min(order).alias("first")))
     later = blocks.join(first, "rank").filter(order != F.col("first"))
     own = Window.partitionBy("id", "ref").orderBy("at")
     apart = F.coalesce(F.col("at") - F.lag("at").over(own) >= min_lines, F.lit(True))
