@@ -111,6 +111,12 @@ def f1_filter_cells(spark, d):
     return prep.filter_cells(fx.counts(spark, d), fx.cells(spark, d), (F.col("region") == 1) & (F.col("seg") != "BUILDING"))[0].select("cell_id", "gene_id", "x")
 
 
+@query("SELECT gene_id, count(*) AS n FROM counts WHERE gene_id IN (SELECT DISTINCT p_brand FROM part WHERE p_type = 'PROMO') AND gene_id > 'Brand#15' GROUP BY 1")
+def f1_filter_genes(spark, d):
+    genes = table(spark, d, "part").filter("p_type = 'PROMO'").select(F.col("p_brand").alias("gene_id")).distinct()
+    return prep.filter_genes(fx.counts(spark, d), genes, F.col("gene_id") > "Brand#15")[0].groupBy("gene_id").agg(F.count("*").alias("n"))
+
+
 @query("SELECT cell_id, CAST(coalesce(sum(x), 0) AS BIGINT) AS total, count(x) AS n_genes, round(100.0 * coalesce(sum(x) FILTER (gene_id LIKE 'Brand#2%'), 0) / nullif(sum(x), 0), 6) AS pct_flagged FROM cells LEFT JOIN counts USING (cell_id) GROUP BY 1")
 def f2_cell_qc(spark, d):
     return prep.cell_qc(fx.counts(spark, d), fx.cells(spark, d), F.col("gene_id").startswith("Brand#2")).withColumn("pct_flagged", r("pct_flagged"))
@@ -511,6 +517,11 @@ def h16_pairwise_cube(spark, d):
     return found.select("gene_id", r("lfc").alias("lfc"), r("se").alias("se"), r("z", 5).alias("z"))
 
 
+@query()
+def h16_pairwise_cube_test(spark, d):
+    return testing.pairwise_cube_test(_cube(spark, d, ["seg"]), "seg", "BUILDING", "MACHINERY")
+
+
 @query()
 def h17_meta_wls(spark, d):
     return testing.meta_wls(_cube(spark, d, ["stim", "region"]), "stim", "region")
@@ -522,6 +533,18 @@ def h18_student_t(spark, d):
     return found.select("gene_id", r("diff").alias("diff"), r("t", 5).alias("t"), "df")
 
 
+@query()
+def h18_student_t_test(spark, d):
+    return testing.student_t_test(fx.counts(spark, d), fx.cells(spark, d), "stim")
+
+
+@query()
+def h19_mann_whitney_test(spark, d):
+    both = testing.mann_whitney_test(fx.counts(spark, d), fx.cells(spark, d), "stim")
+    above = testing.mann_whitney_test(fx.counts(spark, d), fx.cells(spark, d), "stim", "greater")
+    return both.select("gene_id", "pval").join(above.select("gene_id", F.col("pval").alias("pval_greater")), "gene_id")
+
+
 @query("WITH v AS (SELECT g.gene_id, stim, coalesce(x, 0) AS x FROM cells CROSS JOIN (SELECT DISTINCT gene_id FROM counts) g LEFT JOIN counts ON counts.cell_id = cells.cell_id AND counts.gene_id = g.gene_id), k AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY gene_id, x) AS c FROM v) SELECT gene_id, sum(k) FILTER (stim = 1) - count(*) FILTER (stim = 1) * (count(*) FILTER (stim = 1) + 1) / 2.0::DOUBLE AS u, round((sum(k) FILTER (stim = 1) - count(*) FILTER (stim = 1) * (count(*) FILTER (stim = 1) + 1) / 2.0::DOUBLE - count(*) FILTER (stim = 0) * count(*) FILTER (stim = 1) / 2.0::DOUBLE) / sqrt(count(*) FILTER (stim = 0) * count(*) FILTER (stim = 1) / 12.0::DOUBLE * (count(*) + 1 - sum(c * c - 1.0::DOUBLE) / (count(*) * (count(*) - 1.0::DOUBLE)))), 6) AS z FROM k GROUP BY 1")
 def h19_mann_whitney(spark, d):
     return testing.mann_whitney(fx.counts(spark, d), fx.cells(spark, d), "stim").select("gene_id", "u", r("z").alias("z"))
@@ -560,6 +583,16 @@ def h22_binomial(spark, d):
     return testing.binomial_test(_flags(spark, d), "a", ["seg"]).select("seg", "k", "n")
 
 
+@query("WITH c AS (SELECT seg, count(*) FILTER (c_acctbal > 5000) AS k, count(*) AS n FROM customer JOIN cells ON cell_id = c_custkey GROUP BY 1), p AS (SELECT *, [exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) FOR i IN range(n + 1)] AS p FROM c) SELECT seg, round(least(1, list_sum([v FOR v IN p IF v <= p[k + 1] * (1 + 1e-7)])), 8) AS pval FROM p")
+def h22_binomial_test(spark, d):
+    return testing.binomial_test(_flags(spark, d), "a", ["seg"]).select("seg", r("pval", 8).alias("pval"))
+
+
+@query(f"WITH n AS (SELECT region, count(*) FILTER (a AND b) AS n11, count(*) FILTER (a) AS r, count(*) FILTER (b) AS c, count(*) AS n FROM ({_FLAGS}) GROUP BY 1), p AS (SELECT *, greatest(0, r + c - n) AS low, [exp(lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(c - i + 1) - lgamma(n - r - c + i + 1) - lgamma(n + 1) + lgamma(c + 1) + lgamma(n - c + 1)) FOR i IN range(greatest(0, r + c - n), least(r, c) + 1)] AS p FROM n) SELECT region, round(least(1, list_sum([v FOR v IN p IF v <= p[n11 - low + 1] * (1 + 1e-7)])), 8) AS pval FROM p")
+def h21_fisher(spark, d):
+    return testing.crosstab_test(_flags(spark, d), "a", "b", ["region"]).select("region", r("fisher_pval", 8).alias("pval"))
+
+
 _EXPR = "SELECT gene_id, nation, ln(1 + coalesce(sum(x), 0) / any_value(n)) AS v FROM (SELECT nation, count(*) AS n FROM cells GROUP BY 1) CROSS JOIN (SELECT DISTINCT gene_id FROM counts) LEFT JOIN (SELECT nation, gene_id, x FROM counts JOIN cells USING (cell_id)) USING (nation, gene_id) GROUP BY ALL"
 
 
@@ -669,6 +702,11 @@ def p11_enrichment_counts(spark, d):
     return pvalues.enrichment_counts(genes.filter("gene_id % 7 = 0"), genes, genes).select("set", "overlap", "set_size", "hits", "universe")
 
 
+@query('WITH c AS (SELECT p_type AS t, count(*) FILTER (p_partkey % 7 = 0) AS k, count(*) AS m, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) AS d, (SELECT count(*) FROM part) AS n FROM part GROUP BY 1) SELECT t AS "set", round(least(1, list_sum([exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(n - m + 1) - lgamma(d - i + 1) - lgamma(n - m - d + i + 1) - lgamma(n + 1) + lgamma(d + 1) + lgamma(n - d + 1)) FOR i IN range(greatest(k, 0, d + m - n), least(m, d) + 1)])), 7) AS pval FROM c')
+def p11_enrichment_pvalue(spark, d):
+    return p11_enrichment_test(spark, d).select("set", r("pval", 7).alias("pval"))
+
+
 @query()
 def p11_enrichment_test(spark, d):
     genes = table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_type").alias("set"))
