@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op5_line_dedup": lines.ORACLE, "op10_top_k": covertree.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op5_line_dedup": lines.ORACLE, "op7_sharding": sharding.oracle_sql(shards=40), "op10_top_k": covertree.ORACLE}

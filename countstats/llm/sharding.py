@@ -87,3 +87,35 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, keep: list[s
         number = permuted(F.col("_number"), n, seed)
     placed = rows.withColumn("_at", number)
     return placed.select("_row.*", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("_at") % shards).cast("int").alias("shard"), ((F.col("_at") - F.col("_at") % shards) / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def oracle_sql(shards: int = 40, seed: int = 7) -> str:
+    """The same placement in SQL: CRC-32 byte by byte, row numbers by bucket, and the rounds as a recursion."""
+    rounds = ", ".join(f"({k}, {_factor(seed, 2 * k)}, {_factor(seed, 2 * k + 1)})" for k in range(ROUNDS))
+    mixed = lambda x, f: f"((({x}) % {_PRIME} + {_PRIME}) % {_PRIME} * {f} % {_PRIME})"
+    key = f"{mixed('coalesce(doc_id, -1)', _ROOT)} + {mixed('size', _factor(1, 0))} + coalesce(text_crc32, 0)"
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce([i] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))
+), bytes AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size, [CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(text)), '..')] AS l FROM documents
+), sums AS (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce([4294967295] || l, lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc
+), placed AS (
+  SELECT *, {mixed(key, _factor(1, 1))} % {BUCKETS} AS bucket FROM sums
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS num FROM placed
+), sides AS (
+  SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b FROM (SELECT count(*) AS n FROM documents)
+), walk AS (
+  SELECT num, num // b AS l, num % b AS r, 0 AS k FROM numbered, sides
+  UNION ALL
+  SELECT num, CASE WHEN k % 2 = 0 THEN (l + t) % a ELSE l END, CASE WHEN k % 2 = 1 THEN (r + t) % b ELSE r END, k + 1
+  FROM (SELECT num, l, r, k, n, a, b, xor(t, t >> 15) % {_PRIME} * g % {_PRIME} AS t
+        FROM (SELECT walk.*, sides.*, g, ((CASE WHEN k % 2 = 1 THEN l ELSE r END) + g) % {_PRIME} * f % {_PRIME} AS t
+              FROM walk, sides, (VALUES {rounds}) AS rounds(j, f, g) WHERE j = k % {ROUNDS} AND (k = 0 OR k % {ROUNDS} <> 0 OR l * b + r >= n)))
+), ended AS (
+  SELECT num, l * b + r AS p FROM walk, sides WHERE k > 0 AND k % {ROUNDS} = 0 AND l * b + r < n
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % {shards} AS INTEGER) AS shard, p // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM numbered JOIN ended USING (num)
+"""
