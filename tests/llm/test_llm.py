@@ -323,6 +323,13 @@ def test_cut_points_depend_on_the_last_bytes_only_and_keep_characters():
         bytes(data[a:b]).decode()
 
 
+def test_a_short_shared_line_stays_and_a_short_copy_goes(spark):
+    line = "one short line that very many documents share between their texts"
+    made = [(i, f"{prose(300 + i, 30)}\n{line}\n{prose(400 + i, 30)}") for i in range(20)] + [(50, "tiny text"), (51, "tiny text")]
+    found = {r["doc_id"]: r["text"] for r in substrings.dedup_substrings(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert all(found[i] == t for i, t in made[:21]) and found[51] == ""
+
+
 def test_hot_and_batched_chunks(spark):
     made = [(i, PASSAGE) for i in range(500)] + [(1000 + i, prose(2000 + i)) for i in range(50)]
     frame = spark.createDataFrame(made, "doc_id bigint, text string").repartition(7)
