@@ -151,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 5000, pool: int =
     rest = docs.filter("doc_id is not null").select("doc_id").filter(draw < min(1.0, pool / max(1, docs.count()))).distinct()
     rest = rest.join(marks, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("quality"))
     sample = F.broadcast(chosen.union(rest))  # bounded by per_class and pool
-    rows = docs.join(sample, "doc_id").select(*_views(), F.xxhash64("doc_id").alias("order"), "quality")
+    seen = docs.select("doc_id", *[c.alias(f"_{i}") for i, c in enumerate(_views())])
+    rows = seen.join(sample, "doc_id").select("_0", "_1", "_2", "_3", F.xxhash64("doc_id").alias("order"), "quality")
     rows = rows.mapInArrow(_feature_rows, "order bigint, quality double, text array<double>, meta array<double>").toPandas().sort_values("order", kind="stable")
     text, meta = (np.array(rows[c].tolist(), dtype=float).reshape(len(rows), n) for c, n in (("text", TEXT_FEATURES), ("meta", META_FEATURES)))
     return co_train(text, meta, rows["quality"].to_numpy(dtype=float), rows["order"].to_numpy() % 5 == 0, **options)

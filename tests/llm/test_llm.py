@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from countstats.llm import components, covertree, decontaminate, language, lines, mixing, quality, queries, sharding, simhash, substrings, tokens
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-EXTRA = ("size", "hash", "n", "window", "items", "spans", "fp", "label", "rank", "score", "_row", "_text", "id", "ref", "key", "a", "b")
+EXTRA = ("quality", "order", "size", "hash", "n", "window", "items", "spans", "fp", "label", "rank", "score", "_row", "_text", "id", "ref", "key", "a", "b")
 RNG = np.random.default_rng(1)
 WORDS = ["".join(RNG.choice(list("abcdefghijklmnop"), 6)) for _ in range(4000)]
 LONG = " ".join(RNG.choice(WORDS, 5000))
