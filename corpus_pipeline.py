@@ -14,8 +14,10 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled documents; keep those whose language is clear."""
-    return language.predict(docs, language.learn(docs), min_score=MIN_LANGUAGE_SCORE).select(*docs.columns)
+    """Learn from the labelled documents; keep those whose language is clear. Without any label there
+    is nothing to judge by, and all stay."""
+    model = language.learn(docs)
+    return language.predict(docs, model, min_score=MIN_LANGUAGE_SCORE).select(*docs.columns) if model.languages else docs
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
