@@ -110,7 +110,7 @@ def good_turing_mean(counts: DataFrame, cells: DataFrame, genes: DataFrame, by:
 
 
 def pair_covariance(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str] | None = None, kind: str = "hyper_relative") -> DataFrame:
-    """E7, E8. ``by``, gene_1, gene_2, cov for every listed pair and group. Counts are first cut down
+    """E6-E8. ``by``, gene_1, gene_2, cov for every listed pair and group. Counts are first cut down
     to the genes of the pairs; a pair that no cell has together has a product of 0."""
     by = ["grp"] if by is None else by
     spec = get_estimator(kind)
@@ -129,7 +129,7 @@ def pair_covariance(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: l
     sizes = group_sizes(cells, by)
     one = lambda i: sums.select(*by, F.col("gene_id").alias(f"gene_{i}"), F.col("sx").alias(f"sx_{i}"), *([F.col("sx2")] if i == 1 else []))
     out = sizes.crossJoin(F.broadcast(listed)).join(one(1), [*by, "gene_1"]).join(one(2), [*by, "gene_2"]).join(products, [*by, "gene_1", "gene_2"], "left")
-    q = F.col("q") if kind.startswith("hyper") else F.lit(0.0)
+    q = {"naive": F.lit(1.0), "poi_relative": F.lit(0.0), "poi_absolute": F.lit(0.0)}.get(kind if isinstance(kind, str) else "", F.col("q"))
     own = F.when(F.col("gene_1") == F.col("gene_2"), (1 - q) * F.col("sx2") / F.col("n_obs")).otherwise(0.0)
     n = F.col("n_obs")
     cov = F.coalesce("prod", F.lit(0.0)) / n - own - F.col("sx_1") / n * F.col("sx_2") / n

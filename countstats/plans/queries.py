@@ -49,7 +49,7 @@ def _analysis(spark, d, labels=("seg",), **options):
 
 def _pairs(spark, d):
     genes = fx.counts(spark, d).select("gene_id").distinct()
-    return tables.product_pairs(genes.filter("gene_id <= 'Brand#12'"), genes.filter("gene_id <= 'Brand#13'"), exclude_same=False)
+    return materialize(tables.product_pairs(genes.filter("gene_id <= 'Brand#12'"), genes.filter("gene_id <= 'Brand#13'"), exclude_same=False))
 
 
 # Sources and sinks
@@ -340,6 +340,23 @@ def e9_correlation(spark, d):
     return _pair_moments(spark, d).select("grp", "gene_1", "gene_2", r("corr").alias("corr"))
 
 
+@query("SELECT grp, gene_1, gene_2, round(corr(coalesce(a.x, 0) / s, coalesce(b.x, 0) / s), 6) AS corr FROM grouped CROSS JOIN pairs LEFT JOIN counts a ON a.cell_id = grouped.cell_id AND a.gene_id = gene_1 LEFT JOIN counts b ON b.cell_id = grouped.cell_id AND b.gene_id = gene_2 WHERE gene_1 <> gene_2 GROUP BY ALL")
+def e6_naive_correlation(spark, d):
+    counts, cells, _ = _compressible(spark, d)
+    one = materialize(estimators.moments(counts, cells, kind="naive"))
+    found = estimators.pair_moments(counts, cells, _pairs(spark, d).filter("gene_1 <> gene_2"), one, kind="naive")
+    return found.select("grp", "gene_1", "gene_2", r("corr").alias("corr"))
+
+
+@query("SELECT grp, gene_id, round(ln(1 + total / n_obs), 8) AS mean FROM moments")
+def d1_own_estimator(spark, d):
+    import numpy as np
+
+    counts, cells, _ = _compressible(spark, d)
+    own = estimators.EstimatorSpec(lambda: (F.log1p(F.col("total") / F.col("n_obs")), F.lit(1.0)), lambda x, w, inverse, n, q: (np.log1p(x @ w / n), np.ones(w.shape[1])))
+    return estimators.moments(counts, cells, kind=own).select("grp", "gene_id", r("mean", 8).alias("mean"))
+
+
 @query("WITH c AS (SELECT * FROM covs WHERE gene_1 <= gene_2 AND gene_2 <= 'Brand#12'), v AS (SELECT *, CASE WHEN var_1 > 0 AND var_2 > 0 THEN cov / sqrt(var_1 * var_2) END AS raw FROM c), k AS (SELECT grp, gene_1, gene_2, CASE WHEN abs(raw) < 1.05 THEN round(greatest(-1, (CASE WHEN raw > 1 THEN 1 ELSE raw END)), 6) END AS corr FROM v) SELECT * FROM k UNION ALL SELECT grp, gene_2, gene_1, corr FROM k WHERE gene_1 <> gene_2")
 def e10_correlation_matrix(spark, d):
     counts, cells, _ = _compressible(spark, d)
