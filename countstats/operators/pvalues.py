@@ -17,8 +17,8 @@ BUCKETS = 64
 
 def _ranked(df: DataFrame, p: str, by: list[str]) -> DataFrame:
     """Rows with a p-value, and ``_rank`` (1 for the smallest of its family) and ``_m``, the family's
-    number. Ranges of p between rough quantiles are ranked in parallel and then shifted."""
-    rows = materialize(df.withColumn("_p", as_null(F.col(p).cast("double"))).filter("_p is not null"))
+    number; ``df`` is read several times and so is to be written already. Ranges of p between rough quantiles are ranked in parallel and then shifted."""
+    rows = df.withColumn("_p", as_null(F.col(p).cast("double"))).filter("_p is not null")
     edges = rows.agg(F.percentile_approx("_p", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("e")).first()["e"] or []
     cuts = sorted(set(edges))
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda e: e < F.col("_p"))) if cuts else F.lit(0)
@@ -79,7 +79,7 @@ def qq_points(df: DataFrame, p: str = "pval", by: list[str] | None = None) -> Da
     null for the first, whose quantile is 0."""
     by = by or []
     at = F.try_divide(F.col("_rank") - 1, F.col("_m") - 1)
-    return _ranked(df, p, by).select(*by, F.col("_rank").alias("rank"), F.when(F.col("_p") > 0, -F.log10("_p")).alias("observed"), F.when(at > 0, -F.log10(at)).alias("expected"))
+    return _ranked(materialize(df), p, by).select(*by, F.col("_rank").alias("rank"), F.when(F.col("_p") > 0, -F.log10("_p")).alias("observed"), F.when(at > 0, -F.log10(at)).alias("expected"))
 
 
 def threshold_curve(results: DataFrame, p: str, by: list[str], thresholds: list[float]) -> DataFrame:

@@ -58,9 +58,14 @@ def _draws_1d(gene, rows: pd.DataFrame, known: pd.DataFrame, spec: EstimatorSpec
     return names, np.array(means).reshape(len(names), -1), np.array(variances).reshape(len(names), -1)
 
 
-def _apart(df: DataFrame) -> DataFrame:
-    """The same columns under new identities, as both sides of a cogroup may stem from one table."""
-    return df.select(*[F.col(c).alias(f"_{c}") for c in df.columns]).select(*[F.col(f"_{c}").alias(c) for c in df.columns])
+def _dealt(df: DataFrame, *keys: str):
+    """``df`` grouped by ``keys``, dealt to a stated number of tasks: the rows are few bytes but much
+    work, so they must not be joined to few tasks by their size. The columns get new identities, as
+    both sides of a cogroup may stem from one table."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    apart = df.select(*[F.col(c).alias(f"_{c}") for c in df.columns]).select(*[F.col(f"_{c}").alias(c) for c in df.columns])
+    return apart.repartition(tasks, *keys).groupBy(*keys)
 
 
 def _nan_to_null(frame: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +108,7 @@ def ht_1d(params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatm
         return _nan_to_null(pd.DataFrame([(gene, t, a.coef, a.se, a.pval, b.coef, b.se, b.pval) for t, a, b in zip(txs, de, dv)], columns=["gene", "tx", *_STATS]))
 
     schema = "gene string, tx string, " + ", ".join(f"{c} double" for c in _STATS)
-    return _apart(compressed).groupBy("gene_id").cogroup(_apart(known).groupBy("gene_id")).applyInPandas(run, schema)
+    return _dealt(compressed, "gene_id").cogroup(_dealt(known, "gene_id")).applyInPandas(run, schema)
 
 
 def mean_summary(params: DataFrame, compressed: DataFrame, num_boot: int = 1000, seed: int = 5, kind: str | EstimatorSpec = "hyper_relative") -> DataFrame:
@@ -119,7 +124,7 @@ def mean_summary(params: DataFrame, compressed: DataFrame, num_boot: int = 1000,
             out.append((g, key[0], float(np.nanmean(m)), float(np.nanstd(m)), float(np.std(np.log(positive))), float(np.std(np.log1p(positive)))))
         return pd.DataFrame(out, columns=["grp", "gene_id", "mean", "sem", "se_log", "se_log1p"])
 
-    return _apart(compressed).groupBy("gene_id").cogroup(_apart(params).groupBy("gene_id")).applyInPandas(run, "grp string, gene_id string, mean double, sem double, se_log double, se_log1p double")
+    return _dealt(compressed, "gene_id").cogroup(_dealt(params, "gene_id")).applyInPandas(run, "grp string, gene_id string, mean double, sem double, se_log double, se_log1p double")
 
 
 def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str], covariates: list[str] = (), num_boot: int = 1000, seed: int = 5, approx: str = "norm", resample_groups: bool = False, poisson: bool = False) -> DataFrame:
@@ -164,7 +169,7 @@ def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, t
         return _nan_to_null(pd.DataFrame([(*key, t, f.coef, f.se, f.pval) for t, f in zip(treatments, found)], columns=["gene_1", "gene_2", "tx", "corr_coef", "corr_se", "corr_pval"]))
 
     keys = ["gene_1", "gene_2"]
-    return _apart(compressed).groupBy(*keys).cogroup(_apart(pair_params).groupBy(*keys)).applyInPandas(run, "gene_1 string, gene_2 string, tx string, corr_coef double, corr_se double, corr_pval double")
+    return _dealt(compressed, *keys).cogroup(_dealt(pair_params, *keys)).applyInPandas(run, "gene_1 string, gene_2 string, tx string, corr_coef double, corr_se double, corr_pval double")
 
 
 def ht_mean(summary: DataFrame, totals: DataFrame, design: pd.DataFrame, treatments: list[str], covariates: list[str] = (), tests: DataFrame | None = None, shrink: float = 0.25) -> DataFrame:
