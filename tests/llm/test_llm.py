@@ -337,6 +337,29 @@ def test_hot_and_batched_chunks(spark):
     assert found[0] == 0 and all(found[i] >= len(PASSAGE) - 200 for i in range(1, 500)) and not any(found[1000 + i] for i in range(50))
 
 
+def test_exact_copies_of_any_length_go_whole(spark):
+    texts = [LONG.replace(" ", "")[1000 * i : 1000 * i + n] for i, n in enumerate([65, 70, 80, 90, 99, 100, 110, 130, 150, 180, 250, 400, 700, 990])]
+    texts += ["é" * 40 + prose(77, 4), prose(78, 9) + "\U0001f600"]
+    made = [(100 * k + i, t) for k in range(4) for i, t in enumerate(texts)] + [(None, t) for t in texts]
+    found = substrings.dedup_substrings(spark.createDataFrame(made, "doc_id bigint, text string").repartition(5)).collect()
+    assert all(r["text"] == texts[r["doc_id"]] if r["doc_id"] is not None and r["doc_id"] < 100 else r["text"] == "" and r["n_spans"] == 1 for r in found)
+
+
+def test_passages_go_up_to_their_last_byte(spark):
+    made = []
+    for i in range(30):
+        passage = prose(5000 + i, 80) + "é"
+        for k in range(3):  # what stands around differs in its first byte, twice within a character
+            before, after = ("ü", "ñ", "x")[k], ("è", "ê", "y")[k]
+            made.append((1000 * k + i, f"{prose(6000 + 100 * k + i, 30)}{before}{passage}{after}{prose(7000 + 100 * k + i, 30)}"))
+    made += [(5000, f"{made[0][1][:300]}#and#{made[1][1]}")]
+    found = {r["doc_id"]: r for r in substrings.dedup_substrings(spark.createDataFrame(made, "doc_id bigint, text string").repartition(6)).collect()}
+    for i, text in made[:-1]:
+        passage = prose(5000 + i % 1000, 80) + "é"
+        assert found[i]["text"] == (text if i < 1000 else text.replace(passage, "")) and found[i]["n_removed"] == (0 if i < 1000 else len(passage.encode()))
+    assert found[5000]["text"] == "#and#"
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 
