@@ -178,7 +178,8 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, agreeing: int = 4,
             starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(key))
             a, b, tiled = [], [], [(key[:0], fp[:0])]
-            pair = ends - starts == 2
+            hot = key[starts] == large if large is not None else np.zeros(len(starts), dtype=bool)  # more rows of a bucket passed on before
+            pair = (ends - starts == 2) & ~hot
             if not end and len(pair):
                 pair[-1] = False
             x, y = fp[starts[pair]], fp[starts[pair] + 1]
@@ -186,7 +187,7 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, agreeing: int = 4,
             a.append(x[close])
             b.append(y[close])
             rest = 0 if not len(starts) else (len(key) if end else starts[-1])
-            for s, e in zip(*(z[~pair & (ends - starts > 1)].tolist() for z in (starts, ends))):
+            for s, e in zip(*(z[~pair & (hot | (ends - starts > 1))].tolist() for z in (starts, ends))):
                 if key[s] == large or e - s > TILE:
                     large = key[s]
                     tiled.append((key[s:e], fp[s:e]))
@@ -195,9 +196,6 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, agreeing: int = 4,
                     x, y = _forest(np.unique(fp[s:e]), distance)
                     a.append(x)
                     b.append(y)
-            if len(starts) and ends[-1] - starts[-1] == 1 and key[-1] == large:
-                tiled.append((key[-1:], fp[-1:]))
-                rest = len(key)
             key, fp = key[rest:], fp[rest:]
             links = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
             tile_key, tile_fp = (np.concatenate(z) for z in zip(*tiled))

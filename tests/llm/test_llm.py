@@ -424,6 +424,26 @@ def test_similar_links_by_brute_force(spark, tile, monkeypatch):
     assert [labels.get(f, f) for f, _ in nodes] == [min(n[0] for n, y in zip(nodes, roots) if y == x) for x in roots]
 
 
+def test_large_buckets_may_end_anywhere_in_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 6)
+    rng = np.random.default_rng(6)
+    groups = []
+    for n in [*range(7, 40), *[1] * 60]:  # one bucket each, of one centre's neighbours
+        fp, word = (int(x) for x in rng.integers(0, 1 << 63, 2))
+        near = {fp ^ sum(1 << int(b) for b in rng.choice(64, 6, replace=False)) for _ in range(n)}
+        groups.append([(simhash._signed(x), word) for x in near])
+    frame = spark.createDataFrame([x for g in groups for x in g], "fp bigint, word_fp bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        edges = simhash.similar_links(frame, agreeing=1, blocks=1)
+        labels = {r["node"]: r["label"] for r in components.connected_components(edges).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for g in groups:
+        assert {labels.get(f, f) for f, _ in g} == {min(f for f, _ in g)}
+
+
 def test_keep_one(spark, docs, empty):
     base = prose(70, 300).split()
     near = [(100 + i, " ".join([*base[:i], "changed", *base[i + 1 :]]), "en", "s", 1) for i in range(0, 40, 4)]
