@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import argmax_column, average_rank
-from ..functions.lineage import materialize
+from ..functions.lineage import materialize, shared_folder
 from ..operators import estimators, groups, intervals, meanvar, prep, pvalues, tables, testing
 from ..sources import io
 from . import analysis
@@ -97,10 +98,7 @@ def io_write_partitioned(spark, d):
 
 
 def _scratch(spark, name):
-    import tempfile
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='io-')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Preparation
