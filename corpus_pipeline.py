@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from countstats.functions.lineage import remove_folder, shared_folder
 from countstats.llm import decontaminate, language, mixing, sharding, simhash
-from countstats.llm.common import shared_folder
 
 #: A document goes if no language has at least this share of belief, or if its text has no letter.
 MIN_LANGUAGE_SCORE = 0.5
@@ -53,10 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared checkpoint folder and read again."""
+    """All stages over ``documents``, each written to the shared checkpoint folder and read again. What a
+    stage has read is removed once its own result is written; the last one's input stays, as the
+    result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import count_words, materialize
+from ..functions.lineage import materialize
+from .common import count_words, tasks_for
 
 BLOCK = 64
 SHARDS = 64

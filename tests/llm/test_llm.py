@@ -191,36 +191,59 @@ def test_views_teach_each_other():
 # 5 ---------------------------------------------------------------------------------------------
 
 
-def brute_lines(docs_, m):
-    seen, out = set(), {}
-    for doc, text in sorted(set(docs_), key=lambda d: (d[0] is None, d[0] or 0)):
-        if text is None:
-            out[doc, text] = (None, 0, 0)
-            continue
-        ls = text.split("\n")
-        filled = [i for i, x in enumerate(ls) if x.strip(" ")]
-        gone = set()
-        for s in range(len(filled) - m + 1):
-            block = tuple(ls[i] for i in filled[s : s + m])
-            if block in seen:
-                gone |= set(range(filled[s], filled[s + m - 1] + 1))
-            seen.add(block)
-        out[doc, text] = ("\n".join(x for i, x in enumerate(ls) if i not in gone), len(ls), len(gone))
+def brute_lines(docs_, m, chars):
+    """Runs by definition: pieces that occur earlier, joined where they share lines, gone if the whole does."""
+    order, out = sorted(set(docs_), key=lambda d: (d[0] is None, d[0] or 0)), {}
+    texts = [t.split("\n") if t is not None else [] for _, t in order]
+    filled = [[i for i, x in enumerate(ls) if x.strip(" ")] for ls in texts]
+    seqs = [[ls[i] for i in f] for ls, f in zip(texts, filled)]
+
+    def earlier(d, s, e):
+        run = seqs[d][s:e]
+        return any(seqs[o][p : p + len(run)] == run for o in range(d + 1) for p in range(len(seqs[o]) if o < d else s))
+
+    for d, (doc, text) in enumerate(order):
+        n, runs = len(seqs[d]), []
+        for s in range(n):
+            for e in sorted({s + 1} if len(seqs[d][s]) >= chars else set() | {s + m}):
+                if e <= n and earlier(d, s, e):
+                    if runs and s < runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], e)
+                    else:
+                        runs.append([s, e])
+            if len(seqs[d][s]) >= chars and s + m <= n and earlier(d, s, s + m):
+                if s < runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], s + m)
+        gone = {i for s, e in runs if earlier(d, s, e) for i in range(filled[d][s], filled[d][e - 1] + 1)}
+        out[doc, text] = (None, 0, 0) if text is None else ("\n".join(x for i, x in enumerate(texts[d]) if i not in gone), len(texts[d]), len(gone))
     return out
 
 
 @pytest.mark.parametrize("m", [1, 2, 3, 5])
 def test_line_dedup_by_brute_force(spark, m):
     rng = np.random.default_rng(m)
-    made = [(i, "\n".join(rng.choice(["p", "q", "r", "", " ", "long line"], rng.integers(0, 14)))) for i in range(40)]
-    made += [(50, "a\nb\nc\nd\ne\nf"), (51, "x\na\nb\nc\nd\ne\nf\ny"), (52, "a\nb\nc\nd\ne\nf"), (53, None), (None, "a\nb\nc\nz"), (54, ""), (50, "a\nb\nc\nd\ne\nf"), (55, "k\n" * 300)]
+    made = [(i, "\n".join(rng.choice(["p", "q", "r", "", " ", "a line of many letters"], rng.integers(0, 14)))) for i in range(40)]
+    made += [(50, "a\nb\nc\nd\ne\nf"), (51, "x\na\nb\nc\nd\ne\nf\ny"), (52, "a\nb\nc\nd\ne\nf"), (53, None), (None, "a\nb\nc\nz"), (54, ""), (50, "a\nb\nc\nd\ne\nf"), (55, "k\n" * 60)]
     frame = spark.createDataFrame(made, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in EXTRA})
-    want = brute_lines(made, m)
-    got = lines.dedup_lines(frame, min_lines=m, keep=["doc_id", "rank"]).collect()
+    want = brute_lines(made, m, 20)
+    got = lines.dedup_lines(frame, min_lines=m, keep=["doc_id", "rank"], min_chars=20).collect()
     assert len(got) == len(made)
     assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_deleted"]) for r in got) == Counter((d, *want[d, t]) for d, t in made)
 
 
+def test_lines_in_a_row_that_never_were_one_stay(spark):
+    made = [("d1", "A\nB\nx\ny"), ("d2", "B\nC\nz\nw"), ("d3", "k\nA\nB\nC\nq"), ("d4", "A\n\nB\nv"), ("d5", "u\n" + "w" * 100 + "\nt"), ("d6", "w" * 100), ("d7", "A")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id string, text string")).collect()}
+    assert got == dict(made) | {"d4": "v", "d6": ""}
+
+
+def test_a_third_of_all_rows_one_text(spark):
+    text = "\n".join(f"line {i}" for i in range(30))
+    made = [(i, text if i % 3 == 0 else f"own {i}\nown {i + 1000}") for i in range(300)]
+    got = {r["doc_id"]: r["n_deleted"] for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert got == {i: 30 if i % 3 == 0 and i else 0 for i in range(300)}
+
+
 def test_line_dedup_of_nothing(empty):
     assert lines.dedup_lines(empty).count() == 0
 
