@@ -16,6 +16,10 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_START = "▁"
 #: A worker's trie is emptied when it has so many nodes; counts are then worked out anew.
 MAX_NODES = 1_000_000
+#: Only so many first characters of a pre-token are put into the trie. The rest is scored the same way
+#: without nodes, holding the scores of about _HELD prefixes at a time.
+DEPTH = 256
+_HELD = 8192
 _CODE = 0x110000  # more than any code point
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,36 +77,52 @@ class TokenTrie(dict):
     def __missing__(self, word: str) -> int:
         if len(self.score) > MAX_NODES:
             self._reset()
-        child, score, count = self.child, self.score, self.count
-        path, node = [0], 0
-        for end, letter in enumerate(word, 1):
+        child, node, score, count = self.child, 0, [0.0], [0]  # scores and tokens of all prefixes of the word
+        for end, letter in enumerate(word[:DEPTH], 1):
             key = node * _CODE + ord(letter)
             node = child.get(key, -1)
             if node < 0:
-                node = child[key] = len(score)
-                best, tokens = self._extend(word, end, path)
-                score.append(best)
-                count.append(tokens)
-            path.append(node)
-        self[word] = count[node]
-        return count[node]
-
-    def _extend(self, word: str, end: int, path: list[int]) -> tuple[float, int]:
-        """The forward score of ``word[:end]`` from those of shorter prefixes, and its tokens."""
-        scores, score, above = self.vocabulary.scores, self.score, path[end - 1]
+                node = child[key] = len(self.score)
+                best, tokens = self._extend(word, end, score, count, 0)
+                self.score.append(best)
+                self.count.append(tokens)
+            score.append(self.score[node])
+            count.append(self.count[node])
+        if len(word) > DEPTH:
+            return self._beyond(word, score, count)
+        self[word] = count[-1]
+        return count[-1]
+
+    def _beyond(self, word: str, score: list[float], count: list[int]) -> int:
+        """Tokens of a word longer than the trie is deep; a piece reaches back ``longest`` characters only."""
+        first = 0
+        for end in range(DEPTH + 1, len(word) + 1):
+            best, tokens = self._extend(word, end, score, count, first)
+            score.append(best)
+            count.append(tokens)
+            if len(score) > _HELD:
+                gone = len(score) - self.vocabulary.longest
+                del score[:gone], count[:gone]
+                first += gone
+        return count[-1]
+
+    def _extend(self, word: str, end: int, score: list[float], count: list[int], first: int) -> tuple[float, int]:
+        """The forward score of ``word[:end]`` and its tokens, from those of shorter prefixes: ``score[i]``
+        is that of the prefix of ``first + i`` characters."""
+        scores, above = self.vocabulary.scores, end - 1 - first
         letter, two = word[end - 1], word[max(0, end - 2) : end]
         best, start = score[above] + self.vocabulary.unknown, -1
         one = scores.get(letter)
         if one is not None:
-            best, start = score[above] + one, end - 1
+            best, start = score[above] + one, above
         for length in self.lengths.get(two, ()):
             if length <= end:
-                piece = scores.get(word[end - length : end])
-                if piece is not None and score[path[end - length]] + piece > best:
-                    best, start = score[path[end - length]] + piece, end - length
+                piece, before = scores.get(word[end - length : end]), end - length - first
+                if piece is not None and score[before] + piece > best:
+                    best, start = score[before] + piece, before
         if start < 0:
-            return best, self.count[above] + len(letter.encode("utf-8", "surrogatepass"))
-        return best, self.count[path[start]] + 1
+            return best, count[above] + len(letter.encode("utf-8", "surrogatepass"))
+        return best, count[start] + 1
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -111,7 +131,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None, keep: li
     Pre-tokens are the words between ASCII white space, each with the word-start mark before it;
     white space itself has no token. The whole text counts. A null or empty text has 0 of both.
     Each worker shares one trie among its documents and forgets it at a bounded size, so nothing is
-    shuffled. Existing columns n_words, n_tokens are replaced.
+    shuffled; a word of millions of characters adds DEPTH nodes at most. Existing columns n_words, n_tokens are replaced.
     """
     vocabulary = vocabulary or load_vocabulary()
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_tokens")]
@@ -123,9 +143,12 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None, keep: li
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(0):
-                found = _WORD.findall(text.as_py() or "")
-                words.append(len(found))
-                tokens.append(sum(trie[WORD_START + w] for w in found))
+                n = total = 0
+                for found in _WORD.finditer(text.as_py() or ""):
+                    n += 1
+                    total += trie[WORD_START + found[0]]
+                words.append(n)
+                tokens.append(total)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["_row", "n_words", "n_tokens"])
 
     schema = T.StructType([source.schema["_row"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
