@@ -18,8 +18,8 @@ from ..functions.lineage import materialize
 
 UNKNOWN = "und"
 LONGEST_GRAM = 4
-#: A worker forgets unseen words after so many; their scores are then worked out anew.
-CACHED_WORDS = 100_000
+#: A worker forgets words when their scores are so many numbers; they are then worked out anew.
+CACHED_NUMBERS = 2_000_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -33,58 +33,99 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass(frozen=True)
+class LogTable:
+    """Log frequencies by language for each key. A language without a count of the key has the log of
+    its smoothing share, ``floor``; the others are listed, so that the table grows with what was
+    counted and not with the number of languages."""
+
+    index: dict[str, int]
+    starts: np.ndarray
+    language: np.ndarray
+    log: np.ndarray
+    floor: np.ndarray
+
+    @classmethod
+    def of(cls, counts: pd.DataFrame, languages: list[str], totals: dict[str, int]) -> LogTable:
+        """From (lang, key, n), smoothed by half an occurrence for each key."""
+        keys, row = np.unique(counts["key"].to_numpy(dtype=object), return_inverse=True) if len(counts) else (np.zeros(0, object), np.zeros(0, np.int64))
+        sizes = np.array([totals.get(language, 0) + 0.5 * max(1, len(keys)) for language in languages])
+        column = counts["lang"].map({language: i for i, language in enumerate(languages)}).to_numpy(dtype=np.int64)
+        order = np.lexsort((column, row))
+        row, column = row[order], column[order]
+        log = np.log(counts["n"].to_numpy(dtype=float)[order] + 0.5) - np.log(sizes)[column]
+        return cls({k: i for i, k in enumerate(keys)}, np.searchsorted(row, np.arange(len(keys) + 1)), column, log, np.log(0.5) - np.log(sizes))
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.index
+
+    def __getitem__(self, key: str) -> np.ndarray:
+        """A log frequency for each language."""
+        out, row = self.floor.copy(), self.index[key]
+        span = slice(self.starts[row], self.starts[row + 1])
+        out[self.language[span]] = self.log[span]
+        return out
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """``words`` and ``grams`` map to a row of ``word_logs`` and ``gram_logs``: a log frequency for each language."""
+    """``grams`` has a table for each length of n-gram, from 1 on."""
 
     languages: list[str]
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: dict[str, int]
-    gram_logs: np.ndarray
-
-    def backoff(self, word: str) -> np.ndarray:
-        """Of an unseen word: the mean of its longest known n-grams; nothing known says nothing."""
-        for n in range(LONGEST_GRAM, 0, -1):
-            known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
+    words: LogTable | None = None
+    grams: tuple[LogTable, ...] = ()
+
+    def score(self, word: str) -> np.ndarray:
+        """A known word's log frequencies. Of an unseen word: the mean of its longest known n-grams;
+        nothing known says nothing."""
+        if word in self.words:
+            return self.words[word]
+        for table, n in zip(reversed(self.grams), range(len(self.grams), 0, -1)):
+            known = [table[g] for g in grams_of(word, n) if g in table]
             if known:
-                return self.gram_logs[known].mean(axis=0)
+                return np.mean(known, axis=0)
         return np.zeros(len(self.languages))
 
 
 class _Scorer(dict):
-    """Word -> row of ``logs``. A missing word is given a row by backoff."""
+    """What lies between white space -> row of ``logs``: the sum over the words in it. Row 0 is of
+    what has no word."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__(model.words)
-        self.model, self.known = model, len(model.words)
-        self.logs = np.concatenate([model.word_logs, np.zeros((1024, len(model.languages)))])
-        self.seen: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        row = self.known + len(self.seen)
-        if row == len(self.logs):
-            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-        self.logs[row] = self.model.backoff(word)
-        self.seen.append(word)
-        self[word] = row
+        super().__init__()
+        self.model = model
+        self.logs = np.zeros((1024, len(model.languages)))
+        self.used, self.most = 1, max(1024, CACHED_NUMBERS // max(1, len(model.languages)))
+
+    def __missing__(self, piece: str) -> int:
+        words = words_of(piece)
+        if not words:
+            row = 0
+        else:
+            row = self.used
+            if row == len(self.logs):
+                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+            self.logs[row] = sum(map(self.model.score, words))
+            self.used += 1
+        self[piece] = row
         return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.model.languages:
+        if not text or not self.model.languages:
+            return UNKNOWN, 0.0
+        sums, found, pieces = np.zeros(len(self.model.languages)), False, text.split()
+        for at in range(0, len(pieces), 4096):
+            if self.used > self.most or len(self) > 2 * self.most:
+                self.clear()
+                self.used = 1
+            part = pieces[at : at + 4096]
+            rows = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
+            found = found or bool(rows.any())
+            sums += self.logs[rows].sum(axis=0)
+        if not found:
             return UNKNOWN, 0.0
-        rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        total = np.bincount(rows, minlength=1)
-        used = np.flatnonzero(total)
-        sums = total[used] @ self.logs[used]
         best = int(np.argmax(sums))  # of a tie the first, languages being sorted
-        score = 1.0 / np.exp(sums - sums[best]).sum()
-        if len(self.seen) > CACHED_WORDS:
-            for word in self.seen:
-                del self[word]
-            self.seen.clear()
-        return self.model.languages[best], float(score)
+        return self.model.languages[best], float(1.0 / np.exp(sums - sums[best]).sum())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -117,50 +158,34 @@ def _most_frequent(counts: DataFrame, by: list[str], most: int) -> DataFrame:
     return counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
 
 
-def _log_table(counts: pd.DataFrame, languages: list[str], totals: dict[tuple, int], size: int) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed by half an occurrence for each key."""
-    keys = sorted(set(counts["key"]))
-    index = {k: i for i, k in enumerate(keys)}
-    table = np.full((len(keys), len(languages)), 0.5)
-    column = {language: i for i, language in enumerate(languages)}
-    np.add.at(table, (counts["key"].map(index).to_numpy(dtype=int), counts["lang"].map(column).to_numpy(dtype=int)), counts["n"].to_numpy(dtype=float))
-    return index, np.log(table) - np.log([totals.get((language, size), 0) + 0.5 * max(1, len(keys)) for language in languages])
-
-
-def learn(docs: DataFrame, per_language: int = 4000, max_words: int = 160_000, max_grams: int = 80_000, max_languages: int = 200) -> LanguageModel:
-    """Learn from the rows of ``docs`` whose text and lang are not null.
+def learn(docs: DataFrame, per_language: int = 4000, max_words: int = 40_000, max_grams: int = 5_000) -> LanguageModel:
+    """Learn from the rows of ``docs`` whose text and lang are not null; every value of lang is learned.
 
-    The model is fitted on a bounded sample: of each of the ``max_languages`` most frequent
-    languages about ``per_language`` documents, chosen by a hash of the text, each with its whole
-    text. It holds at most ``max_words`` words and ``max_grams`` n-grams, the most frequent of each
-    language; rarer words are scored by backoff like any unseen one. Without labelled rows the model
-    is empty.
+    The model is fitted on a bounded sample: of each language about ``per_language`` distinct texts,
+    chosen by a hash, each as a whole and once, however many copies it has. Of each language the model
+    holds the ``max_words`` most frequent words and the ``max_grams`` most frequent n-grams of each
+    length; rarer words are scored by backoff like any unseen one. Languages do not share these
+    limits, so one more language takes nothing from the others. Without labelled rows the model is empty.
     """
-    labelled = docs.select("text", "lang").filter("text is not null and lang is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    labelled = docs.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash")).filter("text is not null and lang is not null")
+    sizes = materialize(labelled.groupBy("lang", "hash").count().groupBy("lang").agg(F.count("*").alias("n")))
+    languages = [r["lang"] for r in sizes.select("lang").orderBy("lang").collect()]
     if not languages:
-        return LanguageModel([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in sizes], "lang string, rate double")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    sample = labelled.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).select("lang", "text")
+        return LanguageModel([])
+    rate = sizes.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("rate"))
+    draw = F.pmod(F.xxhash64(F.col("hash"), F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
+    sample = labelled.join(rate, "lang").filter(draw < F.col("rate")).dropDuplicates(["lang", "hash"]).select("lang", "text")
     words = sample.mapInPandas(_count_words, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     words = materialize(words)
     totals = {(r["lang"], 0): r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     repeated = words.join(words.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1").select("key"), "key", "left_semi")
-    kept = _most_frequent(repeated, ["lang"], max(1, max_words // len(languages))).toPandas()
+    kept = _most_frequent(repeated, ["lang"], max_words).toPandas()
     grams = materialize(words.mapInPandas(_count_grams, "lang string, size int, key string, n bigint").groupBy("lang", "size", "key").agg(F.sum("n").alias("n")))
     totals |= {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    most = _most_frequent(grams, ["lang", "size"], max(1, max_grams // (LONGEST_GRAM * len(languages)))).toPandas()
-
-    word_index, word_logs = _log_table(kept, languages, totals, 0)
-    gram_index: dict[str, int] = {}
-    gram_logs = []
-    for size in range(1, LONGEST_GRAM + 1):
-        index, logs = _log_table(most[most["size"] == size], languages, totals, size)
-        gram_index |= {k: i + len(gram_index) for k, i in index.items()}
-        gram_logs.append(logs)
-    return LanguageModel(languages, word_index, word_logs, gram_index, np.concatenate(gram_logs))
+    most = _most_frequent(grams, ["lang", "size"], max_grams).toPandas()
+    of_size = lambda size: {language: totals.get((language, size), 0) for language in languages}
+    tables = tuple(LogTable.of(most[most["size"] == size], languages, of_size(size)) for size in range(1, LONGEST_GRAM + 1))
+    return LanguageModel(languages, LogTable.of(kept, languages, of_size(0)), tables)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, min_score: float | None = None) -> DataFrame:
