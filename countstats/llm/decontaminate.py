@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialize
 from .common import WORD_GAP, lower_ascii
 
 #: Up to so many distinct windows, and bytes of their text, are broadcast; a larger set is shuffled.
@@ -39,49 +40,85 @@ def _hash(words: list[Column]) -> Column:
     return F.xxhash64(*words)
 
 
+def _spots(words: str, lengths: list[int]) -> Column:
+    """(n, hash) of the windows of each length that begin at word ``_pos``."""
+    return F.array(*[F.struct(F.lit(n).alias("n"), _hash([F.get(words, F.col("_pos") + i) for i in range(n)]).alias("hash")) for n in lengths])
+
+
+def _found_by_broadcast(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """_keep, n_words, spans, items: each position looks its windows up in the broadcast set; a match of
+    hashes counts only if the words are equal."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "_keep", _words(F.col("_text")).alias("_words"))
+    at = rows.select("_row", "_keep", "_words", F.posexplode_outer("_words").alias("_pos", "_word"))
+    spots = _spots("_words", lengths)
+    at = at.withColumn("_key", F.get(spots, F.lit(0)) if len(lengths) == 1 else F.explode_outer(spots) if lengths else F.lit(None).cast("struct<n:int,hash:bigint>"))
+    at = at.withColumn("_n", F.col("_key.n")).withColumn("_hash", F.col("_key.hash"))
+    window = F.array_join(F.slice("_words", F.col("_pos") + 1, F.col("_n")), " ")
+    # Two inequalities: an equality would become a second join key, built for every position.
+    verified = (window <= F.col("window")) & (window >= F.col("window"))
+    same = (F.col("_hash") == F.col("hash")) & (F.col("_n") <= F.col("n")) & verified
+    hit = F.col("window").isNotNull()
+    found = at.join(F.broadcast(windows), same, "left").filter(hit | F.coalesce(F.col("_pos") == 0, F.lit(True)))
+    span = F.when(hit, F.struct((F.col("_pos") - _blank()).alias("start"), (F.col("_pos") - _blank() + F.col("n")).alias("end")))
+    found = found.select("_row", "_keep", _n_words().alias("n_words"), span.alias("span"), "items")
+    grouped = found.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+    return grouped.select("_keep", "n_words", "spans", "items")
+
+
+def _found_by_shuffle(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same where the windows are too many for a broadcast. Hits depend on the text alone: the
+    positions go to the windows as (digest of the text, position, hash), and only candidates, whose
+    windows have an equal hash, come back to the words and are verified there."""
+    windows = materialize(windows)  # so that the join meets two plain exchanges and a common phrase can be split
+    keyed = docs.select(*_text_key(F.col("_text")), _words(F.col("_text")).alias("_words"))
+    at = keyed.select("_k1", "_k2", "_k3", F.posexplode("_words").alias("_pos", "_word"), "_words")
+    at = at.select("_k1", "_k2", "_k3", "_pos", F.explode(_spots("_words", lengths)).alias("_key")).select("_k1", "_k2", "_k3", "_pos", "_key.*")
+    met = at.join(windows, ["n", "hash"]).groupBy("_k1", "_k2", "_k3").agg(F.collect_set(F.struct("_pos", "n", "window", "items")).alias("_met"))
+    met = materialize(met).withColumnsRenamed({f"_k{i}": f"_m{i}" for i in (1, 2, 3)})
+    rows = docs.select("_keep", _words(F.col("_text")).alias("_words"), *_text_key(F.col("_text")))
+    rows = rows.join(met, [F.col(f"_k{i}") == F.col(f"_m{i}") for i in (1, 2, 3)], "left")
+    true = F.filter("_met", lambda m: F.array_join(F.slice("_words", m["_pos"] + 1, m["n"]), " ") == m["window"])
+    true = F.coalesce(true, F.array().cast(met.schema["_met"].dataType))
+    spans = F.transform(true, lambda m: F.struct((m["_pos"] - _blank()).alias("start"), (m["_pos"] - _blank() + m["n"]).alias("end")))
+    return rows.select("_keep", _n_words().alias("n_words"), F.array_distinct(spans).alias("spans"), F.transform(true, lambda m: m["items"]).alias("items"))
+
+
+def _blank() -> Column:
+    """1 if the text begins with a gap, so that the first entry of its words is empty."""
+    return (F.get("_words", F.lit(0)) == "").cast("int")
+
+
+def _n_words() -> Column:
+    last = ((F.size("_words") > 1) & (F.element_at("_words", -1) == "")).cast("int")
+    return F.when(F.col("_words").isNull(), 0).otherwise(F.size("_words") - _blank() - last)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: ``keep`` and n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     A word inside any occurrence of a benchmark window is hit; ``spans`` has the occurrences as
     (start, end) word positions. Every word position of a document looks its window up in the
-    broadcast hash set, and a match of hashes counts only if the words are equal. A benchmark too
-    large for a broadcast is joined by a shuffle of the positions instead.
+    broadcast hash set, and a match counts only if the words are equal. A benchmark too large for a
+    broadcast is joined by a shuffle of the positions instead.
 
     Null and empty texts have no words and are clean. Repeated rows stay apart. Columns other than
-    ``keep`` and ``text`` are ignored. An empty benchmark leaves all clean.
+    ``keep`` and ``text`` are ignored; those of ``keep`` that have the name of a result are replaced.
+    An empty benchmark leaves all clean.
     """
+    new = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
     windows = benchmark_windows(benchmark, n)
     sizes = windows.agg(F.count("*").alias("count"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes"), F.sort_array(F.collect_set("n")).alias("lengths")).first()
-    if sizes["count"] <= MAX_BROADCAST_WINDOWS and sizes["bytes"] <= MAX_BROADCAST_BYTES:
-        windows = F.broadcast(windows)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c) for c in keep], _words(F.col("text")).alias("_words"))
-    at = rows.select("_row", *keep, "_words", F.posexplode_outer("_words").alias("_pos", "_word"))
-    keys = [F.struct(F.lit(k).alias("n"), _hash([F.get("_words", F.col("_pos") + i) for i in range(k)]).alias("hash")) for k in sizes["lengths"]]
-    if len(keys) == 1:
-        at = at.withColumn("_n", F.lit(sizes["lengths"][0])).withColumn("_hash", keys[0]["hash"])
-    else:
-        at = at.withColumn("_key", F.explode_outer(F.array(*keys)) if keys else F.lit(None).cast("struct<n:int,hash:bigint>"))
-        at = at.withColumn("_n", F.col("_key.n")).withColumn("_hash", F.col("_key.hash"))
-    window = F.array_join(F.slice("_words", F.col("_pos") + 1, F.col("_n")), " ")
-    # Two inequalities: an equality would become a second join key, built for every position.
-    verified = (window <= F.col("window")) & (window >= F.col("window"))
-    same = (F.col("_hash") == F.col("hash")) & (F.col("_n") <= F.col("n")) & verified
-    hit = F.col("window").isNotNull()
-    found = at.join(windows, same, "left").filter(hit | F.coalesce(F.col("_pos") == 0, F.lit(True)))
-
-    blank = (F.get("_words", F.lit(0)) == "").cast("int")
-    last = ((F.size("_words") > 1) & (F.element_at("_words", -1) == "")).cast("int")
-    n_words = F.when(F.col("_words").isNull(), 0).otherwise(F.size("_words") - blank - last)
-    found = found.select("_row", *keep, n_words.alias("n_words"), F.when(hit, F.struct((F.col("_pos") - blank).alias("start"), (F.col("_pos") - blank + F.col("n")).alias("end"))).alias("span"), "items")
-    grouped = found.groupBy("_row", *keep).agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    small = sizes["count"] <= MAX_BROADCAST_WINDOWS and sizes["bytes"] <= MAX_BROADCAST_BYTES
+    source = docs.select(F.struct(*[F.col(c) for c in keep if c not in new]).alias("_keep"), F.col("text").alias("_text"))
+    found = (_found_by_broadcast if small else _found_by_shuffle)(source, windows, sizes["lengths"])
+    found = found.select("_keep", F.col("n_words").cast("long").alias("n_words"), F.array_sort("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["start"]))).alias("n")),
     )["n"]
-    out = grouped.select(*keep, "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "spans")
-    return out.select(*keep, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
+    out = found.select("_keep", "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "spans")
+    return out.select("_keep.*", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
 def _text_key(text: Column) -> list[Column]:
