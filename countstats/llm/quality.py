@@ -14,14 +14,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import materialize
+
 _CLASSES = [string.ascii_uppercase.encode(), string.ascii_lowercase.encode(), string.digits.encode(), string.punctuation.encode(), b" \t\n\r\x0b\x0c", bytes(range(128, 256)), b".,;:", b"!?", b"|#$%&*"]
 _SOURCES, _LANGUAGES = 32, 16
-TEXT_FEATURES = len(_CLASSES) + 9
+_STYLE = len(_CLASSES) + 9
+#: Places that words, and that runs of three bytes, are hashed to.
+WORD_PLACES, GRAM_PLACES = 256, 128
+TEXT_FEATURES = _STYLE + WORD_PLACES + GRAM_PLACES
 META_FEATURES = _SOURCES + _LANGUAGES + 3
+_GRAM_BYTES = 1 << 20
+
+
+class _Places(dict):
+    """Word -> its place; a worker forgets the words after so many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        place = self[word] = zlib.crc32(word) % WORD_PLACES
+        return place
+
+
+_PLACES = _Places()
+
+
+def _spread(counts: np.ndarray) -> np.ndarray:
+    """Square roots of shares: long and short texts are alike, common places do not drown the others."""
+    return np.sqrt(counts / max(1, counts.sum()))
+
+
+def _content(data: bytes, words: Counter) -> np.ndarray:
+    """What the text is about: hashed words and hashed runs of three bytes, all of them."""
+    places = np.fromiter(map(_PLACES.__getitem__, words), dtype=np.int64, count=len(words))
+    by_word = np.bincount(places, weights=np.fromiter(words.values(), dtype=float, count=len(words)), minlength=WORD_PLACES)
+    raw, by_gram = np.frombuffer(data, dtype=np.uint8), np.zeros(GRAM_PLACES)
+    for at in range(0, len(raw) - 2, _GRAM_BYTES):
+        x = raw[at : at + _GRAM_BYTES + 2].astype(np.uint32)
+        mixed = (x[:-2] * np.uint32(40_503) + x[1:-1] * np.uint32(1_566_083) + x[2:] * np.uint32(69_069_069)) >> np.uint32(11)
+        by_gram += np.bincount(mixed % GRAM_PLACES, minlength=GRAM_PLACES)
+    return np.concatenate([_spread(by_word), _spread(by_gram)])
 
 
-def text_features(text: str | None) -> list[float]:
-    """Shares of character classes and of repeated words and lines in the whole text."""
+def text_features(text: str | None) -> np.ndarray:
+    """Of the whole text: shares of character classes, of repeated words and lines, and its content."""
     data = (text or "").encode("utf-8", "surrogatepass")
     n = max(1, len(data))
     shares = [(len(data) - len(data.translate(None, c))) / n for c in _CLASSES]
@@ -31,7 +67,8 @@ def text_features(text: str | None) -> list[float]:
     most = counts.most_common(1)[0][1] / w if words else 0.0
     twice = sum(map(bytes.__eq__, words, words[1:])) / w
     ended = sum(x[-1:] in b".,!?#$%&*|" for x in words) / w
-    return [*shares, np.log1p(len(words)), len(data) / w / 10, len(counts) / w, len(counts) / np.sqrt(w) / 10, most, twice, ended, len(set(lines)) / max(1, len(lines)), np.log1p(w / max(1, len(lines)))]
+    style = [*shares, np.log1p(len(words)), len(data) / w / 10, len(counts) / w, len(counts) / np.sqrt(w) / 10, most, twice, ended, len(set(lines)) / max(1, len(lines)), np.log1p(w / max(1, len(lines)))]
+    return np.concatenate([style, _content(data.lower(), counts)])
 
 
 def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
@@ -126,11 +163,12 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, held_back:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features as bytes of 32-bit floats: the driver reads them into one array."""
     for batch in batches:
         text, source, lang, n_chars = (batch.column(i).to_pylist() for i in range(4))
-        texts, metas = [text_features(t) for t in text], [meta_features(*m) for m in zip(source, lang, n_chars)]
-        kind = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(texts, kind), pa.array(metas, kind)], names=["order", "quality", "text", "meta"])
+        texts = [text_features(t).astype(np.float32).tobytes() for t in text]
+        metas = [np.array(meta_features(*m), dtype=np.float32).tobytes() for m in zip(source, lang, n_chars)]
+        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(texts, pa.binary()), pa.array(metas, pa.binary())], names=["order", "quality", "text", "meta"])
 
 
 def _views() -> list[Column]:
@@ -138,23 +176,27 @@ def _views() -> list[Column]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 5000, pool: int = 10_000, **options) -> QualityModel:
-    """Co-train on a bounded sample: about ``per_class`` labelled documents of either quality and
-    ``pool`` unlabelled ones, chosen by a hash of the id; a fifth of the labelled ones is held back
-    for calibration. A document labelled twice has the lower label; null labels don't count."""
+    """Co-train on a bounded sample: about ``per_class`` labelled texts of either quality and ``pool``
+    unlabelled ones, chosen by a hash of id and text; a fifth of the labelled ones is held back for
+    calibration. A text that stands on many rows of one id is drawn once at most, and each text of an
+    id that has many is drawn on its own. A document labelled twice has the lower label; null labels
+    don't count. The pool bounds what the fit sees, not what is scored: ``score`` covers all rows."""
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
-    sizes = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_003)) / 1_000_003.0
-    rate = F.lit(0.0)
-    for value, n in sizes.items():
-        rate = F.when(F.col("quality") == value, min(1.0, per_class / n)).otherwise(rate)
-    chosen = marks.filter(draw < rate)
-    rest = docs.filter("doc_id is not null").select("doc_id").filter(draw < min(1.0, pool / max(1, docs.count()))).distinct()
-    rest = rest.join(marks, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("quality"))
-    sample = F.broadcast(chosen.union(rest))  # bounded by per_class and pool
-    seen = docs.select("doc_id", *[c.alias(f"_{i}") for i, c in enumerate(_views())])
-    rows = seen.join(sample, "doc_id").select("_0", "_1", "_2", "_3", F.xxhash64("doc_id").alias("order"), "quality")
-    rows = rows.mapInArrow(_feature_rows, "order bigint, quality double, text array<double>, meta array<double>").toPandas().sort_values("order", kind="stable")
-    text, meta = (np.array(rows[c].tolist(), dtype=float).reshape(len(rows), n) for c, n in (("text", TEXT_FEATURES), ("meta", META_FEATURES)))
+    digest = F.xxhash64("doc_id", "text").alias("digest")
+    keys = docs.filter("doc_id is not null").select("doc_id", digest).distinct().join(marks, "doc_id", "left")
+    keys = materialize(keys.select("digest", "quality"))
+    sizes = {r["quality"]: r["n"] for r in keys.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    rate = F.lit(min(1.0, pool / sizes[None]) if sizes.get(None) else 0.0)
+    for value in (0.0, 1.0):
+        if sizes.get(value):
+            rate = F.when(F.col("quality") == value, min(1.0, per_class / sizes[value])).otherwise(rate)
+    draw = F.pmod(F.xxhash64("digest", F.lit("quality")), F.lit(1_000_003)) / 1_000_003.0
+    sample = F.broadcast(keys.filter(draw < rate))  # bounded by per_class and pool
+    seen = docs.filter("doc_id is not null").select(digest, F.struct(*[c.alias(f"_{i}") for i, c in enumerate(_views())]).alias("views"))
+    rows = seen.join(sample, "digest").groupBy("digest").agg(F.first("views").alias("views"), F.min("quality").alias("quality"))
+    rows = rows.select("views.*", F.col("digest").alias("order"), "quality")
+    rows = rows.mapInArrow(_feature_rows, "order bigint, quality double, text binary, meta binary").toPandas().sort_values("order", kind="stable")
+    text, meta = (np.frombuffer(b"".join(rows.pop(c)), dtype=np.float32).reshape(len(rows), n).astype(float) for c, n in (("text", TEXT_FEATURES), ("meta", META_FEATURES)))
     return co_train(text, meta, rows["quality"].to_numpy(dtype=float), rows["order"].to_numpy() % 5 == 0, **options)
 
 
