@@ -16,11 +16,14 @@ from pyspark.sql import types as T
 from ..functions.lineage import materialize
 from .common import count_words, tasks_for
 
+#: Words of a block at most. A source whose target is less than SLOTS times that has shorter blocks, so
+#: that rounding to whole slots stays below half a percent of any target.
 BLOCK = 64
+SLOTS = 100
 SHARDS = 64
 MAX_REPEAT = 3
-#: Parts of a source whose word counts are summed apart, so that no task sums a whole hot source.
-BUCKETS = 1024
+#: Rows of a source are summed in buckets of about so many, so that no task sums a whole hot source.
+BUCKET_ROWS = 16_384
 #: One row for each source passes through the driver; up to so many are also broadcast.
 MAX_BROADCAST_SOURCES = 100_000
 _SLOTS_A_ROW = 100_000
@@ -84,16 +87,25 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 6)
     return out.astype(np.int64)
 
 
-def _streams(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with their size, the number of words before them in their source, and what ``keep`` names."""
+def block_counts(sizes: np.ndarray, target: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """How many blocks each source is cut into. Its words are spread evenly: block j of m holds the words
+    from j * size // m up to (j + 1) * size // m, so that blocks of a source differ by one word at most."""
+    length = np.clip(target // SLOTS, 1, block).astype(np.int64)
+    return -(-sizes // length)
+
+
+def _streams(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
+    """Rows with their size, their bucket, and what ``keep`` names."""
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("source").cast("string").alias("_source"), F.col("doc_id").alias("_id"), count_words(F.col("text")).alias("_size"))
-    return rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_size"), F.lit(BUCKETS)))
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_size"), F.lit(buckets)))
 
 
-def _plan(docs: DataFrame, seed: int, block: int, shards: int) -> tuple[pd.DataFrame, DataFrame, DataFrame]:
-    """The sources with their targets; the first word of each bucket; how often each block is taken."""
+def _plan(docs: DataFrame, seed: int, block: int, shards: int) -> tuple[pd.DataFrame, DataFrame, DataFrame, int]:
+    """The sources with their targets; the first word of each bucket; how often each block is taken;
+    the number of buckets."""
     spark = docs.sparkSession
-    narrow = _streams(docs, ["doc_id"])
+    parts = max(1024, docs.count() // BUCKET_ROWS)
+    narrow = _streams(docs, ["doc_id"], parts)
     buckets = materialize(narrow.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words")))
     order = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("_source", "_bucket", F.coalesce(F.sum("_words").over(order), F.lit(0)).alias("_start"))
@@ -102,8 +114,8 @@ def _plan(docs: DataFrame, seed: int, block: int, shards: int) -> tuple[pd.DataF
     sizes = sources["size"].to_numpy(dtype=np.int64) if len(sources) else np.zeros(0, dtype=np.int64)
     sources["rank"] = np.arange(len(sources))
     sources["target"] = targets(sizes, np.arange(len(sources)) % 3 + 1.0)
-    blocks = -(-sizes // block)
-    # A slot brings size / blocks words on average, as the last block of a source is a short one.
+    sources["blocks"] = blocks = block_counts(sizes, sources["target"].to_numpy(), block)
+    # A slot brings size / blocks words on average.
     slots = np.minimum(MAX_REPEAT * blocks, np.rint(sources["target"].to_numpy() * blocks / np.maximum(sizes, 1))).astype(np.int64)
 
     counts = shard_counts(slots, shards, seed)
@@ -111,7 +123,7 @@ def _plan(docs: DataFrame, seed: int, block: int, shards: int) -> tuple[pd.DataF
     shard, rank = np.nonzero(counts)
     drawn = pd.DataFrame({"shard": shard, "rank": rank, "first": first[shard, rank], "n": counts[shard, rank], "blocks": blocks[rank]})
     drawn = spark.createDataFrame(drawn, "shard long, rank long, first long, n long, blocks long")
-    return sources, starts, _taken_blocks(drawn, seed)
+    return sources, starts, _taken_blocks(drawn, seed), parts
 
 
 def _taken_blocks(drawn: DataFrame, seed: int) -> DataFrame:
@@ -126,33 +138,37 @@ def _taken_blocks(drawn: DataFrame, seed: int) -> DataFrame:
 
     last = F.col("first") + F.col("n") - 1
     parts = drawn.select("rank", "blocks", last.alias("last"), F.explode(F.sequence("first", last, F.lit(_SLOTS_A_ROW))).alias("from"))
-    parts = parts.repartition("rank", "from")
+    parts = parts.repartition(tasks_for(drawn.sparkSession), "rank", "from")  # few bytes, but many slots each
     slots = parts.select("rank", "blocks", F.explode(F.sequence("from", F.least(F.col("from") + _SLOTS_A_ROW - 1, "last"))).alias("slot"))
     return slots.select("rank", place("slot", "rank", "blocks").alias("block")).groupBy("rank", "block").agg(F.count("*").alias("times"))
 
 
-def _located(docs: DataFrame, keep: list[str], sources: pd.DataFrame, starts: DataFrame) -> DataFrame:
+def _located(docs: DataFrame, keep: list[str], plan: tuple) -> DataFrame:
     """Rows with the place of their first word in their source's stream, and their source's figures."""
-    spark = docs.sparkSession
+    spark, (sources, starts, _, parts) = docs.sparkSession, plan
     figures = spark.createDataFrame(
-        [(None if pd.isna(s) else s, int(r), int(n), float(t)) for s, r, n, t in zip(sources["_source"], sources["rank"], sources["size"], sources["target"])],
-        "_s string, _rank long, _source_size long, _target double",
+        [(None if pd.isna(s) else s, int(r), int(n), int(m), float(t)) for s, r, n, m, t in zip(*(sources[c] for c in ("_source", "rank", "size", "blocks", "target")))],
+        "_s string, _rank long, _source_size long, _blocks long, _target double",
     )
     starts = starts.withColumnsRenamed({"_source": "_s2", "_bucket": "_b2"})
     if len(sources) <= MAX_BROADCAST_SOURCES:
         figures = F.broadcast(figures)
     within = Window.partitionBy("_source", "_bucket").orderBy("_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _streams(docs, keep).withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    rows = _streams(docs, keep, parts).withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     rows = rows.join(starts, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_bucket") == F.col("_b2")))
     rows = rows.join(figures, F.col("_source").eqNullSafe(F.col("_s")))
-    return rows.select("_row", "_id", "_size", "_rank", "_source_size", "_target", (F.col("_start") + F.col("_before")).alias("_at"))
+    return rows.select("_row", "_id", "_size", "_rank", "_source_size", "_blocks", "_target", (F.col("_start") + F.col("_before")).alias("_at"))
 
 
-def _pieces(rows: DataFrame, taken: DataFrame, block: int) -> DataFrame:
+def _pieces(rows: DataFrame, taken: DataFrame) -> DataFrame:
     """For each row with words and each of its blocks: how many of its words lie in it, and times."""
-    spans = rows.filter("_size > 0").withColumn("_block", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("_size") - 1) / block))))
-    start = F.greatest("_at", F.col("_block") * block)
-    end = F.least(F.col("_at") + F.col("_size"), (F.col("_block") + 1) * block)
+    whole = lambda c: c.cast("decimal(38,0)")  # noqa: E731  a place times the number of blocks may pass 2 ** 63
+    over = lambda a, b: F.expr(f"cast(({a}) div ({b}) as bigint)")
+    wide = rows.filter("_size > 0").withColumns({"_m": whole(F.col("_blocks")), "_n": whole(F.col("_source_size"))})
+    # Word w lies in block ((w + 1) * m - 1) // n, for block j begins at j * n // m.
+    spans = wide.withColumn("_block", F.explode(F.sequence(over("(_at + 1) * _m - 1", "_n"), over("(_at + _size) * _m - 1", "_n"))))
+    start = F.greatest(F.col("_at"), over("_block * _n", "_m"))
+    end = F.least(F.col("_at") + F.col("_size"), over("(_block + 1) * _n", "_m"))
     joined = spans.join(taken, (F.col("_rank") == F.col("rank")) & (F.col("_block") == F.col("block")), "left")
     return joined.withColumn("_first", start - F.col("_at")).withColumn("_words", end - start).withColumn("_times", F.coalesce("times", F.lit(0)))
 
@@ -160,16 +176,17 @@ def _pieces(rows: DataFrame, taken: DataFrame, block: int) -> DataFrame:
 def mix_report(docs: DataFrame, seed: int = 11, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of ``docs``.
 
-    The words of a source form one stream, packed into blocks of ``block`` words. Sources by code
-    point, null last, weigh 1, 2, 3, repeating; see ``targets``. ``taken`` counts a row's words in
+    The words of a source form one stream, packed into blocks of one length, ``block`` words or, for a
+    small target, fewer; see ``block_counts``. Sources by code point, null last, weigh 1, 2, 3,
+    repeating; see ``targets``. ``taken`` counts a row's words in
     the blocks that the mix takes, repeats included: at most three times its size. The draw depends
     on doc_id, size and source alone, so reruns agree; rows alike in these may swap. A null or empty
     text has size 0 and gives nothing. Other columns are ignored.
     """
-    sources, starts, taken = _plan(docs, seed, block, shards)
-    rows = materialize(_located(docs, ["doc_id"], sources, starts))
+    plan = _plan(docs, seed, block, shards)
+    rows = materialize(_located(docs, ["doc_id"], plan))
     key = ["_id", "_size", "_rank", "_source_size", "_target", "_at"]
-    words = _pieces(rows, taken, block).groupBy(*key).agg(F.sum(F.col("_words") * F.col("_times")).cast("long").alias("taken"))
+    words = _pieces(rows, plan[2]).groupBy(*key).agg(F.sum(F.col("_words") * F.col("_times")).cast("long").alias("taken"))
     empty = rows.filter("_size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
     return words.union(empty).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), "taken")
 
@@ -202,11 +219,11 @@ def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shards: int = SHARD
     takes words of. Copy k has the words taken at least k times, so a document taken in part has
     only those words. n_chars, if there, is set to the new length. Documents without words are left
     out, as no block holds any of theirs."""
-    sources, starts, taken = _plan(docs, seed, block, shards)
-    rows = _located(docs, docs.columns, sources, starts)
+    plan = _plan(docs, seed, block, shards)
+    rows = _located(docs, docs.columns, plan)
     # Narrow rows go through the blocks; the texts meet their spans once, by their place in the stream.
-    narrow = materialize(_located(docs, ["doc_id"], sources, starts))
-    spans = _pieces(narrow, taken, block).filter("_times > 0").groupBy("_rank", "_at").agg(F.collect_list(F.struct(F.col("_first").alias("first"), F.col("_words").alias("words"), F.col("_times").alias("times"))).alias("_spans"))
+    narrow = materialize(_located(docs, ["doc_id"], plan))
+    spans = _pieces(narrow, plan[2]).filter("_times > 0").groupBy("_rank", "_at").agg(F.collect_list(F.struct(F.col("_first").alias("first"), F.col("_words").alias("words"), F.col("_times").alias("times"))).alias("_spans"))
     found = rows.filter("_size > 0").join(spans, ["_rank", "_at"]).select("_row", F.col("_row.text").alias("_text"), "_spans", "_size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
