@@ -7,9 +7,11 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+#: Rows are numbered in buckets of about so many each, and in 1024 buckets at least.
+BUCKET_ROWS = 16_384
 ROUNDS = 6
-MAX_WALK = 64
+#: Steps of the walk that are laid out for every row; a row that needs more walks on by itself.
+WALK = 64
 _PRIME = (1 << 31) - 1
 _ROOT = 48271  # generates all residues of _PRIME but 0
 
@@ -50,19 +52,27 @@ def permuted(number: Column, n: int, seed: int) -> Column:
     def step(v: Column) -> Column:
         return F.aggregate(rounds, F.struct(((v - v % b) / b).cast("long").alias("l"), (v % b).alias("r")), one_round, lambda s: s["l"] * b + s["r"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, min(a, MAX_WALK)))), step(number), lambda v, _: F.when(v < n, v).otherwise(step(v)))
+    walked = lambda start, most: F.aggregate(F.sequence(F.lit(1), most), start, lambda v, _: F.when(v < n, v).otherwise(step(v)))
+    out = walked(step(number), F.lit(max(1, min(a, WALK))))
+    # Of the at most ``a`` values outside none comes twice in a walk, so it ends within so many steps.
+    return F.when(out < n, out).otherwise(walked(out, F.lit(a) + out * 0)) if a > WALK else out
 
 
 def row_numbers(rows: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
     """``rows`` with ``_number``: 0, 1, ... over all rows by bucket and, in it, by ``order``.
 
-    Only the counts of the fixed number of buckets meet in one task.
+    Only the buckets' counts, a row for BUCKET_ROWS rows, meet in one task.
     """
     counts = rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = rows.withColumn("_bucket", bucket).withColumn("_in_bucket", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1)
-    return numbered.join(F.broadcast(starts), "_bucket").withColumn("_number", F.col("_start") + F.col("_in_bucket")).drop("_bucket", "_start", "_in_bucket")
+    return numbered.join(starts, "_bucket").withColumn("_number", F.col("_start") + F.col("_in_bucket")).drop("_bucket", "_start", "_in_bucket")
+
+
+def _as_long(docs: DataFrame) -> Column:
+    integer = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col("doc_id").cast("long") if integer else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
@@ -71,19 +81,20 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, keep: list[s
     Rows are numbered in an order that depends on doc_id, size and text_crc32 only; the permuted
     number p gives shard p mod ``shards`` and slot p div ``shards``. So counts of shards are at most
     one apart (law ``rows``), slots have no gaps, and anyone can work out the place of a row number.
-    A null text has size 16 and no checksum; null ids come first. Rows alike in these three columns
+    A null text has size 16 and no checksum; null ids come first. Ids that are not integers count as
+    their hash. Rows alike in these three columns
     may swap places. Existing columns of the new names are replaced.
     """
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), size.alias("size"), F.crc32("text").alias("text_crc32"))
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), _as_long(docs).alias("_id"), size.alias("size"), F.crc32("text").alias("text_crc32"))
     n = docs.count()
     if n == 0:
         number = F.lit(0).cast("long")
     else:
         key = _mixed(F.coalesce("_id", F.lit(-1)), _ROOT) + _mixed(F.col("size"), _factor(1, 0)) + F.coalesce("text_crc32", F.lit(0))
-        rows = row_numbers(rows, [F.col("_id").asc_nulls_first(), F.col("size"), F.col("text_crc32").asc_nulls_first()], F.pmod(_mixed(key, _factor(1, 1)), F.lit(BUCKETS)))
+        rows = row_numbers(rows, [F.col("_id").asc_nulls_first(), F.col("size"), F.col("text_crc32").asc_nulls_first()], F.pmod(_mixed(key, _factor(1, 1)), F.lit(max(1024, n // BUCKET_ROWS))))
         number = permuted(F.col("_number"), n, seed)
     placed = rows.withColumn("_at", number)
     return placed.select("_row.*", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("_at") % shards).cast("int").alias("shard"), ((F.col("_at") - F.col("_at") % shards) / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -102,7 +113,7 @@ WITH RECURSIVE crc AS (
 ), sums AS (
   SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce([4294967295] || l, lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc
 ), placed AS (
-  SELECT *, {mixed(key, _factor(1, 1))} % {BUCKETS} AS bucket FROM sums
+  SELECT *, {mixed(key, _factor(1, 1))} % (SELECT greatest(1024, count(*) // {BUCKET_ROWS}) FROM documents) AS bucket FROM sums
 ), numbered AS (
   SELECT *, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS num FROM placed
 ), sides AS (
