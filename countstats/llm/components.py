@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.lineage import materialize
 
 
+# The smallest neighbours are written before they are joined: so the join meets two plain exchanges, and
+# the rows of a hub, or of a large component's root, can be split over tasks.
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node in its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = materialize(edges.groupBy("b").agg(F.min("a").alias("m")))
     own = least.select(F.col("m").alias("a"), "b")
     rest = edges.join(least, "b").filter(F.col("a") > F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
     return own.union(rest).distinct()
@@ -37,5 +41,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             stars = edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
             return stars.union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
         before = state
-        edges = materialize(_small_star(_large_star(edges)))
+        edges = materialize(_small_star(materialize(_large_star(edges))))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -96,7 +96,8 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 5, pair_bucket: int =
     masks = _block_masks(distance, blocks)
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
     buckets = fps.select("fp", key.alias("b")).select("fp", "b.choice", "b.key")
-    sizes = buckets.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written first, as the other small sides below, so that a hot key can be split over tasks.
+    sizes = materialize(buckets.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1"))
     members = materialize(buckets.join(sizes, ["choice", "key"]))
 
     small = members.filter(F.col("n") <= pair_bucket)
@@ -117,7 +118,7 @@ def _stars(fps: DataFrame, distance: int) -> DataFrame:
     if distance == 1:  # only a value that is itself a fingerprint links its neighbours to it
         points = listed.filter("own").select("point")
         return listed.filter("not own").join(points, "point").select(F.least("fp", "point").alias("a"), F.greatest("fp", "point").alias("b"))
-    hubs = listed.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    hubs = materialize(listed.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     return listed.join(hubs, "point").filter(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
 
 
@@ -131,9 +132,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks
     nodes = rows.groupBy("fp").agg(F.min(id_col).alias("_first"))
     edges = materialize(links(nodes.select("fp"), distance, blocks))
     labels = connected_components(edges)
-    parts = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "_first")
-    smallest = parts.groupBy("label").agg(F.min("_first").alias("component_id"))
-    named = parts.join(smallest, "label").select("fp", "component_id")
+    parts = materialize(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "_first"))
+    smallest = materialize(parts.groupBy("label").agg(F.min("_first").alias("component_id")))
+    named = materialize(parts.join(smallest, "label").select("fp", "component_id"))
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
