@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ UNKNOWN = "und"
 LONGEST_GRAM = 4
 #: A worker forgets words when their scores are so many numbers; they are then worked out anew.
 CACHED_NUMBERS = 2_000_000
+#: A table of at most so many numbers is laid out in full by a worker.
+DENSE_NUMBERS = 16_000_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -33,7 +36,7 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-@dataclass(frozen=True)
+@dataclass
 class LogTable:
     """Log frequencies by language for each key. A language without a count of the key has the log of
     its smoothing share, ``floor``; the others are listed, so that the table grows with what was
@@ -56,16 +59,25 @@ class LogTable:
         log = np.log(counts["n"].to_numpy(dtype=float)[order] + 0.5) - np.log(sizes)[column]
         return cls({k: i for i, k in enumerate(keys)}, np.searchsorted(row, np.arange(len(keys) + 1)), column, log, np.log(0.5) - np.log(sizes))
 
-    def __contains__(self, key: str) -> bool:
-        return key in self.index
+    @cached_property
+    def dense(self) -> np.ndarray | None:
+        if len(self.index) * len(self.floor) > DENSE_NUMBERS:
+            return None
+        out = np.tile(self.floor, (len(self.index), 1))
+        out[np.repeat(np.arange(len(self.index)), np.diff(self.starts)), self.language] = self.log
+        return out
 
-    def __getitem__(self, key: str) -> np.ndarray:
+    def row(self, at: int) -> np.ndarray:
         """A log frequency for each language."""
-        out, row = self.floor.copy(), self.index[key]
-        span = slice(self.starts[row], self.starts[row + 1])
+        if self.dense is not None:
+            return self.dense[at]
+        out, span = self.floor.copy(), slice(self.starts[at], self.starts[at + 1])
         out[self.language[span]] = self.log[span]
         return out
 
+    def mean(self, rows: list[int]) -> np.ndarray:
+        return (self.dense[rows].sum(axis=0) if self.dense is not None else sum(map(self.row, rows))) / len(rows)
+
 
 @dataclass(frozen=True)
 class LanguageModel:
@@ -78,35 +90,53 @@ class LanguageModel:
     def score(self, word: str) -> np.ndarray:
         """A known word's log frequencies. Of an unseen word: the mean of its longest known n-grams;
         nothing known says nothing."""
-        if word in self.words:
-            return self.words[word]
-        for table, n in zip(reversed(self.grams), range(len(self.grams), 0, -1)):
-            known = [table[g] for g in grams_of(word, n) if g in table]
+        at = self.words.index.get(word)
+        if at is not None:
+            return self.words.row(at)
+        for n in range(len(self.grams), 0, -1):
+            table = self.grams[n - 1]
+            known = [at for g in grams_of(word, n) if (at := table.index.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return table.mean(known)
         return np.zeros(len(self.languages))
 
 
 class _Scorer(dict):
-    """What lies between white space -> row of ``logs``: the sum over the words in it. Row 0 is of
-    what has no word."""
+    """What lies between white space -> row of ``logs``: the sum over the words in it. Row 0 is of what
+    has no word; known words have the rows after it, if their table is laid out in full."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model = model
-        self.logs = np.zeros((1024, len(model.languages)))
-        self.used, self.most = 1, max(1024, CACHED_NUMBERS // max(1, len(model.languages)))
+        n = len(model.languages)
+        self.model, self.most = model, max(1024, CACHED_NUMBERS // max(1, n))
+        known = model.words.dense if model.languages else None
+        self.known = model.words.index if known is not None else {}
+        self.logs = np.concatenate([np.zeros((1, n)), known if known is not None else np.zeros((0, n)), np.zeros((1024, n))])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.seen: dict[str, int] = {}
+        self.used = self.first = 1 + len(self.known)
+
+    def _add(self, words: list[str]) -> int:
+        row = self.used
+        if row == len(self.logs):
+            self.logs = np.concatenate([self.logs, np.zeros((len(self.logs) - self.first + 1024, self.logs.shape[1]))])
+        self.logs[row] = sum(map(self.model.score, words))
+        self.used += 1
+        return row
 
     def __missing__(self, piece: str) -> int:
         words = words_of(piece)
         if not words:
             row = 0
-        else:
-            row = self.used
-            if row == len(self.logs):
-                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[row] = sum(map(self.model.score, words))
-            self.used += 1
+        elif len(words) > 1:
+            row = self._add(words)
+        elif (at := self.known.get(words[0])) is not None:
+            row = at + 1
+        elif (row := self.seen.get(words[0])) is None:
+            row = self.seen[words[0]] = self._add(words)
         self[piece] = row
         return row
 
@@ -115,9 +145,8 @@ class _Scorer(dict):
             return UNKNOWN, 0.0
         sums, found, pieces = np.zeros(len(self.model.languages)), False, text.split()
         for at in range(0, len(pieces), 4096):
-            if self.used > self.most or len(self) > 2 * self.most:
-                self.clear()
-                self.used = 1
+            if self.used - self.first > self.most or len(self) > 2 * self.most:
+                self._forget()
             part = pieces[at : at + 4096]
             rows = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
             found = found or bool(rows.any())
@@ -168,11 +197,11 @@ def learn(docs: DataFrame, per_language: int = 4000, max_words: int = 40_000, ma
     limits, so one more language takes nothing from the others. Without labelled rows the model is empty.
     """
     labelled = docs.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash")).filter("text is not null and lang is not null")
-    sizes = materialize(labelled.groupBy("lang", "hash").count().groupBy("lang").agg(F.count("*").alias("n")))
-    languages = [r["lang"] for r in sizes.select("lang").orderBy("lang").collect()]
+    sizes = labelled.groupBy("lang", "hash").count().groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
+    languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return LanguageModel([])
-    rate = sizes.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("rate"))
+    rate = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["n"])) for r in sizes], "lang string, rate double"))  # the model has a column for each of these rows
     draw = F.pmod(F.xxhash64(F.col("hash"), F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
     sample = labelled.join(rate, "lang").filter(draw < F.col("rate")).dropDuplicates(["lang", "hash"]).select("lang", "text")
     words = sample.mapInPandas(_count_words, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
