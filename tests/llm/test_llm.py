@@ -173,7 +173,7 @@ def test_many_languages_and_a_common_text(spark):
     common = [("en", "hot text")] * 600 + [("en", f"text number{word(i)}") for i in range(300)]
     model = language.learn(spark.createDataFrame(common, "lang string, text string"), per_language=100)
     counted = sum(np.exp(model.words.log + np.log(0.5) - model.words.floor[0]) - 0.5)
-    assert 60 < counted < 140 and "hot" not in model.words
+    assert 60 < counted < 140 and "hot" not in model.words.index
 
 
 # 3 ---------------------------------------------------------------------------------------------
