@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import materialize
+
 
 def as_null(c: Column) -> Column:
     """NaN and infinities as null: an estimate that is not valid."""
@@ -23,10 +25,43 @@ def argmax_column(names: list[str]) -> Column:
     return reduce(lambda rest, n: F.when(F.col(n) == best, n).otherwise(rest), reversed(names), F.lit(None).cast("string"))
 
 
-def average_rank(order: Column, *by: str) -> Column:
-    """Ranks from 1 in which equal values share the mean of their places."""
-    window = Window.partitionBy(*by)
-    return F.rank().over(window.orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, order)) - 1) / 2.0
+def running_before(rows: DataFrame, by: list[str], order: list[Column | str], weight: Column, out: str) -> DataFrame:
+    """``rows`` with ``out``: the sum of ``weight`` over the rows of the same ``by`` that come before in
+    ``order``. Ranges of the order are summed in parallel and then shifted, so no task sorts a whole
+    group; rows that tie in all of ``order`` share a range."""
+    # Written, as the ranges come from a sample that another run need not draw alike.
+    ranged = materialize(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], F.col("_range").alias("_range_2"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    own = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn(out, F.coalesce(F.sum(weight).over(own), F.lit(0)))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)], F.col("_range") == F.col("_range_2"))
+    return summed.join(shift, same).withColumn(out, F.col(out) + F.col("_shift")).select(*rows.columns, out)
+
+
+def average_rank(df: DataFrame, by: list[str], col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: ranks from 1 in which equal values share the mean of their places. Values are
+    counted first, and only distinct ones are put in order."""
+    counts = df.groupBy(*by, col).agg(F.count("*").alias("_n"))
+    ranked = running_before(counts, by, [col], F.col("_n"), "_before")
+    ranked = ranked.select(*[F.col(c).alias(f"_by_{c}") for c in (*by, col)], (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in (*by, col)])
+    return df.join(ranked, same).select(*df.columns, out)
+
+
+def quantiles(df: DataFrame, by: list[str], col: str, shares: list[float], names: list[str]) -> DataFrame:
+    """``by`` and a column of each of ``names``: interpolated quantiles at ``shares`` of the values of
+    ``col`` that are not null. Values are counted first; the places come from running counts."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_before(counts, by, ["_v"], F.col("_n"), "_before")
+    totals = placed.groupBy(*by).agg(F.max(F.col("_before") + F.col("_n")).alias("_all"))
+    placed = placed.join(totals, by) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    at = lambda share, up: F.least(F.floor((F.col("_all") - 1) * share) + up, F.col("_all") - 1)
+    value = lambda share, up: F.min(F.when(F.col("_before") + F.col("_n") > at(share, up), F.col("_v")))
+    ends = placed.groupBy(*by).agg(F.max("_all").alias("_all"), *[value(share, up).alias(f"_{i}_{up}") for i, share in enumerate(shares) for up in (0, 1)])
+    rest = lambda share: (F.col("_all") - 1) * share - F.floor((F.col("_all") - 1) * share)
+    return ends.select(*by, *[(F.col(f"_{i}_0") + rest(share) * (F.col(f"_{i}_1") - F.col(f"_{i}_0"))).alias(name) for i, (share, name) in enumerate(zip(shares, names))])
 
 
 def quadratic_fit(rows: DataFrame, by: list[str], x: Column, y: Column) -> DataFrame:
@@ -37,7 +72,7 @@ def quadratic_fit(rows: DataFrame, by: list[str], x: Column, y: Column) -> DataF
     """
     points = rows.select(*by, x.alias("_x"), y.alias("_y")).filter("_x is not null and _y is not null")
     centers = points.groupBy(*by).agg(F.avg("_x").alias("center"))
-    joined = points.join(F.broadcast(centers), by) if by else points.crossJoin(F.broadcast(centers))
+    joined = points.join(centers, by) if by else points.crossJoin(F.broadcast(centers))
     z = F.col("_x") - F.col("center")
     sums = joined.groupBy(*by, "center").agg(*[F.sum(F.pow(z, k)).alias(f"s{k}") for k in range(5)], *[F.sum(F.pow(z, k) * F.col("_y")).alias(f"t{k}") for k in range(3)])
     s = [F.col(f"s{k}") for k in range(5)]

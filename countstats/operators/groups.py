@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import quantiles
+from ..functions.lineage import materialize
+
 
 def validate(counts: DataFrame, cells: DataFrame) -> dict[str, int]:
     """Check q < 1, x >= 0 and unique keys; the number of cells without counts comes back."""
@@ -36,8 +39,11 @@ def trimmed_size_factor(counts: DataFrame, cells: DataFrame, genes: DataFrame, s
     Both statistics are over all of ``cells``."""
     flagged = counts.join(genes.select("gene_id", F.lit(1).alias("_in")), "gene_id", "left")
     sums = flagged.groupBy("cell_id").agg(F.sum("x").cast("double").alias("_total"), F.sum(F.when(F.col("_in") == 1, F.col("x"))).cast("double").alias("_part"))
-    joined = cells.join(sums, "cell_id", "left").fillna(0.0, ["_total", "_part"])
-    stats = joined.agg(F.median("_total").alias("_depth"), F.percentile("_part", F.lit(shrinkage)).alias("_shift"), F.median("_part").alias("_mid"))
+    joined = materialize(cells.join(sums, "cell_id", "left").fillna(0.0, ["_total", "_part"]))
+    both = joined.select(F.explode(F.array(F.struct(F.lit(True).alias("part"), F.col("_part").alias("v")), F.struct(F.lit(False).alias("part"), F.col("_total").alias("v")))).alias("s")).select("s.*")
+    found = quantiles(both, ["part"], "v", [shrinkage, 0.5], ["shift", "mid"])
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    stats = found.agg(of(False, "mid").alias("_depth"), of(True, "shift").alias("_shift"), of(True, "mid").alias("_mid"))
     # Raising all sums alike raises their median by as much.
     shift = F.col("_shift") if shrinkage > 0 else F.lit(0.0)
     factor = (F.col("_part") + shift) / (F.col("_mid") + shift) * F.col("_depth")
@@ -50,7 +56,7 @@ def create_groups(cells: DataFrame, label_columns: list[str], delimiter: str = "
     name = F.concat_ws(delimiter, F.lit("sg"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in label_columns])
     named = cells.withColumn("grp", name)
     groups = named.groupBy("grp", *label_columns).agg(F.count("*").alias("n_cells"), F.avg("q").alias("q")).filter(F.col("n_cells") >= min_cell_count)
-    return named.join(F.broadcast(groups.select("grp")), "grp", "left_semi"), groups
+    return named.join(groups.select("grp"), "grp", "left_semi"), groups
 
 
 def split_group_names(groups: DataFrame, label_columns: list[str], delimiter: str = "^") -> DataFrame:
@@ -102,7 +108,7 @@ def compress_pairs(counts: DataFrame, cells: DataFrame, pairs: DataFrame) -> Dat
     bins = keyed.groupBy("grp", "sf_bin").agg(F.count("*").alias("all"))
     used = filled.groupBy(*keys).agg(F.sum("n").alias("used"))
     listed = pairs.select("gene_1", "gene_2").distinct()
-    zeros = bins.crossJoin(F.broadcast(listed)).join(used, keys, "left")  # as many rows as the result needs
+    zeros = bins.crossJoin(listed).join(used, keys, "left")  # as many rows as the result needs
     kind = counts.schema["x"].dataType
     zeros = zeros.select(*keys, F.lit(0).cast(kind).alias("x1"), F.lit(0).cast(kind).alias("x2"), (F.col("all") - F.coalesce("used", F.lit(0))).alias("n"))
     return filled.unionByName(zeros.filter("n > 0"))
@@ -111,14 +117,16 @@ def compress_pairs(counts: DataFrame, cells: DataFrame, pairs: DataFrame) -> Dat
 def quantile_strata(df: DataFrame, col: str, k: int, out: str = "stratum", median: bool = False) -> DataFrame:
     """S10. Equal-frequency strata 0..k-1 by quantile edges. If edges repeat, two strata: is ``col``
     not 0. With ``median`` also each stratum's median as ``<out>_median``."""
-    edges = df.agg(F.percentile(col, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("_e"))
+    names = [f"_e{i}" for i in range(1, k)]
+    edges = quantiles(df, [], col, [i / k for i in range(1, k)], names).select(F.array(*names).alias("_e"))
     value = F.col(col)
     repeated = F.size(F.array_distinct("_e")) < k - 1
     place = F.size(F.filter("_e", lambda e: e < value))
     ranked = df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(repeated, (value != 0).cast("int")).otherwise(place)).drop("_e")
     if not median:
         return ranked
-    return ranked.join(F.broadcast(ranked.groupBy(out).agg(F.median(col).alias(f"{out}_median"))), out)
+    ranked = materialize(ranked)
+    return ranked.join(F.broadcast(quantiles(ranked, [out], col, [0.5], [f"{out}_median"])), out)  # k rows
 
 
 def equal_width_strata(df: DataFrame, col: str, k: int, out: str = "stratum") -> DataFrame:

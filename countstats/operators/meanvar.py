@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_null, average_rank, quadratic_fit
+from ..functions.columns import as_null, average_rank, quadratic_fit, running_before
+from ..functions.lineage import materialize
 
 
 def gene_filters(one: DataFrame, groups: DataFrame, mean_threshold: float = 0.07, min_share: float = 0.7) -> DataFrame:
@@ -38,7 +39,7 @@ def residual_variance(mean: Column, var: Column) -> Column:
 
 def with_residual_variance(one: DataFrame, fit: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = ["grp"] if by is None else by
-    joined = one.join(F.broadcast(fit), by, "left") if by else one.crossJoin(F.broadcast(fit))
+    joined = one.join(fit, by, "left") if by else one.crossJoin(F.broadcast(fit))
     return joined.withColumn("res_var", residual_variance(F.col("mean"), F.col("var"))).drop("center", "c0", "c1", "c2")
 
 
@@ -58,7 +59,7 @@ def moments_1d(mom: DataFrame, groups: DataFrame, groupby: str | None = None) ->
     if groupby is None:
         return logs.select("gene_id", F.col("grp").alias("key"), F.col("m").alias("log_mean"), F.col("v").alias("log_res_var"))
     key = F.lit("ALL") if groupby == "ALL" else F.col(groupby).cast("string")
-    joined = logs.join(F.broadcast(groups.select("grp", key.alias("key"))), "grp")
+    joined = logs.join(groups.select("grp", key.alias("key")), "grp")
     mean = lambda c: F.sum(F.col(c) * F.col("n_obs")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n_obs")))
     return joined.groupBy("gene_id", "key").agg(mean("m").alias("log_mean"), mean("v").alias("log_res_var"))
 
@@ -68,7 +69,7 @@ def moments_2d(pair_mom: DataFrame, groups: DataFrame, groupby: str | None = Non
     if groupby is None:
         return pair_mom.select("gene_1", "gene_2", F.col("grp").alias("key"), "corr")
     key = F.lit("ALL") if groupby == "ALL" else F.col(groupby).cast("string")
-    joined = pair_mom.filter("corr is not null").join(F.broadcast(groups.select("grp", key.alias("key"))), "grp")
+    joined = pair_mom.filter("corr is not null").join(groups.select("grp", key.alias("key")), "grp")
     return joined.groupBy("gene_1", "gene_2", "key").agg((F.sum(F.col("corr") * F.col("n_obs")) / F.sum("n_obs")).alias("corr"))
 
 
@@ -77,11 +78,21 @@ def wide(table: DataFrame, keys: list[str], column: str, values: list[str], fiel
     return table.groupBy(*keys).pivot(column, values).agg(*[F.first(f).alias(f) for f in fields])
 
 
+#: Rows of a group's order that one task takes.
+CHUNK_ROWS = 100_000
+
+
 def rolling_trend(df: DataFrame, x: str, y: str, width: int, by: list[str], key: str, alpha: float = 1.0) -> DataFrame:
     """M6. ``trend``: the mean of y over a row and the ``width - 1`` before it in order of x (ties by
-    ``key``), and ``shrunk``: (1 - alpha) trend + alpha y. ``by`` keeps the order from one task."""
-    window = Window.partitionBy(*by).orderBy(x, key).rowsBetween(-(width - 1), 0)
-    return df.withColumn("trend", F.avg(y).over(window)).withColumn("shrunk", (1 - alpha) * F.col("trend") + alpha * F.col(y))
+    ``key``), and ``shrunk``: (1 - alpha) trend + alpha y. Each group is worked on in chunks of its order."""
+    size = max(CHUNK_ROWS, width)
+    numbered = running_before(df, by, [x, key], F.lit(1), "_number").withColumn("_chunk", F.floor(F.col("_number") / size))
+    # The last rows of a chunk go to the next one too, where they only serve as rows before.
+    ends = numbered.filter(F.col("_number") % size >= size - (width - 1)).withColumn("_chunk", F.col("_chunk") + 1)
+    both = numbered.withColumn("_own", F.lit(True)).union(ends.withColumn("_own", F.lit(False)))
+    window = Window.partitionBy(*by, "_chunk").orderBy("_number").rowsBetween(-(width - 1), 0)
+    found = both.withColumn("trend", F.avg(y).over(window)).filter("_own").select(*df.columns, "trend")
+    return found.withColumn("shrunk", (1 - alpha) * F.col("trend") + alpha * F.col(y))
 
 
 def local_slope(points: DataFrame, grid: DataFrame, x: str, y: str, bandwidth: float, cutoff: float = 3.0) -> DataFrame:
@@ -91,7 +102,7 @@ def local_slope(points: DataFrame, grid: DataFrame, x: str, y: str, bandwidth: f
     own = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_bin", F.floor(F.col("_x") / reach))
     near = grid.select("at", F.explode(F.array(*[F.floor(F.col("at") / reach) + d for d in (-1, 0, 1)])).alias("_bin"))
     gap = F.col("_x") - F.col("at")
-    joined = own.join(F.broadcast(near), "_bin").filter(F.abs(gap) <= reach)
+    joined = own.join(near, "_bin").filter(F.abs(gap) <= reach)
     w = F.exp(-0.5 * (gap / bandwidth) ** 2)
     s = joined.groupBy("at").agg(F.sum(w).alias("w"), F.sum(w * gap).alias("wx"), F.sum(w * F.col("_y")).alias("wy"), F.sum(w * gap * gap).alias("wxx"), F.sum(w * gap * F.col("_y")).alias("wxy"))
     whole = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
@@ -101,7 +112,7 @@ def local_slope(points: DataFrame, grid: DataFrame, x: str, y: str, bandwidth: f
 def robust_linregress(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """M8. slope, intercept, r of finite pairs, and Spearman's rho from average ranks, by group."""
     good = df.select(*by, as_null(F.col(x)).alias("x"), as_null(F.col(y)).alias("y")).dropna()
-    ranked = good.withColumn("rx", average_rank(F.col("x"), *by)).withColumn("ry", average_rank(F.col("y"), *by))
+    ranked = average_rank(average_rank(materialize(good), by, "x", "rx"), by, "y", "ry")
     return ranked.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("spearman"))
 
 

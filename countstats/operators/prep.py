@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import running_before
+
 
 def filter_cells(counts: DataFrame, cells: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
     """F1. Cells for which ``predicate`` holds, and the counts of these."""
@@ -147,9 +149,11 @@ def dedupe(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFrame:
 
 
 def hash_order(key: str, seed: int) -> Column:
-    """A reproducible pseudorandom order by integer key: a product modulo a prime, so that any engine
-    can repeat it."""
-    return F.pmod(F.pmod(F.col(key).cast("long"), F.lit(2147483647)) * F.lit(48271 + 2 * seed) + F.lit(11 * seed + 12345), F.lit(2147483647))
+    """A reproducible pseudorandom order by integer key, of products modulo a prime and a shift, so that
+    any engine can repeat it. The first factor is that prime's golden section: near keys part at once."""
+    prime = F.lit(2147483647)
+    spread = F.pmod(F.pmod(F.col(key).cast("long"), prime) * F.lit(1327217885) + F.lit(11 * seed + 12345), prime)
+    return F.pmod(spread.bitwiseXOR(F.shiftright(spread, 15)) * F.lit(48271 + 2 * seed), prime)
 
 
 def stratified_sample(df: DataFrame, group: list[str], n: int, key: str, seed: int = 0) -> DataFrame:
@@ -165,7 +169,8 @@ def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 def permute_within(df: DataFrame, key: list[str], value: str, order: str, seed: int = 0) -> DataFrame:
     """F17. ``value`` shuffled inside each key: the row at place i of ``order`` gets the value at place
     i of the hashed order."""
-    by = Window.partitionBy(*key)
-    placed = df.withColumn("_place", F.row_number().over(by.orderBy(order)))
-    values = df.select(*key, F.row_number().over(by.orderBy(hash_order(order, seed), order)).alias("_place"), F.col(value).alias("_value"))
-    return placed.join(values, [*key, "_place"]).withColumn(value, F.col("_value")).select(*df.columns)
+    placed = running_before(df, key, [order], F.lit(1), "_place")
+    values = running_before(df.select(*key, order, F.col(value).alias("_value"), hash_order(order, seed).alias("_hash")), key, ["_hash", order], F.lit(1), "_place")
+    values = values.select(*[F.col(c).alias(f"_by_{c}") for c in key], F.col("_place").alias("_place_2"), "_value")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in key], F.col("_place") == F.col("_place_2"))
+    return placed.join(values, same).withColumn(value, F.col("_value")).select(*df.columns)

@@ -8,20 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Results of all pairs or triples have so many rows at most.
+MOST_PAIRS = 2_000_000_000
+
+
+def _refuse(rows: int) -> None:
+    if rows > MOST_PAIRS:
+        raise ValueError(f"{rows} pairs; the most is {MOST_PAIRS}, so list the wanted ones instead")
+
+
 def product_pairs(a: DataFrame, b: DataFrame, key: str = "gene_id", exclude_same: bool = True) -> DataFrame:
-    """J3. Every (gene_1 of a, gene_2 of b). The result is the product, so ``b`` is to be a short list."""
+    """J3. Every (gene_1 of a, gene_2 of b); more than MOST_PAIRS are an error."""
+    _refuse(a.count() * b.count())
     pairs = a.select(F.col(key).alias("gene_1")).crossJoin(b.select(F.col(key).alias("gene_2")))
     return pairs.filter("gene_1 <> gene_2") if exclude_same else pairs
 
 
 def unordered_pairs(a: DataFrame, key: str = "gene_id") -> DataFrame:
-    """J3. gene_1 < gene_2."""
+    """J3. gene_1 < gene_2; more than MOST_PAIRS are an error."""
+    n = a.count()
+    _refuse(n * (n - 1) // 2)
     return a.select(F.col(key).alias("gene_1")).join(a.select(F.col(key).alias("gene_2")), F.col("gene_1") < F.col("gene_2"))
 
 
 def regulator_triples(regulators: DataFrame, target_snps: DataFrame) -> DataFrame:
-    """J4. (regulator, target, snp): each regulator with each target's SNPs, but not with itself."""
-    return target_snps.crossJoin(F.broadcast(regulators.select("regulator"))).filter("regulator <> target").select("regulator", "target", "snp")
+    """J4. (regulator, target, snp): each regulator with each target's SNPs, but not with itself; more
+    than MOST_PAIRS are an error."""
+    _refuse(regulators.count() * target_snps.count())
+    return target_snps.crossJoin(regulators.select("regulator")).filter("regulator <> target").select("regulator", "target", "snp")
 
 
 def two_role_lookup(pairs: DataFrame, values: DataFrame, first: str, second: str, key: str, value: str) -> DataFrame:
@@ -47,10 +61,18 @@ def with_group_mean(df: DataFrame, by: list[str], col: str, out: str) -> DataFra
     return df.join(df.groupBy(*by).agg(F.avg(col).alias(out)), by)
 
 
+MOST_LEVELS = 1000
+
+
 def one_hot(df: DataFrame, col: str, levels: list[str] | None = None, drop_first: bool = True, centre: bool = False) -> DataFrame:
     """X2. A 0/1 column for each level, but for the first if ``drop_first``; ``centre`` takes the mean
-    off. Without ``levels`` the distinct ones are collected: a column each, so they must be few."""
-    levels = levels if levels is not None else [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
+    off. Without ``levels`` the distinct ones are collected, a column each: more than MOST_LEVELS are
+    an error."""
+    if levels is None:
+        found = df.select(col).distinct().limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{col} has more than {MOST_LEVELS} levels")
+        levels = sorted((r[0] for r in found), key=lambda v: (v is not None, v))
     used = levels[1:] if drop_first else levels
     out = df.withColumns({f"{col}_{v}": F.when(F.col(col) == v, 1.0).otherwise(0.0) for v in used})
     if not centre or not used:
