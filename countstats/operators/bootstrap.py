@@ -24,7 +24,7 @@ def generator(seed: int, *names: object) -> np.random.Generator:
 def resample(rng: np.random.Generator, n: np.ndarray, draws: int, statistic: Callable[[np.ndarray], tuple]) -> tuple[np.ndarray, ...]:
     """H1, H2. ``statistic`` of weights (rows x draws) ~ Multinomial(sum n, n / sum n), in chunks.
     With one distinct row there is nothing to draw from: all nan."""
-    if len(n) < 2:
+    if len(n) < 2 or not draws:
         width = len(statistic(n.reshape(-1, 1).astype(float)))
         return tuple(np.full(draws, np.nan) for _ in range(width))
     total, parts, size = int(n.sum()), [], max(1, CHUNK // len(n))
@@ -35,8 +35,8 @@ def resample(rng: np.random.Generator, n: np.ndarray, draws: int, statistic: Cal
 
 
 def fill_invalid(values: np.ndarray, bad: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
-    """H3. Invalid draws replaced by random valid ones; None if there are none."""
-    if bad.all():
+    """H3. Invalid draws replaced by random valid ones; None if all are invalid."""
+    if len(bad) and bad.all():
         return None
     out = values.copy()
     out[bad] = rng.choice(values[~bad], int(bad.sum()))
@@ -155,4 +155,4 @@ def weighted_line(y: np.ndarray, x: np.ndarray, weights: np.ndarray) -> tuple[fl
     """Last coefficient of weighted least squares, its error from inverse variances, and the normal p."""
     beta = np.linalg.pinv((x * weights[:, None]).T @ x) @ (x * weights[:, None]).T @ y
     se = math.sqrt(max(0.0, np.diag(np.linalg.pinv((x * weights[:, None]).T @ x))[-1]))
-    return float(beta[-1]), se, two_sided_normal(beta[-1] / se) if se > 0 else math.nan
+    return float(beta[-1]), se, float(two_sided_normal(beta[-1] / se)[0]) if se > 0 else math.nan

@@ -16,17 +16,26 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_null, clip
 
 GOOD_TURING = 13
+#: A matrix of all pairs is for so many genes at most.
+MOST_GENES = 30_000
 
 
 @dataclass(frozen=True)
 class EstimatorSpec:
     """D1. ``point`` makes (mean, var) columns from the sums of ``sums_by_group``; ``boot`` makes them
-    from values x, weights (rows x draws), inverse size factors, cells n and capture rate q."""
+    from values x, weights (rows x draws), inverse size factors, cells n and capture rate q; without
+    it there are point values only. ``cov`` makes a column from the sums of ``pair_sums``, ``cov_boot``
+    its values from x1, x2, weights, inverse size factors, n and q; without them there are no pairs.
+    ``absolute`` sets size factors to 1, ``fitted`` tells if variances are set against the mean, and
+    ``corrected`` replaces the counts (see ``good_turing_counts``)."""
 
     point: Callable[[], tuple[Column, Column]]
-    boot: Callable[[np.ndarray, np.ndarray, np.ndarray, int, float], tuple[np.ndarray, np.ndarray]] | None
+    boot: Callable[[np.ndarray, np.ndarray, np.ndarray, int, float], tuple[np.ndarray, np.ndarray]] | None = None
     absolute: bool = False
-    covariance: bool = True
+    cov: Callable[[], Column] | None = None
+    cov_boot: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, float], np.ndarray] | None = None
+    fitted: bool = True
+    corrected: Callable[[DataFrame, DataFrame, list[str]], DataFrame] | None = None
 
 
 def _hyper(q: Column | float) -> tuple[Column, Column]:
@@ -34,11 +43,28 @@ def _hyper(q: Column | float) -> tuple[Column, Column]:
     return mean, (F.col("sxx") - (1 - q) * F.col("sx2")) / F.col("n_obs") - mean * mean
 
 
+def _hyper_cov(q: Column | float) -> Column:
+    n = F.col("n_obs")
+    own = F.when(F.col("gene_1") == F.col("gene_2"), (1 - q) * F.col("sx2") / n).otherwise(0.0)
+    return F.col("prod") / n - own - F.col("sx_1") / n * F.col("sx_2") / n
+
+
 def _hyper_boot(x, w, inverse, n, q):
     mean = (x * inverse) @ w / n
     return mean, ((x * x - (1 - q) * x) * inverse**2) @ w / n - mean**2
 
 
+def _hyper_cov_boot(x1, x2, w, inverse, n, q):
+    return (x1 * x2 * inverse**2) @ w / n - ((x1 * inverse) @ w / n) * ((x2 * inverse) @ w / n)
+
+
+def _with_rate(q: Callable[[], Column] | float, absolute: bool = False) -> EstimatorSpec:
+    """The hypergeometric estimators at the groups' capture rate, or at a fixed one."""
+    rate = q if callable(q) else lambda: F.lit(q)
+    boot = _hyper_boot if callable(q) else lambda x, w, inverse, n, _: _hyper_boot(x, w, inverse, n, q)
+    return EstimatorSpec(lambda: _hyper(rate()), boot, absolute, lambda: _hyper_cov(rate()), _hyper_cov_boot)
+
+
 def _mean_boot(x, w, inverse, n, q):
     mean = (x * inverse) @ w / n + 1
     return mean, np.full(mean.shape, 10.0)
@@ -49,19 +75,36 @@ def _bulk_boot(x, w, inverse, n, q):
     return mean, np.full(mean.shape, 10.0)
 
 
-def _poisson_boot(x, w, inverse, n, q):
-    return _hyper_boot(x, w, inverse, n, 0.0)
+def good_turing_counts(counts: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """(cell_id, gene_id, x, value): counts r below 13 become (r + 1) f(r+1) / f(r), with f(r) the mean
+    number of genes with count r over the group's cells; larger ones stay, zeros are 0."""
+    keyed = cells.filter("size_factor > 0").select("cell_id", *by)
+    rows = counts.filter("x <> 0").join(keyed, "cell_id")
+    freq = rows.filter(F.col("x") <= GOOD_TURING).groupBy(*by, "x").agg(F.count("*").alias("f"))
+    after = freq.select(*by, (F.col("x") - 1).alias("x"), F.col("f").alias("g"))
+    # The number of cells divides both frequencies and falls out of their ratio.
+    fixed = freq.join(after, [*by, "x"], "left").filter(F.col("x") < GOOD_TURING).select(*by, "x", ((F.col("x") + 1) * F.coalesce("g", F.lit(0)) / F.col("f")).alias("fixed"))
+    mended = rows.join(fixed, [*by, "x"], "left")
+    return mended.select("cell_id", "gene_id", "x", F.when(F.col("x") < GOOD_TURING, F.col("fixed")).otherwise(F.col("x")).cast("double").alias("value"))
+
+
+def _own_rate() -> Column:
+    return F.col("q")
+
+
+def _ten() -> Column:
+    return F.lit(10.0)
 
 
-_TEN = 10.0
 ESTIMATORS: dict[str, EstimatorSpec] = {
-    "hyper_relative": EstimatorSpec(lambda: _hyper(F.col("q")), _hyper_boot),
-    "poi_relative": EstimatorSpec(lambda: _hyper(0.0), _poisson_boot),
-    "hyper_absolute": EstimatorSpec(lambda: _hyper(F.col("q")), _hyper_boot, absolute=True),
-    "poi_absolute": EstimatorSpec(lambda: _hyper(0.0), _poisson_boot, absolute=True),
-    "mean_only": EstimatorSpec(lambda: (F.col("sx") / F.col("n_obs") + 1, F.lit(_TEN)), _mean_boot, covariance=False),
-    "pseudobulk": EstimatorSpec(lambda: ((F.col("total") + 1) / (F.col("ss") + 1), F.lit(_TEN)), _bulk_boot, covariance=False),
-    "naive": EstimatorSpec(lambda: _hyper(1.0), lambda x, w, inverse, n, q: _hyper_boot(x, w, inverse, n, 1.0)),
+    "hyper_relative": _with_rate(_own_rate),
+    "poi_relative": _with_rate(0.0),
+    "hyper_absolute": _with_rate(_own_rate, absolute=True),
+    "poi_absolute": _with_rate(0.0, absolute=True),
+    "naive": _with_rate(1.0),
+    "mean_only": EstimatorSpec(lambda: (F.col("sx") / F.col("n_obs") + 1, _ten()), _mean_boot, fitted=False),
+    "pseudobulk": EstimatorSpec(lambda: ((F.col("total") + 1) / (F.col("ss") + 1), _ten()), _bulk_boot, fitted=False),
+    "good_mean_only": EstimatorSpec(lambda: (F.col("sx") / F.col("n_obs"), _ten()), fitted=False, corrected=good_turing_counts),
 }
 
 
@@ -79,43 +122,34 @@ def group_sizes(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def sums_by_group(counts: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
-    """Sufficient statistics of each (group, gene) that is counted, beside the group's sizes."""
+    """Sufficient statistics of each (group, gene) that is counted, beside the group's sizes. A column
+    ``value`` of counts stands for x in sx, sx2 and sxx."""
     keyed = cells.filter("size_factor > 0").select("cell_id", "size_factor", *by)
-    x, s = F.col("x").cast("double"), F.col("size_factor")
-    sums = counts.join(keyed, "cell_id").groupBy(*by, "gene_id").agg(F.sum(x / s).alias("sx"), F.sum(x / (s * s)).alias("sx2"), F.sum(x * x / (s * s)).alias("sxx"), F.sum(x).alias("total"), F.max("x").alias("raw_max"), F.count_if(x != 0).alias("nnz"))
+    x, s = F.col("value" if "value" in counts.columns else "x").cast("double"), F.col("size_factor")
+    sums = counts.join(keyed, "cell_id").groupBy(*by, "gene_id").agg(F.sum(x / s).alias("sx"), F.sum(x / (s * s)).alias("sx2"), F.sum(x * x / (s * s)).alias("sxx"), F.sum(F.col("x").cast("double")).alias("total"), F.max("x").alias("raw_max"), F.count_if(F.col("x") != 0).alias("nnz"))
     sizes = group_sizes(cells, by)
-    return sums.join(sizes, by) if by else sums.crossJoin(F.broadcast(sizes))
+    return sums.join(sizes, by) if by else sums.crossJoin(F.broadcast(sizes))  # one row
 
 
 def moments(counts: DataFrame, cells: DataFrame, by: list[str] | None = None, kind: str | EstimatorSpec = "hyper_relative") -> DataFrame:
-    """E1-E4, E6. ``by``, gene_id, n_obs, mean, var, raw_mean, raw_max, nnz for each counted gene."""
+    """E1-E6. ``by``, gene_id, n_obs, mean, var, raw_mean, raw_max, nnz for each counted gene."""
     by = ["grp"] if by is None else by
-    mean, var = get_estimator(kind).point()
-    return sums_by_group(counts, cells, by).select(*by, "gene_id", "n_obs", mean.alias("mean"), var.alias("var"), (F.col("total") / F.col("n_obs")).alias("raw_mean"), "raw_max", "nnz", "q")
+    spec = get_estimator(kind)
+    mean, var = spec.point()
+    used = spec.corrected(counts, cells, by) if spec.corrected else counts
+    return sums_by_group(used, cells, by).select(*by, "gene_id", "n_obs", mean.alias("mean"), var.alias("var"), (F.col("total") / F.col("n_obs")).alias("raw_mean"), "raw_max", "nnz", "q")
 
 
 def good_turing_mean(counts: DataFrame, cells: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
-    """E5. ``by``, gene_id, mean: counts r below 13 become (r + 1) f(r+1) / f(r), with f(r) the mean
-    number of genes with count r over the group's cells; larger ones stay, zeros are 0."""
-    keyed = cells.filter("size_factor > 0").select("cell_id", "size_factor", *by)
-    n = group_sizes(cells, by).select(*by, "n_obs")
-    rows = counts.filter("x <> 0").join(genes.select("gene_id"), "gene_id", "left_semi").join(keyed, "cell_id")
-    freq = rows.filter(F.col("x") <= GOOD_TURING).groupBy(*by, "x").agg(F.count("*").alias("f"))
-    after = freq.select(*by, (F.col("x") - 1).alias("x"), F.col("f").alias("g"))
-    # The number of cells divides both frequencies and falls out of their ratio.
-    fixed = freq.join(after, [*by, "x"], "left").filter(F.col("x") < GOOD_TURING).select(*by, "x", ((F.col("x") + 1) * F.coalesce("g", F.lit(0)) / F.col("f")).alias("fixed"))
-    mended = rows.join(F.broadcast(fixed), [*by, "x"], "left").withColumn("value", F.when(F.col("x") < GOOD_TURING, F.col("fixed")).otherwise(F.col("x")))
-    sums = mended.groupBy(*by, "gene_id").agg(F.sum(F.col("value") / F.col("size_factor")).alias("s"))
-    return sums.join(n, by).select(*by, "gene_id", (F.col("s") / F.col("n_obs")).alias("mean"))
+    """E5. ``by``, gene_id, mean of ``good_turing_counts`` over size factors, with counts of ``genes`` only."""
+    some = counts.join(genes.select("gene_id"), "gene_id", "left_semi")
+    return moments(some.filter("x <> 0"), cells, by, "good_mean_only").select(*by, "gene_id", "mean")
 
 
-def pair_covariance(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str] | None = None, kind: str = "hyper_relative") -> DataFrame:
-    """E6-E8. ``by``, gene_1, gene_2, cov for every listed pair and group. Counts are first cut down
-    to the genes of the pairs; a pair that no cell has together has a product of 0."""
-    by = ["grp"] if by is None else by
-    spec = get_estimator(kind)
-    if not spec.covariance:
-        raise ValueError(f"{kind} has no covariance")
+def pair_sums(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, gene_1, gene_2, n_obs, q, prod (sum of products of x / s), sx_1, sx_2 (sums of x / s) and
+    sx2 (sum of x / s^2 of gene_1) for every listed pair and group. Counts are first cut down to the
+    genes of the pairs; a pair that no cell has together has a product of 0."""
     listed = pairs.select("gene_1", "gene_2").distinct()
     involved = listed.select(F.col("gene_1").alias("gene_id")).union(listed.select("gene_2")).distinct()
     some = counts.join(involved, "gene_id", "left_semi")
@@ -126,14 +160,18 @@ def pair_covariance(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: l
     products = a.join(b, ["cell_id", "gene_2"]).groupBy(*by, "gene_1", "gene_2").agg(F.sum(F.col("v1") * F.col("v2")).alias("prod"))
 
     sums = sums_by_group(some, cells, by).select(*by, "gene_id", "sx", "sx2")
-    sizes = group_sizes(cells, by)
     one = lambda i: sums.select(*by, F.col("gene_id").alias(f"gene_{i}"), F.col("sx").alias(f"sx_{i}"), *([F.col("sx2")] if i == 1 else []))
-    out = sizes.crossJoin(F.broadcast(listed)).join(one(1), [*by, "gene_1"]).join(one(2), [*by, "gene_2"]).join(products, [*by, "gene_1", "gene_2"], "left")
-    q = {"naive": F.lit(1.0), "poi_relative": F.lit(0.0), "poi_absolute": F.lit(0.0)}.get(kind if isinstance(kind, str) else "", F.col("q"))
-    own = F.when(F.col("gene_1") == F.col("gene_2"), (1 - q) * F.col("sx2") / F.col("n_obs")).otherwise(0.0)
-    n = F.col("n_obs")
-    cov = F.coalesce("prod", F.lit(0.0)) / n - own - F.col("sx_1") / n * F.col("sx_2") / n
-    return out.select(*by, "gene_1", "gene_2", "n_obs", cov.alias("cov"))
+    out = group_sizes(cells, by).crossJoin(listed).join(one(1), [*by, "gene_1"]).join(one(2), [*by, "gene_2"]).join(products, [*by, "gene_1", "gene_2"], "left")
+    return out.withColumn("prod", F.coalesce("prod", F.lit(0.0)))
+
+
+def pair_covariance(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str] | None = None, kind: str | EstimatorSpec = "hyper_relative") -> DataFrame:
+    """E6-E8. ``by``, gene_1, gene_2, n_obs, cov for every listed pair and group."""
+    by = ["grp"] if by is None else by
+    spec = get_estimator(kind)
+    if spec.cov is None:
+        raise ValueError(f"{kind if isinstance(kind, str) else 'this estimator'} has no covariance")
+    return pair_sums(counts, cells, pairs, by).select(*by, "gene_1", "gene_2", "n_obs", spec.cov().alias("cov"))
 
 
 def correlation(cov: Column, var_1: Column, var_2: Column) -> Column:
@@ -141,7 +179,7 @@ def correlation(cov: Column, var_1: Column, var_2: Column) -> Column:
     return F.when((var_1 > 0) & (var_2 > 0), clip(cov / F.sqrt(var_1 * var_2), -1.0, 1.0))
 
 
-def pair_moments(counts: DataFrame, cells: DataFrame, pairs: DataFrame, one: DataFrame, by: list[str] | None = None, kind: str = "hyper_relative") -> DataFrame:
+def pair_moments(counts: DataFrame, cells: DataFrame, pairs: DataFrame, one: DataFrame, by: list[str] | None = None, kind: str | EstimatorSpec = "hyper_relative") -> DataFrame:
     """E12. Covariance and correlation of listed pairs with the variances of ``one`` (see moments)."""
     by = ["grp"] if by is None else by
     var = lambda i: one.select(*by, F.col("gene_id").alias(f"gene_{i}"), F.col("var").alias(f"var_{i}"))
@@ -151,8 +189,11 @@ def pair_moments(counts: DataFrame, cells: DataFrame, pairs: DataFrame, one: Dat
 
 def correlation_matrix(counts: DataFrame, cells: DataFrame, one: DataFrame, genes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """E10. ``by``, gene_1, gene_2, corr for all pairs of ``genes``, both ways round. Beyond 1.05 a
-    correlation is null, within it is clipped. The pairs grow with the square of the genes."""
+    correlation is null, within it is clipped. The pairs grow with the square of the genes, of which
+    more than MOST_GENES are an error."""
     by = ["grp"] if by is None else by
+    if genes.limit(MOST_GENES + 1).count() > MOST_GENES:
+        raise ValueError(f"a correlation matrix of more than {MOST_GENES} genes; list the pairs instead")
     left, right = genes.select(F.col("gene_id").alias("gene_1")), genes.select(F.col("gene_id").alias("gene_2"))
     pairs = left.join(right, F.col("gene_1") <= F.col("gene_2"))
     found = pair_moments(counts, cells, pairs, one, by)
@@ -167,7 +208,7 @@ def pseudobulk_table(counts: DataFrame, cells: DataFrame, by: list[str], stat: s
     groups = keyed.groupBy(*by).agg(F.count("*").alias("n"))
     sums = counts.join(keyed, "cell_id").groupBy(*by, "gene_id").agg(F.sum("x").alias("s"))
     genes = counts.select("gene_id").distinct()
-    full = groups.crossJoin(F.broadcast(genes)).join(sums, [*by, "gene_id"], "left")
+    full = groups.crossJoin(genes).join(sums, [*by, "gene_id"], "left")
     s = F.coalesce("s", F.lit(0))
     return full.select(*by, "gene_id", (s.cast("double") if stat == "sum" else F.log1p(s / F.col("n"))).alias("value"))
 

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..functions.columns import average_rank
 from . import bootstrap
 from .estimators import EstimatorSpec, get_estimator
 from .pvalues import bh_fdr
@@ -30,8 +29,40 @@ def _design(design: pd.DataFrame, treatments: list[str], covariates: list[str])
 
 def group_parameters(mom: DataFrame, groups: DataFrame, fit: DataFrame) -> DataFrame:
     """grp, gene_id and all that a gene's bootstrap needs to know of each group."""
-    joined = mom.select("grp", "gene_id", "mean", "res_var").join(F.broadcast(groups.select("grp", "n_cells", "q")), "grp")
-    return joined.join(F.broadcast(fit), "grp").select("grp", "gene_id", *_GROUP)
+    joined = mom.select("grp", "gene_id", "mean", "res_var").join(groups.select("grp", "n_cells", "q"), "grp")
+    return joined.join(fit, "grp").select("grp", "gene_id", *_GROUP)
+
+
+def _bootable(kind: str | EstimatorSpec, pairs: bool = False) -> EstimatorSpec:
+    spec = get_estimator(kind)
+    if spec.boot is None or (pairs and spec.cov_boot is None):
+        raise ValueError("this estimator has point values only" if spec.boot is None else "this estimator has no covariance")
+    return spec
+
+
+def _with_covariates(params: DataFrame, keys: list[str], covariates_for: DataFrame | None) -> DataFrame:
+    """``params`` with ``covs``, the names of the covariates of a gene or pair; null: all of them."""
+    if covariates_for is None:
+        return params.withColumn("covs", F.lit(None).cast("array<string>"))
+    return params.join(covariates_for.select(*keys, F.col("covariates").alias("covs")), keys, "left")
+
+
+def _covariates(own: pd.DataFrame, every: list[str]) -> list[str]:
+    """A null for a gene stands for all; an empty list for none."""
+    covs = own["covs"].iloc[0]
+    return list(every) if covs is None else list(covs)
+
+
+def _wanted(params: DataFrame, keys: list[str], frame: pd.DataFrame, treatments: list[str], tests: DataFrame | None) -> DataFrame:
+    """``keys`` and ``txs``, (tx, dose: grp -> value) of each test: of ``tests``, or the design's treatments."""
+    if tests is None:
+        doses = params.sparkSession.createDataFrame([(t, {g: float(v) for g, v in frame[t].items()}) for t in treatments], "tx string, dose map<string, double>")
+        tests = params.select(*keys).distinct().crossJoin(doses)
+    return tests.groupBy(*keys).agg(F.collect_list(F.struct("tx", "dose")).alias("txs"))
+
+
+def _doses(txs: list[str], doses: dict[str, dict], names: list[str]) -> np.ndarray:
+    return np.array([[doses[x].get(g, np.nan) for x in txs] for g in names], dtype=float)
 
 
 def _draws_1d(gene, rows: pd.DataFrame, known: pd.DataFrame, spec: EstimatorSpec, draws: int, seed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -72,27 +103,23 @@ def _nan_to_null(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.astype(object).where(frame.notna(), None)
 
 
-def ht_1d(params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str] = (), covariates: list[str] = (), tests: DataFrame | None = None, num_boot: int = 1000, seed: int = 5, kind: str | EstimatorSpec = "hyper_relative", approx: str = "norm", resample_groups: bool = False) -> DataFrame:
+def ht_1d(params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str] = (), covariates: list[str] = (), tests: DataFrame | None = None, num_boot: int = 1000, seed: int = 5, kind: str | EstimatorSpec = "hyper_relative", approx: str = "norm", resample_groups: bool = False, covariates_for: DataFrame | None = None) -> DataFrame:
     """H8. gene, tx, de_coef, de_se, de_pval, dv_coef, dv_se, dv_pval.
 
     ``params`` is of ``group_parameters``, ``compressed`` of ``groups.compress`` for the same genes,
     ``design`` a small frame with one row for each grp. ``tests`` (gene_id, tx, dose: grp -> value)
-    gives each gene treatments of its own instead, which then never pass through the driver. Draws
+    gives each gene treatments of its own instead, which then never pass through the driver, and
+    ``covariates_for`` (gene_id, covariates) some of ``covariates``; a gene not listed has all. Draws
     with an invalid group are left out of the regression. A gene without a valid group, or a
-    coefficient that can't be told, has nulls.
+    coefficient that can't be told, has nulls. ``num_boot`` of 0 gives the observed coefficients.
     """
-    spec, frame = get_estimator(kind), _design(design, list(treatments), list(covariates))
-    wanted = tests
-    if tests is None:
-        doses = params.sparkSession.createDataFrame([(t, {g: float(v) for g, v in frame[t].items()}) for t in treatments], "tx string, dose map<string, double>")
-        wanted = params.select("gene_id").distinct().crossJoin(F.broadcast(doses))
-    listed = wanted.groupBy("gene_id").agg(F.collect_list(F.struct("tx", "dose")).alias("txs"))
-    known = params.join(listed, "gene_id")
+    spec, frame = _bootable(kind), _design(design, list(treatments), list(covariates))
+    known = _with_covariates(params.join(_wanted(params, ["gene_id"], frame, treatments, tests), "gene_id"), ["gene_id"], covariates_for)
 
     def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return pd.DataFrame(columns=["gene", "tx", *_STATS])
-        gene, doses = key[0], {t["tx"]: dict(t["dose"]) for t in own["txs"].iloc[0]}
+        gene, doses, covs = key[0], {t["tx"]: dict(t["dose"]) for t in own["txs"].iloc[0]}, _covariates(own, covariates)
         txs = sorted(doses)
         own = own[own["grp"].isin(frame.index)]
         names, means, variances = _draws_1d(gene, rows, own, spec, num_boot, seed)
@@ -103,7 +130,7 @@ def ht_1d(params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatm
             ok = np.isfinite(m).all(axis=0) & np.isfinite(v).all(axis=0)
             if ok.any() and ok[0]:
                 weights = own.set_index("grp").loc[names, "n_cells"].to_numpy(dtype=float)
-                t, c = np.array([[doses[x].get(g, np.nan) for x in txs] for g in names], dtype=float), frame.loc[names, list(covariates)].to_numpy()
+                t, c = _doses(txs, doses, names), frame.loc[names, covs].to_numpy()
                 de, dv = (bootstrap.summarised(bootstrap.effects(y[:, ok], t, c, weights, bootstrap.generator(seed, gene, "groups", i) if resample_groups else None), approx) for i, y in enumerate((m, v)))
         return _nan_to_null(pd.DataFrame([(gene, t, a.coef, a.se, a.pval, b.coef, b.se, b.pval) for t, a, b in zip(txs, de, dv)], columns=["gene", "tx", *_STATS]))
 
@@ -114,7 +141,7 @@ def ht_1d(params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatm
 def mean_summary(params: DataFrame, compressed: DataFrame, num_boot: int = 1000, seed: int = 5, kind: str | EstimatorSpec = "hyper_relative") -> DataFrame:
     """H10. grp, gene_id, mean (of observed and drawn), sem, se_log, se_log1p; negative draws don't
     count for the logs."""
-    spec = get_estimator(kind)
+    spec = _bootable(kind)
 
     def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         names, means, _ = _draws_1d(key[0], rows, own, spec, num_boot, seed)
@@ -127,16 +154,24 @@ def mean_summary(params: DataFrame, compressed: DataFrame, num_boot: int = 1000,
     return _dealt(compressed, "gene_id").cogroup(_dealt(params, "gene_id")).applyInPandas(run, "grp string, gene_id string, mean double, sem double, se_log double, se_log1p double")
 
 
-def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str], covariates: list[str] = (), num_boot: int = 1000, seed: int = 5, approx: str = "norm", resample_groups: bool = False, poisson: bool = False) -> DataFrame:
+def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str] = (), covariates: list[str] = (), num_boot: int = 1000, seed: int = 5, approx: str = "norm", resample_groups: bool = False, kind: str | EstimatorSpec = "hyper_relative", tests: DataFrame | None = None, covariates_for: DataFrame | None = None) -> DataFrame:
     """H9. gene_1, gene_2, tx, corr_coef (of the observed correlations), corr_se, corr_pval.
 
-    ``pair_params``: grp, gene_1, gene_2, corr, n_cells, q. One draw of weights serves covariance and
-    both variances. A group whose correlation is missing or +-1 is skipped; pairs of one gene have nulls.
+    ``pair_params``: grp, gene_1, gene_2, corr, n_cells, q. ``kind`` is the estimator of ``corr``; the
+    draws use the same. ``tests`` (gene_1, gene_2, tx, dose) and ``covariates_for`` (gene_1, gene_2,
+    covariates) are as in ``ht_1d``. One draw of weights serves covariance and both variances. A group
+    whose correlation is missing or +-1 is skipped; pairs of one gene have nulls.
     """
-    frame = _design(design, treatments, list(covariates))
+    spec, frame, keys = _bootable(kind, pairs=True), _design(design, list(treatments), list(covariates)), ["gene_1", "gene_2"]
+    known = _with_covariates(pair_params.join(_wanted(pair_params, keys, frame, treatments, tests), keys), keys, covariates_for)
 
     def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = [bootstrap.Tested(math.nan, math.nan, math.nan)] * len(treatments)
+        out = ["gene_1", "gene_2", "tx", "corr_coef", "corr_se", "corr_pval"]
+        if not len(own):
+            return pd.DataFrame(columns=out)
+        doses, covs = {t["tx"]: dict(t["dose"]) for t in own["txs"].iloc[0]}, _covariates(own, covariates)
+        txs = sorted(doses)
+        found = [bootstrap.Tested(math.nan, math.nan, math.nan)] * len(txs)
         names, values = [], []
         compressed_rows = dict(tuple(rows.groupby("grp"))) if key[0] != key[1] else {}
         for g in own[own["grp"].isin(frame.index)].sort_values("grp").itertuples():
@@ -144,14 +179,14 @@ def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, t
             if part is None or g.corr is None or not abs(g.corr) < 1:
                 continue
             part = part.sort_values(["sf_bin", "x1", "x2"])
-            x1, x2, s = (part[c].to_numpy(dtype=float) for c in ("x1", "x2", "sf_bin"))
-            n, q = part["n"].to_numpy(dtype=np.int64), 0.0 if poisson else g.q
+            x1, x2 = (part[c].to_numpy(dtype=float) for c in ("x1", "x2"))
+            inverse = np.ones(len(x1)) if spec.absolute else 1 / part["sf_bin"].to_numpy(dtype=float)
+            n = part["n"].to_numpy(dtype=np.int64)
             cells = int(n.sum())
 
-            def statistic(w, x1=x1, x2=x2, s=s, q=q, cells=cells):
-                m1, m2 = (x1 / s) @ w / cells, (x2 / s) @ w / cells
-                cov = (x1 * x2 / s**2) @ w / cells - m1 * m2
-                v1, v2 = (((x * x - (1 - q) * x) / s**2) @ w / cells - m * m for x, m in ((x1, m1), (x2, m2)))
+            def statistic(w, x1=x1, x2=x2, inverse=inverse, q=g.q, cells=cells):
+                v1, v2 = (spec.boot(x, w, inverse, cells, q)[1] for x in (x1, x2))
+                cov = spec.cov_boot(x1, x2, w, inverse, cells, q)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     return (np.where((v1 > 0) & (v2 > 0), cov / np.sqrt(v1 * v2), np.nan),)
 
@@ -163,32 +198,32 @@ def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, t
                 values.append(np.concatenate([[g.corr], r]))
         if names:
             weights = own.set_index("grp").loc[names, "n_cells"].to_numpy(dtype=float)
-            t, c = frame.loc[names, treatments].to_numpy(), frame.loc[names, list(covariates)].to_numpy()
             rng = bootstrap.generator(seed, *key, "groups") if resample_groups else None
-            found = bootstrap.summarised(bootstrap.effects(np.array(values), t, c, weights, rng), approx, observed_only=True)
-        return _nan_to_null(pd.DataFrame([(*key, t, f.coef, f.se, f.pval) for t, f in zip(treatments, found)], columns=["gene_1", "gene_2", "tx", "corr_coef", "corr_se", "corr_pval"]))
+            found = bootstrap.summarised(bootstrap.effects(np.array(values), _doses(txs, doses, names), frame.loc[names, covs].to_numpy(), weights, rng), approx, observed_only=True)
+        return _nan_to_null(pd.DataFrame([(*key, t, f.coef, f.se, f.pval) for t, f in zip(txs, found)], columns=out))
 
-    keys = ["gene_1", "gene_2"]
-    return _dealt(compressed, *keys).cogroup(_dealt(pair_params, *keys)).applyInPandas(run, "gene_1 string, gene_2 string, tx string, corr_coef double, corr_se double, corr_pval double")
+    return _dealt(compressed, *keys).cogroup(_dealt(known, *keys)).applyInPandas(run, "gene_1 string, gene_2 string, tx string, corr_coef double, corr_se double, corr_pval double")
 
 
-def ht_mean(summary: DataFrame, totals: DataFrame, design: pd.DataFrame, treatments: list[str], covariates: list[str] = (), tests: DataFrame | None = None, shrink: float = 0.25) -> DataFrame:
+def ht_mean(summary: DataFrame, totals: DataFrame, design: pd.DataFrame, treatments: list[str], covariates: list[str] = (), tests: DataFrame | None = None, shrink: float = 0.25, covariates_for: DataFrame | None = None) -> DataFrame:
     """H12. gene_id, tx, coef, se, pval of quasi-likelihood tests of the mean.
 
-    ``summary`` is of ``mean_summary``, ``totals`` has grp and total. Each (gene, tx) has a Poisson fit
+    ``tests`` (gene_id, tx) names the treatments of each gene, ``covariates_for`` (gene_id, covariates) its
+    covariates. ``summary`` is of ``mean_summary``, ``totals`` has grp and total. Each (gene, tx) has a Poisson fit
     with offset ln(total) (H11); the mean slope of log residual variance on log fit over all tests is
     one number, clipped to [0, 2] and shrunk to 2; it sets the variance between groups.
     """
     frame = _design(design, treatments, list(covariates))
-    rows = summary.join(F.broadcast(totals.select("grp", "total")), "grp").groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("grp", "mean", "sem", "total"))).alias("g"))
+    rows = summary.join(totals.select("grp", "total"), "grp").groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("grp", "mean", "sem", "total"))).alias("g"))
     spark = summary.sparkSession
     txs = spark.createDataFrame([(t,) for t in treatments], "tx string")
-    rows = rows.join(tests, "gene_id") if tests is not None else rows.crossJoin(F.broadcast(txs))
+    rows = rows.join(tests, "gene_id") if tests is not None else rows.crossJoin(txs)
+    rows = _with_covariates(rows, ["gene_id"], covariates_for)
 
     def fit(batches):
         for batch in batches:
             out = []
-            for gene, g, tx in zip(batch["gene_id"], batch["g"], batch["tx"]):
+            for gene, g, tx, covs in zip(batch["gene_id"], batch["g"], batch["tx"], batch["covs"]):
                 own = [r for r in g if r["grp"] in frame.index]
                 names = [r["grp"] for r in own]
                 if tx not in frame.columns or not own:
@@ -196,7 +231,7 @@ def ht_mean(summary: DataFrame, totals: DataFrame, design: pd.DataFrame, treatme
                 total = np.array([r["total"] for r in own], dtype=float)
                 y = np.array([r["mean"] for r in own]) * total
                 spread = (np.array([r["sem"] for r in own]) * total) ** 2
-                x = np.column_stack([np.ones(len(own)), frame.loc[names, list(covariates)].to_numpy(), frame.loc[names, tx].to_numpy()])
+                x = np.column_stack([np.ones(len(own)), frame.loc[names, list(covariates if covs is None else covs)].to_numpy(), frame.loc[names, tx].to_numpy()])
                 found = bootstrap.loglinear(y, x, np.log(total))
                 if found is None:
                     continue
@@ -218,7 +253,7 @@ def ht_mean(summary: DataFrame, totals: DataFrame, design: pd.DataFrame, treatme
                 x = np.array(x).reshape(len(pred), -1)
                 w = pred**2 / (spread + pred**mv)
                 se = math.sqrt(max(0.0, np.diag(np.linalg.pinv((x * w[:, None]).T @ x))[-1]))
-                out.append((gene, tx, coef, se, special.two_sided_normal(coef / se) if se > 0 else None))
+                out.append((gene, tx, coef, se, float(special.two_sided_normal(coef / se)[0]) if se > 0 else None))
             yield pd.DataFrame(out, columns=["gene_id", "tx", "coef", "se", "pval"])
 
     return fits.crossJoin(F.broadcast(slope)).mapInPandas(errors, "gene_id string, tx string, coef double, se double, pval double")
@@ -260,7 +295,7 @@ def meta_wls(cube: DataFrame, treatment: str, block: str, min_cells: int = 20, m
         x = np.column_stack([t, dummies, dummies * t[:, None], np.ones(len(t))])
         coef = float(np.linalg.lstsq(x, y, rcond=None)[0][0])
         se = math.sqrt(max(0.0, np.linalg.pinv((x * w[:, None]).T @ x)[0, 0]))
-        return pd.DataFrame({"gene_id": [frame["gene_id"].iloc[0]], "coef": [coef], "se": [se], "pval": [special.two_sided_normal(coef / se) if se > 0 else None]})
+        return pd.DataFrame({"gene_id": [frame["gene_id"].iloc[0]], "coef": [coef], "se": [se], "pval": [float(special.two_sided_normal(coef / se)[0]) if se > 0 else None]})
 
     return rows.groupBy("gene_id").applyInPandas(run, "gene_id string, coef double, se double, pval double")
 
@@ -363,7 +398,7 @@ def binomial_test(df: DataFrame, success: str, by: list[str]) -> DataFrame:
 
 def _without_covariates(values: DataFrame, covariates: DataFrame | None, key: str) -> DataFrame:
     """``values`` (key, individual, value) less their fit on the covariates (individual, name, value) and
-    an intercept; and n and k, the number of covariates."""
+    an intercept."""
     if covariates is None:
         mean = values.groupBy(key).agg(F.avg("value").alias("_m"))
         return values.join(mean, key).select(key, "individual", (F.col("value") - F.col("_m")).alias("value"))
@@ -375,30 +410,40 @@ def _without_covariates(values: DataFrame, covariates: DataFrame | None, key: st
         frame["value"] = bootstrap._without(y, c, np.ones(len(frame)))[:, 0]
         return frame.drop(columns="_c")
 
-    joined = values.select(key, "individual", "value").join(F.broadcast(table), "individual").select(key, "individual", "value", "_c")
-    return joined.groupBy(key).applyInPandas(run, values.select(key, "individual", F.col("value").cast("double").alias("value")).schema)
+    joined = values.select(key, "individual", F.col("value").cast("double").alias("value")).join(table, "individual").select(key, "individual", "value", "_c")
+    return joined.groupBy(key).applyInPandas(run, joined.drop("_c").schema)
+
+
+def same_individuals(*tables: DataFrame) -> None:
+    """An error unless all tables have the same set of ``individual``."""
+    first, *rest = (t.select("individual").distinct() for t in tables)
+    for other in rest:
+        if first.join(other, "individual", "left_anti").limit(1).count() or other.join(first, "individual", "left_anti").limit(1).count():
+            raise ValueError("the tables must be of the same individuals")
 
 
-def pseudobulk_linear(expression: DataFrame, genotypes: DataFrame, pairs: DataFrame, covariates: DataFrame | None = None, n_covariates: int = 0) -> DataFrame:
+def pseudobulk_linear(expression: DataFrame, genotypes: DataFrame, pairs: DataFrame, covariates: DataFrame | None = None) -> DataFrame:
     """H23. gene_id, snp, beta, t, df of a linear regression of expression (gene_id, individual, value)
-    on dosage (snp, individual, dosage) and covariates, for listed (gene_id, snp).
+    on dosage (snp, individual, dosage) and covariates (individual, name, value), for listed (gene_id, snp).
 
-    Either side is freed of the covariates once; then each pair needs five sums. Residuals are of the
-    individuals of each table, which must agree.
+    Either side is freed of the covariates once; then each pair needs five sums. That is the whole
+    regression only if both sides are of the same individuals, which is checked.
     """
+    same_individuals(expression, genotypes, *([covariates] if covariates is not None else []))
+    n_covariates = covariates.select("name").distinct().count() if covariates is not None else 0
     y = _without_covariates(expression, covariates, "gene_id").withColumnRenamed("value", "y")
     g = _without_covariates(genotypes.withColumnRenamed("dosage", "value"), covariates, "snp").withColumnRenamed("value", "g")
     rows = y.join(pairs.select("gene_id", "snp").distinct(), "gene_id").join(g, ["snp", "individual"])
     sums = rows.groupBy("gene_id", "snp").agg(F.sum(F.col("g") * F.col("y")).alias("gy"), F.sum(F.col("g") ** 2).alias("gg"), F.sum(F.col("y") ** 2).alias("yy"), F.count("*").alias("n"))
     beta, df = F.try_divide(F.col("gy"), F.col("gg")), F.col("n") - 2 - n_covariates
     rest = F.greatest(F.col("yy") - beta * F.col("gy"), F.lit(0.0))
-    t = F.try_divide(beta, F.sqrt(rest / df / F.col("gg")))
+    t = F.when(df > 0, F.try_divide(beta, F.sqrt(rest / df / F.col("gg"))))
     return sums.filter("gg > 1e-9").select("gene_id", "snp", beta.alias("beta"), t.alias("t"), df.alias("df"))
 
 
-def cis_association(expression: DataFrame, genotypes: DataFrame, pairs: DataFrame, covariates: DataFrame | None = None, n_covariates: int = 0) -> DataFrame:
+def cis_association(expression: DataFrame, genotypes: DataFrame, pairs: DataFrame, covariates: DataFrame | None = None) -> DataFrame:
     """H23. With p and fdr."""
-    found = pseudobulk_linear(expression, genotypes, pairs, covariates, n_covariates)
+    found = pseudobulk_linear(expression, genotypes, pairs, covariates)
     return bh_fdr(found.withColumn("pval", special.student_p(F.col("t"), F.col("df"))))
 
 

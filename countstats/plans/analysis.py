@@ -23,7 +23,7 @@ class Analysis:
     groups: DataFrame
     moments: DataFrame
     fit: DataFrame
-    kind: str
+    kind: str | estimators.EstimatorSpec
 
     @property
     def parameters(self) -> DataFrame:
@@ -34,18 +34,18 @@ class Analysis:
         return groups.compress(self.counts, self.cells, self.moments)
 
 
-def size_factors(counts: DataFrame, cells: DataFrame, kind: str = "hyper_relative", mean_threshold: float = 0.07, trim_percent: float = 0.1, shrinkage: float = 0.5) -> DataFrame:
+def size_factors(counts: DataFrame, cells: DataFrame, kind: str | estimators.EstimatorSpec = "hyper_relative", mean_threshold: float = 0.07, trim_percent: float = 0.1, shrinkage: float = 0.5) -> DataFrame:
     """S1-S4. ``cells`` without empty ones, with size_factor from the least variable genes. What later
     steps read more than once, a row for each cell or gene, is written once."""
-    if "absolute" in kind:
+    if estimators.get_estimator(kind).absolute:
         return groups.total_size_factor(counts, cells, absolute=True)
     total = materialize(groups.total_size_factor(counts, cells).filter("size_factor > 0"))
     overall = materialize(estimators.moments(counts, total, [], "hyper_relative"))
-    genes = materialize(meanvar.least_variable_genes(overall, trim_percent, mean_threshold))
+    genes = meanvar.least_variable_genes(overall, trim_percent, mean_threshold)
     return materialize(groups.trimmed_size_factor(counts, total.drop("size_factor"), genes, shrinkage))
 
 
-def analyse(counts: DataFrame, cells: DataFrame, labels: list[str], kind: str = "hyper_relative", min_share: float = 0.7, mean_threshold: float = 0.07, trim_percent: float = 0.1, shrinkage: float = 0.5, num_bins: int = 30, min_cell_count: int = 10, genes: DataFrame | None = None) -> Analysis:
+def analyse(counts: DataFrame, cells: DataFrame, labels: list[str], kind: str | estimators.EstimatorSpec = "hyper_relative", min_share: float = 0.7, mean_threshold: float = 0.07, trim_percent: float = 0.1, shrinkage: float = 0.5, num_bins: int = 30, min_cell_count: int = 10, genes: DataFrame | None = None) -> Analysis:
     """E11. Size factors, groups, moments, gene filters, fits and residual variances. ``genes`` limits
     the result after the fits."""
     counts = materialize(counts)
@@ -54,10 +54,8 @@ def analyse(counts: DataFrame, cells: DataFrame, labels: list[str], kind: str =
     grouped, table = materialize(grouped), materialize(table)
     one = materialize(estimators.moments(counts, grouped, ["grp"], kind))
     kept = meanvar.gene_filters(one, table, mean_threshold, min_share)
-    one = one.join(F.broadcast(kept.select("gene_id")), "gene_id", "left_semi")
-    has_fit = kind not in ("mean_only", "pseudobulk")
-    one = materialize(one)
-    fit = materialize(meanvar.fit_mean_variance(one) if has_fit else meanvar.flat_fit(table))
+    one = one.join(kept.select("gene_id"), "gene_id", "left_semi")
+    fit = materialize(meanvar.fit_mean_variance(one) if estimators.get_estimator(kind).fitted else meanvar.flat_fit(table))
     one = meanvar.with_residual_variance(one, fit)
     if genes is not None:
         one = one.join(genes.select("gene_id"), "gene_id", "left_semi")
@@ -85,7 +83,7 @@ def pair_analysis(a: Analysis, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = a.moments.select("gene_id").distinct()
     pairs = pairs.join(kept.withColumnRenamed("gene_id", "gene_1"), "gene_1", "left_semi").join(kept.withColumnRenamed("gene_id", "gene_2"), "gene_2", "left_semi").select("gene_1", "gene_2")
     mom = materialize(estimators.pair_moments(a.counts, a.cells, pairs, a.moments, ["grp"], a.kind))
-    params = mom.join(F.broadcast(a.groups.select("grp", "n_cells", "q")), "grp")
+    params = mom.join(a.groups.select("grp", "n_cells", "q"), "grp")
     return params, groups.compress_pairs(a.counts, a.cells, pairs)
 
 
@@ -95,7 +93,7 @@ def binary_test_2d(counts: DataFrame, cells: DataFrame, pairs: DataFrame, treatm
     params, compressed = pair_analysis(a, pairs)
     design = design_of(a, [treatment, *replicates])
     dummies = pd.get_dummies(design[list(replicates)].astype(str), drop_first=True).astype(float) if replicates else pd.DataFrame(index=design.index)
-    return testing.ht_2d(params, compressed, pd.concat([design[["grp", treatment]], dummies], axis=1), [treatment], list(dummies.columns), num_boot, seed)
+    return testing.ht_2d(params, compressed, pd.concat([design[["grp", treatment]], dummies], axis=1), [treatment], list(dummies.columns), num_boot, seed, kind=a.kind)
 
 
 def mean_test(counts: DataFrame, cells: DataFrame, treatment: str, replicates: list[str], num_boot: int = 1000, seed: int = 5, **options) -> DataFrame:
@@ -106,18 +104,21 @@ def mean_test(counts: DataFrame, cells: DataFrame, treatment: str, replicates: l
     return testing.ht_mean(summary, totals, design_of(a, [treatment]), [treatment])
 
 
+def doses_by_group(genotypes: DataFrame, a: Analysis, individual: str) -> DataFrame:
+    """(tx, dose: grp -> dosage) of each snp of genotypes (individual, snp, dosage); groups are individuals."""
+    names = a.groups.select("grp", F.col(individual).cast("string").alias("individual"))
+    rows = genotypes.withColumn("individual", F.col("individual").cast("string")).join(names, "individual")
+    return rows.groupBy(F.col("snp").alias("tx")).agg(F.map_from_entries(F.collect_list(F.struct("grp", F.col("dosage").cast("double")))).alias("dose"))
+
+
 def run_eqtl(counts: DataFrame, cells: DataFrame, genotypes: DataFrame, covariates: DataFrame, pairs: DataFrame, individual: str = "individual", num_boot: int = 1000, seed: int = 5, q: float = 0.1, **options) -> DataFrame:
     """H15. Tests of dosage (individual, snp, dosage) for listed (gene_id, snp), with covariates
     (individual, name, value) and a bootstrap over individuals. The three tables must be of the same
     individuals. Doses travel with their gene; only covariates, one row for each individual, are on
     the driver."""
-    own = cells.select(F.col(individual).alias("individual")).distinct()
-    for table in (genotypes.select("individual").distinct(), covariates.select("individual").distinct()):
-        if own.join(table, "individual", "left_anti").count() or table.join(own, "individual", "left_anti").count():
-            raise ValueError("cells, genotypes and covariates must be of the same individuals")
+    testing.same_individuals(cells.select(F.col(individual).alias("individual")), genotypes, covariates)
     a = analyse(counts, cells.withColumn("q", F.lit(q)), [individual], kind="mean_only", min_share=0.3, **options)
     names = a.groups.select("grp", F.col(individual).alias("individual"))
-    doses = genotypes.join(F.broadcast(names), "individual").groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct("grp", F.col("dosage").cast("double")))).alias("dose"))
-    tests = pairs.select("gene_id", "snp").distinct().join(doses, "snp").select("gene_id", F.col("snp").alias("tx"), "dose")
-    wide = covariates.join(F.broadcast(names), "individual").toPandas().pivot(index="grp", columns="name", values="value").reset_index()
+    tests = pairs.select("gene_id", F.col("snp").alias("tx")).distinct().join(doses_by_group(genotypes, a, individual), "tx").select("gene_id", "tx", "dose")
+    wide = covariates.join(names, "individual").toPandas().pivot(index="grp", columns="name", values="value").reset_index()
     return testing.ht_1d(a.parameters, a.compressed, wide, [], [c for c in wide.columns if c != "grp"], tests, num_boot, seed, "mean_only", resample_groups=True)

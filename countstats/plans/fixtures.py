@@ -50,7 +50,25 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.concat(F.lit("c"), key % 6).alias("chrom"), start.alias("start"), (start + 5 + key % 20).alias("end"), key.cast("string").alias("name"))
 
 
+def genotypes(spark: SparkSession, d: str) -> DataFrame:
+    """(individual, snp, dosage): a nation is an individual, and its dose of one of 20 places follows from
+    the number of its customers there."""
+    nations = table(spark, d, "customer").select(F.col("c_nationkey").alias("n")).distinct()
+    places = nations.select("n", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    seen = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 20).cast("int").alias("k")).agg(F.count("*").alias("c"))
+    dose = ((F.coalesce("c", F.lit(0)) + F.col("n") * F.col("k")) % 3).cast("double")
+    return places.join(seen, ["n", "k"], "left").select(F.col("n").cast("string").alias("individual"), F.concat(F.lit("s"), F.col("k")).alias("snp"), dose.alias("dosage"))
+
+
+def covariates(spark: SparkSession, d: str) -> DataFrame:
+    """(individual, name, value): the mean balance, in thousands, of each nation's customers."""
+    means = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg(F.col("c_acctbal") / 1000).alias("value"))
+    return means.select(F.col("c_nationkey").cast("string").alias("individual"), F.lit("balance").alias("name"), "value")
+
+
 CTE = {
+    "genotypes": "SELECT CAST(n AS VARCHAR) AS individual, 's' || k AS snp, ((coalesce(c, 0) + n * k) % 3)::DOUBLE AS dosage FROM (SELECT DISTINCT c_nationkey AS n FROM customer) CROSS JOIN (SELECT unnest(range(20)) AS k) LEFT JOIN (SELECT c_nationkey AS n, c_custkey % 20 AS k, count(*) AS c FROM customer GROUP BY ALL) USING (n, k)",
+    "covariates": "SELECT CAST(c_nationkey AS VARCHAR) AS individual, avg(c_acctbal / 1000) AS value FROM customer GROUP BY 1",
     "counts": "SELECT o_custkey AS cell_id, p_brand AS gene_id, CAST(sum(ceil(l_quantity / 10)) AS BIGINT) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "cells": "SELECT c_custkey AS cell_id, c_mktsegment AS seg, n_regionkey AS region, c_nationkey AS nation, CAST(c_mktsegment = 'BUILDING' AS INT) AS stim, CAST(0.07 AS DOUBLE) AS q FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "tests": "SELECT p_partkey AS key, p_brand AS family, (p_partkey * 7919 % 10007 + 0.5::DOUBLE) / 10007 AS pval FROM part",
@@ -99,20 +117,37 @@ CTE |= {
     "ends": "SELECT min(s) AS low, max(s) AS high FROM sized",
     "binned": """WITH b AS (SELECT *, CASE WHEN high > low THEN least(floor((s - low) / (high - low) * 30), 29) ELSE 0 END AS bin FROM sized, ends)
     SELECT * EXCLUDE (low, high), 'sg^' || seg AS grp, CASE WHEN s = high THEN s ELSE avg(s) OVER (PARTITION BY bin) END AS sf_bin FROM b""",
-    "moments": moments_cte("grouped", ["grp"]),
-    "kept": "SELECT gene_id, count(*) FILTER (raw_mean > 0.07 AND var > 0) / (SELECT count(DISTINCT grp) FROM grouped) AS share FROM moments GROUP BY 1 HAVING share > 0.7",
-    "mom": "SELECT * FROM moments SEMI JOIN kept USING (gene_id)",
-    "fit": fit_cte("mom", ["grp"], "raw_max >= 2"),
-    "resid": f"SELECT mom.*, {_RV} AS res_var FROM mom JOIN fit USING (grp)",
-    "pairs": "SELECT a.gene_id AS gene_1, b.gene_id AS gene_2 FROM (SELECT DISTINCT gene_id FROM counts WHERE gene_id <= 'Brand#12') a, (SELECT DISTINCT gene_id FROM counts WHERE gene_id <= 'Brand#13') b",
-    "covs": """SELECT m1.grp, m1.gene_id AS gene_1, m2.gene_id AS gene_2, m1.n_obs, m1.var AS var_1, m2.var AS var_2,
-    coalesce(prod, 0) / m1.n_obs - CASE WHEN m1.gene_id = m2.gene_id THEN (1 - m1.q) * m1.sx2 / m1.n_obs ELSE 0 END - m1.mean * m2.mean AS cov
-    FROM pairs JOIN moments m1 ON m1.gene_id = gene_1 JOIN moments m2 ON m2.gene_id = gene_2 AND m2.grp = m1.grp
-    LEFT JOIN (SELECT grp, a.gene_id AS g1, b.gene_id AS g2, sum(a.x / s * b.x / s) AS prod FROM counts a JOIN counts b USING (cell_id) JOIN grouped USING (cell_id) WHERE s > 0 GROUP BY ALL) p ON p.grp = m1.grp AND g1 = gene_1 AND g2 = gene_2""",
-    "corrs": "SELECT *, CASE WHEN var_1 > 0 AND var_2 > 0 THEN least(greatest(cov / sqrt(var_1 * var_2), -1), 1) END AS corr FROM covs",
+    "pairs": "SELECT a.gene_id AS gene_1, b.gene_id AS gene_2 FROM (SELECT DISTINCT gene_id FROM counts) a, (SELECT DISTINCT gene_id FROM counts) b",
 }
 
 
+def analysis_cte(suffix: str, grouped: str, share: float) -> dict[str, str]:
+    """Moments, filters, fits, residual variances, covariances and correlations of one grouping."""
+    return {
+        f"moments{suffix}": moments_cte(grouped, ["grp"]),
+        f"kept{suffix}": f"SELECT gene_id, count(*) FILTER (raw_mean > 0.07 AND var > 0) / (SELECT count(DISTINCT grp) FROM {grouped}) AS share FROM moments{suffix} GROUP BY 1 HAVING share > {share}",
+        f"mom{suffix}": f"SELECT * FROM moments{suffix} SEMI JOIN kept{suffix} USING (gene_id)",
+        f"fit{suffix}": fit_cte(f"mom{suffix}", ["grp"], "raw_max >= 2"),
+        f"resid{suffix}": f"SELECT mom{suffix}.*, {_RV} AS res_var FROM mom{suffix} JOIN fit{suffix} USING (grp)",
+        f"covs{suffix}": f"""SELECT m1.grp, m1.gene_id AS gene_1, m2.gene_id AS gene_2, m1.n_obs, m1.var AS var_1, m2.var AS var_2,
+    coalesce(prod, 0) / m1.n_obs - CASE WHEN m1.gene_id = m2.gene_id THEN (1 - m1.q) * m1.sx2 / m1.n_obs ELSE 0 END - m1.mean * m2.mean AS cov
+    FROM pairs JOIN moments{suffix} m1 ON m1.gene_id = gene_1 JOIN moments{suffix} m2 ON m2.gene_id = gene_2 AND m2.grp = m1.grp
+    LEFT JOIN (SELECT grp, a.gene_id AS g1, b.gene_id AS g2, sum(a.x / s * b.x / s) AS prod FROM counts a JOIN counts b USING (cell_id) JOIN {grouped} USING (cell_id) WHERE s > 0 GROUP BY ALL) p ON p.grp = m1.grp AND g1 = gene_1 AND g2 = gene_2""",
+        f"corrs{suffix}": f"SELECT *, CASE WHEN var_1 > 0 AND var_2 > 0 THEN least(greatest(cov / sqrt(var_1 * var_2), -1), 1) END AS corr FROM covs{suffix}",
+    }
+
+
+CTE |= analysis_cte("", "grouped", 0.7)
+CTE["grouped_stim"] = "SELECT *, 'sg^' || stim AS grp FROM sized WHERE stim IN (SELECT stim FROM sized GROUP BY 1 HAVING count(*) >= 10)"
+CTE |= analysis_cte("_stim", "grouped_stim", 0.9)
+CTE["grouped_nation"] = "SELECT *, 'sg^' || nation AS grp FROM sized"
+CTE |= analysis_cte("_nation", "grouped_nation", 0.3)
+
+#: Two-sided tails by series whose terms are all positive: of a normal z, and of a Student t with df degrees.
+NORMAL_P = "greatest(0, 1 - CASE WHEN {z} = 0 THEN 0 ELSE list_sum([exp((0 - {z} * {z} / 2) + (2 * i + 1) * ln(abs({z}) / sqrt(2)) - lgamma(i + 1.5)) FOR i IN range(400)]) END)"
+STUDENT_P = "1 - CASE WHEN {t} = 0 THEN 0 ELSE list_sum([exp((i + 0.5) * ln({t} * {t} / ({df} + {t} * {t})) + {df} / 2.0::DOUBLE * ln({df} / ({df} + {t} * {t})) + lgamma((1 + {df}) / 2.0::DOUBLE + i) - lgamma({df} / 2.0::DOUBLE) - lgamma(i + 1.5)) FOR i IN range(2000)]) END"
+
+
 def sql(select: str) -> str:
     """``select`` behind the common table expressions that it and they name."""
     used: list[str] = []

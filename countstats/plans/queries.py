@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import argmax_column, average_rank
+from ..functions.columns import argmax_column, average_rank, running_before
 from ..functions.lineage import materialize, shared_folder
 from ..operators import estimators, groups, intervals, meanvar, prep, pvalues, tables, testing
 from ..sources import io
@@ -50,7 +50,7 @@ def _analysis(spark, d, labels=("seg",), **options):
 
 def _pairs(spark, d):
     genes = fx.counts(spark, d).select("gene_id").distinct()
-    return materialize(tables.product_pairs(genes.filter("gene_id <= 'Brand#12'"), genes.filter("gene_id <= 'Brand#13'"), exclude_same=False))
+    return materialize(tables.product_pairs(genes, genes, exclude_same=False))
 
 
 # Sources and sinks
@@ -74,13 +74,14 @@ def io_delimited_round_trip(spark, d):
 def io_mtx_round_trip(spark, d):
     counts = materialize(fx.counts(spark, d))
     path = _scratch(spark, "mtx")
-    genes = [row[0] for row in counts.select("gene_id").distinct().orderBy("gene_id").collect()]
-    top = counts.agg(F.max("cell_id")).first()[0]
-    head = spark.range(3).select("id", F.when(F.col("id") == 0, "%%MatrixMarket matrix coordinate integer general").when(F.col("id") == 1, "%").otherwise(f"{len(genes)} {top + 1} {counts.count()}").alias("value"))
-    body = counts.select(F.lit(3).cast("long").alias("id"), F.concat_ws(" ", F.array_position(F.array(*map(F.lit, genes)), F.col("gene_id")), F.col("cell_id") + 1, "x").alias("value"))
-    head.union(body).coalesce(1).sortWithinPartitions("id").select("value").write.text(f"{path}/m")
-    spark.createDataFrame([(i, g) for i, g in enumerate(genes)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(f"{path}/g")
-    spark.range(0, top + 1, numPartitions=1).select(F.col("id").cast("string").alias("value")).write.text(f"{path}/c")
+    genes = materialize(running_before(counts.select("gene_id").distinct(), [], ["gene_id"], F.lit(1), "g"))
+    sizes = counts.agg(F.count("*").alias("n"), F.max("cell_id").alias("top")).first()
+    head = ["%%MatrixMarket matrix coordinate integer general", "%", f"{genes.count()} {sizes['top'] + 1} {sizes['n']}"]
+    spark.createDataFrame([("\n".join(head),)], "value string").write.text(f"{path}/m")
+    entries = counts.join(genes, "gene_id").select(F.concat_ws(" ", F.col("g") + 1, F.col("cell_id") + 1, "x").alias("value"))
+    entries.write.mode("append").text(f"{path}/m")
+    genes.repartitionByRange("g").sortWithinPartitions("g").select(F.col("gene_id").alias("value")).write.text(f"{path}/g")
+    spark.range(0, sizes["top"] + 1).select(F.col("id").cast("string").alias("value")).write.text(f"{path}/c")
     return io.read_mtx(spark, f"{path}/m", f"{path}/g", f"{path}/c")
 
 
@@ -202,12 +203,12 @@ def f15_dedupe(spark, d):
     return prep.dedupe(fx.cells(spark, d), ["seg", "region"], [F.col("cell_id")]).select("seg", "region", "cell_id")
 
 
-@query("SELECT seg, cell_id FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY (cell_id % 2147483647 * 48277 + 12378) % 2147483647, cell_id) AS k FROM cells) WHERE k <= 20")
+@query("SELECT seg, cell_id FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY (xor((cell_id % 2147483647 * 1327217885 + 12378) % 2147483647, ((cell_id % 2147483647 * 1327217885 + 12378) % 2147483647) >> 15) * 48277) % 2147483647, cell_id) AS k FROM cells) WHERE k <= 20")
 def f16_stratified_sample(spark, d):
     return prep.stratified_sample(fx.cells(spark, d), ["seg"], 20, "cell_id", seed=3).select("seg", "cell_id")
 
 
-@query("WITH a AS (SELECT seg, cell_id, row_number() OVER (PARTITION BY seg ORDER BY cell_id) AS k FROM cells), b AS (SELECT seg, region, row_number() OVER (PARTITION BY seg ORDER BY (cell_id % 2147483647 * 48275 + 12367) % 2147483647, cell_id) AS k FROM cells) SELECT seg, cell_id, region FROM a JOIN b USING (seg, k)")
+@query("WITH a AS (SELECT seg, cell_id, row_number() OVER (PARTITION BY seg ORDER BY cell_id) AS k FROM cells), b AS (SELECT seg, region, row_number() OVER (PARTITION BY seg ORDER BY (xor((cell_id % 2147483647 * 1327217885 + 12367) % 2147483647, ((cell_id % 2147483647 * 1327217885 + 12367) % 2147483647) >> 15) * 48275) % 2147483647, cell_id) AS k FROM cells) SELECT seg, cell_id, region FROM a JOIN b USING (seg, k)")
 def f17_permute_within(spark, d):
     return prep.permute_within(fx.cells(spark, d), ["seg"], "region", "cell_id", seed=2).select("seg", "cell_id", "region")
 
@@ -308,13 +309,22 @@ for _name, _kind, _mean, _var in (
     ORACLES[_name] = sql(_E.format(mean=_mean, var=f", round({_var}, 8) AS var" if _var else ""))
 
 
-@query("WITH m AS (SELECT grp, x, count(*) AS f FROM counts JOIN grouped USING (cell_id) GROUP BY ALL), w AS (SELECT a.grp, a.x, (a.x + 1) * coalesce(b.f, 0) / a.f AS fixed FROM m a LEFT JOIN m b ON a.grp = b.grp AND b.x = a.x + 1 WHERE a.x < 13) SELECT grp, gene_id, round(sum((CASE WHEN x < 13 THEN fixed ELSE x END) / s) / any_value(n), 8) AS mean FROM counts JOIN grouped USING (cell_id) LEFT JOIN w USING (grp, x) JOIN (SELECT grp, count(*) AS n FROM grouped GROUP BY 1) USING (grp) GROUP BY ALL")
+_GOOD = "WITH m AS (SELECT grp, x, count(*) AS f FROM counts JOIN grouped USING (cell_id) GROUP BY ALL), w AS (SELECT a.grp, a.x, (a.x + 1) * coalesce(b.f, 0) / a.f AS fixed FROM m a LEFT JOIN m b ON a.grp = b.grp AND b.x = a.x + 1 WHERE a.x < 13) SELECT grp, gene_id, round(sum((CASE WHEN x < 13 THEN fixed ELSE x END) / s) / any_value(n), 8) AS mean FROM counts JOIN grouped USING (cell_id) LEFT JOIN w USING (grp, x) JOIN (SELECT grp, count(*) AS n FROM grouped GROUP BY 1) USING (grp) GROUP BY ALL"
+
+
+@query(_GOOD)
 def e5_good_turing(spark, d):
     counts = materialize(fx.counts(spark, d))
     cells = materialize(groups.create_groups(analysis.size_factors(counts, fx.cells(spark, d), trim_percent=0.5), ["seg"])[0])
     return estimators.good_turing_mean(counts, cells, counts.select("gene_id").distinct(), ["grp"]).withColumn("mean", r("mean", 8))
 
 
+@query(f"WITH e AS ({_GOOD}) SELECT * FROM e WHERE gene_id IN (SELECT gene_id FROM moments GROUP BY 1 HAVING count(*) FILTER (raw_mean > 0.07) / (SELECT count(DISTINCT grp) FROM grouped) > 0.7)")
+def e5_good_mean_analysis(spark, d):
+    """The same as the estimator of a whole analysis."""
+    return _analysis(spark, d, kind="good_mean_only").moments.select("grp", "gene_id", r("mean", 8).alias("mean"))
+
+
 @query("SELECT grp, gene_1, gene_2, round(cov, 8) AS cov FROM covs")
 def e7_pair_covariance(spark, d):
     counts, cells, _ = _compressible(spark, d)
@@ -355,11 +365,19 @@ def d1_own_estimator(spark, d):
     return estimators.moments(counts, cells, kind=own).select("grp", "gene_id", r("mean", 8).alias("mean"))
 
 
-@query("WITH c AS (SELECT * FROM covs WHERE gene_1 <= gene_2 AND gene_2 <= 'Brand#12'), v AS (SELECT *, CASE WHEN var_1 > 0 AND var_2 > 0 THEN cov / sqrt(var_1 * var_2) END AS raw FROM c), k AS (SELECT grp, gene_1, gene_2, CASE WHEN abs(raw) < 1.05 THEN round(greatest(-1, (CASE WHEN raw > 1 THEN 1 ELSE raw END)), 6) END AS corr FROM v) SELECT * FROM k UNION ALL SELECT grp, gene_2, gene_1, corr FROM k WHERE gene_1 <> gene_2")
+@query("SELECT grp, gene_1, gene_2, round(sum(coalesce(a.x, 0) / s * coalesce(b.x, 0) / s) / count(*), 8) AS cov FROM grouped CROSS JOIN pairs LEFT JOIN counts a ON a.cell_id = grouped.cell_id AND a.gene_id = gene_1 LEFT JOIN counts b ON b.cell_id = grouped.cell_id AND b.gene_id = gene_2 GROUP BY ALL")
+def d1_own_covariance(spark, d):
+    """A mean product that is not centred, in place of the covariance."""
+    counts, cells, _ = _compressible(spark, d)
+    own = estimators.EstimatorSpec(estimators.get_estimator("naive").point, cov=lambda: F.col("prod") / F.col("n_obs"))
+    return estimators.pair_covariance(counts, cells, _pairs(spark, d), kind=own).select("grp", "gene_1", "gene_2", r("cov", 8).alias("cov"))
+
+
+@query("WITH c AS (SELECT * FROM covs WHERE gene_1 <= gene_2), v AS (SELECT *, CASE WHEN var_1 > 0 AND var_2 > 0 THEN cov / sqrt(var_1 * var_2) END AS raw FROM c), k AS (SELECT grp, gene_1, gene_2, CASE WHEN abs(raw) < 1.05 THEN round(greatest(-1, (CASE WHEN raw > 1 THEN 1 ELSE raw END)), 6) END AS corr FROM v) SELECT * FROM k UNION ALL SELECT grp, gene_2, gene_1, corr FROM k WHERE gene_1 <> gene_2")
 def e10_correlation_matrix(spark, d):
     counts, cells, _ = _compressible(spark, d)
     one = materialize(estimators.moments(counts, cells))
-    genes = counts.filter("gene_id <= 'Brand#12'").select("gene_id").distinct()
+    genes = counts.select("gene_id").distinct()
     return estimators.correlation_matrix(counts, cells, one, genes).withColumn("corr", r("corr"))
 
 
@@ -490,13 +508,23 @@ def h8_binary_test_1d(spark, d):
     return _one_test(spark, d)
 
 
-@query("SELECT grp, gene_id, true AS centred FROM resid WHERE res_var >= 0 AND mean > 0")
+@query("SELECT a.gene_id AS gene, 'stim' AS tx, round(ln(b.mean) - ln(a.mean), 6) AS de_coef, round(ln(b.res_var) - ln(a.res_var), 4) AS dv_coef FROM resid_stim a JOIN resid_stim b USING (gene_id) WHERE a.grp = 'sg^0' AND b.grp = 'sg^1'")
+def h8_observed_effects(spark, d):
+    """The coefficients of ht_1d before any draw."""
+    found = analysis.binary_test_1d(fx.counts(spark, d), fx.cells(spark, d), "stim", num_boot=0, trim_percent=0.5)
+    return found.select("gene", "tx", r("de_coef").alias("de_coef"), r("dv_coef", 4).alias("dv_coef"))
+
+
+@query()
 def h10_mean_summary(spark, d):
-    """The bootstrap's mean lies within five standard errors of the estimate."""
     a = _analysis(spark, d)
-    found = testing.mean_summary(a.parameters, a.compressed, 400)
-    near = F.abs(F.col("boot") - F.col("mean")) < 5 * F.col("sem") / F.sqrt(F.lit(400.0)) + 0.2 * F.col("sem")
-    return found.withColumnRenamed("mean", "boot").join(a.moments.select("grp", "gene_id", "mean"), ["grp", "gene_id"]).select("grp", "gene_id", near.alias("centred"))
+    return testing.mean_summary(a.parameters, a.compressed, 400)
+
+
+@query("SELECT grp, gene_id, round(mean, 8) AS mean, 0.0::DOUBLE AS sem FROM resid WHERE res_var >= 0 AND mean > 0")
+def h10_observed_mean(spark, d):
+    a = _analysis(spark, d)
+    return testing.mean_summary(a.parameters, a.compressed, 0).select("grp", "gene_id", r("mean", 8).alias("mean"), "sem")
 
 
 @query()
@@ -504,23 +532,69 @@ def h12_ht_mean(spark, d):
     return analysis.mean_test(fx.counts(spark, d), fx.cells(spark, d), "stim", ["region"], num_boot=200, trim_percent=0.5)
 
 
+_STIM_HALF = "SELECT *, 'sg^' || stim || '^' || (cell_id % 2) AS grp FROM sized"
+
+
+@query(f"WITH g AS ({_STIM_HALF}), m AS ({fx.moments_cte('g', ['grp'])}), k AS (SELECT gene_id FROM m GROUP BY 1 HAVING count(*) FILTER (raw_mean > 0.07 AND var > 0) / (SELECT count(DISTINCT grp) FROM g) > 0.7), o AS (SELECT * FROM m SEMI JOIN k USING (gene_id)), f AS ({fx.fit_cte('o', ['grp'], 'raw_max >= 2')}), v AS (SELECT o.*, {fx._RV} AS res_var FROM o JOIN f USING (grp)), t AS (SELECT grp, any_value(stim) AS stim, sum(x)::DOUBLE AS total FROM counts JOIN g USING (cell_id) GROUP BY 1) SELECT v.gene_id, 'stim' AS tx, round(ln(sum(v.mean * t.total) FILTER (stim = 1) / sum(t.total) FILTER (stim = 1)) - ln(sum(v.mean * t.total) FILTER (stim = 0) / sum(t.total) FILTER (stim = 0)), 5) AS coef FROM v JOIN t USING (grp) WHERE res_var >= 0 AND v.mean > 0 GROUP BY 1")
+def h12_observed_effects(spark, d):
+    """The coefficients of the Poisson regressions with the observed means: with one 0/1 treatment the
+    logs of two ratios."""
+    cells = fx.cells(spark, d).withColumn("half", F.col("cell_id") % 2)
+    found = analysis.mean_test(fx.counts(spark, d), cells, "stim", ["half"], num_boot=0, trim_percent=0.5)
+    return found.select("gene_id", "tx", r("coef", 5).alias("coef"))
+
+
 @query()
 def h14_binary_test_2d(spark, d):
     return analysis.binary_test_2d(fx.counts(spark, d), fx.cells(spark, d), _pairs(spark, d), "stim", num_boot=300, trim_percent=0.5)
 
 
-def _genotypes(spark):
-    people = spark.range(25).select(F.col("id").alias("n"))
-    return people.select("n", F.explode(F.array(*map(F.lit, range(20)))).alias("k")).select(F.col("n").cast("string").alias("individual"), F.concat(F.lit("s"), F.col("k")).alias("snp"), ((F.col("n") * (2 * F.col("k") + 1) + F.col("k")) % 3).cast("double").alias("dosage"))
+@query("WITH c AS (SELECT * FROM corrs_stim WHERE gene_1 IN (SELECT gene_id FROM kept_stim) AND gene_2 IN (SELECT gene_id FROM kept_stim)) SELECT gene_1, gene_2, 'stim' AS tx, round(max(corr) FILTER (grp = 'sg^1' AND gene_1 <> gene_2 AND abs(corr) < 1) - max(corr) FILTER (grp = 'sg^0' AND gene_1 <> gene_2 AND abs(corr) < 1), 6) AS corr_coef FROM c GROUP BY ALL")
+def h14_observed_effects(spark, d):
+    found = analysis.binary_test_2d(fx.counts(spark, d), fx.cells(spark, d), _pairs(spark, d), "stim", num_boot=0, trim_percent=0.5)
+    return found.select("gene_1", "gene_2", "tx", r("corr_coef").alias("corr_coef"))
+
+
+def _coexpression_qtl(spark, d, **options):
+    """Each pair of genes is tested for the doses of two places of its own, over nations."""
+    cells = fx.cells(spark, d)
+    a = analysis.analyse(fx.counts(spark, d), cells, ["nation"], min_share=0.3, trim_percent=0.5, min_cell_count=1)
+    params, compressed = analysis.pair_analysis(a, _pairs(spark, d).filter("gene_1 < gene_2"))
+    doses = analysis.doses_by_group(fx.genotypes(spark, d), a, "nation")
+    place = lambda side: F.concat(F.lit("s"), F.substring(side, 7, 2).cast("int") % 20)
+    named = params.select("gene_1", "gene_2", F.explode(F.array_distinct(F.array(place("gene_1"), place("gene_2")))).alias("tx")).distinct()
+    return testing.ht_2d(params, compressed, analysis.design_of(a, []), tests=named.join(doses, "tx"), resample_groups=True, **options)
 
 
 @query()
-def h15_run_eqtl(spark, d):
+def h14_coexpression_qtl(spark, d):
+    return _coexpression_qtl(spark, d, num_boot=100)
+
+
+@query(
+    "WITH c AS (SELECT grp, gene_1, gene_2, corr, n_obs FROM corrs_nation WHERE gene_1 < gene_2 AND gene_1 IN (SELECT gene_id FROM kept_nation) AND gene_2 IN (SELECT gene_id FROM kept_nation)), p AS (SELECT DISTINCT gene_1, gene_2, 's' || (unnest([substr(gene_1, 7, 2)::INT, substr(gene_2, 7, 2)::INT]) % 20) AS tx FROM c), v AS (SELECT p.*, g.dosage AS t, corr AS y, n_obs::DOUBLE AS w FROM p JOIN c USING (gene_1, gene_2) JOIN genotypes g ON g.snp = tx AND 'sg^' || individual = grp WHERE abs(corr) < 1), s AS (SELECT gene_1, gene_2, tx, sum(w) AS w, sum(w * t) AS wt, sum(w * y) AS wy, sum(w * t * t) AS wtt, sum(w * t * y) AS wty FROM v GROUP BY ALL) SELECT p.gene_1, p.gene_2, p.tx, round(CASE WHEN wtt / w - (wt / w) * (wt / w) > 1e-9 THEN (wty - wt * wy / w) / (wtt - wt * wt / w) END, 5) AS corr_coef FROM p LEFT JOIN s USING (gene_1, gene_2, tx)"
+)
+def h14_observed_coexpression_qtl(spark, d):
+    found = _coexpression_qtl(spark, d, num_boot=0)
+    return found.select("gene_1", "gene_2", "tx", r("corr_coef", 5).alias("corr_coef"))
+
+
+def _eqtl(spark, d, num_boot):
     cells = fx.cells(spark, d).withColumn("individual", F.col("nation").cast("string"))
-    people = cells.select("individual").distinct()
-    covariates = people.select("individual", F.lit("a").alias("name"), (F.col("individual").cast("int") % 7).cast("double").alias("value"))
-    pairs = fx.counts(spark, d).select("gene_id").distinct().filter("gene_id <= 'Brand#13'").select("gene_id", F.explode(F.array(F.lit("s0"), F.lit("s2"), F.lit("s3"))).alias("snp"))
-    return analysis.run_eqtl(fx.counts(spark, d), cells, _genotypes(spark).join(people, "individual", "left_semi"), covariates, pairs, num_boot=200, trim_percent=0.5, min_cell_count=1)
+    pairs = fx.counts(spark, d).select("gene_id").distinct().crossJoin(fx.genotypes(spark, d).select("snp").distinct())
+    return analysis.run_eqtl(fx.counts(spark, d), cells, fx.genotypes(spark, d), fx.covariates(spark, d), pairs, num_boot=num_boot, trim_percent=0.5, min_cell_count=1, q=0.07)
+
+
+@query()
+def h15_run_eqtl(spark, d):
+    return _eqtl(spark, d, 200)
+
+
+@query(
+    "WITH n AS (SELECT grp, gene_id, sx / n_obs + 1 AS mean, total / n_obs AS raw, n_obs FROM moments_nation), k AS (SELECT gene_id FROM n GROUP BY 1 HAVING count(*) FILTER (raw > 0.07) / (SELECT count(DISTINCT grp) FROM grouped_nation) > 0.3), v AS (SELECT gene_id AS gene, snp AS tx, ln(mean) AS y, dosage AS t, value AS c, n_obs::DOUBLE AS w FROM n SEMI JOIN k USING (gene_id) JOIN genotypes ON 'sg^' || genotypes.individual = grp JOIN covariates USING (individual)), s AS (SELECT gene, tx, sum(w) AS w, sum(w * t) / sum(w) AS mt, sum(w * y) / sum(w) AS my, sum(w * c) / sum(w) AS mc FROM v GROUP BY ALL), q AS (SELECT gene, tx, sum(v.w * (t - mt) * (t - mt)) AS tt, sum(v.w * (c - mc) * (c - mc)) AS cc, sum(v.w * (t - mt) * (c - mc)) AS tc, sum(v.w * (y - my) * (t - mt)) AS ty, sum(v.w * (y - my) * (c - mc)) AS cy FROM v JOIN s USING (gene, tx) GROUP BY ALL) SELECT gene, tx, round(CASE WHEN tt > 1e-9 AND tt - tc * tc / cc > 1e-6 * tt THEN (ty - tc * cy / cc) / (tt - tc * tc / cc) END, 6) AS de_coef FROM q"
+)
+def h15_observed_effects(spark, d):
+    return _eqtl(spark, d, 0).select("gene", "tx", r("de_coef").alias("de_coef"))
 
 
 _CUBE = "SELECT seg, gene_id, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT seg, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (seg) GROUP BY seg, gene_id, n_obs"
@@ -532,9 +606,18 @@ def h16_pairwise_cube(spark, d):
     return found.select("gene_id", r("lfc").alias("lfc"), r("se").alias("se"), r("z", 5).alias("z"))
 
 
-@query()
+@query(f"WITH c AS ({_CUBE}), l AS (SELECT *, CASE WHEN mean > sem THEN (ln(mean + sem) - ln(mean - sem)) / 2 END AS se FROM c), z AS (SELECT a.gene_id, (ln(b.mean) - ln(a.mean)) / nullif(sqrt(a.se * a.se + b.se * b.se), 0) AS z FROM l a JOIN l b USING (gene_id) WHERE a.seg = 'BUILDING' AND b.seg = 'MACHINERY') SELECT gene_id, CASE WHEN z IS NOT NULL THEN round({fx.NORMAL_P.format(z='z')}, 8) END AS pval FROM z")
 def h16_pairwise_cube_test(spark, d):
-    return testing.pairwise_cube_test(_cube(spark, d, ["seg"]), "seg", "BUILDING", "MACHINERY")
+    return testing.pairwise_cube_test(_cube(spark, d, ["seg"]), "seg", "BUILDING", "MACHINERY").select("gene_id", r("pval", 8).alias("pval"))
+
+
+@query(
+    "WITH c AS (SELECT stim, region, gene_id, n_obs, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT stim, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (stim, region) GROUP BY stim, region, gene_id, n_obs), b AS (SELECT * FROM c WHERE region IN (SELECT region FROM c GROUP BY 1 HAVING count(DISTINCT stim) > 1)), v AS (SELECT * FROM b WHERE n_obs > 20 AND mean > 0 AND sem > 0), k AS (SELECT gene_id FROM v GROUP BY 1 HAVING count(*) >= 0.7 * (SELECT count(*) FROM (SELECT DISTINCT stim, region FROM b))), p AS (SELECT gene_id, region, max(ln(mean)) FILTER (stim = 1) - max(ln(mean)) FILTER (stim = 0) AS d, sum(pow(sem / mean, 2)) AS s FROM v SEMI JOIN k USING (gene_id) GROUP BY ALL HAVING count(*) = 2) SELECT gene_id, round(avg(d), 6) AS coef, round(sqrt(sum(s)) / count(*), 6) AS se FROM p GROUP BY 1"
+)
+def h17_meta_effects(spark, d):
+    """With every block complete the design is saturated: the mean difference over blocks, and its error."""
+    found = testing.meta_wls(_cube(spark, d, ["stim", "region"]), "stim", "region")
+    return found.select("gene_id", r("coef").alias("coef"), r("se").alias("se"))
 
 
 @query()
@@ -548,16 +631,19 @@ def h18_student_t(spark, d):
     return found.select("gene_id", r("diff").alias("diff"), r("t", 5).alias("t"), "df")
 
 
-@query()
+@query(f"WITH n AS (SELECT count(*) FILTER (stim = 0) AS n0, count(*) FILTER (stim = 1) AS n1 FROM cells), s AS (SELECT gene_id, coalesce(sum(x) FILTER (stim = 0), 0)::DOUBLE AS s0, coalesce(sum(x) FILTER (stim = 1), 0)::DOUBLE AS s1, coalesce(sum(x * x) FILTER (stim = 0), 0)::DOUBLE AS q0, coalesce(sum(x * x) FILTER (stim = 1), 0)::DOUBLE AS q1 FROM counts JOIN cells USING (cell_id) GROUP BY 1), t AS (SELECT gene_id, (s1 / n1 - s0 / n0) / sqrt((q0 - s0 * s0 / n0 + q1 - s1 * s1 / n1) / (n0 + n1 - 2) * (1.0::DOUBLE / n0 + 1.0::DOUBLE / n1)) AS t, (n0 + n1 - 2)::DOUBLE AS df FROM s, n) SELECT gene_id, round({fx.STUDENT_P.format(t='t', df='df')}, 7) AS pval FROM t")
 def h18_student_t_test(spark, d):
-    return testing.student_t_test(fx.counts(spark, d), fx.cells(spark, d), "stim")
+    return testing.student_t_test(fx.counts(spark, d), fx.cells(spark, d), "stim").select("gene_id", r("pval", 7).alias("pval"))
 
 
-@query()
+_RANKS = "WITH v AS (SELECT g.gene_id, stim, coalesce(x, 0) AS x FROM cells CROSS JOIN (SELECT DISTINCT gene_id FROM counts) g LEFT JOIN counts ON counts.cell_id = cells.cell_id AND counts.gene_id = g.gene_id), k AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY gene_id, x) AS c FROM v), u AS (SELECT gene_id, sum(k) FILTER (stim = 1) - count(*) FILTER (stim = 1) * (count(*) FILTER (stim = 1) + 1) / 2.0::DOUBLE - count(*) FILTER (stim = 0) * count(*) FILTER (stim = 1) / 2.0::DOUBLE AS gap, sqrt(count(*) FILTER (stim = 0) * count(*) FILTER (stim = 1) / 12.0::DOUBLE * (count(*) + 1 - sum(c * c - 1.0::DOUBLE) / (count(*) * (count(*) - 1.0::DOUBLE)))) AS sd FROM k GROUP BY 1)"
+
+
+@query(f"{_RANKS}, z AS (SELECT gene_id, greatest(abs(gap) - 0.5, 0)::DOUBLE / sd AS z, (gap - 0.5)::DOUBLE / sd AS up FROM u) SELECT gene_id, round({fx.NORMAL_P.format(z='z')}, 7) AS pval, round(CASE WHEN up > 0 THEN ({fx.NORMAL_P.format(z='up')}) / 2 ELSE 1 - ({fx.NORMAL_P.format(z='up')}) / 2 END, 7) AS pval_greater FROM z")
 def h19_mann_whitney_test(spark, d):
     both = testing.mann_whitney_test(fx.counts(spark, d), fx.cells(spark, d), "stim")
     above = testing.mann_whitney_test(fx.counts(spark, d), fx.cells(spark, d), "stim", "greater")
-    return both.select("gene_id", "pval").join(above.select("gene_id", F.col("pval").alias("pval_greater")), "gene_id")
+    return both.select("gene_id", r("pval", 7).alias("pval")).join(above.select("gene_id", r("pval", 7).alias("pval_greater")), "gene_id")
 
 
 @query("WITH v AS (SELECT g.gene_id, stim, coalesce(x, 0) AS x FROM cells CROSS JOIN (SELECT DISTINCT gene_id FROM counts) g LEFT JOIN counts ON counts.cell_id = cells.cell_id AND counts.gene_id = g.gene_id), k AS (SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY gene_id, x) AS c FROM v) SELECT gene_id, sum(k) FILTER (stim = 1) - count(*) FILTER (stim = 1) * (count(*) FILTER (stim = 1) + 1) / 2.0::DOUBLE AS u, round((sum(k) FILTER (stim = 1) - count(*) FILTER (stim = 1) * (count(*) FILTER (stim = 1) + 1) / 2.0::DOUBLE - count(*) FILTER (stim = 0) * count(*) FILTER (stim = 1) / 2.0::DOUBLE) / sqrt(count(*) FILTER (stim = 0) * count(*) FILTER (stim = 1) / 12.0::DOUBLE * (count(*) + 1 - sum(c * c - 1.0::DOUBLE) / (count(*) * (count(*) - 1.0::DOUBLE)))), 6) AS z FROM k GROUP BY 1")
@@ -583,6 +669,11 @@ def _flags(spark, d):
     return rows.select("region", (F.col("c_acctbal") > 5000).alias("a"), (F.col("c_mktsegment") == "BUILDING").alias("b"), "seg")
 
 
+@query(f"WITH n AS (SELECT region, count(*) FILTER (a AND b) AS w, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (NOT a AND b) AS y, count(*) FILTER (NOT a AND NOT b) AS v FROM ({_FLAGS}) GROUP BY 1), c AS (SELECT region, sqrt((w + x + y + v)::DOUBLE * pow(abs(w * v - x * y) - least((w + x + y + v) / 2.0::DOUBLE, abs(w * v - x * y)), 2) / nullif((w + x)::DOUBLE * (y + v) * (w + y) * (x + v), 0)) AS z FROM n) SELECT region, CASE WHEN z IS NOT NULL THEN round({fx.NORMAL_P.format(z='z')}, 7) END AS pval FROM c")
+def h21_chi2_pvalue(spark, d):
+    return testing.crosstab_test(_flags(spark, d), "a", "b", ["region"]).select("region", r("chi2_pval", 7).alias("pval"))
+
+
 @query()
 def h21_crosstab_tests(spark, d):
     return testing.crosstab_test(_flags(spark, d), "a", "b", ["region"])
@@ -611,22 +702,46 @@ def h21_fisher(spark, d):
 _EXPR = "SELECT gene_id, nation, ln(1 + coalesce(sum(x), 0) / any_value(n)) AS v FROM (SELECT nation, count(*) AS n FROM cells GROUP BY 1) CROSS JOIN (SELECT DISTINCT gene_id FROM counts) LEFT JOIN (SELECT nation, gene_id, x FROM counts JOIN cells USING (cell_id)) USING (nation, gene_id) GROUP BY ALL"
 
 
-@query(f"WITH e AS ({_EXPR}), g AS (SELECT nation, k, ((nation * (2 * k + 1) + k) % 3)::DOUBLE AS dose FROM (SELECT DISTINCT nation FROM cells), (SELECT unnest([0, 2, 3]) AS k)) SELECT gene_id, 's' || k AS snp, round(regr_slope(v, dose), 6) AS beta, count(*) - 2 AS df FROM e JOIN g USING (nation) GROUP BY ALL HAVING var_pop(dose) > 1e-9")
-def h23_pseudobulk_linear(spark, d):
+def _association(spark, d):
     cells = fx.cells(spark, d).withColumn("individual", F.col("nation").cast("string"))
     expression = materialize(estimators.pseudobulk_table(materialize(fx.counts(spark, d)), cells, ["individual"], "log_mean"))
-    genotypes = _genotypes(spark).filter("snp in ('s0', 's2', 's3')").join(cells.select("individual").distinct(), "individual", "left_semi")
-    pairs = expression.select("gene_id").distinct().crossJoin(genotypes.select("snp").distinct())
-    return testing.pseudobulk_linear(expression, materialize(genotypes), pairs).select("gene_id", "snp", r("beta").alias("beta"), "df")
+    genotypes = materialize(fx.genotypes(spark, d))
+    return expression, genotypes, expression.select("gene_id").distinct().crossJoin(genotypes.select("snp").distinct())
 
 
-@query()
-def h24_log1p_wls(spark, d):
+@query(f"WITH e AS ({_EXPR}) SELECT gene_id, snp, round(regr_slope(v, dosage), 6) AS beta, count(*) - 2 AS df FROM e JOIN genotypes ON individual = CAST(nation AS VARCHAR) GROUP BY ALL HAVING var_pop(dosage) > 1e-9")
+def h23_pseudobulk_linear(spark, d):
+    return testing.pseudobulk_linear(*_association(spark, d)).select("gene_id", "snp", r("beta").alias("beta"), "df")
+
+
+_ASSOCIATED = f"WITH e AS ({_EXPR}), s AS (SELECT gene_id, snp, count(*) AS n, var_pop(dosage) * count(*) AS gg, var_pop(v) * count(*) AS yy, var_pop(value) * count(*) AS cc, covar_pop(v, dosage) * count(*) AS gy, covar_pop(dosage, value) * count(*) AS gc, covar_pop(v, value) * count(*) AS cy FROM e JOIN genotypes ON individual = CAST(nation AS VARCHAR) JOIN covariates USING (individual) GROUP BY ALL), f AS (SELECT gene_id, snp, n - 3 AS df, gg - gc * gc / cc AS g2, gy - gc * cy / cc AS g1, yy - cy * cy / cc AS y2 FROM s), t AS (SELECT gene_id, snp, df, g1 / g2 AS beta, g1 / g2 / sqrt((y2 - g1 * g1 / g2) / df / g2) AS t FROM f WHERE g2 > 1e-9)"
+
+
+@query(f"{_ASSOCIATED}, p AS (SELECT *, {fx.STUDENT_P.format(t='t', df='df')} AS p FROM t), k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p) SELECT gene_id, snp, round(beta, 6) AS beta, round(t, 5) AS t, df, round(p, 7) AS pval, round(least(1, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS fdr FROM k")
+def h23_cis_association(spark, d):
+    """With a covariate."""
+    found = testing.cis_association(*_association(spark, d), fx.covariates(spark, d))
+    return found.select("gene_id", "snp", r("beta").alias("beta"), r("t", 5).alias("t"), "df", r("pval", 7).alias("pval"), r("fdr").alias("fdr"))
+
+
+def _wls(spark, d):
     cube = _cube(spark, d, ["seg", "region"]).withColumn("grp", F.concat_ws("^", "seg", "region"))
     design = cube.select("grp", (F.col("seg") == "BUILDING").cast("double").alias("stim")).distinct().orderBy("grp").toPandas()
     return testing.log1p_wls(cube, design, ["stim"])
 
 
+@query()
+def h24_log1p_wls(spark, d):
+    return _wls(spark, d)
+
+
+@query(
+    "WITH c AS (SELECT seg, region, gene_id, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT seg, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (seg, region) GROUP BY seg, region, gene_id, n_obs), e AS (SELECT gene_id, (seg = 'BUILDING')::INT::DOUBLE AS t, ln(1 + mean) AS y, (ln(1 + mean + sem) - ln(1 + greatest(mean - sem, -0.999999))) / 2 AS se FROM c), w AS (SELECT *, pow(CASE WHEN se > 0 THEN se ELSE min(se) FILTER (se > 0) OVER (PARTITION BY gene_id) END, -2) AS w FROM e), s AS (SELECT gene_id, sum(w) AS w, sum(w * t) AS wt, sum(w * y) AS wy, sum(w * t * t) AS wtt, sum(w * t * y) AS wty FROM w WHERE w IS NOT NULL GROUP BY 1) SELECT gene_id, 'stim' AS tx, round((w * wty - wt * wy) / (w * wtt - wt * wt), 8) AS coef, round(sqrt(w / (w * wtt - wt * wt)), 8) AS se FROM s WHERE w * wtt - wt * wt > 1e-9 * w * wtt"
+)
+def h24_log1p_effects(spark, d):
+    return _wls(spark, d).filter("se > 0").select("gene_id", "tx", r("coef", 8).alias("coef"), r("se", 8).alias("se"))
+
+
 # Multiple testing and evaluation
 
 
@@ -717,11 +832,19 @@ def p11_enrichment_counts(spark, d):
     return pvalues.enrichment_counts(genes.filter("gene_id % 7 = 0"), genes, genes).select("set", "overlap", "set_size", "hits", "universe")
 
 
-@query('WITH c AS (SELECT p_type AS t, count(*) FILTER (p_partkey % 7 = 0) AS k, count(*) AS m, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) AS d, (SELECT count(*) FROM part) AS n FROM part GROUP BY 1) SELECT t AS "set", round(least(1, list_sum([exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(n - m + 1) - lgamma(d - i + 1) - lgamma(n - m - d + i + 1) - lgamma(n + 1) + lgamma(d + 1) + lgamma(n - d + 1)) FOR i IN range(greatest(k, 0, d + m - n), least(m, d) + 1)])), 7) AS pval FROM c')
+_ENRICHED = 'WITH c AS (SELECT p_type AS t, count(*) FILTER (p_partkey % 7 = 0) AS k, count(*) AS m, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) AS d, (SELECT count(*) FROM part) AS n FROM part GROUP BY 1) SELECT t AS "set", round(least(1, list_sum([exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(n - m + 1) - lgamma(d - i + 1) - lgamma(n - m - d + i + 1) - lgamma(n + 1) + lgamma(d + 1) + lgamma(n - d + 1)) FOR i IN range(greatest(k, 0, d + m - n), least(m, d) + 1)])), 7) AS pval FROM c'
+
+
+@query(_ENRICHED)
 def p11_enrichment_pvalue(spark, d):
     return p11_enrichment_test(spark, d).select("set", r("pval", 7).alias("pval"))
 
 
+@query(f"WITH e AS ({_ENRICHED.replace(', 7) AS pval', ', 12) AS pval')}), k AS (SELECT *, row_number() OVER (ORDER BY pval) AS k, count(*) OVER () AS m FROM e) SELECT \"set\", round(pval, 7) AS pval, round(least(1, min(pval * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 7) AS fdr FROM k")
+def p11_enrichment_fdr(spark, d):
+    return p11_enrichment_test(spark, d).select("set", r("pval", 7).alias("pval"), r("fdr", 7).alias("fdr"))
+
+
 @query()
 def p11_enrichment_test(spark, d):
     genes = table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_type").alias("set"))
@@ -756,10 +879,16 @@ def j3_unordered_pairs(spark, d):
     return tables.unordered_pairs(fx.counts(spark, d).select("gene_id").distinct())
 
 
-@query("SELECT r.g AS regulator, t.g AS target, 's' || t.k AS snp FROM (SELECT DISTINCT gene_id AS g FROM counts WHERE gene_id <= 'Brand#13') r JOIN (SELECT DISTINCT gene_id AS g, cell_id % 3 AS k FROM counts) t ON r.g <> t.g")
+@query("SELECT a.p_partkey AS gene_1, b.s_suppkey AS gene_2 FROM part a, supplier b WHERE p_partkey <> s_suppkey")
+def j3_product_pairs(spark, d):
+    parts, suppliers = table(spark, d, "part").select(F.col("p_partkey").alias("gene_id")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("gene_id"))
+    return tables.product_pairs(parts, suppliers)
+
+
+@query("SELECT r.g AS regulator, t.g AS target, 's' || t.k AS snp FROM (SELECT DISTINCT gene_id AS g FROM counts) r JOIN (SELECT DISTINCT gene_id AS g, cell_id % 3 AS k FROM counts) t ON r.g <> t.g")
 def j4_regulator_triples(spark, d):
     counts = materialize(fx.counts(spark, d))
-    regulators = counts.filter("gene_id <= 'Brand#13'").select(F.col("gene_id").alias("regulator")).distinct()
+    regulators = counts.select(F.col("gene_id").alias("regulator")).distinct()
     snps = counts.select(F.col("gene_id").alias("target"), F.concat(F.lit("s"), F.col("cell_id") % 3).alias("snp")).distinct()
     return tables.regulator_triples(regulators, snps)
 
@@ -812,7 +941,10 @@ def r5_gene_extent(spark, d):
 def r6_distance_to_ends(spark, d):
     points = fx.points(spark, d).withColumn("pos", F.col("start"))
     genes = _genes(spark, d)
-    pairs = points.join(genes, "chrom").filter(F.abs(F.col("pos") - F.col("tx_start")) < 200).select("name", "symbol", "chrom", "tx_start", "tx_end")
+    starts = genes.select("chrom", F.col("tx_start").alias("start"), (F.col("tx_start") + 1).alias("end"), F.monotonically_increasing_id().cast("string").alias("name"), "symbol", "tx_start", "tx_end")
+    starts = materialize(starts)
+    near = intervals.interval_window(points.select("chrom", "start", "end", "name"), starts.select("chrom", "start", "end", "name"), 199, width=200)
+    pairs = near.join(starts.withColumnRenamed("name", "b_name"), "b_name").select(F.col("a_name").alias("name"), "symbol", "chrom", "tx_start", "tx_end")
     near = pairs.select("symbol", "chrom", "tx_start", "tx_end").distinct()
     found = intervals.distance_to_ends(pairs.select("name", "symbol").distinct(), points, near, 50)
     return found
@@ -838,17 +970,14 @@ def a3_group_mean(spark, d):
 
 @query("SELECT key, rank() OVER (ORDER BY key % 50) + (count(*) OVER (PARTITION BY key % 50) - 1) / 2.0::DOUBLE AS avg_rank FROM tests")
 def w2_average_rank(spark, d):
-    # Few distinct values: their counts are ranked, not the rows.
     rows = fx.tests(spark, d).withColumn("v", F.col("key") % 50)
-    each = rows.groupBy("v").agg(F.count("*").alias("n"))
-    below = each.alias("a").join(F.broadcast(each.alias("b")), F.col("b.v") < F.col("a.v"), "left").groupBy("a.v", "a.n").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(below.select("v", (F.col("before") + (F.col("n") + 1) / 2.0).alias("avg_rank"))), "v").select("key", "avg_rank")
+    return average_rank(rows, [], "v", "avg_rank").select("key", "avg_rank")
 
 
 @query("SELECT key, family, rank() OVER (PARTITION BY family ORDER BY key % 9) + (count(*) OVER (PARTITION BY family, key % 9) - 1) / 2.0::DOUBLE AS avg_rank FROM tests")
 def n5_average_rank_by_group(spark, d):
     rows = fx.tests(spark, d).withColumn("v", F.col("key") % 9)
-    return rows.select("key", "family", average_rank(F.col("v"), "family").alias("avg_rank"))
+    return average_rank(rows, ["family"], "v", "avg_rank").select("key", "family", "avg_rank")
 
 
 @query("SELECT family, key, pval, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY pval, key) AS k FROM tests) WHERE k <= 3")
