@@ -9,9 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from countstats.functions import special
+from countstats.functions import columns, special
 from countstats.operators import bootstrap, estimators, groups, intervals, meanvar, prep, pvalues, tables, testing
 from countstats.plans import analysis
+from countstats.sources import io
 
 COUNTS = [(1, "a", 2), (1, "b", 1), (2, "a", 3), (3, "a", 1), (3, "b", 4), (4, "c", 2)]
 
@@ -41,6 +42,88 @@ def test_tails_against_known_values():
     assert special.hypergeometric_sf(0, 10, 4, 5) == pytest.approx(1.0)
 
 
+def test_tails_over_batches_by_definition(monkeypatch):
+    x = np.array([0.3, 1.0, 4.5, 9.99, 10.0, 33.3, 1e6])
+    assert special.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-13)
+    z = np.linspace(-6, 6, 41)
+    assert special.two_sided_normal(z) == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in z], rel=1e-11)
+    assert special.normal_sf(z) == pytest.approx([0.5 * math.erfc(v / math.sqrt(2)) for v in z], rel=1e-11)
+    choose = lambda n, k: math.comb(int(n), int(k))
+    for terms in (4_000_000, 3):
+        monkeypatch.setattr(special, "_TERMS", terms)
+        k, n = np.array([0, 3, 5, 9, 40]), np.array([1, 10, 10, 9, 100])
+        want = [min(1, sum(choose(m, i) for i in range(m + 1) if choose(m, i) <= choose(m, a) * (1 + 1e-7)) / 2**m) for a, m in zip(k.tolist(), n.tolist())]
+        assert special.binomial_two_sided(k, n) == pytest.approx(want)
+        tables_ = np.array([[3, 1, 2, 9], [0, 5, 5, 0], [7, 7, 7, 7], [1, 0, 0, 1]])
+        for row, got in zip(tables_.tolist(), special.fisher_two_sided(*tables_.T)):
+            a, b, c, d = row
+            p = {i: choose(a + b, i) * choose(c + d, a + c - i) / choose(a + b + c + d, a + c) for i in range(max(0, a - d), min(a + b, a + c) + 1)}
+            assert got == pytest.approx(sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)))
+        got = special.hypergeometric_sf(np.array([2, 0, 5]), np.array([20, 9, 30]), np.array([7, 4, 10]), np.array([6, 3, 12]))
+        want = [sum(choose(m, i) * choose(n - m, d - i) for i in range(k, min(m, d) + 1)) / choose(n, d) for k, n, m, d in ((2, 20, 7, 6), (0, 9, 4, 3), (5, 30, 10, 12))]
+        assert got == pytest.approx(want)
+
+
+def test_running_sums_ranks_and_quantiles(spark):
+    rng = np.random.default_rng(2)
+    made = [(["a", "b", None][int(i) % 3], float(rng.integers(0, 20)), int(i)) for i in range(400)]
+    frame = spark.createDataFrame(made, "g string, v double, k int").repartition(5)
+    rows = columns.running_before(frame, ["g"], ["v", "k"], F.col("k"), "before").collect()
+    for r in rows:
+        assert r["before"] == sum(k for g, v, k in made if g == r["g"] and (v, k) < (r["v"], r["k"]))
+    for r in columns.average_rank(frame, ["g"], "v", "rank").collect():
+        own = [v for g, v, _ in made if g == r["g"]]
+        assert r["rank"] == sum(v < r["v"] for v in own) + (sum(v == r["v"] for v in own) + 1) / 2
+    found = {r["g"]: r for r in columns.quantiles(frame.filter("g is not null"), ["g"], "v", [0.0, 0.31, 0.5, 1.0], list("pqrs")).collect()}
+    for g, r in found.items():
+        assert [r[c] for c in "pqrs"] == pytest.approx(np.quantile([v for x, v, _ in made if x == g], [0.0, 0.31, 0.5, 1.0]))
+    one = columns.quantiles(frame, [], "v", [0.5], ["m"]).collect()
+    assert [r["m"] for r in one] == [np.median([v for _, v, _ in made])]
+    assert columns.quantiles(frame.limit(0), [], "v", [0.5], ["m"]).collect()[0]["m"] is None
+
+
+def test_trend_and_permutation_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(meanvar, "CHUNK_ROWS", 7)
+    made = [(i, "a" if i % 3 else "b", float((i * 37) % 101)) for i in range(100)]
+    frame = spark.createDataFrame(made, "k int, g string, y double").repartition(4)
+    for r in meanvar.rolling_trend(frame, "k", "y", 5, ["g"], "k").collect():
+        own = [y for k, g, y in made if g == r["g"] and k <= r["k"]][-5:]
+        assert r["trend"] == pytest.approx(np.mean(own))
+    mixed = prep.permute_within(frame, ["g"], "y", "k", seed=4).collect()
+    for g in "ab":
+        assert sorted(r["y"] for r in mixed if r["g"] == g) == sorted(y for _, h, y in made if h == g)
+    assert sum(r["y"] != made[r["k"]][2] for r in mixed) > 80
+
+
+def test_results_too_large_to_list_are_refused(spark, monkeypatch):
+    genes = spark.range(10).select(F.col("id").cast("string").alias("gene_id"))
+    monkeypatch.setattr(tables, "MOST_PAIRS", 44)
+    monkeypatch.setattr(tables, "MOST_LEVELS", 9)
+    monkeypatch.setattr(estimators, "MOST_GENES", 9)
+    for call in (lambda: tables.product_pairs(genes, genes), lambda: tables.unordered_pairs(genes), lambda: tables.one_hot(genes, "gene_id"), lambda: estimators.correlation_matrix(None, None, None, genes)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_matrix_files_in_several_parts(spark, tmp_path):
+    entries = [(g, c, g * 10 + c) for g in range(1, 5) for c in range(1, 31) if (g + c) % 3]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "c").mkdir()
+    lines = [f"{g} {c} {x}" for g, c, x in entries]
+    (tmp_path / "m" / "z.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% a comment\n4 30 80\n" + "\n".join(lines[:20]) + "\n")
+    (tmp_path / "m" / "a.mtx").write_text("\n".join(lines[20:]) + "\n")
+    (tmp_path / "g.tsv").write_text("".join(f"gene{i}\tname\r\n" for i in range(1, 5)))
+    (tmp_path / "c" / "1.tsv").write_text("".join(f"cell{i}\n" for i in range(1, 13)))
+    (tmp_path / "c" / "2.tsv").write_text("".join(f"cell{i}\n" for i in range(13, 31)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        found = io.read_mtx(spark, str(tmp_path / "m"), str(tmp_path / "g.tsv"), str(tmp_path / "c")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["gene_id"], r["cell_id"], r["x"]) for r in found) == sorted((f"gene{g}", f"cell{c}", float(x)) for g, c, x in entries)
+
+
 def test_moments_by_hand(counts, cells):
     sized = groups.total_size_factor(counts, cells)
     assert {r["cell_id"]: r["size_factor"] for r in sized.collect()} == {1: 3, 2: 3, 3: 5, 4: 2, 5: 0}
@@ -192,6 +275,180 @@ def test_one_sample_and_replicates(simulated):
     assert hierarchical.count() == len(found)
 
 
+@pytest.mark.parametrize("kind", ["hyper_relative", "poi_absolute", "naive"])
+def test_correlation_test_draws_what_it_observes(simulated, spark, kind):
+    """Observed coefficients by numpy over all cells, and errors of drawing cells anew."""
+    counts, cells = simulated
+    pairs = spark.createDataFrame([("g03", "g04"), ("g10", "g15"), ("g07", "g07")], "gene_1 string, gene_2 string")
+    found = analysis.binary_test_2d(counts, cells, pairs, "stim", num_boot=400, trim_percent=0.5, kind=kind, num_bins=2000).toPandas().set_index("gene_1")
+    a = analysis.analyse(counts, cells, ["stim"], kind=kind, trim_percent=0.5, min_share=0.9)
+    size = a.cells.select("cell_id", "stim", "size_factor").toPandas().set_index("cell_id")
+    x = counts.toPandas().pivot(index="cell_id", columns="gene_id", values="x").reindex(size.index).fillna(0.0)
+    s = np.ones(len(size)) if kind == "poi_absolute" else size["size_factor"].to_numpy()
+    q = {"hyper_relative": 0.2, "poi_absolute": 0.0, "naive": 1.0}[kind]
+
+    def corr(rows, one, two):
+        u, v, t = x[one].to_numpy()[rows], x[two].to_numpy()[rows], s[rows]
+        var = [np.mean((w * w - (1 - q) * w) / t**2) - np.mean(w / t) ** 2 for w in (u, v)]
+        return (np.mean(u * v / t**2) - np.mean(u / t) * np.mean(v / t)) / np.sqrt(var[0] * var[1])
+
+    rng, stim = np.random.default_rng(1), size["stim"].to_numpy()
+    for one, two in (("g03", "g04"), ("g10", "g15")):
+        parts = [np.flatnonzero(stim == i) for i in (0, 1)]
+        assert found.loc[one, "corr_coef"] == pytest.approx(corr(parts[1], one, two) - corr(parts[0], one, two))
+        drawn = [corr(rng.choice(parts[1], len(parts[1])), one, two) - corr(rng.choice(parts[0], len(parts[0])), one, two) for _ in range(400)]
+        assert found.loc[one, "corr_se"] == pytest.approx(np.nanstd(drawn), rel=0.2)
+    assert pd.isna(found.loc["g07", "corr_coef"])
+
+
+def test_treatments_and_covariates_of_each_gene_and_pair(simulated, spark):
+    counts, cells = simulated
+    a = analysis.analyse(counts, cells, ["stim", "rep"], trim_percent=0.5)
+    design = analysis.design_of(a, ["stim", "rep"]).assign(one=lambda f: (f["rep"] == 1) * 1.0, two=lambda f: (f["rep"] == 2) * 1.0)
+    run = lambda covs, **more: testing.ht_1d(a.parameters, a.compressed, design, ["stim"], covs, num_boot=20, **more).toPandas().set_index("gene").sort_index()
+    without, both = run([]), run(["one", "two"])
+    some = spark.createDataFrame([("g01", []), ("g02", ["one"])], "gene_id string, covariates array<string>")
+    mixed = run(["one", "two"], covariates_for=some)
+    assert mixed.loc["g01"].equals(without.loc["g01"]) and mixed.loc["g05"].equals(both.loc["g05"])
+    assert mixed.loc["g02"].equals(run(["one"]).loc["g02"]) and not mixed.loc["g01"].equals(both.loc["g01"])
+
+    pairs = spark.createDataFrame([("g03", "g04"), ("g10", "g15")], "gene_1 string, gene_2 string")
+    params, compressed = analysis.pair_analysis(a, pairs)
+    test = lambda **more: testing.ht_2d(params, compressed, design, covariates=["one", "two"], num_boot=20, **more).toPandas().set_index(["gene_1", "tx"]).sort_index()
+    dose = {g: float(v) for g, v in zip(design["grp"], design["stim"])}
+    own = spark.createDataFrame([("g03", "g04", "stim", dose), ("g10", "g15", "stim", dose), ("g10", "g15", "rep", {g: float(v) for g, v in zip(design["grp"], design["rep"])})], "gene_1 string, gene_2 string, tx string, dose map<string,double>")
+    plain, listed = test(treatments=["stim"]), test(tests=own)
+    assert listed.loc[("g03", "stim")].equals(plain.loc[("g03", "stim")]) and len(listed) == 3 and np.allclose(listed.loc[("g10", "stim"), "corr_coef"], plain.loc[("g10", "stim"), "corr_coef"])
+    none = spark.createDataFrame([("g03", "g04", [])], "gene_1 string, gene_2 string, covariates array<string>")
+    bare = testing.ht_2d(params, compressed, design, ["stim"], num_boot=20).toPandas().set_index(["gene_1", "tx"])
+    assert test(treatments=["stim"], covariates_for=none).loc[("g03", "stim")].equals(bare.loc[("g03", "stim")])
+
+    summary = testing.mean_summary(a.parameters, a.compressed, 30)
+    totals = spark.createDataFrame([(g, 1000.0) for g in design["grp"]], "grp string, total double")
+    mean = lambda covs, **more: testing.ht_mean(summary, totals, design, ["stim"], covs, **more).toPandas().set_index("gene_id")["coef"]
+    assert mean(["one", "two"], covariates_for=some)["g01"] == pytest.approx(mean([])["g01"])
+
+
+def test_estimators_without_draws_or_pairs(simulated, spark):
+    counts, cells = simulated
+    a = analysis.analyse(counts, cells, ["stim"], kind="good_mean_only", trim_percent=0.5)
+    want = by_key(estimators.good_turing_mean(counts, a.cells, counts.select("gene_id").distinct(), ["grp"]), "grp", "gene_id")
+    assert all(r["mean"] == pytest.approx(want[k]["mean"]) and r["var"] == 10 for k, r in by_key(a.moments, "grp", "gene_id").items())
+    with pytest.raises(ValueError, match="point values"):
+        testing.ht_1d(a.parameters, a.compressed, analysis.design_of(a, ["stim"]), ["stim"], kind="good_mean_only")
+    pairs = spark.createDataFrame([("g03", "g04"), ("g05", "g05")], "gene_1 string, gene_2 string")
+    hyper = estimators.get_estimator("hyper_relative")
+    with pytest.raises(ValueError, match="covariance"):
+        estimators.pair_covariance(counts, a.cells, pairs, kind=estimators.EstimatorSpec(hyper.point, hyper.boot))
+    run = lambda kind: analysis.binary_test_2d(counts, cells, pairs, "stim", num_boot=30, trim_percent=0.5, kind=kind).orderBy("gene_1").toPandas()
+    own = estimators.EstimatorSpec(hyper.point, hyper.boot, cov=hyper.cov, cov_boot=hyper.cov_boot)
+    pd.testing.assert_frame_equal(run(own), run("hyper_relative"))
+
+
+def test_bootstrap_errors_of_means(simulated):
+    counts, cells = simulated
+    a = analysis.analyse(counts, cells, ["stim"], trim_percent=0.5, num_bins=5000)
+    found = testing.mean_summary(a.parameters, a.compressed, 600).toPandas().set_index(["grp", "gene_id"])
+    size = a.cells.select("cell_id", "grp", "size_factor").toPandas().set_index("cell_id")
+    x = counts.toPandas().pivot(index="cell_id", columns="gene_id", values="x").reindex(size.index).fillna(0.0)
+    ratio = []
+    for (grp, gene), r in found.iterrows():
+        own = size["grp"] == grp
+        v = x[gene][own] / size["size_factor"][own]
+        assert r["mean"] == pytest.approx(v.mean(), abs=0.4 * v.std() / math.sqrt(len(v)))
+        ratio.append(r["sem"] / (v.std() / math.sqrt(len(v))))
+        assert r["se_log"] == pytest.approx(r["sem"] / r["mean"], rel=0.15)
+    assert np.mean(ratio) == pytest.approx(1, abs=0.03) and max(abs(np.array(ratio) - 1)) < 0.2
+
+
+def test_quasi_likelihood_by_numpy(spark):
+    rng = np.random.default_rng(6)
+    groups_ = [f"s{i}" for i in range(8)]
+    design = pd.DataFrame({"grp": groups_, "t": [0.0, 1.0] * 4, "c": rng.normal(size=8)})
+    total = rng.uniform(500, 900, 8)
+    made, fits = [], {}
+    for gene in ("a", "b", "d"):
+        mean, sem = rng.uniform(0.5, 2.0, 8), rng.uniform(0.01, 0.05, 8)
+        made += [(g, gene, float(m), float(s)) for g, m, s in zip(groups_, mean, sem)]
+        x = np.column_stack([np.ones(8), design["c"], design["t"]])
+        beta = np.zeros(3)
+        for _ in range(200):  # Newton steps of the Poisson likelihood
+            mu = np.exp(x @ beta) * total
+            beta = beta + np.linalg.solve(x.T @ (x * mu[:, None]), x.T @ (mean * total - mu))
+        fits[gene] = (x, beta, np.exp(x @ beta) * total, mean * total, (sem * total) ** 2)
+    slopes = [np.polyfit(np.log10(mu), np.log10((mu - y) ** 2), 1)[0] for _, _, mu, y, _ in fits.values()]
+    power = 0.25 * min(max(np.mean(slopes), 0), 2) + 0.75 * 2
+    summary = spark.createDataFrame(made, "grp string, gene_id string, mean double, sem double")
+    totals = spark.createDataFrame(list(zip(groups_, map(float, total))), "grp string, total double")
+    for r in testing.ht_mean(summary, totals, design, ["t"], ["c"]).collect():
+        x, beta, mu, _, spread = fits[r["gene_id"]]
+        se = math.sqrt(np.linalg.inv(x.T @ (x * (mu**2 / (spread + mu**power))[:, None]))[-1, -1])
+        assert (r["coef"], r["se"]) == (pytest.approx(beta[-1], rel=1e-6), pytest.approx(se, rel=1e-6))
+        assert r["pval"] == pytest.approx(math.erfc(abs(beta[-1] / se) / math.sqrt(2)), rel=1e-6)
+
+
+def test_meta_analysis_and_weighted_logs_by_numpy(spark):
+    rng = np.random.default_rng(8)
+    made = [(b, t, g, 50 if (b, g) != (2, "y") else 5, float(rng.uniform(1, 3)), float(rng.uniform(0.05, 0.2))) for b in range(4) for t in (0, 1) for g in ("x", "y", "z")]
+    cube = spark.createDataFrame(made, "b int, t int, gene_id string, n_obs int, mean double, sem double")
+    for r in testing.meta_wls(cube, "t", "b").collect():
+        rows = [m for m in made if m[2] == r["gene_id"] and m[3] > 20]
+        gap = [next(math.log(m[4]) for m in rows if m[:2] == (b, 1)) - next(math.log(m[4]) for m in rows if m[:2] == (b, 0)) for b in {m[0] for m in rows}]
+        assert r["coef"] == pytest.approx(np.mean(gap)) and r["se"] == pytest.approx(math.sqrt(sum((m[5] / m[4]) ** 2 for m in rows)) / len(gap))
+        assert r["pval"] == pytest.approx(math.erfc(abs(r["coef"] / r["se"]) / math.sqrt(2)))
+    assert {r["gene_id"] for r in testing.meta_wls(cube, "t", "b").collect()} == {"x", "y", "z"}
+    groups_ = cube.withColumn("grp", F.concat_ws("_", "b", "t"))
+    design = pd.DataFrame([(f"{b}_{t}", float(t), float(b == 1)) for b in range(4) for t in (0, 1)], columns=["grp", "t", "c"])
+    for r in testing.log1p_wls(groups_, design, ["t"], ["c"]).collect():
+        rows = sorted((f"{m[0]}_{m[1]}", m[1], m[0] == 1, m[4], m[5]) for m in made if m[2] == r["gene_id"])
+        x = np.array([[1.0, c, t] for _, t, c, _, _ in rows])
+        y, se = np.array([math.log1p(m) for *_, m, _ in rows]), np.array([(math.log1p(m + s) - math.log1p(m - s)) / 2 for *_, m, s in rows])
+        inverse = np.linalg.inv((x / se[:, None] ** 2).T @ x)
+        assert r["coef"] == pytest.approx((inverse @ (x / se[:, None] ** 2).T @ y)[-1]) and r["se"] == pytest.approx(math.sqrt(inverse[-1, -1]))
+
+
+@pytest.mark.parametrize("n_covariates", [0, 3])
+def test_association_equals_least_squares(spark, n_covariates):
+    rng = np.random.default_rng(n_covariates)
+    people = [f"p{i}" for i in range(30)]
+    c, g, y = rng.normal(size=(30, n_covariates)), rng.integers(0, 3, (30, 4)).astype(float), rng.normal(size=(30, 3))
+    long = lambda m, name, key: spark.createDataFrame([(f"{key}{j}", p, float(m[i, j])) for i, p in enumerate(people) for j in range(m.shape[1])], f"{name} string, individual string, value double")
+    genotypes = long(g, "snp", "s").withColumnRenamed("value", "dosage")
+    covariates = long(c, "name", "c") if n_covariates else None
+    pairs = spark.createDataFrame([(f"g{i}", f"s{j}") for i in range(3) for j in range(4)], "gene_id string, snp string")
+    found = testing.cis_association(long(y, "gene_id", "g"), genotypes, pairs, covariates).collect()
+    assert len(found) == 12
+    for r in found:
+        x = np.column_stack([np.ones(30), c, g[:, int(r["snp"][1:])]])
+        target = y[:, int(r["gene_id"][1:])]
+        beta = np.linalg.lstsq(x, target, rcond=None)[0]
+        df = 30 - x.shape[1]
+        se = math.sqrt(((target - x @ beta) ** 2).sum() / df * np.linalg.inv(x.T @ x)[-1, -1])
+        assert (r["beta"], r["t"], r["df"]) == (pytest.approx(beta[-1]), pytest.approx(beta[-1] / se), df)
+        assert r["pval"] == pytest.approx(special.two_sided_t(beta[-1] / se, df)[0]) and r["fdr"] >= r["pval"]
+    with pytest.raises(ValueError):
+        testing.cis_association(long(y, "gene_id", "g").filter("individual <> 'p3'"), genotypes, pairs)
+
+
+def test_eqtl_finds_a_planted_effect(spark):
+    rng = np.random.default_rng(9)
+    rows, people, doses = [], [], {f"p{i}": float(i % 3) for i in range(12)}
+    for cell in range(600):
+        p = f"p{cell % 12}"
+        people.append((cell, p))
+        for k in range(12):
+            mean = (1 + k / 4) * (1 + 2 * doses[p] if k == 0 else 1)
+            x = rng.poisson(mean * 0.3 * rng.uniform(0.8, 1.2))
+            if x:
+                rows.append((cell, f"g{k:02}", int(x)))
+    counts, cells = spark.createDataFrame(rows, "cell_id bigint, gene_id string, x bigint"), spark.createDataFrame(people, "cell_id bigint, individual string")
+    genotypes = spark.createDataFrame([(p, "s", v) for p, v in doses.items()], "individual string, snp string, dosage double")
+    covariates = spark.createDataFrame([(p, "a", float(rng.normal())) for p in doses], "individual string, name string, value double")
+    pairs = spark.createDataFrame([(f"g{k:02}", "s") for k in range(12)], "gene_id string, snp string")
+    found = analysis.run_eqtl(counts, cells, genotypes, covariates, pairs, num_boot=300, trim_percent=0.5).toPandas().set_index("gene")
+    assert found.loc["g00", "de_pval"] == found["de_pval"].min() and found.loc["g00", "de_pval"] < 1e-2 and found.loc["g00", "de_coef"] > 0.02
+
+
 def test_cells_genotypes_and_covariates_must_agree(simulated, spark):
     counts, cells = simulated
     people = cells.withColumn("individual", F.col("rep").cast("string"))

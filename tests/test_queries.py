@@ -25,7 +25,7 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_other_queries_run(spark, sf_dir, name):
     found = QUERIES[name](spark, sf_dir)
-    assert found.collect() or name == "h17_meta_wls"
+    assert found.collect() or name == "h17_meta_wls"  # no block is large enough there; see the numeric test
 
 
 def test_entry_module_lists_them():
