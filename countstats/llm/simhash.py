@@ -21,6 +21,8 @@ BITS = 64
 PAIR_BUCKET = 32
 #: A bucket of more rows is split into tiles of half as many.
 TILE = 2048
+#: Shingle fingerprints of texts at cosine 0.8 differ in 13 of 64 bits on average, hardly ever in more than this.
+CANDIDATE_BITS = 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -138,35 +140,73 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 2, blocks
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``shingles``: the distinct shingles of each row's text (see ``fingerprints``), as sorted
+    32-bit hashes in a binary; empty without words."""
+
+    def one(text: bytes | None) -> bytes:
+        words = (text or b"").lower().split()
+        parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] * bool(words)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), dtype=np.uint64)
+        return np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([one(t.as_py()) for t in part.column(1).cast(pa.binary())], pa.binary())], names=["id", "shingles"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("shingles", T.BinaryType())])
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``edges`` (a, b) whose shingle sets, of ``sets`` (node, shingles), have a cosine of
+    ``similarity`` at least: shared shingles over the geometric mean of both numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint32) for v in (one, two))
+                both = np.concatenate([x, y])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared >= similarity * (len(x) * len(y)) ** 0.5 - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_shingles"))
+    return edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, "a bigint, b bigint")
+
+
 def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all of ``fps`` at ``distance`` or fewer differing bits: fewer links than
-    fingerprints, whatever the number of close pairs."""
-    left, a, b = fps, [], []
+    """A minimum spanning forest of ``fps`` by differing bits, of links of at most ``distance``: fewer links
+    than fingerprints, whatever the number of close pairs, and each one's nearest is among them."""
+    near, to = np.bitwise_count(fps ^ fps[:1]).astype(np.int64), np.zeros(len(fps), dtype=np.int64)
+    left, a, b = np.arange(1, len(fps)), [], []
     while len(left):
-        todo, left = [left[:1]], left[1:]
-        while todo and len(left):
-            near = todo.pop()
-            for fp in near:
-                close = np.bitwise_count(left ^ fp) <= distance
-                if close.any():
-                    b.append(left[close])
-                    a.append(np.full(len(b[-1]), fp))
-                    todo.append(b[-1])
-                    left = left[~close]
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.uint64)
-    return join(a), join(b)
-
-
-def similar_links(nodes: DataFrame, similarity: float = 0.8, agreeing: int = 4, blocks: int = 9) -> DataFrame:
-    """Edges (a, b) over the ``fp`` of ``nodes`` (fp, word_fp).
-
-    Two nodes are linked if their word fingerprints agree on ``agreeing`` of ``blocks`` blocks, as any
-    two that differ in ``blocks - agreeing`` bits do, and their shingle fingerprints on a share of
-    ``similarity`` of the bits. The rows of a bucket come to one task sorted, which emits a spanning
-    forest of the verified links, never all pairs. A bucket of over TILE rows is split into tiles,
-    and each two tiles meet in a task of their own.
+        at = int(near[left].argmin())
+        new = left[at]
+        left = np.delete(left, at)
+        if near[new] <= distance:
+            a.append(to[new])
+            b.append(new)
+        gap = np.bitwise_count(fps[left] ^ fps[new])
+        closer = gap < near[left]
+        near[left[closer]], to[left[closer]] = gap[closer], new
+    return fps[np.array(a, dtype=np.int64)], fps[np.array(b, dtype=np.int64)]
+
+
+def similar_links(nodes: DataFrame, distance: int = CANDIDATE_BITS, agreeing: int = 3, blocks: int = 9) -> DataFrame:
+    """Candidate edges (a, b) over the ``fp`` of ``nodes`` (fp, word_fp).
+
+    Two nodes may be linked if their word fingerprints agree on ``agreeing`` of ``blocks`` blocks, as any
+    two that differ in ``blocks - agreeing`` bits do, and their shingle fingerprints differ in ``distance``
+    bits at most. The rows of a bucket come to one task sorted, which emits a minimum spanning forest
+    of these links, never all pairs. A bucket of over TILE rows is split into tiles, and each two
+    tiles meet in a task of their own.
     """
-    distance = int(BITS * (1 - similarity) + 1e-9)
     masks = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(_block_masks(blocks - agreeing, blocks))])
     keyed = nodes.select("fp", F.explode(F.transform(masks, lambda m: F.xxhash64(m["choice"], F.col("word_fp").bitwiseAND(m["mask"])))).alias("key"))
 
@@ -231,17 +271,29 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, agreeing: int = 4,
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of its smallest doc_id.
 
-    Links are those of ``similar_links``. Rows that repeat that doc_id are told apart by a hash of
-    the whole row; rows that are alike in all columns count as one. A component without a doc_id
-    keeps one row. Null and empty texts are alike.
+    Two texts are near-duplicates if the cosine of their sets of ``shingle``-word shingles, which
+    SimHash estimates, is ``similarity`` at least; at 0.8 that takes in every pair of Jaccard similarity
+    0.67 or more. Candidates are those of ``similar_links``, and each is verified on the sets.
+
+    Rows that repeat the smallest doc_id are told apart by a hash of the whole row; rows that are alike
+    in all columns count as one, as do texts of equal fingerprints. A component without a doc_id keeps
+    one row. Null and empty texts are alike.
     """
     hashed = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
     marked = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", hashed.alias("_row"))
-    fp = fingerprints(marked.select(F.struct("doc_id", "_row").alias("_key"), F.col("_doc.text").alias("text")), shingle, id_col="_key", with_words=True)
-    rows = materialize(fp.select("_key.doc_id", "_key._row", "fp", "word_fp"))
-    labels = connected_components(similar_links(rows.select("fp", "word_fp").distinct(), similarity))
-    # Two steps, so that a hot component is first reduced within each fingerprint's tasks.
+    keyed = marked.select(F.struct("doc_id", "_row").alias("_key"), F.col("_doc.text").alias("text"))
+    rows = materialize(fingerprints(keyed, shingle, id_col="_key", with_words=True).select("_key.doc_id", "_key._row", "fp", "word_fp"))
+    edges = materialize(similar_links(rows.select("fp", "word_fp").distinct()))
+
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")
+    ends = materialize(edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct())
+    first = rows.join(ends, "fp").groupBy("fp").agg(F.min(order).alias("first"))
+    first = materialize(first.select(F.col("fp").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first._row").alias("_row")))
+    sets = shingle_sets(keyed, shingle, id_col="_key").select(F.col("_key.doc_id").alias("d"), F.col("_key._row").alias("r"), "shingles")
+    sets = sets.join(first, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("_row"))).select("node", "shingles").dropDuplicates(["node"])
+    labels = connected_components(verified(edges, materialize(sets), similarity))
+
+    # Two steps, so that a hot component is first reduced within each fingerprint's tasks.
     parts = rows.groupBy("fp").agg(F.min(order).alias("best")).join(labels, F.col("fp") == F.col("node"), "left")
     best = parts.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best._row").alias("_row"))

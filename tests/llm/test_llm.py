@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -623,9 +624,9 @@ def test_similar_links_by_brute_force(spark, tile, monkeypatch):
     for _ in range(5):
         fp, word = (int(x) for x in rng.integers(0, 1 << 63, 2))
         nodes += [(simhash._signed(fp ^ flip(rng.integers(0, 9))), simhash._signed(word ^ flip(rng.integers(0, 4)))) for _ in range(25)]
-    edges = simhash.similar_links(spark.createDataFrame(nodes, "fp bigint, word_fp bigint"))
+    edges = simhash.similar_links(spark.createDataFrame(nodes, "fp bigint, word_fp bigint"), 12)
     labels = {r["node"]: r["label"] for r in components.connected_components(edges).collect()}
-    masks = simhash._block_masks(5, 9)
+    masks = simhash._block_masks(6, 9)
     roots = brute_components(nodes, lambda a, b: a[0] == b[0] or (((a[0] ^ b[0]) % (1 << 64)).bit_count() <= 12 and any((a[1] ^ b[1]) & m == 0 for m in masks)))
     assert [labels.get(f, f) for f, _ in nodes] == [min(n[0] for n, y in zip(nodes, roots) if y == x) for x in roots]
 
@@ -642,7 +643,7 @@ def test_large_buckets_may_end_anywhere_in_a_batch(spark, monkeypatch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     try:
-        edges = simhash.similar_links(frame, agreeing=1, blocks=1)
+        edges = simhash.similar_links(frame, 12, agreeing=1, blocks=1)
         labels = {r["node"]: r["label"] for r in components.connected_components(edges).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
@@ -650,6 +651,42 @@ def test_large_buckets_may_end_anywhere_in_a_batch(spark, monkeypatch):
         assert {labels.get(f, f) for f, _ in g} == {min(f for f, _ in g)}
 
 
+def test_near_duplicates_of_the_pipeline_by_brute_force(spark):
+    """No document goes without a link of cosine 0.8, and nine of ten linked documents go, in each band."""
+    rng = np.random.default_rng(31)
+    made = []
+    for family in range(60):
+        base = prose(900 + family, int(rng.integers(80, 500))).split()
+        for copy in range(4):
+            w = list(base)
+            for at in rng.choice(len(w), int(len(w) * [0, 0.01, 0.02, 0.04][copy]), replace=False):
+                w[at] = "edited" + str(rng.integers(1000))
+            made.append((int(rng.permutation(4)[0]) * 1000 + len(made), " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in made]
+    cosine = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
+    roots = brute_components(sets, lambda x, y: cosine(x, y) >= 0.8)
+    want = {min(made[i][0] for i, y in enumerate(roots) if y == x) for x in set(roots)}
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert want <= kept and len(kept - want) <= 0.1 * (len(made) - len(want))
+    jaccard = [(i, j) for i in range(len(made)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(jaccard) > 60 and np.mean([made[i][0] in kept and made[j][0] in kept for i, j in jaccard]) < 0.1
+
+
+def test_a_spanning_forest_has_the_nearest_of_each():
+    rng = np.random.default_rng(7)
+    fps = np.unique(rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, 60)] ^ (np.uint64(1) << rng.integers(0, 12, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 30, 60).astype(np.uint64)))
+    a, b = simhash._forest(fps, 4)
+    found = {frozenset(x) for x in zip(a.tolist(), b.tolist())}
+    for x in fps.tolist():
+        gap = {y: (x ^ y).bit_count() for y in fps.tolist() if y != x}
+        if min(gap.values()) <= 4:
+            assert any(frozenset((x, y)) in found for y, g in gap.items() if g == min(gap.values()))
+    index = {x: i for i, x in enumerate(fps.tolist())}
+    joined = brute_components(fps.tolist(), lambda x, y: frozenset((x, y)) in found)
+    wanted = brute_components(fps.tolist(), lambda x, y: (x ^ y).bit_count() <= 4)
+    assert len(index) == len(fps) and len(found) == len(fps) - len(set(wanted)) and len(set(joined)) == len(set(wanted))
+
+
 def test_keep_one(spark, docs, empty):
     base = prose(70, 300).split()
     near = [(100 + i, " ".join([*base[:i], "changed", *base[i + 1 :]]), "en", "s", 1) for i in range(0, 40, 4)]
