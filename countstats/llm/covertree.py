@@ -30,9 +30,13 @@ DATA_CELLS = 4096
 QUERY_CELLS = 256
 #: Rows drawn for first lower bounds of the kth scores.
 SAMPLE = 1024
+#: Points of a leaf of data and of queries: a group of queries is bound by the worst of them.
 LEAF = 64
+QUERY_LEAF = 8
 #: Children of a node at most. A level that needs more centers is cut around so many far apart ones.
 CHILDREN = 32
+#: Nodes of so many points at most are multiplied whole if none of their children's pairs falls away.
+SMALL = 512
 #: Blocks of data that one task meets with its block of queries, and the growth of a round.
 AT_ONCE = 8
 GROWTH = 4
@@ -60,12 +64,12 @@ def _gaps(points: np.ndarray, center: np.ndarray) -> np.ndarray:
     return np.sqrt((gap * gap).sum(axis=1))
 
 
-def _nets(points: np.ndarray, left: np.ndarray, center: int, reach: float) -> list[tuple[int, np.ndarray]]:
+def _nets(points: np.ndarray, left: np.ndarray, center: int, reach: float, most: int) -> list[tuple[int, np.ndarray]]:
     """Centers farther than ``reach`` apart, each with the points of ``left`` within ``reach`` that no
-    earlier one has; empty if it takes more than CHILDREN."""
+    earlier one has; empty if it takes more than ``most``."""
     nets, pivot = [], center
     while len(left):
-        if len(nets) == CHILDREN:
+        if len(nets) == most:
             return []
         near = _gaps(points[left], points[pivot]) <= reach
         nets.append((pivot, left[near]))
@@ -74,10 +78,10 @@ def _nets(points: np.ndarray, left: np.ndarray, center: int, reach: float) -> li
     return nets
 
 
-def _spread(points: np.ndarray, left: np.ndarray, center: int) -> list[tuple[int, np.ndarray]]:
-    """CHILDREN centers, each the point farthest from those before it, and the points nearest to each."""
+def _spread(points: np.ndarray, left: np.ndarray, center: int, most: int) -> list[tuple[int, np.ndarray]]:
+    """``most`` centers, each the point farthest from those before it, and the points nearest to each."""
     pivots, nearest, which = [center], _gaps(points[left], points[center]), np.zeros(len(left), dtype=np.int64)
-    while len(pivots) < CHILDREN and nearest.max() > 0:
+    while len(pivots) < most and nearest.max() > 0:
         pivots.append(left[int(nearest.argmax())])
         gap = _gaps(points[left], points[pivots[-1]])
         which[gap < nearest] = len(pivots) - 1
@@ -104,9 +108,10 @@ def build_tree(points: np.ndarray, leaf: int = LEAF) -> CoverTree:
         if end - start <= leaf or radius == 0:
             continue
         own = order[start:end].copy()
-        nets = _nets(points, own, center, 2.0 ** (math.ceil(math.log2(radius)) - 1))
+        most = max(2, min(CHILDREN, 2 * len(own) // leaf))
+        nets = _nets(points, own, center, 2.0 ** (math.ceil(math.log2(radius)) - 1), most)
         if len(nets) < 2:
-            nets = _spread(points, own, center)
+            nets = _spread(points, own, center, most)
         if len(nets) < 2:
             continue
         order[start:end] = np.concatenate([members for _, members in nets])
@@ -185,9 +190,9 @@ def search(queries: CoverTree, data: CoverTree, best: _Best, ids: np.ndarray, ro
 
 
 def _hopeless(queries: CoverTree, data: CoverTree, q: int, d: int, worst: float, bound, children) -> bool:
-    """If no grandchild pair of nodes falls away, their points are multiplied at once: what lies deeper
-    is smaller than a product of matrices is worth."""
-    if worst == -np.inf:
+    """If no pair of children of two small nodes falls away, their points are multiplied at once: what
+    lies deeper is smaller than a product of matrices is worth."""
+    if worst == -np.inf or max(queries.end[q] - queries.start[q], data.end[d] - data.start[d]) > SMALL:
         return False
     for_q = children(queries, q) if queries.children[q] else np.array([q])
     for_d = children(data, d) if data.children[d] else np.array([d])
@@ -259,7 +264,7 @@ def _trees(rows: DataFrame, sampled: dict[int, tuple[np.ndarray, np.ndarray]] |
     def grow(key: tuple, table: pa.Table) -> pa.Table:
         frame = table.to_pandas()
         points = np.array(frame["v"].to_list(), dtype=float).reshape(len(frame), -1)
-        tree, row = build_tree(points), frame["row"].to_numpy()
+        tree, row = build_tree(points, LEAF if sampled is None else QUERY_LEAF), frame["row"].to_numpy()
         least = np.full(len(frame), -np.inf)
         known, known_rows = (sampled or {}).get(int(frame["dim"][0]), (np.zeros((0, points.shape[1])), np.zeros(0, np.int64)))
         if len(known) > k:
