@@ -20,7 +20,7 @@ from ..functions.lineage import materialize
 UNKNOWN = "und"
 LONGEST_GRAM = 4
 #: A worker forgets words when their scores are so many numbers; they are then worked out anew.
-CACHED_NUMBERS = 2_000_000
+CACHED_NUMBERS = 500_000
 #: A table of at most so many numbers is laid out in full by a worker.
 DENSE_NUMBERS = 16_000_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
