@@ -745,7 +745,7 @@ def test_top_k_out_of_range(spark):
 def test_search_prunes_clustered_points():
     rng = np.random.default_rng(5)
     points = np.floor(64 * np.concatenate([c + rng.normal(0, 0.05, (200, 8)) for c in rng.normal(0, 2, (30, 8))]))
-    tree, queries_ = covertree.build_tree(points), covertree.build_tree(points[::10].copy())
+    tree, queries_ = covertree.build_tree(points), covertree.build_tree(points[::10].copy(), covertree.QUERY_LEAF)
     best = covertree._Best(10, np.full(600, -np.inf), np.full(600, -1))
     made = covertree.search(queries_, tree, best, tree.order, tree.order)
     assert made < 0.4 * 600 * 6000
