@@ -23,6 +23,8 @@ LONGEST_GRAM = 4
 CACHED_NUMBERS = 500_000
 #: A table of at most so many numbers is laid out in full by a worker.
 DENSE_NUMBERS = 16_000_000
+#: Rows that are turned into Python objects at once.
+_SLICE = 512
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -227,16 +229,21 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col("text").alias("_text"), F.struct(*[F.col(c) for c in keep]).alias("_row"))
+    row = F.struct(*[F.col(c) for c in keep]).alias("_row")
+    inside = keep.index("text") if "text" in keep else None  # the text travels once
+    source = docs.select(row) if inside is not None else docs.select(row, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(text) for text in batch.column(0).to_pylist()]
-            out = pa.RecordBatch.from_arrays([batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["_row", "lang_pred", "score"])
-            if min_score is not None:
-                out = out.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_()))
-            yield out
+            for start in range(0, len(batch), _SLICE):
+                part = batch.slice(start, _SLICE)
+                texts = part.column(0).field(inside) if inside is not None else part.column(1)
+                found = [scorer.predict(text.as_py()) for text in texts]
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["_row", "lang_pred", "score"])
+                if min_score is not None:
+                    out = out.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_()))
+                yield out
 
     schema = T.StructType([source.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema).select("_row.*", "lang_pred", "score")
