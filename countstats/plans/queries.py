@@ -508,7 +508,7 @@ def h8_binary_test_1d(spark, d):
     return _one_test(spark, d)
 
 
-@query("SELECT a.gene_id AS gene, 'stim' AS tx, round(ln(b.mean) - ln(a.mean), 6) AS de_coef, round(ln(b.res_var) - ln(a.res_var), 4) AS dv_coef FROM resid_stim a JOIN resid_stim b USING (gene_id) WHERE a.grp = 'sg^0' AND b.grp = 'sg^1'")
+@query("SELECT a.gene_id AS gene, 'stim' AS tx, round(ln(b.mean) - ln(a.mean), 6) + 0.0::DOUBLE AS de_coef, round(ln(b.res_var) - ln(a.res_var), 4) + 0.0::DOUBLE AS dv_coef FROM resid_stim a JOIN resid_stim b USING (gene_id) WHERE a.grp = 'sg^0' AND b.grp = 'sg^1'")
 def h8_observed_effects(spark, d):
     """The coefficients of ht_1d before any draw."""
     found = analysis.binary_test_1d(fx.counts(spark, d), fx.cells(spark, d), "stim", num_boot=0, trim_percent=0.5)
@@ -535,7 +535,7 @@ def h12_ht_mean(spark, d):
 _STIM_HALF = "SELECT *, 'sg^' || stim || '^' || (cell_id % 2) AS grp FROM sized"
 
 
-@query(f"WITH g AS ({_STIM_HALF}), m AS ({fx.moments_cte('g', ['grp'])}), k AS (SELECT gene_id FROM m GROUP BY 1 HAVING count(*) FILTER (raw_mean > 0.07 AND var > 0) / (SELECT count(DISTINCT grp) FROM g) > 0.7), o AS (SELECT * FROM m SEMI JOIN k USING (gene_id)), f AS ({fx.fit_cte('o', ['grp'], 'raw_max >= 2')}), v AS (SELECT o.*, {fx._RV} AS res_var FROM o JOIN f USING (grp)), t AS (SELECT grp, any_value(stim) AS stim, sum(x)::DOUBLE AS total FROM counts JOIN g USING (cell_id) GROUP BY 1) SELECT v.gene_id, 'stim' AS tx, round(ln(sum(v.mean * t.total) FILTER (stim = 1) / sum(t.total) FILTER (stim = 1)) - ln(sum(v.mean * t.total) FILTER (stim = 0) / sum(t.total) FILTER (stim = 0)), 5) AS coef FROM v JOIN t USING (grp) WHERE res_var >= 0 AND v.mean > 0 GROUP BY 1")
+@query(f"WITH g AS ({_STIM_HALF}), m AS ({fx.moments_cte('g', ['grp'])}), k AS (SELECT gene_id FROM m GROUP BY 1 HAVING count(*) FILTER (raw_mean > 0.07 AND var > 0) / (SELECT count(DISTINCT grp) FROM g) > 0.7), o AS (SELECT * FROM m SEMI JOIN k USING (gene_id)), f AS ({fx.fit_cte('o', ['grp'], 'raw_max >= 2')}), v AS (SELECT o.*, {fx._RV} AS res_var FROM o JOIN f USING (grp)), t AS (SELECT grp, any_value(stim) AS stim, sum(x)::DOUBLE AS total FROM counts JOIN g USING (cell_id) GROUP BY 1) SELECT v.gene_id, 'stim' AS tx, round(ln(sum(v.mean * t.total) FILTER (stim = 1) / sum(t.total) FILTER (stim = 1)) - ln(sum(v.mean * t.total) FILTER (stim = 0) / sum(t.total) FILTER (stim = 0)), 5) + 0.0::DOUBLE AS coef FROM v JOIN t USING (grp) WHERE res_var >= 0 AND v.mean > 0 GROUP BY 1")
 def h12_observed_effects(spark, d):
     """The coefficients of the Poisson regressions with the observed means: with one 0/1 treatment the
     logs of two ratios."""
@@ -549,7 +549,7 @@ def h14_binary_test_2d(spark, d):
     return analysis.binary_test_2d(fx.counts(spark, d), fx.cells(spark, d), _pairs(spark, d), "stim", num_boot=300, trim_percent=0.5)
 
 
-@query("WITH c AS (SELECT * FROM corrs_stim WHERE gene_1 IN (SELECT gene_id FROM kept_stim) AND gene_2 IN (SELECT gene_id FROM kept_stim)) SELECT gene_1, gene_2, 'stim' AS tx, round(max(corr) FILTER (grp = 'sg^1' AND gene_1 <> gene_2 AND abs(corr) < 1) - max(corr) FILTER (grp = 'sg^0' AND gene_1 <> gene_2 AND abs(corr) < 1), 6) AS corr_coef FROM c GROUP BY ALL")
+@query("WITH c AS (SELECT * FROM corrs_stim WHERE gene_1 IN (SELECT gene_id FROM kept_stim) AND gene_2 IN (SELECT gene_id FROM kept_stim)) SELECT gene_1, gene_2, 'stim' AS tx, round(max(corr) FILTER (grp = 'sg^1' AND gene_1 <> gene_2 AND abs(corr) < 1) - max(corr) FILTER (grp = 'sg^0' AND gene_1 <> gene_2 AND abs(corr) < 1), 6) + 0.0::DOUBLE AS corr_coef FROM c GROUP BY ALL")
 def h14_observed_effects(spark, d):
     found = analysis.binary_test_2d(fx.counts(spark, d), fx.cells(spark, d), _pairs(spark, d), "stim", num_boot=0, trim_percent=0.5)
     return found.select("gene_1", "gene_2", "tx", r("corr_coef").alias("corr_coef"))
@@ -572,7 +572,7 @@ def h14_coexpression_qtl(spark, d):
 
 
 @query(
-    "WITH c AS (SELECT grp, gene_1, gene_2, corr, n_obs FROM corrs_nation WHERE gene_1 < gene_2 AND gene_1 IN (SELECT gene_id FROM kept_nation) AND gene_2 IN (SELECT gene_id FROM kept_nation)), p AS (SELECT DISTINCT gene_1, gene_2, 's' || (unnest([substr(gene_1, 7, 2)::INT, substr(gene_2, 7, 2)::INT]) % 20) AS tx FROM c), v AS (SELECT p.*, g.dosage AS t, corr AS y, n_obs::DOUBLE AS w FROM p JOIN c USING (gene_1, gene_2) JOIN genotypes g ON g.snp = tx AND 'sg^' || individual = grp WHERE abs(corr) < 1), s AS (SELECT gene_1, gene_2, tx, sum(w) AS w, sum(w * t) AS wt, sum(w * y) AS wy, sum(w * t * t) AS wtt, sum(w * t * y) AS wty FROM v GROUP BY ALL) SELECT p.gene_1, p.gene_2, p.tx, round(CASE WHEN wtt / w - (wt / w) * (wt / w) > 1e-9 THEN (wty - wt * wy / w) / (wtt - wt * wt / w) END, 5) AS corr_coef FROM p LEFT JOIN s USING (gene_1, gene_2, tx)"
+    "WITH c AS (SELECT grp, gene_1, gene_2, corr, n_obs FROM corrs_nation WHERE gene_1 < gene_2 AND gene_1 IN (SELECT gene_id FROM kept_nation) AND gene_2 IN (SELECT gene_id FROM kept_nation)), p AS (SELECT DISTINCT gene_1, gene_2, 's' || (unnest([substr(gene_1, 7, 2)::INT, substr(gene_2, 7, 2)::INT]) % 20) AS tx FROM c), v AS (SELECT p.*, g.dosage AS t, corr AS y, n_obs::DOUBLE AS w FROM p JOIN c USING (gene_1, gene_2) JOIN genotypes g ON g.snp = tx AND 'sg^' || individual = grp WHERE abs(corr) < 1), s AS (SELECT gene_1, gene_2, tx, sum(w) AS w, sum(w * t) AS wt, sum(w * y) AS wy, sum(w * t * t) AS wtt, sum(w * t * y) AS wty FROM v GROUP BY ALL) SELECT p.gene_1, p.gene_2, p.tx, round(CASE WHEN wtt / w - (wt / w) * (wt / w) > 1e-9 THEN (wty - wt * wy / w) / (wtt - wt * wt / w) END, 5) + 0.0::DOUBLE AS corr_coef FROM p LEFT JOIN s USING (gene_1, gene_2, tx)"
 )
 def h14_observed_coexpression_qtl(spark, d):
     found = _coexpression_qtl(spark, d, num_boot=0)
@@ -591,7 +591,7 @@ def h15_run_eqtl(spark, d):
 
 
 @query(
-    "WITH n AS (SELECT grp, gene_id, sx / n_obs + 1 AS mean, total / n_obs AS raw, n_obs FROM moments_nation), k AS (SELECT gene_id FROM n GROUP BY 1 HAVING count(*) FILTER (raw > 0.07) / (SELECT count(DISTINCT grp) FROM grouped_nation) > 0.3), v AS (SELECT gene_id AS gene, snp AS tx, ln(mean) AS y, dosage AS t, value AS c, n_obs::DOUBLE AS w FROM n SEMI JOIN k USING (gene_id) JOIN genotypes ON 'sg^' || genotypes.individual = grp JOIN covariates USING (individual)), s AS (SELECT gene, tx, sum(w) AS w, sum(w * t) / sum(w) AS mt, sum(w * y) / sum(w) AS my, sum(w * c) / sum(w) AS mc FROM v GROUP BY ALL), q AS (SELECT gene, tx, sum(v.w * (t - mt) * (t - mt)) AS tt, sum(v.w * (c - mc) * (c - mc)) AS cc, sum(v.w * (t - mt) * (c - mc)) AS tc, sum(v.w * (y - my) * (t - mt)) AS ty, sum(v.w * (y - my) * (c - mc)) AS cy FROM v JOIN s USING (gene, tx) GROUP BY ALL) SELECT gene, tx, round(CASE WHEN tt > 1e-9 AND tt - tc * tc / cc > 1e-6 * tt THEN (ty - tc * cy / cc) / (tt - tc * tc / cc) END, 6) AS de_coef FROM q"
+    "WITH n AS (SELECT grp, gene_id, sx / n_obs + 1 AS mean, total / n_obs AS raw, n_obs FROM moments_nation), k AS (SELECT gene_id FROM n GROUP BY 1 HAVING count(*) FILTER (raw > 0.07) / (SELECT count(DISTINCT grp) FROM grouped_nation) > 0.3), v AS (SELECT gene_id AS gene, snp AS tx, ln(mean) AS y, dosage AS t, value AS c, n_obs::DOUBLE AS w FROM n SEMI JOIN k USING (gene_id) JOIN genotypes ON 'sg^' || genotypes.individual = grp JOIN covariates USING (individual)), s AS (SELECT gene, tx, sum(w) AS w, sum(w * t) / sum(w) AS mt, sum(w * y) / sum(w) AS my, sum(w * c) / sum(w) AS mc FROM v GROUP BY ALL), q AS (SELECT gene, tx, sum(v.w * (t - mt) * (t - mt)) AS tt, sum(v.w * (c - mc) * (c - mc)) AS cc, sum(v.w * (t - mt) * (c - mc)) AS tc, sum(v.w * (y - my) * (t - mt)) AS ty, sum(v.w * (y - my) * (c - mc)) AS cy FROM v JOIN s USING (gene, tx) GROUP BY ALL) SELECT gene, tx, round(CASE WHEN tt > 1e-9 AND tt - tc * tc / cc > 1e-6 * tt THEN (ty - tc * cy / cc) / (tt - tc * tc / cc) END, 6) + 0.0::DOUBLE AS de_coef FROM q"
 )
 def h15_observed_effects(spark, d):
     return _eqtl(spark, d, 0).select("gene", "tx", r("de_coef").alias("de_coef"))
@@ -612,7 +612,7 @@ def h16_pairwise_cube_test(spark, d):
 
 
 @query(
-    "WITH c AS (SELECT stim, region, gene_id, n_obs, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT stim, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (stim, region) GROUP BY stim, region, gene_id, n_obs), b AS (SELECT * FROM c WHERE region IN (SELECT region FROM c GROUP BY 1 HAVING count(DISTINCT stim) > 1)), v AS (SELECT * FROM b WHERE n_obs > 20 AND mean > 0 AND sem > 0), k AS (SELECT gene_id FROM v GROUP BY 1 HAVING count(*) >= 0.7 * (SELECT count(*) FROM (SELECT DISTINCT stim, region FROM b))), p AS (SELECT gene_id, region, max(ln(mean)) FILTER (stim = 1) - max(ln(mean)) FILTER (stim = 0) AS d, sum(pow(sem / mean, 2)) AS s FROM v SEMI JOIN k USING (gene_id) GROUP BY ALL HAVING count(*) = 2) SELECT gene_id, round(avg(d), 6) AS coef, round(sqrt(sum(s)) / count(*), 6) AS se FROM p GROUP BY 1"
+    "WITH c AS (SELECT stim, region, gene_id, n_obs, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT stim, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (stim, region) GROUP BY stim, region, gene_id, n_obs), b AS (SELECT * FROM c WHERE region IN (SELECT region FROM c GROUP BY 1 HAVING count(DISTINCT stim) > 1)), v AS (SELECT * FROM b WHERE n_obs > 20 AND mean > 0 AND sem > 0), k AS (SELECT gene_id FROM v GROUP BY 1 HAVING count(*) >= 0.7 * (SELECT count(*) FROM (SELECT DISTINCT stim, region FROM b))), p AS (SELECT gene_id, region, max(ln(mean)) FILTER (stim = 1) - max(ln(mean)) FILTER (stim = 0) AS d, sum(pow(sem / mean, 2)) AS s FROM v SEMI JOIN k USING (gene_id) GROUP BY ALL HAVING count(*) = 2) SELECT gene_id, round(avg(d), 6) + 0.0::DOUBLE AS coef, round(sqrt(sum(s)) / count(*), 6) AS se FROM p GROUP BY 1"
 )
 def h17_meta_effects(spark, d):
     """With every block complete the design is saturated: the mean difference over blocks, and its error."""
@@ -709,7 +709,7 @@ def _association(spark, d):
     return expression, genotypes, expression.select("gene_id").distinct().crossJoin(genotypes.select("snp").distinct())
 
 
-@query(f"WITH e AS ({_EXPR}) SELECT gene_id, snp, round(regr_slope(v, dosage), 6) AS beta, count(*) - 2 AS df FROM e JOIN genotypes ON individual = CAST(nation AS VARCHAR) GROUP BY ALL HAVING var_pop(dosage) > 1e-9")
+@query(f"WITH e AS ({_EXPR}) SELECT gene_id, snp, round(regr_slope(v, dosage), 6) + 0.0::DOUBLE AS beta, count(*) - 2 AS df FROM e JOIN genotypes ON individual = CAST(nation AS VARCHAR) GROUP BY ALL HAVING var_pop(dosage) > 1e-9")
 def h23_pseudobulk_linear(spark, d):
     return testing.pseudobulk_linear(*_association(spark, d)).select("gene_id", "snp", r("beta").alias("beta"), "df")
 
@@ -717,7 +717,7 @@ def h23_pseudobulk_linear(spark, d):
 _ASSOCIATED = f"WITH e AS ({_EXPR}), s AS (SELECT gene_id, snp, count(*) AS n, var_pop(dosage) * count(*) AS gg, var_pop(v) * count(*) AS yy, var_pop(value) * count(*) AS cc, covar_pop(v, dosage) * count(*) AS gy, covar_pop(dosage, value) * count(*) AS gc, covar_pop(v, value) * count(*) AS cy FROM e JOIN genotypes ON individual = CAST(nation AS VARCHAR) JOIN covariates USING (individual) GROUP BY ALL), f AS (SELECT gene_id, snp, n - 3 AS df, gg - gc * gc / cc AS g2, gy - gc * cy / cc AS g1, yy - cy * cy / cc AS y2 FROM s), t AS (SELECT gene_id, snp, df, g1 / g2 AS beta, g1 / g2 / sqrt((y2 - g1 * g1 / g2) / df / g2) AS t FROM f WHERE g2 > 1e-9)"
 
 
-@query(f"{_ASSOCIATED}, p AS (SELECT *, {fx.STUDENT_P.format(t='t', df='df')} AS p FROM t), k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p) SELECT gene_id, snp, round(beta, 6) AS beta, round(t, 5) AS t, df, round(p, 7) AS pval, round(least(1, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS fdr FROM k")
+@query(f"{_ASSOCIATED}, p AS (SELECT *, {fx.STUDENT_P.format(t='t', df='df')} AS p FROM t), k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p) SELECT gene_id, snp, round(beta, 6) + 0.0::DOUBLE AS beta, round(t, 5) + 0.0::DOUBLE AS t, df, round(p, 7) AS pval, round(least(1, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS fdr FROM k")
 def h23_cis_association(spark, d):
     """With a covariate."""
     found = testing.cis_association(*_association(spark, d), fx.covariates(spark, d))
@@ -736,7 +736,7 @@ def h24_log1p_wls(spark, d):
 
 
 @query(
-    "WITH c AS (SELECT seg, region, gene_id, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT seg, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (seg, region) GROUP BY seg, region, gene_id, n_obs), e AS (SELECT gene_id, (seg = 'BUILDING')::INT::DOUBLE AS t, ln(1 + mean) AS y, (ln(1 + mean + sem) - ln(1 + greatest(mean - sem, -0.999999))) / 2 AS se FROM c), w AS (SELECT *, pow(CASE WHEN se > 0 THEN se ELSE min(se) FILTER (se > 0) OVER (PARTITION BY gene_id) END, -2) AS w FROM e), s AS (SELECT gene_id, sum(w) AS w, sum(w * t) AS wt, sum(w * y) AS wy, sum(w * t * t) AS wtt, sum(w * t * y) AS wty FROM w WHERE w IS NOT NULL GROUP BY 1) SELECT gene_id, 'stim' AS tx, round((w * wty - wt * wy) / (w * wtt - wt * wt), 8) AS coef, round(sqrt(w / (w * wtt - wt * wt)), 8) AS se FROM s WHERE w * wtt - wt * wt > 1e-9 * w * wtt"
+    "WITH c AS (SELECT seg, region, gene_id, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT seg, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (seg, region) GROUP BY seg, region, gene_id, n_obs), e AS (SELECT gene_id, (seg = 'BUILDING')::INT::DOUBLE AS t, ln(1 + mean) AS y, (ln(1 + mean + sem) - ln(1 + greatest(mean - sem, -0.999999))) / 2 AS se FROM c), w AS (SELECT *, pow(CASE WHEN se > 0 THEN se ELSE min(se) FILTER (se > 0) OVER (PARTITION BY gene_id) END, -2) AS w FROM e), s AS (SELECT gene_id, sum(w) AS w, sum(w * t) AS wt, sum(w * y) AS wy, sum(w * t * t) AS wtt, sum(w * t * y) AS wty FROM w WHERE w IS NOT NULL GROUP BY 1) SELECT gene_id, 'stim' AS tx, round((w * wty - wt * wy) / (w * wtt - wt * wt), 8) + 0.0::DOUBLE AS coef, round(sqrt(w / (w * wtt - wt * wt)), 8) AS se FROM s WHERE w * wtt - wt * wt > 1e-9 * w * wtt"
 )
 def h24_log1p_effects(spark, d):
     return _wls(spark, d).filter("se > 0").select("gene_id", "tx", r("coef", 8).alias("coef"), r("se", 8).alias("se"))
