@@ -27,5 +27,20 @@ def tasks_for(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def clean_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id`` (long), ``v`` (components as double), ``dim`` and ``keep``; rows whose vector is null or holds a null or
+    non-finite component are left out. A null id stays: such a row is a candidate like any other."""
+    v = F.col(vector_col).cast("array<double>")
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.filter(v.isNotNull() & F.coalesce(good, F.lit(False)))
+    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dim"), *keep)
+
+
+def whole_vectors(vectors: DataFrame, scale: float, id_col: str = "vec_id", vector_col: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``clean_vectors`` with floor(scale * x) for each component x; one beyond 2 ** 62 is an error."""
+    whole = lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale).cast("double")).otherwise(F.raise_error(F.lit("a scaled component is beyond 2 ** 62")).cast("double"))
+    return clean_vectors(vectors, id_col, vector_col, keep).withColumn("v", F.transform("v", whole))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

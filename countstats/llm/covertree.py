@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage import materialize
-from .common import tasks_for
+from .common import tasks_for, whole_vectors
 
 #: Rows of a block of data and of queries, about: what one task holds of either.
 DATA_BLOCK = 8192
@@ -210,17 +210,6 @@ def _products(a: np.ndarray, b: np.ndarray, a_rows: np.ndarray, b_rows: np.ndarr
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """id, ``v`` (floor(scale * x) of each component x as double) and ``dim``; rows whose id or vector
-    is null or whose vector holds a null or non-finite component are left out. A component beyond
-    2 ** 62 after scaling is an error."""
-    v = F.col(vector_col).cast("array<double>")
-    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False)))
-    whole = lambda x: F.when(F.abs(x * scale) < _HIGHEST, F.floor(x * scale).cast("double")).otherwise(F.raise_error(F.lit("a scaled component is beyond 2 ** 62")).cast("double"))
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, whole).alias("v"), F.size(vector_col).alias("dim"))
-
-
 def _nearest(pivots: dict[int, np.ndarray]):
     @F.pandas_udf(T.IntegerType())
     def cell(v: pd.Series, dim: pd.Series) -> pd.Series:
@@ -254,6 +243,8 @@ def _wide(tree: CoverTree) -> CoverTree:
     return replace(tree, points=tree.points.astype(float))
 
 
+#: Stands for a null id in a block, and comes after all others.
+_NO_ID = (1 << 63) - 1
 _BLOCK = "block string, cell string, dim int, n int, tree binary, center array<double>, radius double, least double"
 
 
@@ -262,7 +253,7 @@ def _trees(rows: DataFrame, sampled: dict[int, tuple[np.ndarray, np.ndarray]] |
     a score that the kth of each has at least, from the sampled data; ``least`` is the worst of these."""
 
     def grow(key: tuple, table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
+        frame, ids = table.drop_columns("id").to_pandas(), table.column("id").fill_null(_NO_ID).to_numpy()
         points = np.array(frame["v"].to_list(), dtype=float).reshape(len(frame), -1)
         tree, row = build_tree(points, LEAF if sampled is None else QUERY_LEAF), frame["row"].to_numpy()
         least = np.full(len(frame), -np.inf)
@@ -271,7 +262,7 @@ def _trees(rows: DataFrame, sampled: dict[int, tuple[np.ndarray, np.ndarray]] |
             scores = _products(points, known, row, known_rows).astype(float)
             scores[row[:, None] == known_rows[None, :]] = -np.inf
             least = np.partition(scores, len(known) - k, axis=1)[:, len(known) - k]
-        blob = pickle.dumps((_narrow(tree), frame["id"].to_numpy()[tree.order], row[tree.order], least[tree.order]))
+        blob = pickle.dumps((_narrow(tree), ids[tree.order], row[tree.order], least[tree.order]))
         return pa.table({"block": [key[0].as_py()], "cell": [frame["cell"][0]], "dim": pa.array([frame["dim"][0]], pa.int32()), "n": pa.array([len(frame)], pa.int32()), "tree": [blob], "center": [tree.center[0]], "radius": [tree.radius[0]], "least": [float(least.min())]})
 
     return materialize(rows.select("block", "cell", "dim", "id", "row", "v").groupBy("block").applyInArrow(grow, _BLOCK))
@@ -334,18 +325,19 @@ def _meet(k: int):
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which ``is_query`` (over ``id``) holds, the
-    ``k`` other rows with the highest inner product, ties to the smaller id.
+    ``k`` other rows with the highest inner product of floor(scale * x), ties to the smaller id, null last.
 
     A query row's candidates are all rows of its dimension but itself; a repeated row is another
-    row, and a repeated query row is a query of its own. With fewer than ``k`` candidates all are
-    returned. Rows near the same of a bounded number of pivots are put into blocks of bounded size,
+    row, and a repeated query row is a query of its own. A row of null id is a candidate (so the
+    largest long can't be an id). Rows whose vector is null or holds a null or non-finite component
+    take no part; an empty table gives no rows. With fewer than ``k`` candidates all are returned. Rows near the same of a bounded number of pivots are put into blocks of bounded size,
     also if a third of all rows are one vector, and each block becomes a cover tree once. Pairs of
     blocks whose bound is below the queries' kth scores fall away: first against those in a bounded
     sample, then, from round to round, against those found. Products up to 2 ** 62 are exact, beyond
     they are an error.
     """
     spark = vectors.sparkSession
-    rows = materialize(integer_vectors(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()))
+    rows = materialize(whole_vectors(vectors, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
     total = rows.count()
     drawn = rows.orderBy(F.xxhash64("id", "row")).limit(max(SAMPLE, min(DATA_CELLS, total // data_block))).toPandas()
     by_dim = {int(d): part for d, part in drawn.groupby("dim")}
@@ -378,18 +370,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
         found = tiles.groupBy("q", "part").applyInArrow(_meet(k), _FOUND)
         best = materialize(best.union(found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"))
         begin, end = end, end + (end - begin) * GROWTH
-    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", F.nullif("vec_id", F.lit(_NO_ID)).alias("vec_id"), "score")
 
 
 ORACLE = """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS r, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
   SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id, c.r, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.e, c.e)]) AS BIGINT) AS score
   FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
 ), ranked AS (
-  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, r) AS INTEGER) AS rank FROM scored
+  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST, r) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, language, lines, mixing, quality, sharding, simhash, substrings, tokens
+from . import covertree, decontaminate, fim, hnsw, language, lines, mixing, negatives, quality, sharding, simhash, substrings, tokens
 from .common import table
 
 
@@ -58,9 +58,29 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every hundredth row of ``embeddings``, after every seventh label has moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256.0)
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 20 nearest of every twentieth row of ``embeddings``."""
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's output and of the text that is restored from it."""
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_share=50, keep=["doc_id"])
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_decontaminate, op4_quality, op5_line_dedup, op6_mixing, op7_sharding, op8_substring_dedup, op9_simhash, op10_top_k)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_decontaminate, op4_quality, op5_line_dedup, op6_mixing, op7_sharding, op8_substring_dedup, op9_simhash, op10_top_k, op11_hard_negatives, op12_nearest, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op5_line_dedup": lines.ORACLE, "op7_sharding": sharding.oracle_sql(shards=40), "op10_top_k": covertree.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op5_line_dedup": lines.ORACLE, "op7_sharding": sharding.oracle_sql(shards=40), "op10_top_k": covertree.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op13_fill_in_middle": fim.ORACLE}
