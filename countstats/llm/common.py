@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII white space; what lies between is one word.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a worker turns into Python objects at once.
+SLICE_BYTES = 2 << 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -22,6 +29,20 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)).cast("long")
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of the texts in ``column``, and at least one row: what a worker turns into
+    Python objects at once. A text counts some bytes more than it has, so that empty ones are bounded too."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, size = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if size and size + n > most:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n + 64
+    if first < len(batch):
+        yield batch.slice(first)
+
+
 def tasks_for(spark: SparkSession) -> int:
     """A number of tasks for rows that are few bytes but much work, and so must not be joined to few tasks by their size."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -53,7 +53,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm_share: i
     new = ("n", "form", "prefix_chars", "middle_chars", "output")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    source = docs.select(F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_row"), key.alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    source = docs.select(F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("_row"), key.alias("_key"), F.col(text_col).cast("string").alias("_text"))
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.large_string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

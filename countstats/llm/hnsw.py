@@ -80,19 +80,20 @@ def walk(points: np.ndarray, layer: np.ndarray, queries: np.ndarray, entries: np
     return np.take_along_axis(best, order, axis=1), np.take_along_axis(score, order, axis=1)
 
 
-def _diverse(points: np.ndarray, owners: np.ndarray, found: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
-    """Of each owner's candidates, best first, those that are nearer to the owner than to any taken before
-    them, ``most`` at most; places that stay free go to the best of the others."""
+def _diverse(points: np.ndarray, owners: np.ndarray, found: np.ndarray, score: np.ndarray, most: int, must: np.ndarray | None = None) -> np.ndarray:
+    """Of each owner's candidates, best first, those that ``must`` be taken and those that are nearer to the
+    owner than to any taken before them, ``most`` at most; places that stay free go to the best of the others."""
     real = (found >= 0) & (found != owners[:, None])
+    must = real & must if must is not None else np.zeros(found.shape, dtype=bool)
     own = points[found]
     between = own @ own.transpose(0, 2, 1)
-    taken, passed = np.zeros(found.shape, dtype=bool), np.zeros(found.shape, dtype=bool)
+    taken, room = np.zeros(found.shape, dtype=bool), most - must.sum(axis=1)
     for j in range(found.shape[1]):
         blocked = (taken[:, :j] & (between[:, j, :j] > score[:, j, None])).any(axis=1)
-        room = taken.sum(axis=1) < most
-        taken[:, j] = real[:, j] & ~blocked & room
-        passed[:, j] = real[:, j] & ~taken[:, j]
-    rank = np.where(taken, 0, np.where(passed, 1, 2))
+        free = real[:, j] & ~must[:, j] & ~blocked & (room > 0)
+        taken[:, j] = free | must[:, j]
+        room -= free
+    rank = np.where(taken, 0, np.where(real, 1, 2))
     order = np.argsort(rank, axis=1, kind="stable")[:, :most]
     links = np.where(np.take_along_axis(rank, order, axis=1) < 2, np.take_along_axis(found, order, axis=1), -1)
     return np.pad(links, ((0, 0), (0, max(0, most - links.shape[1]))), constant_values=-1)
@@ -107,9 +108,10 @@ def _best_first(points: np.ndarray, owners: np.ndarray, found: np.ndarray) -> tu
     return np.take_along_axis(found, order, axis=1), np.take_along_axis(score, order, axis=1)
 
 
-def _link_back(points: np.ndarray, layer: np.ndarray, new: np.ndarray) -> None:
-    """Give the neighbours of the points ``new`` a link to them; one with too many keeps a diverse choice."""
-    to, source = layer[new].ravel(), np.repeat(new, layer.shape[1])
+def _link_back(points: np.ndarray, layer: np.ndarray, new: np.ndarray, parent: np.ndarray) -> None:
+    """Give the neighbours of the points ``new``, and their parents, a link to them; one with too many keeps
+    those to its children and a diverse choice of the others."""
+    to, source = np.column_stack([layer[new], parent[new]]).ravel(), np.repeat(new, layer.shape[1] + 1)
     to, source = to[to >= 0], source[to >= 0]
     if not len(to):
         return
@@ -127,14 +129,16 @@ def _link_back(points: np.ndarray, layer: np.ndarray, new: np.ndarray) -> None:
             few = (found >= 0).sum(axis=1) <= layer.shape[1]
             layer[own[few]] = found[few][:, : layer.shape[1]]
             if not few.all():
-                layer[own[~few]] = _diverse(points, own[~few], found[~few], score[~few], layer.shape[1])
+                layer[own[~few]] = _diverse(points, own[~few], found[~few], score[~few], layer.shape[1], parent[found[~few]] == own[~few, None])
 
 
 def build(points: np.ndarray, links: int = LINKS, ef: int = EF_BUILD) -> Graph:
     """A graph over ``points`` (see ``lifted``), whose order must say nothing about them. Each layer has
     about a ``links``-th of the points of the one below it, from the top on, and is built from the
     top: points enter a few at a time, search what is there, and link to a diverse choice of what they
-    find and of each other."""
+    find and of each other. A point's parent, the best of what it finds that has few children, always
+    keeps its link to it, so that every point can be reached.
+    """
     sizes = [len(points)]
     while sizes[-1] > links:
         sizes.append(math.ceil(sizes[-1] / links))
@@ -142,7 +146,7 @@ def build(points: np.ndarray, links: int = LINKS, ef: int = EF_BUILD) -> Graph:
     for depth, size in enumerate(reversed(sizes)):
         layer = np.full((size, links if depth < len(sizes) - 1 else 2 * links), -1, dtype=np.int32)
         above = len(layers[0]) if layers else 0
-        begin = 0
+        begin, parent, children = 0, np.full(size, -1), np.zeros(size, dtype=np.int64)
         while begin < size:
             end = min(size, begin + max(1, min(_TOGETHER, begin)))
             new = np.arange(begin, end)
@@ -150,10 +154,14 @@ def build(points: np.ndarray, links: int = LINKS, ef: int = EF_BUILD) -> Graph:
             if begin:
                 entries = descend(points, layers, points[new]) if begin >= above else np.zeros(len(new), np.int64)
                 found = walk(points, layer, points[new], entries, ef)[0]
+                for i, own in zip(new.tolist(), found):
+                    own = own[own >= 0]
+                    parent[i] = own[int((children[own] < links // 2).argmax())]
+                    children[parent[i]] += 1
                 mates = np.concatenate([found, mates], axis=1)
             found, score = _best_first(points, new, np.where(mates == new[:, None], -1, mates))
             layer[new, :links] = _diverse(points, new, found[:, :ef], score[:, :ef], links)
-            _link_back(points, layer, new)
+            _link_back(points, layer, new, parent)
             begin = end
         layers.insert(0, layer)
     return Graph(points, layers)

@@ -88,13 +88,13 @@ def _windows(levels: list[DataFrame], length: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, ref, runs): maximal runs (start, end), by filled line, that occurred earlier as a whole; for
-    documents that have any.
+    """(id, ref, runs): the lines, as (start, end) by filled line, of later copies; for documents that have any.
 
-    A run counts from ``min_lines`` filled lines on, and a single line from ``min_chars`` characters
-    on. Runs of a document that repeat earlier ones and share lines make one run, which is a copy only
-    if an earlier place has all of it: where A, B and B, C occurred but never A, B, C, the three lines
-    in a row are new. Earlier means a smaller doc_id (null last), or a place further up.
+    A run counts from ``min_lines`` filled lines on, and a single line from ``min_chars`` characters on. Every
+    maximal run that occurred earlier is a later copy and goes: its parts of ``min_lines`` lines (two at least) occurred
+    earlier too, so these are looked up, and those that share lines are joined. Where A, B and B, C
+    occurred earlier, A, B, C go together. Earlier means a smaller doc_id (null last), or a place
+    further up in the text.
     """
     if min_lines < 1 or min_chars < 1:
         raise ValueError("min_lines and min_chars must be at least 1")
@@ -108,13 +108,13 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
         return sequences.limit(0).select("id", "ref", F.lit(None).cast("array<struct<start:int,end:int>>").alias("runs"))
 
     single = levels[0].filter("long").select("id", "ref", F.col("at").alias("start"), (F.col("at") + 1).alias("end"))
-    pieces = later_copies(levels, _windows(levels, min_lines).union(single).distinct())
+    windows = _windows(levels, min_lines) if min_lines > 1 else _windows(levels, 1).union(_windows(levels, 2))
+    pieces = later_copies(levels, windows.union(single).distinct())
     own = Window.partitionBy("id", "ref").orderBy("start", "end")
     reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     joined = pieces.withColumn("new", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = materialize(joined.groupBy("id", "ref", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")))
-    whole = later_copies(levels, runs.select("id", "ref", "start", "end"))
-    return whole.groupBy("id", "ref").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    runs = joined.groupBy("id", "ref", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("id", "ref").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, keep: list[str] | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -146,7 +146,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, keep: list[str] | N
 
 
 #: For the standard limits: pairs of neighbouring filled lines and long single lines that occurred before
-#: are joined where they share lines, and deleted if an earlier place has all of them in a row.
+#: go; where they share lines they are one run, which goes with the blank lines inside it.
 ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
@@ -164,12 +164,8 @@ WITH lines AS (
 ), runs AS (
   SELECT doc_id, min(s) AS s, max(e) AS e
   FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM marked) GROUP BY doc_id, k
-), seqs AS (
-  SELECT doc_id, list(line ORDER BY p) AS q, list(i ORDER BY p) AS places FROM filled GROUP BY doc_id
 ), copies AS (
-  SELECT r.doc_id, any_value(o.places[r.s]) AS i, any_value(o.places[r.e - 1]) AS j
-  FROM runs r JOIN seqs o USING (doc_id) JOIN filled f ON f.line = o.q[r.s] AND (f.doc_id < r.doc_id OR f.doc_id = r.doc_id AND f.p < r.s) JOIN seqs g ON g.doc_id = f.doc_id
-  WHERE g.q[f.p:f.p + r.e - r.s - 1] = o.q[r.s:r.e - 1] GROUP BY r.doc_id, r.s
+  SELECT r.doc_id, a.i AS i, b.i AS j FROM runs r JOIN filled a ON a.doc_id = r.doc_id AND a.p = r.s JOIN filled b ON b.doc_id = r.doc_id AND b.p = r.e - 1
 ), deleted AS (
   SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, j + 1)) AS k FROM copies) GROUP BY doc_id
 )

@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def _search(k: int, same: bool, low: int = 0, high: int = 0):
             code = {value: i for i, value in enumerate(labels.dictionary.to_pylist())}
             lists = Lists(_matrix(block.column("v")), labels.indices.to_numpy())
             tie = np.empty(len(rows), np.int64)  # place by id, null last, then by row
-            tie[pa.compute.sort_indices(block.select(["id", "row"]), [("id", "ascending"), ("row", "ascending")]).to_numpy()] = np.arange(len(rows))
+            tie[pc.sort_indices(block.select(["id", "row"]), [("id", "ascending"), ("row", "ascending")]).to_numpy()] = np.arange(len(rows))
             vectors = _matrix(anchors.column("v"))
             at = {row: i for i, row in enumerate(rows.tolist())} if same else {}
             for i, (own, label, positives) in enumerate(zip(anchors.column("row").to_pylist(), anchors.column("label").to_pylist(), anchors.column("positives").to_pylist())):

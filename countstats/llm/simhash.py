@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import chain, combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage import materialize
+from .common import by_bytes, tasks_for
 from .components import connected_components
 
 BITS = 64
@@ -21,53 +22,59 @@ BITS = 64
 PAIR_BUCKET = 32
 #: A bucket of more rows is split into tiles of half as many.
 TILE = 2048
+#: One node in so many is counted to find these buckets.
+_COUNTED = 32
 #: Shingle fingerprints of texts at cosine 0.8 differ in 13 of 64 bits on average, hardly ever in more than this.
 CANDIDATE_BITS = 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def _fingerprint_batch(texts: list[list[bytes]], shingle: int, seed: int) -> np.ndarray:
-    """Unsigned fingerprints of word lists: a bit is set if it is in over half of the shingles' hashes."""
-    hashes, counts = [], np.zeros(len(texts), dtype=np.int64)
-    for i, words in enumerate(texts):
-        if not words:
-            continue
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        counts[i] = max(1, len(words) - shingle + 1)
-        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=counts[i]))
-    if not hashes:
-        return np.zeros(len(texts), dtype=np.uint64)
-    lanes = np.concatenate(hashes).astype("<u8").view(np.uint8).reshape(-1, 8)
-    base = np.repeat(np.arange(len(texts), dtype=np.int64) * 256, counts)
+def _hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """A hash for each shingle of ``words``, repeats included; fewer words than ``shingle`` are one."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def _fingerprint_batch(hashes: list[np.ndarray]) -> np.ndarray:
+    """Unsigned fingerprints: a bit is set if it is in over half of the hashes; 0 without any."""
+    counts = np.array([len(h) for h in hashes], dtype=np.int64)
+    lanes = np.concatenate([*hashes, np.zeros(0, np.uint64)]).astype("<u8").view(np.uint8).reshape(-1, 8)
+    base = np.repeat(np.arange(len(hashes), dtype=np.int64) * 256, counts)
     bits = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros(len(hashes), dtype=np.uint64)
     for lane in range(8):
-        histogram = np.bincount(base + lanes[:, lane], minlength=len(texts) * 256).reshape(-1, 256)
+        histogram = np.bincount(base + lanes[:, lane], minlength=len(hashes) * 256).reshape(-1, 256)
         most = (2 * (histogram @ bits) > counts[:, None]).astype(np.uint64)
         out |= (most << (np.arange(8, dtype=np.uint64) + np.uint64(8 * lane))).sum(axis=1, dtype=np.uint64)
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", with_words: bool = False) -> DataFrame:
-    """``id_col``, ``fp`` and, if ``with_words``, ``word_fp`` (fingerprints as signed longs) for every row.
+def fingerprints(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", with_sets: bool = False) -> DataFrame:
+    """``id_col``, ``fp`` and, if ``with_sets``, ``word_fp`` (fingerprints as signed longs) and ``set`` for every row.
 
     Words lie between ASCII white space, A-Z count as a-z. A text of fewer words than ``shingle``
     is one shingle; a null or empty one has fingerprint 0. ``word_fp`` is the fingerprint of the
-    set of words without punctuation. All other columns are ignored.
+    set of words without punctuation, ``set`` a digest of 128 bits of the set of shingles. All other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for start in range(0, len(texts), 512):  # bounds the shingles held at once
-                part = [(t or b"").lower() for t in texts.slice(start, 512).to_pylist()]
-                fp = _fingerprint_batch([t.split() for t in part], shingle, seed)
-                word_fp = _fingerprint_batch([list(dict.fromkeys(_WORD.findall(t))) for t in part], 1, seed) if with_words else fp
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 512), pa.array(fp.view(np.int64)), pa.array(word_fp.view(np.int64))], names=["id", "fp", "word_fp"])
+            for part in by_bytes(batch, 1):
+                texts = [(t or b"").lower() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                hashes = [_hashes(t.split(), shingle, seed) for t in texts]
+                fp, more = _fingerprint_batch(hashes), []
+                if with_sets:
+                    word_fp = _fingerprint_batch([_hashes(list(dict.fromkeys(_WORD.findall(t))), 1, seed) for t in texts])
+                    more = [pa.array(word_fp.view(np.int64)), pa.array([xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *more], names=["id", "fp", "word_fp", "set"][: 2 + len(more)])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType()), T.StructField("word_fp", T.LongType())])
-    return source.mapInArrow(run, schema).select(F.col("id").alias(id_col), "fp", *["word_fp"] * with_words)
+    fields = [T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType()), *[T.StructField("word_fp", T.LongType()), T.StructField("set", T.BinaryType())][: 2 * with_sets]]
+    return source.mapInArrow(run, T.StructType(fields)).withColumnRenamed("id", id_col)
 
 
 def _block_masks(distance: int, blocks: int) -> list[int]:
@@ -145,15 +152,12 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str
     32-bit hashes in a binary; empty without words."""
 
     def one(text: bytes | None) -> bytes:
-        words = (text or b"").lower().split()
-        parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] * bool(words)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), dtype=np.uint64)
+        hashes = _hashes((text or b"").lower().split(), shingle, seed)
         return np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for part in by_bytes(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([one(t.as_py()) for t in part.column(1).cast(pa.binary())], pa.binary())], names=["id", "shingles"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -180,92 +184,84 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, "a bigint, b bigint")
 
 
-def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A minimum spanning forest of ``fps`` by differing bits, of links of at most ``distance``: fewer links
-    than fingerprints, whatever the number of close pairs, and each one's nearest is among them."""
-    near, to = np.bitwise_count(fps ^ fps[:1]).astype(np.int64), np.zeros(len(fps), dtype=np.int64)
+def _forest(fps: np.ndarray, word_fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two ends of each link of a minimum spanning forest: of links between fingerprints that
+    differ in ``distance`` bits at most, nearest first by the bits in which both fingerprints differ. Fewer
+    links than nodes, whatever the number of close pairs, and each node's nearest is among them."""
+
+    def gaps(to: np.ndarray, at: int) -> np.ndarray:
+        gap = np.bitwise_count(fps[to] ^ fps[at]).astype(np.int64)
+        return np.where(gap <= distance, gap + np.bitwise_count(word_fps[to] ^ word_fps[at]), 1 << 20)
+
     left, a, b = np.arange(1, len(fps)), [], []
+    near, parent = np.append(0, gaps(left, 0)), np.zeros(len(fps), dtype=np.int64)
     while len(left):
         at = int(near[left].argmin())
         new = left[at]
         left = np.delete(left, at)
-        if near[new] <= distance:
-            a.append(to[new])
+        if near[new] < 1 << 20:
+            a.append(parent[new])
             b.append(new)
-        gap = np.bitwise_count(fps[left] ^ fps[new])
+        gap = gaps(left, new)
         closer = gap < near[left]
-        near[left[closer]], to[left[closer]] = gap[closer], new
-    return fps[np.array(a, dtype=np.int64)], fps[np.array(b, dtype=np.int64)]
+        near[left[closer]], parent[left[closer]] = gap[closer], new
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+def _scan(distance: int):
+    """Links within each bucket, of rows (key, tile, fp, word_fp, node) sorted by key and tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((0, 5), dtype=np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rows = np.concatenate([rows, np.column_stack([c.to_numpy() for c in batch.columns])])
+            change = np.ones(len(rows), dtype=bool)
+            change[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+            starts = np.flatnonzero(change)
+            ends = np.append(starts[1:], len(rows))
+            if batch is not None:  # the last bucket may go on
+                starts, ends = starts[:-1], ends[:-1]
+            done = ends[-1] if len(ends) else 0
+            fps, word_fps, nodes = (rows[:, i].copy() for i in (2, 3, 4))
+            fps, word_fps = fps.view(np.uint64), word_fps.view(np.uint64)
+            two = starts[ends - starts == 2]
+            two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
+            a, b = [nodes[two]], [nodes[two + 1]]
+            for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
+                x, y = _forest(fps[s:e], word_fps[s:e], distance)
+                a.append(nodes[s:e][x])
+                b.append(nodes[s:e][y])
+            rows = rows[done:]
+            links = np.column_stack([np.concatenate(a), np.concatenate(b)])
+            links.sort(axis=1)
+            links = np.unique(links, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def similar_links(nodes: DataFrame, distance: int = CANDIDATE_BITS, agreeing: int = 3, blocks: int = 9) -> DataFrame:
-    """Candidate edges (a, b) over the ``fp`` of ``nodes`` (fp, word_fp).
+    """Candidate edges (a, b), a < b, over the ``node`` of ``nodes`` (node, fp, word_fp), longs.
 
     Two nodes may be linked if their word fingerprints agree on ``agreeing`` of ``blocks`` blocks, as any
     two that differ in ``blocks - agreeing`` bits do, and their shingle fingerprints differ in ``distance``
-    bits at most. The rows of a bucket come to one task sorted, which emits a minimum spanning forest
-    of these links, never all pairs. A bucket of over TILE rows is split into tiles, and each two
-    tiles meet in a task of their own.
+    bits at most; or if these are equal. A bucket makes a minimum spanning forest of these links, never all pairs. One of over
+    TILE nodes, by a count over a 32nd of them, is split into tiles of half as many before its rows
+    come together, and each two tiles meet in a task of their own.
     """
     masks = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(_block_masks(blocks - agreeing, blocks))])
-    keyed = nodes.select("fp", F.explode(F.transform(masks, lambda m: F.xxhash64(m["choice"], F.col("word_fp").bitwiseAND(m["mask"])))).alias("key"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        large = None  # the key of a bucket that is passed on row by row
-
-        def runs(end: bool) -> pa.RecordBatch:
-            nonlocal key, fp, large
-            starts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(key))
-            a, b, tiled = [], [], [(key[:0], fp[:0])]
-            hot = key[starts] == large if large is not None else np.zeros(len(starts), dtype=bool)  # more rows of a bucket passed on before
-            pair = (ends - starts == 2) & ~hot
-            if not end and len(pair):
-                pair[-1] = False
-            x, y = fp[starts[pair]], fp[starts[pair] + 1]
-            close = (np.bitwise_count(x ^ y) <= distance) & (x != y)
-            a.append(x[close])
-            b.append(y[close])
-            rest = 0 if not len(starts) else (len(key) if end else starts[-1])
-            for s, e in zip(*(z[~pair & (hot | (ends - starts > 1))].tolist() for z in (starts, ends))):
-                if key[s] == large or e - s > TILE:
-                    large = key[s]
-                    tiled.append((key[s:e], fp[s:e]))
-                    rest = max(rest, e) if e == len(key) else rest
-                elif e <= rest:
-                    x, y = _forest(np.unique(fp[s:e]), distance)
-                    a.append(x)
-                    b.append(y)
-            key, fp = key[rest:], fp[rest:]
-            links = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
-            tile_key, tile_fp = (np.concatenate(z) for z in zip(*tiled))
-            n, m = len(links), len(tile_key)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None] * n + tile_key.tolist(), pa.int64()), pa.array(np.concatenate([links[:, 0], tile_fp]).view(np.int64)), pa.array(np.concatenate([links[:, 1], np.zeros(m, np.uint64)]).view(np.int64))], names=["key", "a", "b"]
-            )
+    keys = F.transform(masks, lambda m: F.xxhash64(m["choice"], F.col("word_fp").bitwiseAND(m["mask"])))
+    keyed = nodes.select("node", "fp", "word_fp", F.explode(F.array_append(keys, F.xxhash64("fp"))).alias("key"))
+    some = keyed.filter(F.pmod(F.xxhash64("node", F.lit("count")), F.lit(_COUNTED)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    tiles = materialize(some.filter(F.col("n") * _COUNTED > TILE).select("key", F.ceil(F.col("n") * _COUNTED / (TILE / 2)).cast("int").alias("tiles")))
 
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-            yield runs(False)
-        yield runs(True)
-
-    partitions = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    found = keyed.select("key", "fp").repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(scan, "key bigint, a bigint, b bigint")
-    found = materialize(found)
-
-    hot = found.filter("key is not null").select("key", F.col("a").alias("fp")).distinct()
-    tiles = hot.groupBy("key").agg(F.ceil(F.count("*") / (TILE / 2)).cast("int").alias("tiles"))
-    own = hot.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "fp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        a, b = _forest(np.unique(table.column("fp").to_numpy().view(np.uint64)), distance)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    across = meets.groupBy("key", "i", "j").applyInArrow(meet, "a bigint, b bigint")
-    return found.filter("key is null").select("a", "b").union(across).distinct()
+    own = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("long")
+    hot = keyed.join(tiles, "key").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)))
+    hot = hot.select("key", (F.shiftleft(F.least("tile", "other"), 32) + F.greatest("tile", "other") + 1).alias("tile"), "fp", "word_fp", "node")
+    rest = keyed.join(tiles.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("tile"), "fp", "word_fp", "node")
+    dealt = rest.union(hot).repartition(tasks_for(nodes.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
+    return dealt.mapInArrow(_scan(distance), "a bigint, b bigint").distinct()
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -273,29 +269,29 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
 
     Two texts are near-duplicates if the cosine of their sets of ``shingle``-word shingles, which
     SimHash estimates, is ``similarity`` at least; at 0.8 that takes in every pair of Jaccard similarity
-    0.67 or more. Candidates are those of ``similar_links``, and each is verified on the sets.
+    0.67 or more. Candidates are those of ``similar_links``, and each is verified on the sets. Texts of
+    one set, by a digest of 128 bits, are a node; texts that only share a fingerprint are compared.
 
     Rows that repeat the smallest doc_id are told apart by a hash of the whole row; rows that are alike
-    in all columns count as one, as do texts of equal fingerprints. A component without a doc_id keeps
-    one row. Null and empty texts are alike.
+    in all columns count as one. A component without a doc_id keeps one row. Null and empty texts are alike.
     """
     hashed = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
     marked = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", hashed.alias("_row"))
     keyed = marked.select(F.struct("doc_id", "_row").alias("_key"), F.col("_doc.text").alias("text"))
-    rows = materialize(fingerprints(keyed, shingle, id_col="_key", with_words=True).select("_key.doc_id", "_key._row", "fp", "word_fp"))
-    edges = materialize(similar_links(rows.select("fp", "word_fp").distinct()))
-
+    rows = materialize(fingerprints(keyed, shingle, id_col="_key", with_sets=True).select("_key.doc_id", "_key._row", "fp", "word_fp", "set"))
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")
-    ends = materialize(edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct())
-    first = rows.join(ends, "fp").groupBy("fp").agg(F.min(order).alias("first"))
-    first = materialize(first.select(F.col("fp").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first._row").alias("_row")))
+    nodes = rows.groupBy("set").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.min("word_fp").alias("word_fp"))
+    nodes = materialize(nodes.drop("set").withColumn("node", F.monotonically_increasing_id()))
+    edges = materialize(similar_links(nodes))
+
+    ends = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
+    first = materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first._row").alias("_row")))
     sets = shingle_sets(keyed, shingle, id_col="_key").select(F.col("_key.doc_id").alias("d"), F.col("_key._row").alias("r"), "shingles")
     sets = sets.join(first, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("_row"))).select("node", "shingles").dropDuplicates(["node"])
-    labels = connected_components(verified(edges, materialize(sets), similarity))
+    labels = connected_components(verified(edges, materialize(sets), similarity)).withColumnRenamed("node", "_node")
 
-    # Two steps, so that a hot component is first reduced within each fingerprint's tasks.
-    parts = rows.groupBy("fp").agg(F.min(order).alias("best")).join(labels, F.col("fp") == F.col("node"), "left")
-    best = parts.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("best").alias("best"))
+    # A node's rows were reduced to its first one before, so a component has a row for each set.
+    best = nodes.join(labels, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("best"))
     keep = best.select(F.col("best.doc_id").alias("doc_id"), F.col("best._row").alias("_row"))
     joined = marked.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._row") == F.col("k._row")), "left_semi")
     return joined.dropDuplicates(["doc_id", "_row"]).select("_doc.*")

@@ -306,7 +306,7 @@ def test_views_teach_each_other():
 
 
 def brute_lines(docs_, m, chars):
-    """Runs by definition: pieces that occur earlier, joined where they share lines, gone if the whole does."""
+    """By definition: every run that occurred earlier goes, the longest from each line on; shared lines join them."""
     order, out = sorted(set(docs_), key=lambda d: (d[0] is None, d[0] or 0)), {}
     texts = [t.split("\n") if t is not None else [] for _, t in order]
     filled = [[i for i, x in enumerate(ls) if x.strip(" ")] for ls in texts]
@@ -319,16 +319,13 @@ def brute_lines(docs_, m, chars):
     for d, (doc, text) in enumerate(order):
         n, runs = len(seqs[d]), []
         for s in range(n):
-            for e in sorted({s + 1} if len(seqs[d][s]) >= chars else set() | {s + m}):
-                if e <= n and earlier(d, s, e):
-                    if runs and s < runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], e)
-                    else:
-                        runs.append([s, e])
-            if len(seqs[d][s]) >= chars and s + m <= n and earlier(d, s, s + m):
-                if s < runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s + m)
-        gone = {i for s, e in runs if earlier(d, s, e) for i in range(filled[d][s], filled[d][e - 1] + 1)}
+            ends = [e for e in range(s + 1, n + 1) if (e - s >= m or len(seqs[d][s]) >= chars and e == s + 1) and earlier(d, s, e)]
+            for e in ends[:1] + ends[-1:]:
+                if runs and s < runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], e)
+                else:
+                    runs.append([s, e])
+        gone = {i for s, e in runs for i in range(filled[d][s], filled[d][e - 1] + 1)}
         out[doc, text] = (None, 0, 0) if text is None else ("\n".join(x for i, x in enumerate(texts[d]) if i not in gone), len(texts[d]), len(gone))
     return out
 
@@ -345,10 +342,10 @@ def test_line_dedup_by_brute_force(spark, m):
     assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_deleted"]) for r in got) == Counter((d, *want[d, t]) for d, t in made)
 
 
-def test_lines_in_a_row_that_never_were_one_stay(spark):
+def test_every_run_that_occurred_earlier_goes(spark):
     made = [("d1", "A\nB\nx\ny"), ("d2", "B\nC\nz\nw"), ("d3", "k\nA\nB\nC\nq"), ("d4", "A\n\nB\nv"), ("d5", "u\n" + "w" * 100 + "\nt"), ("d6", "w" * 100), ("d7", "A")]
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id string, text string")).collect()}
-    assert got == dict(made) | {"d4": "v", "d6": ""}
+    assert got == dict(made) | {"d3": "k\nq", "d4": "v", "d6": ""}
 
 
 def test_a_third_of_all_rows_one_text(spark):
@@ -618,28 +615,31 @@ def test_links_connect_what_brute_force_connects(spark, distance, pair_bucket):
 @pytest.mark.parametrize("tile", [2048, 6])
 def test_similar_links_by_brute_force(spark, tile, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "_COUNTED", 2)
     rng = np.random.default_rng(4)
     flip = lambda n: sum(1 << int(b) for b in rng.choice(64, n, replace=False))
     nodes = []
     for _ in range(5):
         fp, word = (int(x) for x in rng.integers(0, 1 << 63, 2))
         nodes += [(simhash._signed(fp ^ flip(rng.integers(0, 9))), simhash._signed(word ^ flip(rng.integers(0, 4)))) for _ in range(25)]
-    edges = simhash.similar_links(spark.createDataFrame(nodes, "fp bigint, word_fp bigint"), 12)
+        nodes += [(simhash._signed(fp), simhash._signed(word ^ flip(k))) for k in (0, 1, 2)]  # one fingerprint, other words
+    edges = simhash.similar_links(spark.createDataFrame([(i, *n) for i, n in enumerate(nodes)], "node bigint, fp bigint, word_fp bigint"), 12)
     labels = {r["node"]: r["label"] for r in components.connected_components(edges).collect()}
     masks = simhash._block_masks(6, 9)
-    roots = brute_components(nodes, lambda a, b: a[0] == b[0] or (((a[0] ^ b[0]) % (1 << 64)).bit_count() <= 12 and any((a[1] ^ b[1]) & m == 0 for m in masks)))
-    assert [labels.get(f, f) for f, _ in nodes] == [min(n[0] for n, y in zip(nodes, roots) if y == x) for x in roots]
+    roots = brute_components(nodes, lambda a, b: ((a[0] ^ b[0]) % (1 << 64)).bit_count() <= 12 and any((a[1] ^ b[1]) & m == 0 for m in masks) or a[0] == b[0])
+    assert [labels.get(i, i) for i in range(len(nodes))] == [min(i for i, y in enumerate(roots) if y == x) for x in roots]
 
 
-def test_large_buckets_may_end_anywhere_in_a_batch(spark, monkeypatch):
+def test_buckets_may_end_anywhere_in_a_batch(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 6)
     rng = np.random.default_rng(6)
-    groups = []
-    for n in [*range(7, 40), *[1] * 60]:  # one bucket each, of one centre's neighbours
+    groups, rows_ = [], []
+    for n in [*range(2, 40), *[1] * 60]:  # one bucket each, of one centre's neighbours
         fp, word = (int(x) for x in rng.integers(0, 1 << 63, 2))
         near = {fp ^ sum(1 << int(b) for b in rng.choice(64, 6, replace=False)) for _ in range(n)}
-        groups.append([(simhash._signed(x), word) for x in near])
-    frame = spark.createDataFrame([x for g in groups for x in g], "fp bigint, word_fp bigint")
+        groups.append(range(len(rows_), len(rows_) + len(near)))
+        rows_ += [(len(rows_) + i, simhash._signed(x), word) for i, x in enumerate(near)]
+    frame = spark.createDataFrame(rows_, "node bigint, fp bigint, word_fp bigint")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     try:
@@ -648,7 +648,24 @@ def test_large_buckets_may_end_anywhere_in_a_batch(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     for g in groups:
-        assert {labels.get(f, f) for f, _ in g} == {min(f for f, _ in g)}
+        assert {labels.get(i, i) for i in g} == {min(g)}
+
+
+@pytest.mark.parametrize("own,kept", [(60, 6), (2, 1)])
+def test_texts_of_one_fingerprint_are_compared(spark, own, kept):
+    """A line that stands 80 times outvotes all else in a fingerprint; the sets of shingles tell them apart."""
+    line = "permission is granted free of charge to any person"
+    made = [(i, "\n".join([line] * 80) + "\n" + prose(5000 + i, own)) for i in range(6)]
+    frame = spark.createDataFrame(made + [(10 + i, t) for i, t in made], "doc_id bigint, text string")
+    fps = {r["fp"] for r in simhash.fingerprints(frame).collect()}
+    assert len(fps) == 1
+    assert sorted(r["doc_id"] for r in simhash.keep_one(frame).collect()) == list(range(kept))
+
+
+def test_a_text_of_twenty_million_characters(spark):
+    frame = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some words over and over "), 800_000), (F.col("id") % 2).cast("string")).alias("text"))
+    found = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(frame).collect()}
+    assert len(found) == 3 and found[0] == found[2]
 
 
 def test_near_duplicates_of_the_pipeline_by_brute_force(spark):
@@ -674,17 +691,19 @@ def test_near_duplicates_of_the_pipeline_by_brute_force(spark):
 
 def test_a_spanning_forest_has_the_nearest_of_each():
     rng = np.random.default_rng(7)
-    fps = np.unique(rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, 60)] ^ (np.uint64(1) << rng.integers(0, 12, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 30, 60).astype(np.uint64)))
-    a, b = simhash._forest(fps, 4)
+    one = lambda n: np.uint64(1) << rng.integers(0, n, 60).astype(np.uint64)
+    fps = rng.integers(0, 1 << 63, 4, dtype=np.uint64)[rng.integers(0, 4, 60)] ^ one(12) ^ one(30)
+    word_fps = one(64) ^ one(64)
+    a, b = simhash._forest(fps, word_fps, 4)
     found = {frozenset(x) for x in zip(a.tolist(), b.tolist())}
-    for x in fps.tolist():
-        gap = {y: (x ^ y).bit_count() for y in fps.tolist() if y != x}
-        if min(gap.values()) <= 4:
-            assert any(frozenset((x, y)) in found for y, g in gap.items() if g == min(gap.values()))
-    index = {x: i for i, x in enumerate(fps.tolist())}
-    joined = brute_components(fps.tolist(), lambda x, y: frozenset((x, y)) in found)
-    wanted = brute_components(fps.tolist(), lambda x, y: (x ^ y).bit_count() <= 4)
-    assert len(index) == len(fps) and len(found) == len(fps) - len(set(wanted)) and len(set(joined)) == len(set(wanted))
+    gap = lambda i, j: int(fps[i] ^ fps[j]).bit_count()
+    both = lambda i, j: gap(i, j) + int(word_fps[i] ^ word_fps[j]).bit_count()
+    for i in range(60):
+        near = {j: both(i, j) for j in range(60) if j != i and gap(i, j) <= 4}
+        assert not near or any(frozenset((i, j)) in found for j, g in near.items() if g == min(near.values()))
+    joined = brute_components(range(60), lambda i, j: frozenset((i, j)) in found)
+    wanted = brute_components(range(60), lambda i, j: gap(i, j) <= 4)
+    assert len(found) == 60 - len(set(wanted)) and len(set(joined)) == len(set(wanted))
 
 
 def test_keep_one(spark, docs, empty):
@@ -707,14 +726,14 @@ def test_top_k_edges(spark):
     made = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
     made += [(100 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(70)]
     made += [(200, None), (220, [1.0, None, 1.0, 1.0]), (240, [float("nan")] * 4), (260, [float("inf")] * 4), (280, [1.0, 2.0]), (None, [1.0] * 4), (20, made[20][1]), (300, []), (320, [1e12] * 4)]
-    frame = spark.createDataFrame(made, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("x") for c in EXTRA if c != "id"})
+    frame = spark.createDataFrame(made, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("x") for c in EXTRA})
     got = [tuple(r) for r in covertree.top_k(frame, F.col("id") % 20 == 0, data_block=16, query_block=4).collect()]
-    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in made if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in made if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for a, (i, v) in enumerate(good):
-        if i % 20 == 0:
-            found = sorted((-sum(x * y for x, y in zip(v, w)), j, b) for b, (j, w) in enumerate(good) if a != b and len(v) == len(w))[:20]
-            want += [(i, r + 1, j, -s) for r, (s, j, _) in enumerate(found)]
+        if i is not None and i % 20 == 0:
+            found = sorted((-sum(x * y for x, y in zip(v, w)), 1000 if j is None else j, b) for b, (j, w) in enumerate(good) if a != b and len(v) == len(w))[:20]
+            want += [(i, r + 1, None if j == 1000 else j, -s) for r, (s, j, _) in enumerate(found)]
     assert Counter(got) == Counter(want)
     assert covertree.top_k(frame.limit(0), F.col("id") % 20 == 0).count() == 0
 
