@@ -25,26 +25,27 @@ def argmax_column(names: list[str]) -> Column:
     return reduce(lambda rest, n: F.when(F.col(n) == best, n).otherwise(rest), reversed(names), F.lit(None).cast("string"))
 
 
-def running_before(rows: DataFrame, by: list[str], order: list[Column | str], weight: Column, out: str) -> DataFrame:
-    """``rows`` with ``out``: the sum of ``weight`` over the rows of the same ``by`` that come before in
+def running_before(rows: DataFrame, by: list[str], order: list[Column | str], weights: dict[str, Column]) -> DataFrame:
+    """``rows`` with a column for each of ``weights``: the sum over the rows of the same ``by`` that come before in
     ``order``. Ranges of the order are summed in parallel and then shifted, so no task sorts a whole
     group; rows that tie in all of ``order`` share a range."""
     # Written, as the ranges come from a sample that another run need not draw alike.
     ranged = materialize(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
-    sums = ranged.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
+    sums = ranged.groupBy(*by, "_range").agg(*[F.sum(w).alias(f"_sum_{i}") for i, w in enumerate(weights.values())])
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], F.col("_range").alias("_range_2"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    before = [F.coalesce(F.sum(f"_sum_{i}").over(earlier), F.lit(0)).alias(f"_shift_{i}") for i in range(len(weights))]
+    shift = sums.select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], F.col("_range").alias("_range_2"), *before)
     own = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn(out, F.coalesce(F.sum(weight).over(own), F.lit(0)))
+    summed = ranged.withColumns({out: F.coalesce(F.sum(w).over(own), F.lit(0)) for out, w in weights.items()})
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)], F.col("_range") == F.col("_range_2"))
-    return summed.join(shift, same).withColumn(out, F.col(out) + F.col("_shift")).select(*rows.columns, out)
+    return summed.join(shift, same).select(*rows.columns, *[(F.col(out) + F.col(f"_shift_{i}")).alias(out) for i, out in enumerate(weights)])
 
 
 def average_rank(df: DataFrame, by: list[str], col: str, out: str) -> DataFrame:
     """``df`` with ``out``: ranks from 1 in which equal values share the mean of their places. Values are
     counted first, and only distinct ones are put in order."""
     counts = df.groupBy(*by, col).agg(F.count("*").alias("_n"))
-    ranked = running_before(counts, by, [col], F.col("_n"), "_before")
+    ranked = running_before(counts, by, [col], {"_before": F.col("_n")})
     ranked = ranked.select(*[F.col(c).alias(f"_by_{c}") for c in (*by, col)], (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in (*by, col)])
     return df.join(ranked, same).select(*df.columns, out)
@@ -54,7 +55,7 @@ def quantiles(df: DataFrame, by: list[str], col: str, shares: list[float], names
     """``by`` and a column of each of ``names``: interpolated quantiles at ``shares`` of the values of
     ``col`` that are not null. Values are counted first; the places come from running counts."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    placed = running_before(counts, by, ["_v"], F.col("_n"), "_before")
+    placed = running_before(counts, by, ["_v"], {"_before": F.col("_n")})
     totals = placed.groupBy(*by).agg(F.max(F.col("_before") + F.col("_n")).alias("_all"))
     placed = placed.join(totals, by) if by else placed.crossJoin(F.broadcast(totals))  # one row
     at = lambda share, up: F.least(F.floor((F.col("_all") - 1) * share) + up, F.col("_all") - 1)

@@ -33,6 +33,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this session wrote, through the file system that holds it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

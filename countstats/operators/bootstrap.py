@@ -1,11 +1,11 @@
-"""The bootstrap's numpy kernels: what one task does with the compressed rows of one gene or pair."""
+"""The bootstrap's numpy kernels: draws from the compressed rows of a gene or pair in a group, and the
+regressions of blocks of draws over groups. Nothing here depends on how draws are cut into blocks."""
 
 from __future__ import annotations
 
 import hashlib
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 
@@ -13,6 +13,8 @@ from ..functions.special import two_sided_normal
 
 #: Most values (rows x draws) that a task holds at once.
 CHUNK = 2_000_000
+#: Draws that are summed up together, and among which a hierarchical bootstrap picks.
+UNIT = 100
 
 
 def generator(seed: int, *names: object) -> np.random.Generator:
@@ -34,12 +36,23 @@ def resample(rng: np.random.Generator, n: np.ndarray, draws: int, statistic: Cal
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def fill_invalid(values: np.ndarray, bad: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
-    """H3. Invalid draws replaced by random valid ones; None if all are invalid."""
+def alike(n: np.ndarray, inverse: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows with all rows of zeros as one, largest numbers first: for statistics to which zeros add
+    nothing, whatever their size factor. Sums of a multinomial's places are a multinomial again."""
+    zero = np.all([v == 0 for v in values], axis=0)
+    n, inverse, *values = (np.concatenate([[z], v[~zero]]) for z, v in zip((n[zero].sum(), 1.0, *[0.0] * len(values)), (n, inverse, *values)))
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    return tuple(v[order] for v in (n, inverse, *values))
+
+
+def fill_invalid(values: np.ndarray, bad: np.ndarray, rng: np.random.Generator | None) -> np.ndarray | None:
+    """H3. Invalid draws replaced by random valid ones, or in turn by the first, second ... valid one if
+    there is no ``rng``; None if all are invalid."""
     if len(bad) and bad.all():
         return None
-    out = values.copy()
-    out[bad] = rng.choice(values[~bad], int(bad.sum()))
+    out, valid, missing = values.copy(), values[~bad], int(bad.sum())
+    out[bad] = rng.choice(valid, missing) if rng is not None else valid[np.arange(missing) % max(1, len(valid))]
     return out
 
 
@@ -51,82 +64,93 @@ def residual(mean: np.ndarray, var: np.ndarray, fit: tuple[float, float, float,
     return np.where((mean > 0) & (var > 0), out, np.nan)
 
 
-def significance(values: np.ndarray, approx: str = "norm") -> float:
-    """H7. ``values[0]`` is observed. The null is draws minus observed: the tails of a normal fitted to
-    it beyond +-|observed|, or with 'boot' the share of it beyond. Nan if all values are equal."""
-    if approx not in ("norm", "boot"):
-        raise ValueError("approx must be 'norm' or 'boot'")
-    if len(values) < 2 or np.all(values == values.mean()):
-        return math.nan
-    observed, null = values[0], values[1:] - values[0]
-    null = null[np.isfinite(null)]
-    if not len(null):
-        return math.nan
-    size = abs(observed)
-    if approx == "boot":
-        return float(((null > size) | (null < -size)).mean())
-    mean, sd = null.mean(), null.std()
-    if sd == 0:
-        return math.nan
-    return 0.5 * (math.erfc((size - mean) / sd / math.sqrt(2)) + math.erfc((size + mean) / sd / math.sqrt(2)))
-
-
 def _without(values: np.ndarray, covariates: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Residuals of weighted least squares on the covariates and an intercept."""
+    """Residuals of weighted least squares on the covariates and an intercept. Sums go from group to group, so
+    that a column has the same numbers whatever stands beside it."""
     x = np.column_stack([np.ones(len(weights)), covariates])
-    root = np.sqrt(weights)[:, None]
-    return values - x @ np.linalg.lstsq(x * root, values * root, rcond=None)[0]
+    solver = np.linalg.pinv(x * np.sqrt(weights)[:, None]) * np.sqrt(weights)
+    return values - _in_turn(x, _in_turn(solver, values))
+
+
+def _in_turn(a: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """a @ values, each sum from the first row of ``values`` to the last."""
+    out = np.zeros((len(a), values.shape[1]))
+    for column, row in zip(a.T, values):
+        out += column[:, None] * row
+    return out
+
+
+#: (groups, first draw, draws, unit) -> for each group and draw the place of a group and a draw of the unit.
+Picks = Callable[[int, int, int], tuple[np.ndarray, np.ndarray]]
 
 
-def effects(values: np.ndarray, treatments: np.ndarray, covariates: np.ndarray, weights: np.ndarray, rng: np.random.Generator | None = None) -> np.ndarray:
-    """H5, H6. One row of coefficients for each treatment, a column for each draw (0: observed).
+def random_picks(seed: int, *names: object) -> Picks:
+    """Groups drawn with replacement, each with a random draw of its own, a stream for each unit of draws."""
+
+    def pick(groups: int, unit: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        rng = generator(seed, *names, unit)
+        return rng.integers(0, groups, (groups, width)), rng.integers(0, width, (groups, width))
+
+    return pick
+
+
+def given_picks(groups: int, unit: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by a rule that any engine can repeat."""
+    g, d = np.arange(groups)[:, None], unit * UNIT + np.arange(width)
+    return (3 * g + 5 * d + 1) % groups, (7 * g + 11 * d + 3) % width
+
+
+def effects(values: np.ndarray, treatments: np.ndarray, covariates: np.ndarray, weights: np.ndarray, picks: Picks | None = None, unit: int = 0) -> np.ndarray:
+    """H5, H6. One row of coefficients for each treatment, a column for each column of ``values``.
 
     ``values`` is groups x draws. Values and treatments are freed of the covariates; the coefficient
     is the weighted slope for each treatment on its own. With treatments all 1 it is the weighted
-    mean. With ``rng`` groups are drawn anew in each draw but the first, each with a random draw's
-    value of its own.
+    mean. With ``picks`` the groups are drawn anew for each column, from draws of the same UNIT columns;
+    ``unit`` is the number of the first.
     """
     if (treatments == 1).all():
-        return np.average(values, axis=0, weights=weights)[None, :].repeat(treatments.shape[1], axis=0)
+        return _in_turn((weights / weights.sum())[None, :], values).repeat(treatments.shape[1], axis=0)
     known = np.isfinite(treatments).all(axis=0)
-    y, t = _without(values, covariates, weights), np.full(treatments.shape, np.nan)
+    t, total = np.full(treatments.shape, np.nan), weights.sum()
     t[:, known] = _without(treatments[:, known], covariates, weights)
-    groups, draws = y.shape
-    w = np.repeat(weights[:, None], draws, axis=1)
-    pick = np.repeat(np.arange(groups)[:, None], draws, axis=1)
-    if rng is not None and draws > 1:
-        pick[:, 1:] = rng.integers(0, groups, (groups, draws - 1))
-        column = np.zeros((groups, draws), dtype=int)
-        column[:, 1:] = rng.integers(1, draws, (groups, draws - 1))
-        y, w = y[pick, column], weights[pick]
-    total = w.sum(axis=0)
-    y = y - (w * y).sum(axis=0) / total
-    out = np.full((t.shape[1], draws), np.nan)
-    for k in np.flatnonzero(known):
-        x = t[:, k][pick]
-        x = x - (w * x).sum(axis=0) / total
-        spread = (w * x * x).sum(axis=0)
-        ok = spread > 1e-12 * total
-        out[k, ok] = ((w * x * y).sum(axis=0)[ok]) / spread[ok]
+    spread = (weights[:, None] * t * t).sum(axis=0)
+    told = known & (spread > 1e-12 * total)
+    out = np.full((t.shape[1], values.shape[1]), np.nan)
+    if picks is None:
+        # The residuals of a treatment are at right angles to the covariates, so values need not be freed of them.
+        out[told] = _in_turn((weights[:, None] * t[:, told] / spread[told]).T, values)
+        return out
+    y = _without(values, covariates, weights)
+    for first in range(0, y.shape[1], UNIT):
+        own = y[:, first : first + UNIT]
+        pick, column = picks(len(y), unit + first // UNIT, own.shape[1])
+        own, w = own[pick, column], weights[pick]
+        total = w.sum(axis=0)
+        own = own - (w * own).sum(axis=0) / total
+        for k in np.flatnonzero(told):
+            x = t[:, k][pick]
+            x = x - (w * x).sum(axis=0) / total
+            spread = (w * x * x).sum(axis=0)
+            ok = spread > 1e-12 * total
+            out[k, first : first + UNIT][ok] = (w * x * own).sum(axis=0)[ok] / spread[ok]
     return out
 
 
-@dataclass(frozen=True)
-class Tested:
-    coef: float
-    se: float
-    pval: float
-
-
-def summarised(coefficients: np.ndarray, approx: str, observed_only: bool = False) -> list[Tested]:
-    out = []
-    for row in coefficients:
-        if not len(row) or not np.isfinite(row[0]):
-            out.append(Tested(math.nan, math.nan, math.nan))
-            continue
-        coef = row[0] if observed_only else np.nanmean(row)
-        out.append(Tested(float(coef), float(np.nanstd(row[1:])) if len(row) > 1 else math.nan, significance(row, approx)))
-    return out
+def unit_sums(coefficients: np.ndarray, observed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each row of coefficients and each UNIT of its draws: the number of finite ones, their mean and
+    sum of squares around it, and how many lie farther from ``observed`` than that lies from 0."""
+    rows, draws = coefficients.shape
+    units = -(-draws // UNIT)
+    padded = np.full((rows, units * UNIT), np.nan)
+    padded[:, :draws] = coefficients
+    padded = padded.reshape(rows, units, UNIT)
+    ok = np.isfinite(padded)
+    n = ok.sum(axis=2)
+    mean = np.where(ok, padded, 0.0).sum(axis=2) / np.maximum(n, 1)
+    m2 = (np.where(ok, padded - mean[:, :, None], 0.0) ** 2).sum(axis=2)
+    with np.errstate(invalid="ignore"):
+        beyond = (np.abs(padded - observed[:, None, None]) > np.abs(observed)[:, None, None]).sum(axis=2)
+    return n, mean, m2, beyond
 
 
 def loglinear(y: np.ndarray, x: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:

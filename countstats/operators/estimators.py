@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_null, clip
+from . import cube
+from .products import pair_products
 
 GOOD_TURING = 13
-#: A matrix of all pairs is for so many genes at most.
-MOST_GENES = 30_000
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,8 @@ class EstimatorSpec:
     from values x, weights (rows x draws), inverse size factors, cells n and capture rate q; without
     it there are point values only. ``cov`` makes a column from the sums of ``pair_sums``, ``cov_boot``
     its values from x1, x2, weights, inverse size factors, n and q; without them there are no pairs.
-    ``absolute`` sets size factors to 1, ``fitted`` tells if variances are set against the mean, and
+    ``absolute`` sets size factors to 1, ``zeros_alike`` tells that ``boot`` and ``cov_boot`` see nothing of the size
+    factors of zeros (then these are drawn together), ``fitted`` tells if variances are set against the mean, and
     ``corrected`` replaces the counts (see ``good_turing_counts``)."""
 
     point: Callable[[], tuple[Column, Column]]
@@ -35,6 +36,7 @@ class EstimatorSpec:
     cov: Callable[[], Column] | None = None
     cov_boot: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, float], np.ndarray] | None = None
     fitted: bool = True
+    zeros_alike: bool = False
     corrected: Callable[[DataFrame, DataFrame, list[str]], DataFrame] | None = None
 
 
@@ -62,7 +64,7 @@ def _with_rate(q: Callable[[], Column] | float, absolute: bool = False) -> Estim
     """The hypergeometric estimators at the groups' capture rate, or at a fixed one."""
     rate = q if callable(q) else lambda: F.lit(q)
     boot = _hyper_boot if callable(q) else lambda x, w, inverse, n, _: _hyper_boot(x, w, inverse, n, q)
-    return EstimatorSpec(lambda: _hyper(rate()), boot, absolute, lambda: _hyper_cov(rate()), _hyper_cov_boot)
+    return EstimatorSpec(lambda: _hyper(rate()), boot, absolute, lambda: _hyper_cov(rate()), _hyper_cov_boot, zeros_alike=True)
 
 
 def _mean_boot(x, w, inverse, n, q):
@@ -102,7 +104,7 @@ ESTIMATORS: dict[str, EstimatorSpec] = {
     "hyper_absolute": _with_rate(_own_rate, absolute=True),
     "poi_absolute": _with_rate(0.0, absolute=True),
     "naive": _with_rate(1.0),
-    "mean_only": EstimatorSpec(lambda: (F.col("sx") / F.col("n_obs") + 1, _ten()), _mean_boot, fitted=False),
+    "mean_only": EstimatorSpec(lambda: (F.col("sx") / F.col("n_obs") + 1, _ten()), _mean_boot, fitted=False, zeros_alike=True),
     "pseudobulk": EstimatorSpec(lambda: ((F.col("total") + 1) / (F.col("ss") + 1), _ten()), _bulk_boot, fitted=False),
     "good_mean_only": EstimatorSpec(lambda: (F.col("sx") / F.col("n_obs"), _ten()), fitted=False, corrected=good_turing_counts),
 }
@@ -153,11 +155,7 @@ def pair_sums(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[st
     listed = pairs.select("gene_1", "gene_2").distinct()
     involved = listed.select(F.col("gene_1").alias("gene_id")).union(listed.select("gene_2")).distinct()
     some = counts.join(involved, "gene_id", "left_semi")
-    keyed = cells.filter("size_factor > 0").select("cell_id", "size_factor", *by)
-    values = some.join(keyed, "cell_id").select(*by, "cell_id", "gene_id", (F.col("x") / F.col("size_factor")).alias("v"))
-    a = values.join(listed, values["gene_id"] == listed["gene_1"]).select(*by, "cell_id", "gene_1", "gene_2", F.col("v").alias("v1"))
-    b = values.select("cell_id", F.col("gene_id").alias("gene_2"), F.col("v").alias("v2"))
-    products = a.join(b, ["cell_id", "gene_2"]).groupBy(*by, "gene_1", "gene_2").agg(F.sum(F.col("v1") * F.col("v2")).alias("prod"))
+    products = _products(some, cells, by, listed)
 
     sums = sums_by_group(some, cells, by).select(*by, "gene_id", "sx", "sx2")
     one = lambda i: sums.select(*by, F.col("gene_id").alias(f"gene_{i}"), F.col("sx").alias(f"sx_{i}"), *([F.col("sx2")] if i == 1 else []))
@@ -165,6 +163,13 @@ def pair_sums(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[st
     return out.withColumn("prod", F.coalesce("prod", F.lit(0.0)))
 
 
+def _products(counts: DataFrame, cells: DataFrame, by: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """Sums of products of x / s (see ``products.pair_products``)."""
+    keyed = cells.filter("size_factor > 0")
+    values = counts.filter("x <> 0").join(keyed.select("cell_id", "size_factor"), "cell_id").select("cell_id", "gene_id", (F.col("x") / F.col("size_factor")).alias("v"))
+    return pair_products(values, keyed.select("cell_id", *by), by, pairs)
+
+
 def pair_covariance(counts: DataFrame, cells: DataFrame, pairs: DataFrame, by: list[str] | None = None, kind: str | EstimatorSpec = "hyper_relative") -> DataFrame:
     """E6-E8. ``by``, gene_1, gene_2, n_obs, cov for every listed pair and group."""
     by = ["grp"] if by is None else by
@@ -188,18 +193,19 @@ def pair_moments(counts: DataFrame, cells: DataFrame, pairs: DataFrame, one: Dat
 
 
 def correlation_matrix(counts: DataFrame, cells: DataFrame, one: DataFrame, genes: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """E10. ``by``, gene_1, gene_2, corr for all pairs of ``genes``, both ways round. Beyond 1.05 a
-    correlation is null, within it is clipped. The pairs grow with the square of the genes, of which
-    more than MOST_GENES are an error."""
+    """E10. ``by``, gene_1, gene_2, corr for all pairs of ``genes`` that have moments in ``one``, both ways round. Beyond
+    1.05 a correlation is null, within it is clipped. Products come from tiles of genes and cells; the
+    result grows with the square of the genes, the work before it with tiles."""
     by = ["grp"] if by is None else by
-    if genes.limit(MOST_GENES + 1).count() > MOST_GENES:
-        raise ValueError(f"a correlation matrix of more than {MOST_GENES} genes; list the pairs instead")
-    left, right = genes.select(F.col("gene_id").alias("gene_1")), genes.select(F.col("gene_id").alias("gene_2"))
-    pairs = left.join(right, F.col("gene_1") <= F.col("gene_2"))
-    found = pair_moments(counts, cells, pairs, one, by)
-    raw = F.when((F.col("var_1") > 0) & (F.col("var_2") > 0), F.col("cov") / F.sqrt(F.col("var_1") * F.col("var_2")))
+    some = counts.join(genes.select("gene_id"), "gene_id", "left_semi")
+    sums = sums_by_group(some, cells, by).select(*by, "gene_id", "sx", "sx2", "n_obs", "q").join(one.select(*by, "gene_id", "var"), [*by, "gene_id"])
+    side = lambda i, *more: sums.select(*by, F.col("gene_id").alias(f"gene_{i}"), F.col("sx").alias(f"sx_{i}"), F.col("var").alias(f"var_{i}"), *more)
+    found = _products(some, cells, by).join(side(1, "sx2", "n_obs", "q"), [*by, "gene_1"]).join(side(2), [*by, "gene_2"])
+    cov = _hyper_cov(F.col("q"))
+    raw = F.when((F.col("var_1") > 0) & (F.col("var_2") > 0), cov / F.sqrt(F.col("var_1") * F.col("var_2")))
     found = found.select(*by, "gene_1", "gene_2", F.when(F.abs(raw) < 1.05, clip(raw, -1.0, 1.0)).alias("corr"))
-    return found.union(found.filter("gene_1 <> gene_2").select(*by, "gene_2", "gene_1", "corr"))
+    ways = F.when(F.col("gene_1") == F.col("gene_2"), F.array(F.struct("gene_1", "gene_2"))).otherwise(F.array(F.struct("gene_1", "gene_2"), F.struct(F.col("gene_2").alias("gene_1"), F.col("gene_1").alias("gene_2"))))
+    return found.select(*by, F.explode(ways).alias("_way"), "corr").select(*by, "_way.gene_1", "_way.gene_2", "corr")
 
 
 def pseudobulk_table(counts: DataFrame, cells: DataFrame, by: list[str], stat: str = "sum") -> DataFrame:
@@ -226,15 +232,10 @@ def latent_moments(counts: DataFrame, cells: DataFrame, q: float, min_mean: floa
 
 def estimator_cube(counts: DataFrame, cells: DataFrame, dims: list[str]) -> DataFrame:
     """E15. ``dims``, gene_id, nnz, n_obs, min, max, sum, mean, sem. Size factors are the cells' totals
-    over all genes; min and max are of counts that are not 0; sem is sd(x / s) / sqrt(n)."""
-    sized = counts.groupBy("cell_id").agg(F.sum("x").cast("double").alias("size_factor"))
-    keyed = cells.select("cell_id", *dims).join(sized, "cell_id").filter("size_factor > 0")
-    sizes = keyed.groupBy(*dims).agg(F.count("*").alias("n_obs"))
-    v = F.col("x") / F.col("size_factor")
-    rows = counts.filter("x <> 0").join(keyed, "cell_id").groupBy(*dims, "gene_id").agg(F.count("*").alias("nnz"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("sum"), F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"))
-    mean = F.col("_s") / F.col("n_obs")
-    sem = F.sqrt(F.greatest(F.col("_ss") / F.col("n_obs") - mean * mean, F.lit(0.0)) / F.col("n_obs"))
-    return rows.join(sizes, dims).select(*dims, "gene_id", "nnz", "n_obs", "min", "max", "sum", mean.alias("mean"), sem.alias("sem"))
+    over all genes; min and max are of counts that are not 0; sem is sd(x / s) / sqrt(n). See ``cube`` for
+    one that grows by batches."""
+    totals = cube.cell_totals(counts)
+    return cube.finished(cube.states(counts, cells, totals, dims), cube.group_sizes(cells, totals, dims), dims)
 
 
 def group_counts(df: DataFrame, by: list[str]) -> DataFrame:

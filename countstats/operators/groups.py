@@ -50,19 +50,31 @@ def trimmed_size_factor(counts: DataFrame, cells: DataFrame, genes: DataFrame, s
     return joined.crossJoin(F.broadcast(stats)).withColumn("size_factor", factor).drop("_total", "_part", "_depth", "_shift", "_mid")
 
 
+def _escaped(label: Column, delimiter: str) -> Column:
+    return F.coalesce(F.replace(F.replace(label, F.lit("%"), F.lit("%p")), F.lit(delimiter), F.lit("%d")), F.lit("%n"))
+
+
+def _unescaped(label: Column, delimiter: str) -> Column:
+    return F.when(label != "%n", F.replace(F.replace(label, F.lit("%d"), F.lit(delimiter)), F.lit("%p"), F.lit("%")))
+
+
 def create_groups(cells: DataFrame, label_columns: list[str], delimiter: str = "^", min_cell_count: int = 10) -> tuple[DataFrame, DataFrame]:
     """S5. ``cells`` with ``grp``, and groups (grp, labels, n_cells, q). Groups of fewer cells than
-    ``min_cell_count`` are left out of both; q is the mean of the group's cells."""
-    name = F.concat_ws(delimiter, F.lit("sg"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in label_columns])
+    ``min_cell_count`` are left out of both; q is the mean of the group's cells. Names of groups are
+    labels between delimiters; a delimiter or % in a label is written as %d or %p and a null label as
+    %n, so that labels that differ never share a name."""
+    if not delimiter or set(delimiter) & set("%dpn"):
+        raise ValueError("the delimiter must not be empty or have any of % d p n")
+    name = F.concat_ws(delimiter, F.lit("sg"), *[_escaped(F.col(c).cast("string"), delimiter) for c in label_columns])
     named = cells.withColumn("grp", name)
     groups = named.groupBy("grp", *label_columns).agg(F.count("*").alias("n_cells"), F.avg("q").alias("q")).filter(F.col("n_cells") >= min_cell_count)
     return named.join(groups.select("grp"), "grp", "left_semi"), groups
 
 
 def split_group_names(groups: DataFrame, label_columns: list[str], delimiter: str = "^") -> DataFrame:
-    """S6. Labels out of stored names: a column is numeric if all its values are."""
-    parts = groups.select("grp", *[F.split_part("grp", F.lit(delimiter), F.lit(i + 2)).alias(c) for i, c in enumerate(label_columns)])
-    numeric = parts.agg(*[F.every(F.col(c).try_cast("double").isNotNull()).alias(c) for c in label_columns]).first()
+    """S6. Labels out of stored names: a column is numeric if all its values but nulls are."""
+    parts = groups.select("grp", *[_unescaped(F.split_part("grp", F.lit(delimiter), F.lit(i + 2)), delimiter).alias(c) for i, c in enumerate(label_columns)])
+    numeric = parts.agg(*[F.every(F.when(F.col(c).isNotNull(), F.col(c).try_cast("double").isNotNull())).alias(c) for c in label_columns]).first()
     return parts.select("grp", *[F.col(c).cast("double").alias(c) if numeric[c] else F.col(c) for c in label_columns])
 
 
@@ -92,28 +104,64 @@ def compress(counts: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame
     return filled.unionByName(zeros)
 
 
-def pair_values(counts: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cell_id, gene_1, gene_2, x1, x2) where at least one of a listed pair is counted."""
-    only = counts.filter("x <> 0").join(cells.select("cell_id"), "cell_id", "left_semi")
-    first = only.join(pairs.select("gene_1", "gene_2"), only["gene_id"] == F.col("gene_1")).select("cell_id", "gene_1", "gene_2", F.col("x").alias("x1"))
-    second = only.join(pairs.select("gene_1", "gene_2"), only["gene_id"] == F.col("gene_2")).select("cell_id", "gene_1", "gene_2", F.col("x").alias("x2"))
-    return first.join(second, ["cell_id", "gene_1", "gene_2"], "full").fillna(0, ["x1", "x2"])
+def joint_counts(counts: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(grp, gene_1, gene_2, sf_bin, x1, x2, n): cells that have both genes of a listed pair.
+
+    Either the entries of each cell meet and listed pairs are kept, or each entry meets its partners;
+    what makes fewer rows by an exact count is done. Only joint entries, summed up, go on from there.
+    """
+    listed = materialize(pairs.select("gene_1", "gene_2").distinct())
+    involved = listed.select(F.col("gene_1").alias("gene_id")).union(listed.select("gene_2")).distinct()
+    only = counts.filter("x <> 0").join(involved, "gene_id", "left_semi").join(cells.select("cell_id", "grp", "sf_bin"), "cell_id")
+    only = materialize(only.select("cell_id", "grp", "sf_bin", "gene_id", "x"))
+    in_cells = only.groupBy("cell_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()[0]
+    partners = listed.groupBy(F.col("gene_1").alias("gene_id")).agg(F.count("*").alias("p"))
+    in_pairs = only.join(partners, "gene_id").agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
+    first = only.select("cell_id", "grp", "sf_bin", F.col("gene_id").alias("gene_1"), F.col("x").alias("x1"))
+    second = only.select("cell_id", F.col("gene_id").alias("gene_2"), F.col("x").alias("x2"))
+    if in_cells <= in_pairs:
+        met = first.join(second, "cell_id").join(listed, ["gene_1", "gene_2"])
+    else:
+        met = first.join(listed, "gene_1").join(second, ["cell_id", "gene_2"])
+    return met.groupBy("grp", "gene_1", "gene_2", "sf_bin", "x1", "x2").agg(F.count("*").alias("n"))
 
 
 def compress_pairs(counts: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """S9. (grp, gene_1, gene_2, sf_bin, x1, x2, n) in the same way for pairs of genes."""
+    """S9. (grp, gene_1, gene_2, sf_bin, x1, x2, n) in the same way for pairs of genes: joint entries are
+    counted, and cells that have one gene or none are what is left of its own counts, and of the bin."""
+    keys, kind = ["grp", "gene_1", "gene_2", "sf_bin"], counts.schema["x"].dataType
+    listed = pairs.select("gene_1", "gene_2").distinct()
+    genes = listed.select(F.col("gene_1").alias("gene_id")).union(listed.select("gene_2")).distinct()
     keyed = cells.select("cell_id", "grp", "sf_bin")
-    keys = ["grp", "gene_1", "gene_2", "sf_bin"]
-    filled = pair_values(counts, cells, pairs).join(keyed, "cell_id").groupBy(*keys, "x1", "x2").agg(F.count("*").alias("n"))
+    joint = materialize(joint_counts(counts, cells, listed))
+    single = counts.filter("x <> 0").join(genes, "gene_id", "left_semi").join(keyed, "cell_id").groupBy("grp", "gene_id", "sf_bin", "x").agg(F.count("*").alias("n"))
+    single = materialize(single)
+
+    def alone(i: int) -> DataFrame:
+        """Cells that have gene i and not the other."""
+        own = listed.join(single.withColumnsRenamed({"gene_id": f"gene_{i}", "x": f"x{i}", "n": "all"}), f"gene_{i}")
+        both = joint.groupBy(*keys, f"x{i}").agg(F.sum("n").alias("both"))
+        left = own.join(both, [*keys, f"x{i}"], "left").withColumn("n", F.col("all") - F.coalesce("both", F.lit(0))).filter("n > 0")
+        return left.select(*keys, *[F.col(f"x{i}") if i == j else F.lit(0).cast(kind).alias(f"x{j}") for j in (1, 2)], "n")
+
+    filled = materialize(joint.select(*keys, "x1", "x2", "n").unionByName(alone(1)).unionByName(alone(2)))
     bins = keyed.groupBy("grp", "sf_bin").agg(F.count("*").alias("all"))
     used = filled.groupBy(*keys).agg(F.sum("n").alias("used"))
-    listed = pairs.select("gene_1", "gene_2").distinct()
     zeros = bins.crossJoin(listed).join(used, keys, "left")  # as many rows as the result needs
-    kind = counts.schema["x"].dataType
     zeros = zeros.select(*keys, F.lit(0).cast(kind).alias("x1"), F.lit(0).cast(kind).alias("x2"), (F.col("all") - F.coalesce("used", F.lit(0))).alias("n"))
     return filled.unionByName(zeros.filter("n > 0"))
 
 
+def with_weights(compressed: DataFrame, draws: int, seed: int = 5) -> DataFrame:
+    """``compressed`` rows with ``w``, a weight for each draw by a rule that any engine can repeat: n more or
+    less a remainder of a product of the rows' numbers, never below 0. For tests of what follows the draws;
+    see ``testing.ht_1d``. ``n`` and the values must be whole numbers."""
+    values = [c for c in ("x", "x1", "x2") if c in compressed.columns]
+    mixed = sum(((i + 2) * F.col(c) for i, c in enumerate(values)), F.col("n") * 7 + seed)
+    weight = lambda d: F.greatest(F.col("n") + (mixed * (2 * d + 3) + d * d) % 5 - 2, F.lit(0))
+    return compressed.withColumn("w", F.transform(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long")), lambda d: weight(d).cast("double")))
+
+
 def quantile_strata(df: DataFrame, col: str, k: int, out: str = "stratum", median: bool = False) -> DataFrame:
     """S10. Equal-frequency strata 0..k-1 by quantile edges. If edges repeat, two strata: is ``col``
     not 0. With ``median`` also each stratum's median as ``<out>_median``."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialize
+
 BIN = 100_000
 
 
@@ -20,19 +22,47 @@ def _carried(rows: DataFrame, value: Column, how, earlier: bool) -> DataFrame:
     return each.select("chrom", "_bin", how("_v").over(frame).alias("_carried"))
 
 
-def _binned(df: DataFrame, width: int, low: Column, high: Column) -> DataFrame:
-    """A row for each bin that [low, high) meets."""
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width))))
+#: A bin with more intervals than this, on both sides together, is cut into smaller ones.
+DENSE = 64
+
+
+def _pieces(df: DataFrame, name: str, width: int) -> DataFrame:
+    """A row for each bin that an interval meets, with the part of it in that bin from the bin's start on."""
+    low, high = F.col("start"), F.col("end")
+    rows = df.select("chrom", F.col("name").alias(f"{name}_name"), low.alias(f"{name}_start"), high.alias(f"{name}_end"), F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width))).alias("_bin"))
+    first = F.greatest(F.col(f"{name}_start") - F.col("_bin") * width, F.lit(0))
+    last = F.least(F.col(f"{name}_end") - F.col("_bin") * width, F.lit(width)) - 1
+    return rows.withColumn("_first", first).withColumn("_last", last)
+
+
+def meeting(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
+    """Pairs of intervals that meet in a step of a bin: a_name, a_start, a_end, b_name, ..., chrom, _bin, _step, _at.
+
+    A bin of more than DENSE intervals is cut into as many steps as make one about as long as its
+    intervals' parts are on average: then most of those that meet in a step overlap, however dense they lie.
+    """
+    left, right = (_pieces(x.filter("start < end"), n, width) for x, n in ((a, "a"), (b, "b")))
+    both = left.select("chrom", "_bin", "_first", "_last").union(right.select("chrom", "_bin", "_first", "_last"))
+    mean = F.avg(F.col("_last") - F.col("_first") + 1)
+    dense = both.groupBy("chrom", "_bin").agg(F.count("*").alias("_n"), mean.alias("_mean")).filter(F.col("_n") > DENSE)
+    steps = materialize(dense.select("chrom", "_bin", F.greatest(F.ceil("_mean"), F.lit(1)).alias("_step")))
+    at = lambda x: F.floor(x / F.coalesce("_step", F.lit(width))).cast("int")
+
+    def stepped(pieces: DataFrame) -> DataFrame:
+        found = pieces.join(steps, ["chrom", "_bin"], "left")
+        return found.withColumn("_at", F.explode(F.sequence(at(F.col("_first")), at(F.col("_last"))))).drop("_first", "_last")
+
+    return stepped(left).join(stepped(right).drop("_step"), ["chrom", "_bin", "_at"])
 
 
 def interval_overlap(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
-    """R1. a_name, b_name, chrom, start, end of the part that both have. Each pair is kept in the one
-    bin in which that part starts, so nothing has to be made distinct."""
-    left = _binned(a.select("chrom", F.col("name").alias("a_name"), F.col("start").alias("s1"), F.col("end").alias("e1")), width, F.col("s1"), F.col("e1"))
-    right = _binned(b.select("chrom", F.col("name").alias("b_name"), F.col("start").alias("s2"), F.col("end").alias("e2")), width, F.col("s2"), F.col("e2"))
-    start, end = F.greatest("s1", "s2"), F.least("e1", "e2")
-    joined = left.join(right, ["chrom", "_bin"]).filter((start < end) & (F.floor(start / width) == F.col("_bin")))
-    return joined.select("a_name", "b_name", "chrom", start.alias("start"), end.alias("end"))
+    """R1. a_name, b_name, chrom, start, end of the part that both have. Each pair is kept in the one step of the
+    one bin in which that part starts, so nothing has to be made distinct. Empty intervals overlap nothing."""
+    start, end = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
+    here = start - F.col("_bin") * width
+    at = F.floor(here / F.coalesce("_step", F.lit(width))).cast("int")
+    kept = meeting(a, b, width).filter((start < end) & (here >= 0) & (here < width) & (at == F.col("_at")))
+    return kept.select("a_name", "b_name", "chrom", start.alias("start"), end.alias("end"))
 
 
 def in_intervals(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:

@@ -86,7 +86,7 @@ def rolling_trend(df: DataFrame, x: str, y: str, width: int, by: list[str], key:
     """M6. ``trend``: the mean of y over a row and the ``width - 1`` before it in order of x (ties by
     ``key``), and ``shrunk``: (1 - alpha) trend + alpha y. Each group is worked on in chunks of its order."""
     size = max(CHUNK_ROWS, width)
-    numbered = running_before(df, by, [x, key], F.lit(1), "_number").withColumn("_chunk", F.floor(F.col("_number") / size))
+    numbered = running_before(df, by, [x, key], {"_number": F.lit(1)}).withColumn("_chunk", F.floor(F.col("_number") / size))
     # The last rows of a chunk go to the next one too, where they only serve as rows before.
     ends = numbered.filter(F.col("_number") % size >= size - (width - 1)).withColumn("_chunk", F.col("_chunk") + 1)
     both = numbered.withColumn("_own", F.lit(True)).union(ends.withColumn("_own", F.lit(False)))

@@ -169,8 +169,8 @@ def shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 def permute_within(df: DataFrame, key: list[str], value: str, order: str, seed: int = 0) -> DataFrame:
     """F17. ``value`` shuffled inside each key: the row at place i of ``order`` gets the value at place
     i of the hashed order."""
-    placed = running_before(df, key, [order], F.lit(1), "_place")
-    values = running_before(df.select(*key, order, F.col(value).alias("_value"), hash_order(order, seed).alias("_hash")), key, ["_hash", order], F.lit(1), "_place")
+    placed = running_before(df, key, [order], {"_place": F.lit(1)})
+    values = running_before(df.select(*key, order, F.col(value).alias("_value"), hash_order(order, seed).alias("_hash")), key, ["_hash", order], {"_place": F.lit(1)})
     values = values.select(*[F.col(c).alias(f"_by_{c}") for c in key], F.col("_place").alias("_place_2"), "_value")
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in key], F.col("_place") == F.col("_place_2"))
     return placed.join(values, same).withColumn(value, F.col("_value")).select(*df.columns)

@@ -8,37 +8,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..functions.columns import as_null
+from ..functions.columns import as_null, running_before
 from ..functions.lineage import materialize
 
-#: Ranges of p that are ranked apart; only their counts and minima meet in one task.
-BUCKETS = 64
+#: Rows of one p that a task puts out.
+_TIES = 1 << 16
 
 
 def _ranked(df: DataFrame, p: str, by: list[str]) -> DataFrame:
-    """Rows with a p-value, and ``_rank`` (1 for the smallest of its family) and ``_m``, the family's
-    number; ``df`` is read several times and so is to be written already. Ranges of p between rough quantiles are ranked in parallel and then shifted."""
+    """``by``, ``_p``, ``_n``, ``_before`` and ``_m`` for each distinct p of a family: rows that have it, rows of a
+    smaller one, and all rows. Equal ones are counted first, so that a p of very many rows costs as much as any other."""
     rows = df.withColumn("_p", as_null(F.col(p).cast("double"))).filter("_p is not null")
-    edges = rows.agg(F.percentile_approx("_p", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("e")).first()["e"] or []
-    cuts = sorted(set(edges))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda e: e < F.col("_p"))) if cuts else F.lit(0)
-    rows = rows.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    family = Window.partitionBy(*by)
-    shifts = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(family.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(family).alias("_m"))
-    own = Window.partitionBy(*by, "_bucket").orderBy("_p")
-    return rows.withColumn("_in", F.row_number().over(own)).join(F.broadcast(shifts) if not by else shifts, [*by, "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_in"))
+    counts = rows.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    placed = running_before(counts, by, ["_p"], {"_before": F.col("_n")})
+    return _beside(placed, placed.groupBy(*by).agg(F.max(F.col("_before") + F.col("_n")).alias("_m")), by)
+
+
+def _beside(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys`` of which some may be null."""
+    named = found.select(*[F.col(c).alias(f"_by_{c}") if c in keys else F.col(c) for c in found.columns])
+    if not keys:
+        return rows.crossJoin(F.broadcast(named))  # one row
+    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in keys]).drop(*[f"_by_{c}" for c in keys])
 
 
 def _step_up(df: DataFrame, p: str, by: list[str]) -> DataFrame:
-    """Rows with a p-value and ``_step``: the least p * m / rank among equal and larger ones."""
-    ranked = _ranked(df, p, by).withColumn("_value", F.col("_p") * F.col("_m") / F.col("_rank"))
-    least = ranked.groupBy(*by, "_bucket").agg(F.min("_value").alias("_least"))
-    later = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    least = least.select(*by, "_bucket", F.min("_least").over(later).alias("_later"))
-    own = Window.partitionBy(*by, "_bucket").orderBy("_in").rowsBetween(0, Window.unboundedFollowing)
-    joined = ranked.join(F.broadcast(least) if not by else least, [*by, "_bucket"])
-    return joined.withColumn("_step", F.least(F.min("_value").over(own), "_later"))
+    """Rows with a p-value and ``_step``: the least p * m / rank among equal and larger ones, the rank of equal
+    ones being that of the last. Ranges of p are gone through in parallel, each with the least of those after it."""
+    ranked = _ranked(df, p, by).withColumn("_value", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_n")))
+    ranged = materialize(ranked.repartitionByRange(*by, "_p").withColumn("_range", F.spark_partition_id()))
+    after = Window.partitionBy(*by).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    least = ranged.groupBy(*by, "_range").agg(F.min("_value").alias("_least")).select(*by, "_range", F.min("_least").over(after).alias("_later"))
+    own = Window.partitionBy(*by, "_range").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    stepped = _beside(ranged.withColumn("_step", F.min("_value").over(own)), least, [*by, "_range"])
+    steps = materialize(stepped.select(*by, "_p", F.least("_step", "_later").alias("_step")))
+    return _beside(df.withColumn("_p", as_null(F.col(p).cast("double"))).filter("_p is not null"), steps, [*by, "_p"])
 
 
 def _back(df: DataFrame, p: str, out: str, found: DataFrame, missing: float | None) -> DataFrame:
@@ -78,8 +82,12 @@ def qq_points(df: DataFrame, p: str = "pval", by: list[str] | None = None) -> Da
     """P4. ``by``, rank, observed, expected: -log10 of sorted p and of even quantiles (rank-1)/(m-1);
     null for the first, whose quantile is 0."""
     by = by or []
+    last = F.col("_before") + F.col("_n")
+    parts = _ranked(materialize(df), p, by).withColumn("_last", last).withColumn("_first", F.explode(F.sequence(F.col("_before") + 1, F.col("_last"), F.lit(_TIES))))
+    dealt = parts.repartition(F.col("_p"), F.col("_first"))
+    rows = dealt.withColumn("_rank", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + _TIES - 1, "_last"))))
     at = F.try_divide(F.col("_rank") - 1, F.col("_m") - 1)
-    return _ranked(materialize(df), p, by).select(*by, F.col("_rank").alias("rank"), F.when(F.col("_p") > 0, -F.log10("_p")).alias("observed"), F.when(at > 0, -F.log10(at)).alias("expected"))
+    return rows.select(*by, F.col("_rank").alias("rank"), F.when(F.col("_p") > 0, -F.log10("_p")).alias("observed"), F.when(at > 0, -F.log10(at)).alias("expected"))
 
 
 def threshold_curve(results: DataFrame, p: str, by: list[str], thresholds: list[float]) -> DataFrame:

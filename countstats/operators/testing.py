@@ -1,25 +1,33 @@
 """Tests of differences in mean, variability and correlation, and classical tests on the same tables.
 
 The heavy part, counting equal (value, size factor) pairs, is an aggregation; a grouped function then
-sees the compressed rows of one gene or pair, whose number does not depend on that of cells.
+sees the compressed rows of each gene or pair in each group, whose number does not depend on that of cells.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import special
+from ..functions.columns import running_before
+from ..functions.lineage import materialize
 from . import bootstrap
+from .draws import Design, Plan, by_segment, cells_of, drawn, summarised, tests_by_stream
 from .estimators import EstimatorSpec, get_estimator
 from .pvalues import bh_fdr
 
+#: Genes of a block, and snps that it meets at once, about.
+GENE_BLOCK, SNP_PART = 128, 2048
 _GROUP = ["mean", "res_var", "n_cells", "q", "center", "c0", "c1", "c2"]
-_STATS = [f"{a}_{b}" for a in ("de", "dv") for b in ("coef", "se", "pval")]
 
 
 def _design(design: pd.DataFrame, treatments: list[str], covariates: list[str]) -> pd.DataFrame:
@@ -47,162 +55,133 @@ def _with_covariates(params: DataFrame, keys: list[str], covariates_for: DataFra
     return params.join(covariates_for.select(*keys, F.col("covariates").alias("covs")), keys, "left")
 
 
-def _covariates(own: pd.DataFrame, every: list[str]) -> list[str]:
-    """A null for a gene stands for all; an empty list for none."""
-    covs = own["covs"].iloc[0]
-    return list(every) if covs is None else list(covs)
+def _design_of(frame: pd.DataFrame, treatments: list[str], covariates: list[str]) -> Design:
+    frame = frame.sort_index()
+    return Design(list(frame.index), list(treatments), list(covariates), frame[list(treatments)].to_numpy(), frame[list(covariates)].to_numpy())
 
 
-def _wanted(params: DataFrame, keys: list[str], frame: pd.DataFrame, treatments: list[str], tests: DataFrame | None) -> DataFrame:
-    """``keys`` and ``txs``, (tx, dose: grp -> value) of each test: of ``tests``, or the design's treatments."""
+def _heads(params: DataFrame, keys: list[str], tests: DataFrame | None, covariates_for: DataFrame | None) -> DataFrame:
+    """A row for each gene or pair to be tested: ``txs``, its own tests, and ``covs``; null: those of the design."""
+    known = params.select(*keys).distinct()
     if tests is None:
-        doses = params.sparkSession.createDataFrame([(t, {g: float(v) for g, v in frame[t].items()}) for t in treatments], "tx string, dose map<string, double>")
-        tests = params.select(*keys).distinct().crossJoin(doses)
-    return tests.groupBy(*keys).agg(F.collect_list(F.struct("tx", "dose")).alias("txs"))
-
-
-def _doses(txs: list[str], doses: dict[str, dict], names: list[str]) -> np.ndarray:
-    return np.array([[doses[x].get(g, np.nan) for x in txs] for g in names], dtype=float)
-
-
-def _draws_1d(gene, rows: pd.DataFrame, known: pd.DataFrame, spec: EstimatorSpec, draws: int, seed: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """H4. Groups that can be tested, their means and residual variances (column 0: observed)."""
-    names, means, variances = [], [], []
-    compressed = dict(tuple(rows.groupby("grp")))
-    for g in known.sort_values("grp").itertuples():
-        own = compressed.get(g.grp)
-        if own is None or not (g.mean and np.isfinite(g.mean)) or g.res_var is None or not g.res_var >= 0:
-            continue
-        own = own.sort_values(["sf_bin", "x"])
-        x, n = own["x"].to_numpy(dtype=float), own["n"].to_numpy(dtype=np.int64)
-        inverse = np.ones(len(x)) if spec.absolute else 1 / own["sf_bin"].to_numpy(dtype=float)
-        rng = bootstrap.generator(seed, gene, g.grp)
-        mean, var = bootstrap.resample(rng, n, draws, lambda w: spec.boot(x, w, inverse, int(n.sum()), g.q))
-        var = bootstrap.residual(mean, var, (g.center, g.c0, g.c1, g.c2))
-        mean = bootstrap.fill_invalid(mean, ~(mean > 0), rng)
-        var = bootstrap.fill_invalid(var, ~(var > 0), rng)
-        if mean is None or var is None:
-            continue
-        names.append(g.grp)
-        means.append(np.concatenate([[g.mean], mean]))
-        variances.append(np.concatenate([[g.res_var], var]))
-    return names, np.array(means).reshape(len(names), -1), np.array(variances).reshape(len(names), -1)
+        known = known.withColumn("txs", F.lit(None).cast("array<struct<tx:string,dose:array<double>>>"))
+    else:
+        own = tests.groupBy(*keys).agg(F.collect_list(F.struct(F.col("tx").cast("string").alias("tx"), F.col("dose").cast("array<double>").alias("dose"))).alias("txs"))
+        known = known.join(own, keys)
+    return _with_covariates(known, keys, covariates_for).withColumn("grp", F.lit(None).cast("string"))
+
 
+def _tests(plan: Plan, params: DataFrame, cells: DataFrame, heads: DataFrame, block: int | None) -> DataFrame:
+    segments = params.join(cells, [*plan.keys, "grp"]).join(heads.select(*plan.keys), plan.keys, "left_semi")
+    return tests_by_stream(plan, segments, heads, block)
 
-def _dealt(df: DataFrame, *keys: str):
-    """``df`` grouped by ``keys``, dealt to a stated number of tasks: the rows are few bytes but much
-    work, so they must not be joined to few tasks by their size. The columns get new identities, as
-    both sides of a cogroup may stem from one table."""
-    spark = df.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    apart = df.select(*[F.col(c).alias(f"_{c}") for c in df.columns]).select(*[F.col(f"_{c}").alias(c) for c in df.columns])
-    return apart.repartition(tasks, *keys).groupBy(*keys)
 
+def _picks(resample_groups: bool, given: bool, seed: int):
+    if not resample_groups:
+        return None
+    return (lambda *names: bootstrap.given_picks) if given else lambda *names: bootstrap.random_picks(seed, *names, "groups")
 
-def _nan_to_null(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.astype(object).where(frame.notna(), None)
 
+def _draw_means(spec: EstimatorSpec, draws: int, seed: int):
+    """H4. Means and residual variances (two rows of draws) of one gene in one group, or None if it can't be tested."""
+
+    def draw(g: dict) -> np.ndarray | None:
+        if not len(g["n"]) or not (g["mean"] and np.isfinite(g["mean"])) or g["res_var"] is None or not g["res_var"] >= 0:
+            return None
+        rng = None if "w" in g else bootstrap.generator(seed, g["gene_id"], g["grp"])
+        mean, var = drawn(g, ("x",), draws, lambda x, w, inverse, n: spec.boot(x, w, inverse, n, g["q"]), rng, spec.zeros_alike, spec.absolute)
+        var = bootstrap.residual(mean, var, (g["center"], g["c0"], g["c1"], g["c2"]))
+        mean = bootstrap.fill_invalid(mean, ~(mean > 0), rng)
+        var = bootstrap.fill_invalid(var, ~(var > 0), rng)
+        return None if mean is None or var is None else np.array([mean, var])
 
-def ht_1d(params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str] = (), covariates: list[str] = (), tests: DataFrame | None = None, num_boot: int = 1000, seed: int = 5, kind: str | EstimatorSpec = "hyper_relative", approx: str = "norm", resample_groups: bool = False, covariates_for: DataFrame | None = None) -> DataFrame:
+    return draw
+
+
+def ht_1d(params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str] = (), covariates: list[str] = (), tests: DataFrame | None = None, num_boot: int = 1000, seed: int = 5, kind: str | EstimatorSpec = "hyper_relative", approx: str = "norm", resample_groups: bool = False, covariates_for: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """H8. gene, tx, de_coef, de_se, de_pval, dv_coef, dv_se, dv_pval.
 
     ``params`` is of ``group_parameters``, ``compressed`` of ``groups.compress`` for the same genes,
-    ``design`` a small frame with one row for each grp. ``tests`` (gene_id, tx, dose: grp -> value)
-    gives each gene treatments of its own instead, which then never pass through the driver, and
-    ``covariates_for`` (gene_id, covariates) some of ``covariates``; a gene not listed has all. Draws
-    with an invalid group are left out of the regression. A gene without a valid group, or a
-    coefficient that can't be told, has nulls. ``num_boot`` of 0 gives the observed coefficients.
+    ``design`` a small frame with one row for each grp. ``tests`` (gene_id, tx, dose: a value for each grp of
+    the design in order of names, null if not known) gives each gene treatments of its own instead,
+    which then never pass through the driver, and ``covariates_for`` (gene_id, covariates) some of
+    ``covariates``; a gene not listed has all. Draws with an invalid group are left out of the
+    regression. A gene without a valid group, or a coefficient that can't be told, has nulls.
+    ``num_boot`` of 0 gives the observed coefficients. ``compressed`` may have ``w``, the ``num_boot`` weights
+    of each row: then nothing is random (see ``groups.with_weights``). ``block`` is of ``draws.tests_by_stream``.
     """
     spec, frame = _bootable(kind), _design(design, list(treatments), list(covariates))
-    known = _with_covariates(params.join(_wanted(params, ["gene_id"], frame, treatments, tests), "gene_id"), ["gene_id"], covariates_for)
-
-    def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame(columns=["gene", "tx", *_STATS])
-        gene, doses, covs = key[0], {t["tx"]: dict(t["dose"]) for t in own["txs"].iloc[0]}, _covariates(own, covariates)
-        txs = sorted(doses)
-        own = own[own["grp"].isin(frame.index)]
-        names, means, variances = _draws_1d(gene, rows, own, spec, num_boot, seed)
-        nothing = [bootstrap.Tested(math.nan, math.nan, math.nan)] * len(txs)
-        de = dv = nothing
-        if names:
-            m, v = np.log(means), np.log(variances)
-            ok = np.isfinite(m).all(axis=0) & np.isfinite(v).all(axis=0)
-            if ok.any() and ok[0]:
-                weights = own.set_index("grp").loc[names, "n_cells"].to_numpy(dtype=float)
-                t, c = _doses(txs, doses, names), frame.loc[names, covs].to_numpy()
-                de, dv = (bootstrap.summarised(bootstrap.effects(y[:, ok], t, c, weights, bootstrap.generator(seed, gene, "groups", i) if resample_groups else None), approx) for i, y in enumerate((m, v)))
-        return _nan_to_null(pd.DataFrame([(gene, t, a.coef, a.se, a.pval, b.coef, b.se, b.pval) for t, a, b in zip(txs, de, dv)], columns=["gene", "tx", *_STATS]))
-
-    schema = "gene string, tx string, " + ", ".join(f"{c} double" for c in _STATS)
-    return _dealt(compressed, "gene_id").cogroup(_dealt(known, "gene_id")).applyInPandas(run, schema)
+    draw = _draw_means(spec, num_boot, seed)
+
+    def logs(g: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        found = draw(g)
+        with np.errstate(divide="ignore"):
+            return None if found is None else (np.log([g["mean"], g["res_var"]]), np.log(found))
+
+    plan = Plan(["gene_id"], 2, num_boot, logs, _design_of(frame, treatments, covariates), _picks(resample_groups, "w" in compressed.columns, seed))
+    sums = _tests(plan, params, cells_of(compressed, ["gene_id"], ["x"]), _heads(params, ["gene_id"], tests, covariates_for), block)
+    return summarised(sums, ["gene_id"], ["de", "dv"], approx).withColumnRenamed("gene_id", "gene")
 
 
 def mean_summary(params: DataFrame, compressed: DataFrame, num_boot: int = 1000, seed: int = 5, kind: str | EstimatorSpec = "hyper_relative") -> DataFrame:
     """H10. grp, gene_id, mean (of observed and drawn), sem, se_log, se_log1p; negative draws don't
-    count for the logs."""
-    spec = _bootable(kind)
+    count for the logs. ``compressed`` may have given weights, as in ``ht_1d``."""
+    draw = _draw_means(_bootable(kind), num_boot, seed)
 
-    def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        names, means, _ = _draws_1d(key[0], rows, own, spec, num_boot, seed)
-        out = []
-        for g, m in zip(names, means):
-            positive = m[m > 0]
-            out.append((g, key[0], float(np.nanmean(m)), float(np.nanstd(m)), float(np.std(np.log(positive))), float(np.std(np.log1p(positive)))))
-        return pd.DataFrame(out, columns=["grp", "gene_id", "mean", "sem", "se_log", "se_log1p"])
+    def one(g: dict) -> tuple | None:
+        found = draw(g)
+        if found is None:
+            return None
+        m = np.append(g["mean"], found[0])
+        positive = m[m > 0]
+        return g["grp"], g["gene_id"], float(np.nanmean(m)), float(np.nanstd(m)), float(np.std(np.log(positive))), float(np.std(np.log1p(positive)))
 
-    return _dealt(compressed, "gene_id").cogroup(_dealt(params, "gene_id")).applyInPandas(run, "grp string, gene_id string, mean double, sem double, se_log double, se_log1p double")
+    segments = params.join(cells_of(compressed, ["gene_id"], ["x"]), ["gene_id", "grp"]).withColumn("gene_id", F.col("gene_id").cast("string"))
+    return by_segment(segments, one, "grp string, gene_id string, mean double, sem double, se_log double, se_log1p double", ["gene_id", "grp"])
 
 
-def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str] = (), covariates: list[str] = (), num_boot: int = 1000, seed: int = 5, approx: str = "norm", resample_groups: bool = False, kind: str | EstimatorSpec = "hyper_relative", tests: DataFrame | None = None, covariates_for: DataFrame | None = None) -> DataFrame:
+def draws_of(params: DataFrame, compressed: DataFrame, num_boot: int = 1000, seed: int = 5, kind: str | EstimatorSpec = "hyper_relative") -> DataFrame:
+    """H1, H3, H4. grp, gene_id, drawn_mean, drawn_rv: the means over all draws, invalid ones replaced, of mean
+    and residual variance, for each gene and group that can be tested."""
+    draw = _draw_means(_bootable(kind), num_boot, seed)
+
+    def one(g: dict) -> tuple | None:
+        found = draw(g)
+        return None if found is None else (g["grp"], g["gene_id"], float(found[0].mean()), float(found[1].mean()))
+
+    segments = params.join(cells_of(compressed, ["gene_id"], ["x"]), ["gene_id", "grp"]).withColumn("gene_id", F.col("gene_id").cast("string"))
+    return by_segment(segments, one, "grp string, gene_id string, drawn_mean double, drawn_rv double", ["gene_id", "grp"])
+
+
+def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatments: list[str] = (), covariates: list[str] = (), num_boot: int = 1000, seed: int = 5, approx: str = "norm", resample_groups: bool = False, kind: str | EstimatorSpec = "hyper_relative", tests: DataFrame | None = None, covariates_for: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """H9. gene_1, gene_2, tx, corr_coef (of the observed correlations), corr_se, corr_pval.
 
     ``pair_params``: grp, gene_1, gene_2, corr, n_cells, q. ``kind`` is the estimator of ``corr``; the
-    draws use the same. ``tests`` (gene_1, gene_2, tx, dose) and ``covariates_for`` (gene_1, gene_2,
-    covariates) are as in ``ht_1d``. One draw of weights serves covariance and both variances. A group
-    whose correlation is missing or +-1 is skipped; pairs of one gene have nulls.
+    draws use the same. ``tests`` (gene_1, gene_2, tx, dose), ``covariates_for`` (gene_1, gene_2,
+    covariates), given weights and ``block`` are as in ``ht_1d``. One draw of weights serves covariance
+    and both variances. A group whose correlation is missing or +-1 is skipped; pairs of one gene have nulls.
     """
     spec, frame, keys = _bootable(kind, pairs=True), _design(design, list(treatments), list(covariates)), ["gene_1", "gene_2"]
-    known = _with_covariates(pair_params.join(_wanted(pair_params, keys, frame, treatments, tests), keys), keys, covariates_for)
-
-    def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = ["gene_1", "gene_2", "tx", "corr_coef", "corr_se", "corr_pval"]
-        if not len(own):
-            return pd.DataFrame(columns=out)
-        doses, covs = {t["tx"]: dict(t["dose"]) for t in own["txs"].iloc[0]}, _covariates(own, covariates)
-        txs = sorted(doses)
-        found = [bootstrap.Tested(math.nan, math.nan, math.nan)] * len(txs)
-        names, values = [], []
-        compressed_rows = dict(tuple(rows.groupby("grp"))) if key[0] != key[1] else {}
-        for g in own[own["grp"].isin(frame.index)].sort_values("grp").itertuples():
-            part = compressed_rows.get(g.grp)
-            if part is None or g.corr is None or not abs(g.corr) < 1:
-                continue
-            part = part.sort_values(["sf_bin", "x1", "x2"])
-            x1, x2 = (part[c].to_numpy(dtype=float) for c in ("x1", "x2"))
-            inverse = np.ones(len(x1)) if spec.absolute else 1 / part["sf_bin"].to_numpy(dtype=float)
-            n = part["n"].to_numpy(dtype=np.int64)
-            cells = int(n.sum())
-
-            def statistic(w, x1=x1, x2=x2, inverse=inverse, q=g.q, cells=cells):
-                v1, v2 = (spec.boot(x, w, inverse, cells, q)[1] for x in (x1, x2))
-                cov = spec.cov_boot(x1, x2, w, inverse, cells, q)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    return (np.where((v1 > 0) & (v2 > 0), cov / np.sqrt(v1 * v2), np.nan),)
-
-            rng = bootstrap.generator(seed, *key, g.grp)
-            (r,) = bootstrap.resample(rng, n, num_boot, statistic)
-            r = bootstrap.fill_invalid(r, ~(np.abs(r) < 1), rng)
-            if r is not None:
-                names.append(g.grp)
-                values.append(np.concatenate([[g.corr], r]))
-        if names:
-            weights = own.set_index("grp").loc[names, "n_cells"].to_numpy(dtype=float)
-            rng = bootstrap.generator(seed, *key, "groups") if resample_groups else None
-            found = bootstrap.summarised(bootstrap.effects(np.array(values), _doses(txs, doses, names), frame.loc[names, covs].to_numpy(), weights, rng), approx, observed_only=True)
-        return _nan_to_null(pd.DataFrame([(*key, t, f.coef, f.se, f.pval) for t, f in zip(txs, found)], columns=out))
-
-    return _dealt(compressed, *keys).cogroup(_dealt(known, *keys)).applyInPandas(run, "gene_1 string, gene_2 string, tx string, corr_coef double, corr_se double, corr_pval double")
+
+    def draw(g: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        if not len(g["n"]) or g["gene_1"] == g["gene_2"] or g["corr"] is None or not abs(g["corr"]) < 1:
+            return None
+
+        def statistic(x1, x2, w, inverse, n):
+            v1, v2 = (spec.boot(x, w, inverse, n, g["q"])[1] for x in (x1, x2))
+            cov = spec.cov_boot(x1, x2, w, inverse, n, g["q"])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return (np.where((v1 > 0) & (v2 > 0), cov / np.sqrt(v1 * v2), np.nan),)
+
+        rng = None if "w" in g else bootstrap.generator(seed, g["gene_1"], g["gene_2"], g["grp"])
+        (r,) = drawn(g, ("x1", "x2"), num_boot, statistic, rng, spec.zeros_alike, spec.absolute)
+        r = bootstrap.fill_invalid(r, ~(np.abs(r) < 1), rng)
+        return None if r is None else (np.array([g["corr"]]), r[None, :])
+
+    plan = Plan(keys, 1, num_boot, draw, _design_of(frame, treatments, covariates), _picks(resample_groups, "w" in compressed.columns, seed))
+    params = pair_params.select("grp", *keys, "corr", "n_cells", "q")
+    sums = _tests(plan, params, cells_of(compressed, keys, ["x1", "x2"]), _heads(params, keys, tests, covariates_for), block)
+    return summarised(sums, keys, ["corr"], approx, observed_only=True)
 
 
 def ht_mean(summary: DataFrame, totals: DataFrame, design: pd.DataFrame, treatments: list[str], covariates: list[str] = (), tests: DataFrame | None = None, shrink: float = 0.25, covariates_for: DataFrame | None = None) -> DataFrame:
@@ -242,7 +221,7 @@ def ht_mean(summary: DataFrame, totals: DataFrame, design: pd.DataFrame, treatme
                 out.append((gene, tx, float(beta[-1]), None if math.isnan(slope) else float(slope), pred.tolist(), spread.tolist(), x.ravel().tolist()))
             yield pd.DataFrame(out, columns=["gene_id", "tx", "coef", "slope", "pred", "spread", "x"])
 
-    fits = rows.mapInPandas(fit, "gene_id string, tx string, coef double, slope double, pred array<double>, spread array<double>, x array<double>")
+    fits = materialize(rows.mapInPandas(fit, "gene_id string, tx string, coef double, slope double, pred array<double>, spread array<double>, x array<double>"))
     slope = fits.agg(F.coalesce(shrink * F.least(F.greatest(F.avg("slope"), F.lit(0.0)), F.lit(2.0)) + (1 - shrink) * 2, F.lit(2.0)).alias("mv"))
 
     def errors(batches):
@@ -277,7 +256,9 @@ def meta_wls(cube: DataFrame, treatment: str, block: str, min_cells: int = 20, m
     Only blocks with both levels count; genes in fewer than ``min_share`` of the (block, level) groups
     are left out; a gene's rows need more than ``min_cells`` cells and a block with both levels. The
     design has the treatment, centred block dummies, their products with it, and a constant; the
-    coefficient is that of plain least squares, the variance from inverse squared errors.
+    coefficient is that of plain least squares, the variance from inverse squared errors. Blocks have
+    intercepts and slopes of their own in that design, so each is eliminated by its own sums: the
+    coefficient is the mean of the blocks' slopes over rows, whatever the number of blocks.
     """
     both = cube.groupBy(block).agg(F.count_distinct(treatment).alias("_levels")).filter("_levels > 1").select(block)
     rows = cube.join(both, block, "left_semi").filter((F.col("n_obs") > min_cells) & (F.col("mean") > 0) & (F.col("sem") > 0))
@@ -285,19 +266,14 @@ def meta_wls(cube: DataFrame, treatment: str, block: str, min_cells: int = 20, m
     known = rows.groupBy("gene_id").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(total)).filter(F.col("_n") >= min_share * F.col("_all")).select("gene_id")
     complete = Window.partitionBy("gene_id", block)
     rows = rows.join(known, "gene_id", "left_semi").withColumn("_levels", F.min(treatment).over(complete) != F.max(treatment).over(complete)).filter("_levels")
-    rows = rows.select("gene_id", F.col(treatment).cast("double").alias("t"), F.col(block).cast("string").alias("b"), F.log("mean").alias("y"), (F.col("sem") / F.col("mean")).alias("s"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["b", "t"])
-        t, y, w = frame["t"].to_numpy(), frame["y"].to_numpy(), 1 / frame["s"].to_numpy() ** 2
-        dummies = np.column_stack([(frame["b"] == v).to_numpy(dtype=float) for v in sorted(set(frame["b"]))[1:]] or [np.zeros((len(t), 0))])
-        dummies = dummies - dummies.mean(axis=0)
-        x = np.column_stack([t, dummies, dummies * t[:, None], np.ones(len(t))])
-        coef = float(np.linalg.lstsq(x, y, rcond=None)[0][0])
-        se = math.sqrt(max(0.0, np.linalg.pinv((x * w[:, None]).T @ x)[0, 0]))
-        return pd.DataFrame({"gene_id": [frame["gene_id"].iloc[0]], "coef": [coef], "se": [se], "pval": [float(special.two_sided_normal(coef / se)[0]) if se > 0 else None]})
-
-    return rows.groupBy("gene_id").applyInPandas(run, "gene_id string, coef double, se double, pval double")
+    rows = rows.select("gene_id", F.col(treatment).cast("double").alias("t"), F.col(block).alias("b"), F.log("mean").alias("y"), F.pow(F.col("mean") / F.col("sem"), 2).alias("w"))
+    t, y, w = F.col("t"), F.col("y"), F.col("w")
+    sums = rows.groupBy("gene_id", "b").agg(F.count("*").alias("n"), F.sum(t).alias("st"), F.sum(y).alias("sy"), F.sum(t * t).alias("tt"), F.sum(t * y).alias("ty"), F.sum(w).alias("sw"), F.sum(w * t).alias("wt"), F.sum(w * t * t).alias("wtt"))
+    n = F.col("n")
+    slope = (F.col("ty") - F.col("st") * F.col("sy") / n) / (F.col("tt") - F.col("st") * F.col("st") / n)
+    variance = 1 / (F.col("wtt") - F.col("wt") * F.col("wt") / F.col("sw"))
+    found = sums.groupBy("gene_id").agg((F.sum(n * slope) / F.sum(n)).alias("coef"), (F.sqrt(F.sum(n * n * variance)) / F.sum(n)).alias("se"))
+    return found.withColumn("pval", special.normal_p(F.try_divide(F.col("coef"), F.col("se"))))
 
 
 def student_t(counts: DataFrame, cells: DataFrame, treatment: str) -> DataFrame:
@@ -351,12 +327,13 @@ def mann_whitney_test(counts: DataFrame, cells: DataFrame, treatment: str, alter
 
 def ks_2samp(df: DataFrame, value: str, sample: str, by: list[str]) -> DataFrame:
     """H20. ``by``, d, n0, n1, and the asymptotic p; ``sample`` is a 0/1 column. Distinct values are
-    counted first, so equal ones cost nothing."""
+    counted first, so equal ones cost nothing, and put in order by ranges."""
     counts = df.groupBy(*by, value).agg(F.count_if(F.col(sample) == 0).alias("a0"), F.count_if(F.col(sample) == 1).alias("a1"))
-    running = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    gap = F.abs(F.sum("a0").over(running) / F.sum("a0").over(whole) - F.sum("a1").over(running) / F.sum("a1").over(whole))
-    found = counts.withColumn("_gap", gap).groupBy(*by).agg(F.max("_gap").alias("d"), F.sum("a0").alias("n0"), F.sum("a1").alias("n1"))
+    placed = materialize(running_before(counts, by, [value], {"_b0": F.col("a0"), "_b1": F.col("a1")}))
+    upto = [(F.col(f"_b{i}") + F.col(f"a{i}")).alias(f"_c{i}") for i in (0, 1)]
+    totals = placed.groupBy(*by).agg(F.sum("a0").alias("n0"), F.sum("a1").alias("n1"))
+    rows = placed.select(*by, *upto).join(totals, by) if by else placed.select(*upto).crossJoin(F.broadcast(totals))  # one row
+    found = rows.groupBy(*by, "n0", "n1").agg(F.max(F.abs(F.col("_c0") / F.col("n0") - F.col("_c1") / F.col("n1"))).alias("d"))
     scaled = F.col("d") ** 2 * F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1"))
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * scaled * k * k))
     return found.withColumn("pval", F.when(scaled < 0.02, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))))
@@ -396,22 +373,24 @@ def binomial_test(df: DataFrame, success: str, by: list[str]) -> DataFrame:
     return found.withColumn("pval", special.binomial_p(F.col("k"), F.col("n")))
 
 
-def _without_covariates(values: DataFrame, covariates: DataFrame | None, key: str) -> DataFrame:
-    """``values`` (key, individual, value) less their fit on the covariates (individual, name, value) and
-    an intercept."""
-    if covariates is None:
-        mean = values.groupBy(key).agg(F.avg("value").alias("_m"))
-        return values.join(mean, key).select(key, "individual", (F.col("value") - F.col("_m")).alias("value"))
-    table = covariates.groupBy("individual").agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias("_c"))
+def _vectors(values: DataFrame, index: DataFrame, key: str, covariates: np.ndarray | None) -> DataFrame:
+    """``key`` and ``v``: a value for each individual of ``index`` (individual, place), less their fit on the
+    covariates and an intercept; nan where there is none."""
+    n = index.count()
+    listed = values.join(index, "individual").groupBy(key).agg(F.collect_list(F.struct("place", F.col("value").cast("double").alias("value"))).alias("d"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        c = np.array([[e["value"] for e in row] for row in frame["_c"]], dtype=float).reshape(len(frame), -1)
-        y = frame["value"].to_numpy(dtype=float)[:, None]
-        frame["value"] = bootstrap._without(y, c, np.ones(len(frame)))[:, 0]
-        return frame.drop(columns="_c")
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, counts = batch.column("d").flatten(), pc.list_value_length(batch.column("d")).to_numpy()
+            v = np.full((len(batch), n), np.nan)
+            v[np.repeat(np.arange(len(batch)), counts), flat.field("place").to_numpy()] = flat.field("value").to_numpy(zero_copy_only=False)
+            for missing in np.unique(np.isnan(v), axis=0):  # rows of the same individuals at once
+                rows, known = (np.isnan(v) == missing).all(axis=1), ~missing
+                c = np.zeros((int(known.sum()), 0)) if covariates is None else covariates[known]
+                v[np.ix_(rows, known)] = bootstrap._without(v[np.ix_(rows, known)].T, c, np.ones(len(c))).T
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), n).cast(pa.list_(pa.float64()))], names=[key, "v"])
 
-    joined = values.select(key, "individual", F.col("value").cast("double").alias("value")).join(table, "individual").select(key, "individual", "value", "_c")
-    return joined.groupBy(key).applyInPandas(run, joined.drop("_c").schema)
+    return listed.mapInArrow(dense, T.StructType([listed.schema[key], T.StructField("v", T.ArrayType(T.DoubleType()))]))
 
 
 def same_individuals(*tables: DataFrame) -> None:
@@ -426,15 +405,47 @@ def pseudobulk_linear(expression: DataFrame, genotypes: DataFrame, pairs: DataFr
     """H23. gene_id, snp, beta, t, df of a linear regression of expression (gene_id, individual, value)
     on dosage (snp, individual, dosage) and covariates (individual, name, value), for listed (gene_id, snp).
 
-    Either side is freed of the covariates once; then each pair needs five sums. That is the whole
-    regression only if both sides are of the same individuals, which is checked.
+    Either side is freed of the covariates once and becomes a vector over an index of individuals. Genes
+    meet their snps in tiles: a block of genes with a part of the snps that any of them is paired with,
+    and sums of all pairs of a tile are products of two matrices. That is the whole regression only if
+    all tables are of the same individuals, which is checked. Covariates, a row for each individual, are on the driver.
     """
     same_individuals(expression, genotypes, *([covariates] if covariates is not None else []))
-    n_covariates = covariates.select("name").distinct().count() if covariates is not None else 0
-    y = _without_covariates(expression, covariates, "gene_id").withColumnRenamed("value", "y")
-    g = _without_covariates(genotypes.withColumnRenamed("dosage", "value"), covariates, "snp").withColumnRenamed("value", "g")
-    rows = y.join(pairs.select("gene_id", "snp").distinct(), "gene_id").join(g, ["snp", "individual"])
-    sums = rows.groupBy("gene_id", "snp").agg(F.sum(F.col("g") * F.col("y")).alias("gy"), F.sum(F.col("g") ** 2).alias("gg"), F.sum(F.col("y") ** 2).alias("yy"), F.count("*").alias("n"))
+    individuals = expression.select("individual").distinct()
+    index = materialize(individuals.withColumn("place", F.row_number().over(Window.orderBy("individual")) - 1))  # one row for each individual
+    known, n_covariates = None, 0
+    if covariates is not None:
+        wide = covariates.join(index, "individual").toPandas().pivot(index="place", columns="name", values="value").sort_index()
+        known, n_covariates = wide.to_numpy(dtype=float), wide.shape[1]
+    y = materialize(_vectors(expression, index, "gene_id", known))
+    g = materialize(_vectors(genotypes.withColumnRenamed("dosage", "value"), index, "snp", known))
+    listed = pairs.select("gene_id", "snp").distinct().join(y.select("gene_id"), "gene_id", "left_semi").join(g.select("snp"), "snp", "left_semi")
+    blocks = max(1, y.count() // GENE_BLOCK)
+    listed = materialize(listed.withColumn("block", F.pmod(F.xxhash64("gene_id"), F.lit(blocks))))
+    parts = materialize(listed.groupBy("block").agg(F.ceil(F.approx_count_distinct("snp") / SNP_PART).alias("parts")))
+    listed = listed.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("snp"), F.col("parts")))
+    genes = listed.groupBy("block", "part", "gene_id").agg(F.collect_list("snp").alias("snps")).join(y, "gene_id")
+    snps = listed.select("block", "part", "snp").distinct().join(g, "snp")
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        if not len(left) or not len(right):
+            return left.select(["gene_id"]).slice(0, 0).append_column("snp", right.column("snp").slice(0, 0)).append_column("sums", pa.array([], pa.list_(pa.float64())))
+        a, b = of(left), of(right)
+        here, there = ~np.isnan(a), ~np.isnan(b)
+        a, b, here, there = np.nan_to_num(a), np.nan_to_num(b), here.astype(float), there.astype(float)
+        place = {s: i for i, s in enumerate(right.column("snp").to_pylist())}
+        rows = np.repeat(np.arange(len(left)), pc.list_value_length(left.column("snps")).to_numpy())
+        columns = np.array([place[s] for s in left.column("snps").combine_chunks().flatten().to_pylist()])
+        sums = [(x @ z.T)[rows, columns] for x, z in ((a, b), (here, b * b), (a * a, there), (here, there))]
+        listed_ = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack(sums).ravel()), 4).cast(pa.list_(pa.float64()))
+        return pa.table({"gene_id": left.column("gene_id").take(pa.array(rows)), "snp": right.column("snp").take(pa.array(columns)), "sums": listed_})
+
+    tasks = max(y.sparkSession.sparkContext.defaultParallelism, int(y.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tiles = lambda side, *columns: side.select(*[F.col(c).alias(c) for c in ("block", "part")], *columns).repartition(tasks, "block", "part").groupBy("block", "part")
+    out = T.StructType([y.schema["gene_id"], g.schema["snp"], T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    products = tiles(genes, "gene_id", "v", "snps").cogroup(tiles(snps, "snp", "v")).applyInArrow(multiply, out)
+    sums = products.select("gene_id", "snp", *[F.col("sums")[i].alias(c) for i, c in enumerate(("gy", "gg", "yy"))], F.col("sums")[3].cast("long").alias("n"))
     beta, df = F.try_divide(F.col("gy"), F.col("gg")), F.col("n") - 2 - n_covariates
     rest = F.greatest(F.col("yy") - beta * F.col("gy"), F.lit(0.0))
     t = F.when(df > 0, F.try_divide(beta, F.sqrt(rest / df / F.col("gg"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,10 +106,26 @@ def mean_test(counts: DataFrame, cells: DataFrame, treatment: str, replicates: l
 
 
 def doses_by_group(genotypes: DataFrame, a: Analysis, individual: str) -> DataFrame:
-    """(tx, dose: grp -> dosage) of each snp of genotypes (individual, snp, dosage); groups are individuals."""
-    names = a.groups.select("grp", F.col(individual).cast("string").alias("individual"))
-    rows = genotypes.withColumn("individual", F.col("individual").cast("string")).join(names, "individual")
-    return rows.groupBy(F.col("snp").alias("tx")).agg(F.map_from_entries(F.collect_list(F.struct("grp", F.col("dosage").cast("double")))).alias("dose"))
+    """(tx, dose) of each snp of genotypes (individual, snp, dosage): a value for each group of ``a`` in order
+    of names, null where there is none; groups are individuals, and an individual has one dosage of a snp."""
+    names = sorted((r["grp"], r["i"]) for r in a.groups.select("grp", F.col(individual).cast("string").alias("i")).collect())  # a row for each group
+    places = F.broadcast(genotypes.sparkSession.createDataFrame([(i, n) for n, (_, i) in enumerate(names)], "individual string, place int"))
+    rows = genotypes.withColumn("individual", F.col("individual").cast("string")).join(places, "individual")
+    found = rows.groupBy(F.col("snp").alias("tx")).agg(F.collect_list(F.struct("place", F.col("dosage").cast("double").alias("dosage"))).alias("d"))
+
+    def dense(batches):
+        for batch in batches:
+            out = []
+            for doses in batch["d"]:
+                row = np.full(len(names), np.nan)
+                at = np.array([d["place"] for d in doses], dtype=int)
+                if len(set(at.tolist())) < len(at):
+                    raise ValueError("an individual has several dosages of one snp")
+                row[at] = [np.nan if d["dosage"] is None else d["dosage"] for d in doses]
+                out.append(row)
+            yield pd.DataFrame({"tx": batch["tx"], "dose": out})
+
+    return found.mapInPandas(dense, "tx string, dose array<double>")
 
 
 def run_eqtl(counts: DataFrame, cells: DataFrame, genotypes: DataFrame, covariates: DataFrame, pairs: DataFrame, individual: str = "individual", num_boot: int = 1000, seed: int = 5, q: float = 0.1, **options) -> DataFrame:

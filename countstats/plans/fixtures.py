@@ -140,6 +140,8 @@ def analysis_cte(suffix: str, grouped: str, share: float) -> dict[str, str]:
 CTE |= analysis_cte("", "grouped", 0.7)
 CTE["grouped_stim"] = "SELECT *, 'sg^' || stim AS grp FROM sized WHERE stim IN (SELECT stim FROM sized GROUP BY 1 HAVING count(*) >= 10)"
 CTE |= analysis_cte("_stim", "grouped_stim", 0.9)
+CTE["grouped_sr"] = "SELECT *, 'sg^' || stim || '^' || region AS grp FROM sized WHERE (stim, region) IN (SELECT (stim, region) FROM sized GROUP BY stim, region HAVING count(*) >= 10)"
+CTE |= analysis_cte("_sr", "grouped_sr", 0.5)
 CTE["grouped_nation"] = "SELECT *, 'sg^' || nation AS grp FROM sized"
 CTE |= analysis_cte("_nation", "grouped_nation", 0.3)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import argmax_column, average_rank, running_before
 from ..functions.lineage import materialize, shared_folder
-from ..operators import estimators, groups, intervals, meanvar, prep, pvalues, tables, testing
+from ..operators import cube, estimators, groups, intervals, meanvar, prep, pvalues, tables, testing
 from ..sources import io
 from . import analysis
 from . import fixtures as fx
@@ -21,11 +21,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(select: str | None = None) -> Callable[[Query], Query]:
+def query(select: str | None = None, feature: str = "p_brand") -> Callable[[Query], Query]:
+    """Register a query, and ``select`` behind what it names as its SQL; ``feature`` is what is counted."""
+
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if select:
-            ORACLES[f.__name__] = sql(select)
+            ORACLES[f.__name__] = sql(select).replace("p_brand AS gene_id", f"{feature} AS gene_id")
         return f
 
     return register
@@ -74,7 +76,7 @@ def io_delimited_round_trip(spark, d):
 def io_mtx_round_trip(spark, d):
     counts = materialize(fx.counts(spark, d))
     path = _scratch(spark, "mtx")
-    genes = materialize(running_before(counts.select("gene_id").distinct(), [], ["gene_id"], F.lit(1), "g"))
+    genes = materialize(running_before(counts.select("gene_id").distinct(), [], ["gene_id"], {"g": F.lit(1)}))
     sizes = counts.agg(F.count("*").alias("n"), F.max("cell_id").alias("top")).first()
     head = ["%%MatrixMarket matrix coordinate integer general", "%", f"{genes.count()} {sizes['top'] + 1} {sizes['n']}"]
     spark.createDataFrame([("\n".join(head),)], "value string").write.text(f"{path}/m")
@@ -242,6 +244,19 @@ def s5_create_groups(spark, d):
     return groups.create_groups(fx.cells(spark, d), ["seg", "region"])[1].withColumn("q", r("q"))
 
 
+_COLLIDING = "SELECT cell_id, CASE cell_id % 4 WHEN 0 THEN 'a^b' WHEN 1 THEN 'a' WHEN 2 THEN NULL ELSE '' END AS one, CASE cell_id % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'b^c' ELSE 'z%' END AS two FROM cells"
+
+
+@query(f"SELECT one, two, count(*) AS n_cells, 'sg^' || coalesce(replace(one, '^', '%d'), '%n') || '^' || replace(replace(two, '%', '%p'), '^', '%d') AS grp, one AS back_one, two AS back_two FROM ({_COLLIDING}) GROUP BY ALL HAVING count(*) >= 10")
+def s5_colliding_labels(spark, d):
+    """Labels with delimiters, percent signs and nulls never share a group, and come back out of its name."""
+    k = F.col("cell_id") % 4
+    cells = fx.cells(spark, d).withColumns({"one": F.when(k == 0, "a^b").when(k == 1, "a").when(k == 3, ""), "two": F.when(k == 0, "c").when(k == 1, "b^c").otherwise("z%")})
+    found = groups.create_groups(cells, ["one", "two"])[1].select("grp", "one", "two", "n_cells")
+    back = groups.split_group_names(found, ["one", "two"]).withColumnsRenamed({"one": "back_one", "two": "back_two"})
+    return found.join(back, "grp")
+
+
 @query("SELECT 'sg^' || seg || '^' || region AS grp, seg, region::DOUBLE AS region FROM cells GROUP BY ALL HAVING count(*) >= 10")
 def s6_split_group_names(spark, d):
     return groups.split_group_names(groups.create_groups(fx.cells(spark, d), ["seg", "region"])[1].select("grp"), ["seg", "region"])
@@ -407,6 +422,18 @@ def e15_estimator_cube(spark, d):
     return _cube(spark, d, ["seg", "region"]).withColumn("mean", r("mean", 8)).withColumn("sem", r("sem", 8))
 
 
+@query('SELECT seg, region, gene_id, count(*) AS nnz, n_obs, min(x) AS "min", max(x) AS "max", CAST(sum(x) AS BIGINT) AS "sum", round(sum(x / s) / n_obs, 8) AS mean, round(sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs), 8) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT seg, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (seg, region) GROUP BY seg, region, gene_id, n_obs')
+def e15_grown_cube(spark, d):
+    """Two calls of two batches each: halves of the customers, whose brands come apart."""
+    path, cells, dims = f"{shared_folder(spark)}/cube-{uuid.uuid4().hex}", fx.cells(spark, d), ["seg", "region"]
+    counts = materialize(fx.counts(spark, d))
+    for half in (0, 1):
+        own = counts.filter(F.col("cell_id") % 2 == half)
+        odd = F.substring("gene_id", 7, 2).cast("int") % 2
+        cube.grow(path, {f"{half}-{i}": own.filter(odd == i) for i in (0, 1)}, cells, dims)
+    return cube.read_cube(spark, path, dims).withColumn("mean", r("mean", 8)).withColumn("sem", r("sem", 8))
+
+
 def _cube(spark, d, dims):
     return materialize(estimators.estimator_cube(materialize(fx.counts(spark, d)), fx.cells(spark, d), dims))
 
@@ -527,6 +554,97 @@ def h10_observed_mean(spark, d):
     return testing.mean_summary(a.parameters, a.compressed, 0).select("grp", "gene_id", r("mean", 8).alias("mean"), "sem")
 
 
+def _given(labels: str, weights: str, genes: str, draws: int) -> str:
+    """Compressed rows with given weights (see groups.with_weights) as CTE: b, c and w; ``weights`` names the values."""
+    mixed = f"n * 7 + 5 + {weights}"
+    return f"""b AS (SELECT cell_id, 'sg^' || {labels} AS grp, sf_bin, q FROM binned), bins AS (SELECT grp, sf_bin, count(*) AS m FROM b GROUP BY ALL),
+    qs AS (SELECT grp, avg(q) AS q, count(*) AS cells FROM b GROUP BY 1), {genes},
+    w AS (SELECT *, greatest(n + (({mixed}) * (2 * d + 3) + d * d) % 5 - 2, 0)::DOUBLE AS w FROM c, (SELECT unnest(range(1, {draws} + 1)) AS d))"""
+
+
+def _filled(c: str, source: str, keys: str, valid: str) -> str:
+    """f_<c>: the draws of ``source``, invalid ones replaced in turn by the first, second ... valid one."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return f"""v_{c} AS (SELECT {keys}, d, {c}, coalesce({valid}, false) AS ok, row_number() OVER (PARTITION BY {keys}, coalesce({valid}, false) ORDER BY d) - 1 AS k, count(*) FILTER ({valid}) OVER (PARTITION BY {keys}) AS valid FROM {source}),
+    f_{c} AS (SELECT {', '.join(f'a.{k}' for k in keys.split(', '))}, a.d, CASE WHEN a.ok THEN a.{c} ELSE b.{c} END AS {c} FROM (SELECT * FROM v_{c} WHERE valid > 0) a LEFT JOIN (SELECT * FROM v_{c} WHERE ok) b ON NOT a.ok AND {same} AND b.k = a.k % a.valid)"""
+
+
+def _given_1d(labels: str, suffix: str, draws: int) -> str:
+    """Means and residual variances of given draws, invalid ones replaced in turn by valid ones: CTE up to f."""
+    genes = f"""nz AS (SELECT grp, gene_id, sf_bin, x, count(*) AS n FROM counts JOIN b USING (cell_id) SEMI JOIN kept{suffix} USING (gene_id) GROUP BY ALL),
+    z AS (SELECT grp, gene_id, sf_bin, 0 AS x, m - coalesce(u, 0) AS n FROM (SELECT grp, gene_id FROM resid{suffix}) JOIN bins USING (grp) LEFT JOIN (SELECT grp, gene_id, sf_bin, sum(n) AS u FROM nz GROUP BY ALL) USING (grp, gene_id, sf_bin)),
+    c AS (SELECT grp, gene_id, sf_bin, x, n::BIGINT AS n FROM nz UNION ALL SELECT grp, gene_id, sf_bin, x, n::BIGINT FROM z WHERE n > 0)"""
+    return f"""{_given(labels, '2 * x', genes, draws)},
+    s AS (SELECT grp, gene_id, d, sum(x / sf_bin * w) / any_value(cells) AS mean, sum((x * x - (1 - q) * x) / (sf_bin * sf_bin) * w) / any_value(cells) - pow(sum(x / sf_bin * w) / any_value(cells), 2) AS var FROM w JOIN qs USING (grp) GROUP BY grp, gene_id, d),
+    m AS (SELECT s.grp, s.gene_id, s.d, s.mean, CASE WHEN s.mean > 0 AND s.var > 0 THEN exp(ln(s.var) - (c0 + c1 * (ln(s.mean) - center) + c2 * pow(ln(s.mean) - center, 2))) END AS rv FROM s JOIN fit{suffix} USING (grp) JOIN resid{suffix} o USING (grp, gene_id) WHERE o.mean > 0 AND o.res_var >= 0),
+    {_filled('mean', 'm', 'grp, gene_id', 'mean > 0')}, {_filled('rv', 'm', 'grp, gene_id', 'rv > 0')}, f AS (SELECT grp, gene_id, d, ln(mean) AS de, ln(rv) AS dv FROM f_mean JOIN f_rv USING (grp, gene_id, d))"""
+
+
+def _tail(z: str) -> str:
+    """The upper tail of a normal."""
+    return f"(CASE WHEN {z} >= 0 THEN {fx.NORMAL_P.format(z=f'({z})')} / 2 ELSE 1 - {fx.NORMAL_P.format(z=f'({z})')} / 2 END)"
+
+
+def _summary(name: str, observed_only: bool = False, digits: int = 6) -> str:
+    """coef, se and p of observed o_<name> and draws d_<name>, of which there are many rows."""
+    o, m, sd = f"any_value(o_{name})", f"avg(d_{name})", f"stddev_pop(d_{name})"
+    coef = o if observed_only else f"({o} + sum(d_{name})) / (1 + count(d_{name}))"
+    p = f"{_tail(f'(abs({o}) - ({m} - {o})) / {sd}')} + {_tail(f'(abs({o}) + ({m} - {o})) / {sd}')}"
+    return f"round({coef}, {digits}) + 0.0::DOUBLE AS {name}_coef, round({sd}, {digits}) AS {name}_se, CASE WHEN {sd} > 0 THEN round({p}, {digits - 1}) + 0.0::DOUBLE END AS {name}_pval"
+
+
+@query(f"WITH {_given_1d('stim', '_stim', 24)}, o AS (SELECT gene_id, grp, ln(mean) AS de, ln(res_var) AS dv FROM resid_stim WHERE mean > 0 AND res_var >= 0), t AS (SELECT a.gene_id, b.de - a.de AS d_de, b.dv - a.dv AS d_dv, p.de - c.de AS o_de, p.dv - c.dv AS o_dv FROM f a JOIN f b ON b.gene_id = a.gene_id AND b.d = a.d AND a.grp = 'sg^0' AND b.grp = 'sg^1' JOIN o c ON c.gene_id = a.gene_id AND c.grp = 'sg^0' JOIN o p ON p.gene_id = a.gene_id AND p.grp = 'sg^1') SELECT gene_id AS gene, 'stim' AS tx, {_summary('de')}, {_summary('dv', digits=5)} FROM t GROUP BY 1")
+def h8_given_draws(spark, d):
+    """The test of means and variability on given weights, with p-values: H3, H5, H7, H8."""
+    a = _analysis(spark, d, ["stim"], min_share=0.9)
+    found = testing.ht_1d(a.parameters, groups.with_weights(a.compressed, 24), analysis.design_of(a, ["stim"]), ["stim"], num_boot=24)
+    return found.select("gene", "tx", *[r(f"de_{c}", 6 - (c == "pval")).alias(f"de_{c}") for c in ("coef", "se", "pval")], *[r(f"dv_{c}", 5 - (c == "pval")).alias(f"dv_{c}") for c in ("coef", "se", "pval")])
+
+
+@query(f"WITH {_given_1d('stim', '_stim', 24)} SELECT grp, gene_id, round(avg(mean), 7) AS drawn_mean, round(ln(avg(rv)), 5) AS drawn_rv FROM f_mean JOIN f_rv USING (grp, gene_id, d) GROUP BY ALL", feature="CAST(p_partkey AS VARCHAR)")
+def h3_given_draws_of_parts(spark, d):
+    """Draws of parts, of which few are sold, so that many are invalid and replaced: H1, H3, H4, by their
+    means over draws, the variance's as a logarithm."""
+    a = analysis.analyse(fx.counts(spark, d, "p_partkey"), fx.cells(spark, d), ["stim"], min_share=0.9, trim_percent=0.5)
+    draw = testing.draws_of(a.parameters, groups.with_weights(a.compressed, 24), 24)
+    return draw.select("grp", "gene_id", r("drawn_mean", 7).alias("drawn_mean"), r(F.log("drawn_rv"), 5).alias("drawn_rv"))
+
+
+@query(
+    f"""WITH {_given_1d("stim || '^' || region", '_sr', 24)}, o AS (SELECT gene_id, grp, 0 AS d, ln(mean) AS de, ln(res_var) AS dv FROM resid_sr WHERE mean > 0 AND res_var >= 0),
+    y AS (SELECT gene_id, grp, d, de, dv, substr(grp, 4, 1)::DOUBLE AS t, cells::DOUBLE AS w FROM (SELECT gene_id, grp, d, de, dv FROM f UNION ALL SELECT o.* EXCLUDE (d, de, dv), o.d, o.de, o.dv FROM o) JOIN qs USING (grp)),
+    e AS (SELECT gene_id, grp, d, w, row_number() OVER (PARTITION BY gene_id, d ORDER BY grp) - 1 AS g, count(*) OVER (PARTITION BY gene_id, d) AS k, t - sum(w * t) OVER p / sum(w) OVER p AS t, de - sum(w * de) OVER p / sum(w) OVER p AS de, dv - sum(w * dv) OVER p / sum(w) OVER p AS dv FROM y WINDOW p AS (PARTITION BY gene_id, d)),
+    pick AS (SELECT gene_id, d, (3 * g + 5 * (d - 1) + 1) % k AS pg, (7 * g + 11 * (d - 1) + 3) % 24 + 1 AS pd FROM e WHERE d > 0),
+    drawn AS (SELECT pick.gene_id, pick.d, e.w, e.t, e.de, e.dv FROM pick JOIN e ON e.gene_id = pick.gene_id AND e.g = pg AND e.d = pd),
+    sums AS (SELECT gene_id, d, sum(w) AS w, sum(w * t) AS wt, sum(w * t * t) AS wtt, sum(w * de) AS we, sum(w * t * de) AS wte, sum(w * dv) AS wv, sum(w * t * dv) AS wtv FROM (SELECT * FROM drawn UNION ALL SELECT gene_id, d, w, t, de, dv FROM e WHERE d = 0) GROUP BY ALL),
+    coefs AS (SELECT gene_id, d, CASE WHEN wtt - wt * wt / w > 1e-9 THEN (wte - wt * we / w) / (wtt - wt * wt / w) END AS de, CASE WHEN wtt - wt * wt / w > 1e-9 THEN (wtv - wt * wv / w) / (wtt - wt * wt / w) END AS dv FROM sums),
+    t AS (SELECT x.gene_id, x.de AS d_de, x.dv AS d_dv, c.de AS o_de, c.dv AS o_dv FROM coefs x JOIN coefs c ON c.gene_id = x.gene_id AND c.d = 0 WHERE x.d > 0) SELECT gene_id AS gene, 'stim' AS tx, {_summary('de', digits=5)}, {_summary('dv', digits=5)} FROM t GROUP BY 1"""
+)
+def h6_given_hierarchical(spark, d):
+    """The hierarchical bootstrap with given weights and given picks of groups and draws."""
+    a = _analysis(spark, d, ["stim", "region"], min_share=0.5)
+    found = testing.ht_1d(a.parameters, groups.with_weights(a.compressed, 24), analysis.design_of(a, ["stim"]), ["stim"], num_boot=24, resample_groups=True)
+    return found.select("gene", "tx", *[r(f"{s}_{c}", 5 - (c == "pval")).alias(f"{s}_{c}") for s in ("de", "dv") for c in ("coef", "se", "pval")])
+
+
+_GIVEN_2D = """ks AS (SELECT a.gene_id AS gene_1, b.gene_id AS gene_2 FROM kept_stim a JOIN kept_stim b ON a.gene_id < b.gene_id), cs AS (SELECT cell_id, grp, sf_bin, gene_id, x FROM counts JOIN b USING (cell_id)),
+    pv AS (SELECT coalesce(a.cell_id, b.cell_id) AS cell_id, coalesce(a.gene_1, b.gene_1) AS gene_1, coalesce(a.gene_2, b.gene_2) AS gene_2, coalesce(a.grp, b.grp) AS grp, coalesce(a.sf_bin, b.sf_bin) AS sf_bin, coalesce(a.x, 0) AS x1, coalesce(b.x, 0) AS x2 FROM (SELECT * FROM cs JOIN ks ON gene_id = gene_1) a FULL JOIN (SELECT * FROM cs JOIN ks ON gene_id = gene_2) b ON a.cell_id = b.cell_id AND a.gene_1 = b.gene_1 AND a.gene_2 = b.gene_2),
+    nz AS (SELECT grp, gene_1, gene_2, sf_bin, x1, x2, count(*) AS n FROM pv GROUP BY ALL), z AS (SELECT grp, gene_1, gene_2, sf_bin, 0 AS x1, 0 AS x2, m - coalesce(u, 0) AS n FROM bins CROSS JOIN ks LEFT JOIN (SELECT grp, gene_1, gene_2, sf_bin, sum(n) AS u FROM nz GROUP BY ALL) USING (grp, gene_1, gene_2, sf_bin)),
+    c AS (SELECT grp, gene_1, gene_2, sf_bin, x1, x2, n::BIGINT AS n FROM nz UNION ALL SELECT grp, gene_1, gene_2, sf_bin, x1, x2, n::BIGINT FROM z WHERE n > 0)"""
+_V = "sum((x{i} * x{i} - (1 - q) * x{i}) / (sf_bin * sf_bin) * w) / any_value(cells) - pow(sum(x{i} / sf_bin * w) / any_value(cells), 2) AS v{i}"
+
+
+@query(
+    f"WITH {_given('stim', '2 * x1 + 3 * x2', _GIVEN_2D, 12)}, s AS (SELECT grp, gene_1, gene_2, d, {_V.format(i=1)}, {_V.format(i=2)}, sum(x1 * x2 / (sf_bin * sf_bin) * w) / any_value(cells) - sum(x1 / sf_bin * w) / any_value(cells) * (sum(x2 / sf_bin * w) / any_value(cells)) AS cov FROM w JOIN qs USING (grp) GROUP BY grp, gene_1, gene_2, d), m AS (SELECT grp, gene_1, gene_2, d, CASE WHEN v1 > 0 AND v2 > 0 THEN cov / sqrt(v1 * v2) END AS r FROM s), {_filled('r', 'm', 'grp, gene_1, gene_2', 'abs(r) < 1')}, o AS (SELECT * FROM corrs_stim WHERE abs(corr) < 1), t AS (SELECT a.gene_1, a.gene_2, b.r - a.r AS d_corr, p.corr - c.corr AS o_corr FROM f_r a JOIN f_r b ON b.gene_1 = a.gene_1 AND b.gene_2 = a.gene_2 AND b.d = a.d AND a.grp = 'sg^0' AND b.grp = 'sg^1' JOIN o c ON c.gene_1 = a.gene_1 AND c.gene_2 = a.gene_2 AND c.grp = 'sg^0' JOIN o p ON p.gene_1 = a.gene_1 AND p.gene_2 = a.gene_2 AND p.grp = 'sg^1') SELECT gene_1, gene_2, 'stim' AS tx, {_summary('corr', True)} FROM t GROUP BY ALL"
+)
+def h9_given_draws(spark, d):
+    """The test of correlations on given weights, invalid draws replaced, with p-values: H2, H3, H9."""
+    a = _analysis(spark, d, ["stim"], min_share=0.9)
+    params, compressed = analysis.pair_analysis(a, _pairs(spark, d).filter("gene_1 < gene_2"))
+    found = testing.ht_2d(params, groups.with_weights(compressed, 12), analysis.design_of(a, ["stim"]), ["stim"], num_boot=12)
+    return found.select("gene_1", "gene_2", "tx", *[r(f"corr_{c}", 6 - (c == "pval")).alias(f"corr_{c}") for c in ("coef", "se", "pval")])
+
+
 @query()
 def h12_ht_mean(spark, d):
     return analysis.mean_test(fx.counts(spark, d), fx.cells(spark, d), "stim", ["region"], num_boot=200, trim_percent=0.5)
@@ -620,9 +738,28 @@ def h17_meta_effects(spark, d):
     return found.select("gene_id", r("coef").alias("coef"), r("se").alias("se"))
 
 
-@query()
+def _meta(block: str, least: int) -> str:
+    return f"""WITH c AS (SELECT stim, {block} AS blk, gene_id, n_obs, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT stim, {block}, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (stim, {block}) GROUP BY stim, {block}, gene_id, n_obs),
+    l AS (SELECT * FROM c WHERE blk IN (SELECT blk FROM c GROUP BY 1 HAVING count(DISTINCT stim) > 1)), v AS (SELECT *, ln(mean) AS y, pow(mean / sem, 2) AS w, stim::DOUBLE AS t FROM l WHERE n_obs > {least} AND mean > 0 AND sem > 0),
+    k AS (SELECT gene_id FROM v GROUP BY 1 HAVING count(*) >= 0.7 * (SELECT count(*) FROM (SELECT DISTINCT blk, stim FROM l))),
+    e AS (SELECT gene_id, blk, count(*) AS n, covar_pop(t, y) / var_pop(t) AS slope, 1 / (sum(w * t * t) - sum(w * t) * sum(w * t) / sum(w)) AS v FROM v SEMI JOIN k USING (gene_id) GROUP BY gene_id, blk HAVING min(stim) <> max(stim)),
+    f AS (SELECT gene_id, sum(n * slope) / sum(n) AS coef, sqrt(sum(n * n * v)) / sum(n) AS se FROM e GROUP BY 1), z AS (SELECT *, coef / se AS z FROM f)
+    SELECT gene_id, round(coef, 6) + 0.0::DOUBLE AS coef, round(se, 6) AS se, round({fx.NORMAL_P.format(z='z')}, 6) AS pval FROM z"""
+
+
+def _rounded_meta(found):
+    return found.select("gene_id", *[r(c).alias(c) for c in ("coef", "se", "pval")])
+
+
+@query(_meta("region", 20))
 def h17_meta_wls(spark, d):
-    return testing.meta_wls(_cube(spark, d, ["stim", "region"]), "stim", "region")
+    return _rounded_meta(testing.meta_wls(_cube(spark, d, ["stim", "region"]), "stim", "region"))
+
+
+@query(_meta("nation", 5))
+def h17_meta_by_nation(spark, d):
+    """With a block for each nation, of which some have no customer of one kind."""
+    return _rounded_meta(testing.meta_wls(_cube(spark, d, ["stim", "nation"]), "stim", "nation", min_cells=5))
 
 
 @query("WITH n AS (SELECT count(*) FILTER (stim = 0) AS n0, count(*) FILTER (stim = 1) AS n1 FROM cells), s AS (SELECT gene_id, coalesce(sum(x) FILTER (stim = 0), 0)::DOUBLE AS s0, coalesce(sum(x) FILTER (stim = 1), 0)::DOUBLE AS s1, coalesce(sum(x * x) FILTER (stim = 0), 0)::DOUBLE AS q0, coalesce(sum(x * x) FILTER (stim = 1), 0)::DOUBLE AS q1 FROM counts JOIN cells USING (cell_id) GROUP BY 1) SELECT gene_id, round(s1 / n1 - s0 / n0, 6) AS diff, round((s1 / n1 - s0 / n0) / sqrt((q0 - s0 * s0 / n0 + q1 - s1 * s1 / n1) / (n0 + n1 - 2) * (1.0::DOUBLE / n0 + 1.0::DOUBLE / n1)), 5) AS t, n0 + n1 - 2 AS df FROM s, n")
@@ -659,7 +796,10 @@ def h20_ks(spark, d):
 _FLAGS = "SELECT region, c_acctbal > 5000 AS a, c_mktsegment = 'BUILDING' AS b FROM customer JOIN cells ON cell_id = c_custkey"
 
 
-@query(f"WITH n AS (SELECT region, count(*) FILTER (a AND b) AS n11, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (NOT a AND NOT b) AS n00 FROM ({_FLAGS}) GROUP BY 1) SELECT *, round((n11 + n10 + n01 + n00)::DOUBLE * pow(abs(n11 * n00 - n10 * n01) - least((n11 + n10 + n01 + n00) / 2.0::DOUBLE, abs(n11 * n00 - n10 * n01)), 2) / nullif((n11 + n10)::DOUBLE * (n01 + n00) * (n11 + n01) * (n10 + n00), 0), 6) AS chi2 FROM n")
+_CROSSTAB = f"WITH n AS (SELECT region, count(*) FILTER (a AND b) AS n11, count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01, count(*) FILTER (NOT a AND NOT b) AS n00 FROM ({_FLAGS}) GROUP BY 1) SELECT *, round((n11 + n10 + n01 + n00)::DOUBLE * pow(abs(n11 * n00 - n10 * n01) - least((n11 + n10 + n01 + n00) / 2.0::DOUBLE, abs(n11 * n00 - n10 * n01)), 2) / nullif((n11 + n10)::DOUBLE * (n01 + n00) * (n11 + n01) * (n10 + n00), 0), 6) AS chi2 FROM n"
+
+
+@query(_CROSSTAB)
 def h21_crosstab(spark, d):
     return testing.crosstab(_flags(spark, d), "a", "b", ["region"]).withColumn("chi2", r("chi2"))
 
@@ -669,14 +809,12 @@ def _flags(spark, d):
     return rows.select("region", (F.col("c_acctbal") > 5000).alias("a"), (F.col("c_mktsegment") == "BUILDING").alias("b"), "seg")
 
 
-@query(f"WITH n AS (SELECT region, count(*) FILTER (a AND b) AS w, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (NOT a AND b) AS y, count(*) FILTER (NOT a AND NOT b) AS v FROM ({_FLAGS}) GROUP BY 1), c AS (SELECT region, sqrt((w + x + y + v)::DOUBLE * pow(abs(w * v - x * y) - least((w + x + y + v) / 2.0::DOUBLE, abs(w * v - x * y)), 2) / nullif((w + x)::DOUBLE * (y + v) * (w + y) * (x + v), 0)) AS z FROM n) SELECT region, CASE WHEN z IS NOT NULL THEN round({fx.NORMAL_P.format(z='z')}, 7) END AS pval FROM c")
-def h21_chi2_pvalue(spark, d):
-    return testing.crosstab_test(_flags(spark, d), "a", "b", ["region"]).select("region", r("chi2_pval", 7).alias("pval"))
+_CHI2_P = f"WITH n AS (SELECT region, count(*) FILTER (a AND b) AS w, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (NOT a AND b) AS y, count(*) FILTER (NOT a AND NOT b) AS v FROM ({_FLAGS}) GROUP BY 1), c AS (SELECT region, sqrt((w + x + y + v)::DOUBLE * pow(abs(w * v - x * y) - least((w + x + y + v) / 2.0::DOUBLE, abs(w * v - x * y)), 2) / nullif((w + x)::DOUBLE * (y + v) * (w + y) * (x + v), 0)) AS z FROM n) SELECT region, CASE WHEN z IS NOT NULL THEN round({fx.NORMAL_P.format(z='z')}, 7) END AS pval FROM c"
 
 
-@query()
-def h21_crosstab_tests(spark, d):
-    return testing.crosstab_test(_flags(spark, d), "a", "b", ["region"])
+@query(_CHI2_P)
+def h21_chi2_pvalue(spark, d):
+    return testing.crosstab_test(_flags(spark, d), "a", "b", ["region"]).select("region", r("chi2_pval", 7).alias("pval"))
 
 
 @query("WITH n AS (SELECT seg, region, count(*) AS n FROM cells GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY seg) * sum(n) OVER (PARTITION BY region) / sum(n) OVER () AS e, sum(n) OVER () AS a FROM n) SELECT round(sum(pow(n - e, 2) / e - e) + any_value(a), 5) AS chi2, (count(DISTINCT seg) - 1) * (count(DISTINCT region) - 1) AS df FROM t")
@@ -694,11 +832,20 @@ def h22_binomial_test(spark, d):
     return testing.binomial_test(_flags(spark, d), "a", ["seg"]).select("seg", r("pval", 8).alias("pval"))
 
 
-@query(f"WITH n AS (SELECT region, count(*) FILTER (a AND b) AS n11, count(*) FILTER (a) AS r, count(*) FILTER (b) AS c, count(*) AS n FROM ({_FLAGS}) GROUP BY 1), p AS (SELECT *, greatest(0, r + c - n) AS low, [exp(lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(c - i + 1) - lgamma(n - r - c + i + 1) - lgamma(n + 1) + lgamma(c + 1) + lgamma(n - c + 1)) FOR i IN range(greatest(0, r + c - n), least(r, c) + 1)] AS p FROM n) SELECT region, round(least(1, list_sum([v FOR v IN p IF v <= p[n11 - low + 1] * (1 + 1e-7)])), 8) AS pval FROM p")
+_FISHER = f"WITH n AS (SELECT region, count(*) FILTER (a AND b) AS n11, count(*) FILTER (a) AS r, count(*) FILTER (b) AS c, count(*) AS n FROM ({_FLAGS}) GROUP BY 1), p AS (SELECT *, greatest(0, r + c - n) AS low, [exp(lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(c - i + 1) - lgamma(n - r - c + i + 1) - lgamma(n + 1) + lgamma(c + 1) + lgamma(n - c + 1)) FOR i IN range(greatest(0, r + c - n), least(r, c) + 1)] AS p FROM n) SELECT region, round(least(1, list_sum([v FOR v IN p IF v <= p[n11 - low + 1] * (1 + 1e-7)])), 8) AS pval FROM p"
+
+
+@query(_FISHER)
 def h21_fisher(spark, d):
     return testing.crosstab_test(_flags(spark, d), "a", "b", ["region"]).select("region", r("fisher_pval", 8).alias("pval"))
 
 
+@query(f"SELECT c.*, p.pval AS chi2_pval, f.pval AS fisher_pval FROM ({_CROSSTAB}) c JOIN ({_CHI2_P}) p USING (region) JOIN ({_FISHER}) f USING (region)")
+def h21_crosstab_tests(spark, d):
+    found = testing.crosstab_test(_flags(spark, d), "a", "b", ["region"])
+    return found.withColumns({"chi2": r("chi2"), "chi2_pval": r("chi2_pval", 7), "fisher_pval": r("fisher_pval", 8)})
+
+
 _EXPR = "SELECT gene_id, nation, ln(1 + coalesce(sum(x), 0) / any_value(n)) AS v FROM (SELECT nation, count(*) AS n FROM cells GROUP BY 1) CROSS JOIN (SELECT DISTINCT gene_id FROM counts) LEFT JOIN (SELECT nation, gene_id, x FROM counts JOIN cells USING (cell_id)) USING (nation, gene_id) GROUP BY ALL"
 
 
@@ -730,18 +877,21 @@ def _wls(spark, d):
     return testing.log1p_wls(cube, design, ["stim"])
 
 
-@query()
-def h24_log1p_wls(spark, d):
-    return _wls(spark, d)
 
 
-@query(
-    "WITH c AS (SELECT seg, region, gene_id, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT seg, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (seg, region) GROUP BY seg, region, gene_id, n_obs), e AS (SELECT gene_id, (seg = 'BUILDING')::INT::DOUBLE AS t, ln(1 + mean) AS y, (ln(1 + mean + sem) - ln(1 + greatest(mean - sem, -0.999999))) / 2 AS se FROM c), w AS (SELECT *, pow(CASE WHEN se > 0 THEN se ELSE min(se) FILTER (se > 0) OVER (PARTITION BY gene_id) END, -2) AS w FROM e), s AS (SELECT gene_id, sum(w) AS w, sum(w * t) AS wt, sum(w * y) AS wy, sum(w * t * t) AS wtt, sum(w * t * y) AS wty FROM w WHERE w IS NOT NULL GROUP BY 1) SELECT gene_id, 'stim' AS tx, round((w * wty - wt * wy) / (w * wtt - wt * wt), 8) + 0.0::DOUBLE AS coef, round(sqrt(w / (w * wtt - wt * wt)), 8) AS se FROM s WHERE w * wtt - wt * wt > 1e-9 * w * wtt"
-)
+_WLS = "WITH c AS (SELECT seg, region, gene_id, sum(x / s) / n_obs AS mean, sqrt(greatest(sum(x / s * x / s) / n_obs - pow(sum(x / s) / n_obs, 2), 0) / n_obs) AS sem FROM counts JOIN total USING (cell_id) JOIN (SELECT seg, region, count(*) AS n_obs FROM total WHERE s > 0 GROUP BY ALL) USING (seg, region) GROUP BY seg, region, gene_id, n_obs), e AS (SELECT gene_id, (seg = 'BUILDING')::INT::DOUBLE AS t, ln(1 + mean) AS y, (ln(1 + mean + sem) - ln(1 + greatest(mean - sem, -0.999999))) / 2 AS se FROM c), w AS (SELECT *, pow(CASE WHEN se > 0 THEN se ELSE min(se) FILTER (se > 0) OVER (PARTITION BY gene_id) END, -2) AS w FROM e), s AS (SELECT gene_id, sum(w) AS w, sum(w * t) AS wt, sum(w * y) AS wy, sum(w * t * t) AS wtt, sum(w * t * y) AS wty FROM w WHERE w IS NOT NULL GROUP BY 1), f AS (SELECT gene_id, 'stim' AS tx, (w * wty - wt * wy) / (w * wtt - wt * wt) AS coef, sqrt(w / (w * wtt - wt * wt)) AS se FROM s WHERE w * wtt - wt * wt > 1e-9 * w * wtt)"
+
+
+@query(f"{_WLS} SELECT gene_id, tx, round(coef, 8) + 0.0::DOUBLE AS coef, round(se, 8) AS se FROM f")
 def h24_log1p_effects(spark, d):
     return _wls(spark, d).filter("se > 0").select("gene_id", "tx", r("coef", 8).alias("coef"), r("se", 8).alias("se"))
 
 
+@query(f"{_WLS}, z AS (SELECT *, coef / se AS z FROM f) SELECT gene_id, tx, round(coef, 8) + 0.0::DOUBLE AS coef, round(se, 8) AS se, round({fx.NORMAL_P.format(z='z')}, 6) AS pval FROM z")
+def h24_log1p_wls(spark, d):
+    return _wls(spark, d).select("gene_id", "tx", r("coef", 8).alias("coef"), r("se", 8).alias("se"), r("pval").alias("pval"))
+
+
 # Multiple testing and evaluation
 
 
@@ -826,7 +976,10 @@ def p10_sign_classes(spark, d):
     return wide.groupBy(pvalues.sign_class(["m1", "m2", "m3"]).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query('SELECT p_type AS "set", count(DISTINCT p_partkey) FILTER (p_partkey % 7 = 0) AS overlap, count(DISTINCT p_partkey) AS set_size, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) AS hits, (SELECT count(*) FROM part) AS universe FROM part GROUP BY 1')
+_ENRICHMENT = 'SELECT p_type AS "set", count(DISTINCT p_partkey) FILTER (p_partkey % 7 = 0) AS overlap, count(DISTINCT p_partkey) AS set_size, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) AS hits, (SELECT count(*) FROM part) AS universe FROM part GROUP BY 1'
+
+
+@query(_ENRICHMENT)
 def p11_enrichment_counts(spark, d):
     genes = table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_type").alias("set"))
     return pvalues.enrichment_counts(genes.filter("gene_id % 7 = 0"), genes, genes).select("set", "overlap", "set_size", "hits", "universe")
@@ -837,16 +990,24 @@ _ENRICHED = 'WITH c AS (SELECT p_type AS t, count(*) FILTER (p_partkey % 7 = 0)
 
 @query(_ENRICHED)
 def p11_enrichment_pvalue(spark, d):
-    return p11_enrichment_test(spark, d).select("set", r("pval", 7).alias("pval"))
+    return _enrichment(spark, d).select("set", r("pval", 7).alias("pval"))
+
 
+_ENRICHMENT_FDR = f"WITH e AS ({_ENRICHED.replace(', 7) AS pval', ', 12) AS pval')}), k AS (SELECT *, row_number() OVER (ORDER BY pval) AS k, count(*) OVER () AS m FROM e) SELECT \"set\", round(pval, 7) AS pval, round(least(1, min(pval * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 7) AS fdr FROM k"
 
-@query(f"WITH e AS ({_ENRICHED.replace(', 7) AS pval', ', 12) AS pval')}), k AS (SELECT *, row_number() OVER (ORDER BY pval) AS k, count(*) OVER () AS m FROM e) SELECT \"set\", round(pval, 7) AS pval, round(least(1, min(pval * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 7) AS fdr FROM k")
+
+@query(_ENRICHMENT_FDR)
 def p11_enrichment_fdr(spark, d):
-    return p11_enrichment_test(spark, d).select("set", r("pval", 7).alias("pval"), r("fdr", 7).alias("fdr"))
+    return _enrichment(spark, d).select("set", r("pval", 7).alias("pval"), r("fdr", 7).alias("fdr"))
 
 
-@query()
+@query(f"SELECT c.*, f.pval, f.fdr FROM ({_ENRICHMENT}) c JOIN ({_ENRICHMENT_FDR}) f USING (\"set\")")
 def p11_enrichment_test(spark, d):
+    found = _enrichment(spark, d)
+    return found.withColumns({"pval": r("pval", 7), "fdr": r("fdr", 7)})
+
+
+def _enrichment(spark, d):
     genes = table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"), F.col("p_type").alias("set"))
     return pvalues.enrichment_test(genes.filter("gene_id % 7 = 0"), genes, genes)
 

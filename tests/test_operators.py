@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import threading
+import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -10,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from countstats.functions import columns, special
-from countstats.operators import bootstrap, estimators, groups, intervals, meanvar, prep, pvalues, tables, testing
+from countstats.functions.lineage import materialize
+from countstats.operators import bootstrap, cube, estimators, groups, intervals, meanvar, prep, products, pvalues, tables, testing
 from countstats.plans import analysis
 from countstats.sources import io
 
@@ -68,9 +72,10 @@ def test_running_sums_ranks_and_quantiles(spark):
     rng = np.random.default_rng(2)
     made = [(["a", "b", None][int(i) % 3], float(rng.integers(0, 20)), int(i)) for i in range(400)]
     frame = spark.createDataFrame(made, "g string, v double, k int").repartition(5)
-    rows = columns.running_before(frame, ["g"], ["v", "k"], F.col("k"), "before").collect()
+    rows = columns.running_before(frame, ["g"], ["v", "k"], {"before": F.col("k"), "number": F.lit(1)}).collect()
     for r in rows:
         assert r["before"] == sum(k for g, v, k in made if g == r["g"] and (v, k) < (r["v"], r["k"]))
+        assert r["number"] == sum(1 for g, v, k in made if g == r["g"] and (v, k) < (r["v"], r["k"]))
     for r in columns.average_rank(frame, ["g"], "v", "rank").collect():
         own = [v for g, v, _ in made if g == r["g"]]
         assert r["rank"] == sum(v < r["v"] for v in own) + (sum(v == r["v"] for v in own) + 1) / 2
@@ -99,8 +104,7 @@ def test_results_too_large_to_list_are_refused(spark, monkeypatch):
     genes = spark.range(10).select(F.col("id").cast("string").alias("gene_id"))
     monkeypatch.setattr(tables, "MOST_PAIRS", 44)
     monkeypatch.setattr(tables, "MOST_LEVELS", 9)
-    monkeypatch.setattr(estimators, "MOST_GENES", 9)
-    for call in (lambda: tables.product_pairs(genes, genes), lambda: tables.unordered_pairs(genes), lambda: tables.one_hot(genes, "gene_id"), lambda: estimators.correlation_matrix(None, None, None, genes)):
+    for call in (lambda: tables.product_pairs(genes, genes), lambda: tables.unordered_pairs(genes), lambda: tables.one_hot(genes, "gene_id")):
         with pytest.raises(ValueError):
             call()
 
@@ -187,6 +191,18 @@ def test_one_size_factor_and_labels_with_the_delimiter(spark):
     assert groups.create_groups(cells, ["label"], min_cell_count=13)[0].count() == 0
 
 
+def test_labels_that_look_alike_are_groups_of_their_own(spark):
+    labels = [("a^b", "c"), ("a", "b^c"), (None, "z"), ("", "z"), ("%n", "z"), ("a%d", "b"), ("a^", "b"), ("%", "p")]
+    cells = spark.createDataFrame([(10 * k + i, *pair, 0.1) for k, pair in enumerate(labels) for i in range(3)], "cell_id bigint, one string, two string, q double")
+    grouped, table = groups.create_groups(cells, ["one", "two"], min_cell_count=3)
+    assert table.select("grp").distinct().count() == len(labels) and {(r["one"], r["two"]) for r in table.collect()} == set(labels)
+    assert grouped.groupBy("grp").agg(F.count_distinct("one", "two").alias("n"), F.count("*").alias("c")).filter("c <> 3").count() == 0
+    back = groups.split_group_names(table, ["one", "two"])
+    assert {tuple(r)[1:] for r in back.collect()} == set(labels)
+    with pytest.raises(ValueError):
+        groups.create_groups(cells, ["one"], delimiter="%")
+
+
 def test_resampling_matches_drawing_cells():
     rng = np.random.default_rng(0)
     x = rng.poisson(2, 300).astype(float)
@@ -217,16 +233,24 @@ def test_effects_equal_weighted_regression():
     assert ones[0, 0] == pytest.approx(np.average(y, weights=w))
 
 
-def test_significance_and_filling():
-    null = np.random.default_rng(0).normal(0, 1, 5000)
-    assert bootstrap.significance(np.concatenate([[3.0], 3.0 + null])) == pytest.approx(0.0027, abs=0.002)
-    assert bootstrap.significance(np.concatenate([[0.0], null]), "boot") > 0.9
-    assert math.isnan(bootstrap.significance(np.ones(10)))
-    with pytest.raises(ValueError):
-        bootstrap.significance(np.arange(4.0), "gdp")
+def test_filling_and_sums_of_units(monkeypatch):
     filled = bootstrap.fill_invalid(np.array([1.0, np.nan, 2.0]), np.array([False, True, False]), np.random.default_rng(0))
     assert filled[1] in (1.0, 2.0)
     assert bootstrap.fill_invalid(np.array([np.nan]), np.array([True]), np.random.default_rng(0)) is None
+    bad = np.array([True, False, True, False, True])
+    assert bootstrap.fill_invalid(np.array([0.0, 1.0, 0.0, 2.0, 0.0]), bad, None).tolist() == [1.0, 1.0, 2.0, 2.0, 1.0]
+    monkeypatch.setattr(bootstrap, "UNIT", 4)
+    draws = np.random.default_rng(1).normal(1, 1, (2, 10))
+    draws[0, 3] = np.nan
+    n, mean, m2, beyond = bootstrap.unit_sums(draws, np.array([0.5, 1.0]))
+    assert n.tolist() == [[3, 4, 2], [4, 4, 2]] and np.allclose((n * mean).sum(axis=1), np.nansum(draws, axis=1))
+    assert np.allclose(m2[1, :2], [4 * draws[1, :4].var(), 4 * draws[1, 4:8].var()])
+    assert beyond.sum(axis=1).tolist() == [int((abs(draws[0] - 0.5) > 0.5).sum()), int((abs(draws[1] - 1) > 1).sum())]
+
+
+def test_zeros_are_drawn_together():
+    n, inverse, x = bootstrap.alike(np.array([3, 5, 2, 7, 0]), np.array([0.5, 1.0, 2.0, 4.0, 1.0]), np.array([0.0, 1.0, 0.0, 2.0, 3.0]))
+    assert n.tolist() == [7, 5, 5] and x.tolist() in ([2.0, 0.0, 1.0], [2.0, 1.0, 0.0]) and inverse[0] == 4.0
 
 
 def test_poisson_regression_recovers_its_coefficients():
@@ -301,13 +325,33 @@ def test_correlation_test_draws_what_it_observes(simulated, spark, kind):
     assert pd.isna(found.loc["g07", "corr_coef"])
 
 
-def test_treatments_and_covariates_of_each_gene_and_pair(simulated, spark):
+@pytest.fixture(scope="module")
+def unbalanced(simulated):
+    """Groups of unequal size whose replicates go along with the treatment."""
     counts, cells = simulated
-    a = analysis.analyse(counts, cells, ["stim", "rep"], trim_percent=0.5)
+    uneven = cells.withColumn("rep", F.when(F.col("stim") == 1, F.greatest("rep", F.lit(1))).otherwise(F.least("rep", F.lit(1)) * (F.col("rep") % 2)))
+    a = analysis.analyse(counts, uneven, ["stim", "rep"], trim_percent=0.5, min_cell_count=1)
     design = analysis.design_of(a, ["stim", "rep"]).assign(one=lambda f: (f["rep"] == 1) * 1.0, two=lambda f: (f["rep"] == 2) * 1.0)
+    return a, design
+
+
+def by_numpy(a, design, gene, covs, column="mean"):
+    """The weighted slope of the log on the treatment beside covariates."""
+    own = a.parameters.filter(F.col("gene_id") == gene).toPandas().set_index("grp").loc[design["grp"]]
+    x, w = np.column_stack([np.ones(len(design)), design[[*covs, "stim"]]]), own["n_cells"].to_numpy(dtype=float)
+    return np.linalg.lstsq(x * np.sqrt(w)[:, None], np.log(own[column].to_numpy()) * np.sqrt(w), rcond=None)[0][-1]
+
+
+def test_treatments_and_covariates_of_each_gene_and_pair(unbalanced, spark):
+    a, design = unbalanced
+    some = spark.createDataFrame([("g01", []), ("g02", ["one"])], "gene_id string, covariates array<string>")
+    observed = testing.ht_1d(a.parameters, a.compressed, design, ["stim"], ["one", "two"], num_boot=0, covariates_for=some).toPandas().set_index("gene")
+    for gene, covs in (("g01", []), ("g02", ["one"]), ("g05", ["one", "two"])):
+        for column, stat in (("mean", "de_coef"), ("res_var", "dv_coef")):
+            assert observed.loc[gene, stat] == pytest.approx(by_numpy(a, design, gene, covs, column))
+            assert abs(by_numpy(a, design, gene, covs, column) - by_numpy(a, design, gene, [] if covs else ["one", "two"], column)) > 1e-4
     run = lambda covs, **more: testing.ht_1d(a.parameters, a.compressed, design, ["stim"], covs, num_boot=20, **more).toPandas().set_index("gene").sort_index()
     without, both = run([]), run(["one", "two"])
-    some = spark.createDataFrame([("g01", []), ("g02", ["one"])], "gene_id string, covariates array<string>")
     mixed = run(["one", "two"], covariates_for=some)
     assert mixed.loc["g01"].equals(without.loc["g01"]) and mixed.loc["g05"].equals(both.loc["g05"])
     assert mixed.loc["g02"].equals(run(["one"]).loc["g02"]) and not mixed.loc["g01"].equals(both.loc["g01"])
@@ -315,13 +359,15 @@ def test_treatments_and_covariates_of_each_gene_and_pair(simulated, spark):
     pairs = spark.createDataFrame([("g03", "g04"), ("g10", "g15")], "gene_1 string, gene_2 string")
     params, compressed = analysis.pair_analysis(a, pairs)
     test = lambda **more: testing.ht_2d(params, compressed, design, covariates=["one", "two"], num_boot=20, **more).toPandas().set_index(["gene_1", "tx"]).sort_index()
-    dose = {g: float(v) for g, v in zip(design["grp"], design["stim"])}
-    own = spark.createDataFrame([("g03", "g04", "stim", dose), ("g10", "g15", "stim", dose), ("g10", "g15", "rep", {g: float(v) for g, v in zip(design["grp"], design["rep"])})], "gene_1 string, gene_2 string, tx string, dose map<string,double>")
+    ordered = design.sort_values("grp")
+    stim, rep = ordered["stim"].astype(float).tolist(), ordered["rep"].astype(float).tolist()
+    own = spark.createDataFrame([("g03", "g04", "stim", stim), ("g10", "g15", "stim", stim), ("g10", "g15", "rep", rep)], "gene_1 string, gene_2 string, tx string, dose array<double>")
     plain, listed = test(treatments=["stim"]), test(tests=own)
     assert listed.loc[("g03", "stim")].equals(plain.loc[("g03", "stim")]) and len(listed) == 3 and np.allclose(listed.loc[("g10", "stim"), "corr_coef"], plain.loc[("g10", "stim"), "corr_coef"])
     none = spark.createDataFrame([("g03", "g04", [])], "gene_1 string, gene_2 string, covariates array<string>")
     bare = testing.ht_2d(params, compressed, design, ["stim"], num_boot=20).toPandas().set_index(["gene_1", "tx"])
     assert test(treatments=["stim"], covariates_for=none).loc[("g03", "stim")].equals(bare.loc[("g03", "stim")])
+    assert not plain.loc[("g03", "stim")].equals(bare.loc[("g03", "stim")])
 
     summary = testing.mean_summary(a.parameters, a.compressed, 30)
     totals = spark.createDataFrame([(g, 1000.0) for g in design["grp"]], "grp string, total double")
@@ -341,7 +387,7 @@ def test_estimators_without_draws_or_pairs(simulated, spark):
     with pytest.raises(ValueError, match="covariance"):
         estimators.pair_covariance(counts, a.cells, pairs, kind=estimators.EstimatorSpec(hyper.point, hyper.boot))
     run = lambda kind: analysis.binary_test_2d(counts, cells, pairs, "stim", num_boot=30, trim_percent=0.5, kind=kind).orderBy("gene_1").toPandas()
-    own = estimators.EstimatorSpec(hyper.point, hyper.boot, cov=hyper.cov, cov_boot=hyper.cov_boot)
+    own = estimators.EstimatorSpec(hyper.point, hyper.boot, cov=hyper.cov, cov_boot=hyper.cov_boot, zeros_alike=True)
     pd.testing.assert_frame_equal(run(own), run("hyper_relative"))
 
 
@@ -482,3 +528,174 @@ def test_small_helpers(spark, counts):
     x = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(6)] + [(float("nan"), 1.0), (1.0, None)], "x double, y double").withColumn("k", F.lit(1))
     fit = meanvar.robust_linregress(x, "x", "y", ["k"]).first()
     assert (fit["slope"], fit["intercept"], fit["r"], fit["spearman"]) == (pytest.approx(2), pytest.approx(1), pytest.approx(1), pytest.approx(1))
+
+
+# Draws in blocks, products in tiles
+
+
+def test_blocks_of_draws_change_no_number(unbalanced):
+    a, design = unbalanced
+    params, compressed = materialize(a.parameters), materialize(a.compressed)
+    for more in ({}, {"resample_groups": True}, {"approx": "boot"}):
+        run = lambda block: testing.ht_1d(params, compressed, design, ["stim"], ["one"], num_boot=350, block=block, **more).orderBy("gene").collect()  # noqa: B023, E731
+        whole = run(None)
+        assert whole == run(100) == run(300) and all(r["de_pval"] is not None for r in whole)
+    with pytest.raises(ValueError, match="multiple"):
+        testing.ht_1d(params, compressed, design, ["stim"], num_boot=350, block=150)
+
+
+class Peak(threading.Thread):
+    """MB of the largest Python worker while it runs."""
+
+    def __init__(self):
+        super().__init__(daemon=True)
+        self.mb, self.over = 0.0, False
+
+    def run(self):
+        psutil = pytest.importorskip("psutil")
+        while not self.over:
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark" in " ".join(p.cmdline()) and "java" not in p.name():
+                        self.mb = max(self.mb, p.memory_info().rss / 1e6)
+                except psutil.Error:
+                    pass
+            time.sleep(0.05)
+
+
+def test_thousands_of_groups_and_draws_in_bounded_memory(spark):
+    """5,000 groups x 5,000 draws: 400 MB if they were held at once."""
+    n, draws_ = 5000, 5000
+    known = spark.range(n).select(F.format_string("g%05d", "id").alias("grp"), F.lit("a").alias("gene_id"), F.lit(0.7).alias("mean"), F.lit(1.0).alias("res_var"), F.lit(40).alias("n_cells"), F.lit(0.1).alias("q"), *[F.lit(0.0).alias(c) for c in ("center", "c0", "c1", "c2")])
+    rows = known.select("grp", "gene_id", F.lit(1.0).alias("sf_bin"), F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(c).cast("long").alias("n")) for x, c in ((0, 20), (1, 15), (3, 5))])).alias("v")).select("grp", "gene_id", "sf_bin", "v.*")
+    design = pd.DataFrame({"grp": [f"g{i:05}" for i in range(n)], "t": [float(i % 2) for i in range(n)]})
+    peak = Peak()
+    peak.start()
+    found = testing.ht_1d(known, rows, design, ["t"], num_boot=draws_, resample_groups=True).collect()
+    peak.over = True
+    peak.join()
+    assert len(found) == 1 and abs(found[0]["de_coef"]) < 0.02 and found[0]["de_se"] > 0
+    assert 0 < peak.mb < 1000
+
+
+def test_products_of_thousands_of_features(spark):
+    rng = np.random.default_rng(8)
+    features, people = 5000, 300
+    entries = rng.random((people, features)) < 0.01
+    x = entries * rng.integers(1, 5, (people, features))
+    cell, feature = np.nonzero(entries)
+    path = spark.createDataFrame(pd.DataFrame({"cell_id": cell, "gene_id": np.char.add("f", feature.astype(str)), "x": x[cell, feature]}))
+    cells_ = spark.createDataFrame(pd.DataFrame({"cell_id": np.arange(people), "grp": np.where(np.arange(people) % 3 == 0, "u", "v"), "q": 0.1, "size_factor": 1.0 + np.arange(people) % 4}))
+    values = path.join(cells_, "cell_id").select("cell_id", "gene_id", (F.col("x") / F.col("size_factor")).alias("v"))
+    peak = Peak()
+    peak.start()
+    found = materialize(products.pair_products(values, cells_.select("cell_id", "grp"), ["grp"]))
+    peak.over = True
+    peak.join()
+    v = x / (1.0 + np.arange(people) % 4)[:, None]
+    whole = {g: v[rows].T @ v[rows] for g, rows in (("u", np.arange(people) % 3 == 0), ("v", np.arange(people) % 3 != 0))}
+    got = {r["grp"]: r for r in found.groupBy("grp").agg(F.count("*").alias("n"), F.sum("prod").alias("s"), F.sum(F.col("prod") ** 2).alias("ss")).collect()}
+    for g, m in whole.items():
+        upper = np.triu(m)
+        assert got[g]["s"] == pytest.approx(upper.sum()) and got[g]["ss"] == pytest.approx((upper**2).sum()) and got[g]["n"] <= features * (features + 1) / 2
+    assert 0 < peak.mb < 1000
+    listed = spark.createDataFrame([(f"f{i}", f"f{j}") for i, j in ((1, 2), (2, 1), (7, 7), (4999, 0))], "gene_1 string, gene_2 string")
+    some = {(r["grp"], r["gene_1"], r["gene_2"]): r["prod"] for r in products.pair_products(values, cells_.select("cell_id", "grp"), ["grp"], listed).collect()}
+    for g, m in whole.items():
+        for i, j in ((1, 2), (2, 1), (7, 7), (4999, 0)):
+            assert some.get((g, f"f{i}", f"f{j}"), 0.0) == pytest.approx(m[i, j])
+
+
+def test_joint_counts_either_way(spark):
+    rng = np.random.default_rng(9)
+    x = rng.poisson(0.7, (60, 6))
+    cell, gene = np.nonzero(x)
+    counts_ = spark.createDataFrame([(int(c), f"g{g}", int(x[c, g])) for c, g in zip(cell, gene)], "cell_id bigint, gene_id string, x bigint")
+    cells_ = spark.createDataFrame([(i, "u" if i % 2 else "v", 1.0 + i % 3) for i in range(60)], "cell_id bigint, grp string, sf_bin double")
+    for pairs_ in ([("g0", "g1")], [(f"g{i}", f"g{j}") for i in range(6) for j in range(6)], [("g0", "none"), ("none", "other")]):
+        found = groups.compress_pairs(counts_, cells_, spark.createDataFrame(pairs_, "gene_1 string, gene_2 string")).collect()
+        column = lambda g: x[:, int(g[1])] if g[1:].isdigit() else np.zeros(60, dtype=int)
+        want = Counter(("u" if i % 2 else "v", a, b, 1.0 + i % 3, int(column(a)[i]), int(column(b)[i])) for a, b in pairs_ for i in range(60))
+        assert {(r["grp"], r["gene_1"], r["gene_2"], r["sf_bin"], r["x1"], r["x2"]): r["n"] for r in found} == dict(want)
+
+
+def test_meta_analysis_of_thousands_of_blocks(spark):
+    rng = np.random.default_rng(10)
+    rows = pd.DataFrame({"gene_id": "a", "b": np.repeat(np.arange(3000), 3), "t": np.tile([0, 1, 1], 3000), "n_obs": 50, "mean": rng.uniform(1, 2, 9000), "sem": rng.uniform(0.1, 0.3, 9000)})
+    rows.loc[rows["t"] == 1, "mean"] *= 1.5
+    (found,) = testing.meta_wls(spark.createDataFrame(rows), "t", "b").collect()
+    assert found["coef"] == pytest.approx(math.log(1.5), abs=0.02) and 0 < found["se"] < 0.02 and found["pval"] < 1e-9
+
+
+def test_a_million_associations_in_tiles(spark):
+    rng = np.random.default_rng(11)
+    genes, snps, people = 1000, 1000, 100
+    y, g = rng.normal(size=(genes, people)), rng.integers(0, 3, (snps, people)).astype(float)
+    y[5] += 2 * g[7]
+    long = lambda m, key, value: spark.createDataFrame(pd.DataFrame({key: np.repeat(np.char.add(key[0], np.arange(len(m)).astype(str)), people), "individual": np.tile(np.arange(people).astype(str), len(m)), value: m.ravel()}))
+    expression, genotypes = long(y, "gene_id", "value"), long(g, "snp", "dosage")
+    pairs_ = expression.select("gene_id").distinct().crossJoin(genotypes.select("snp").distinct())
+    found = materialize(testing.pseudobulk_linear(expression, genotypes, pairs_))
+    assert found.count() == genes * snps
+    yc, gc = y - y.mean(axis=1, keepdims=True), g - g.mean(axis=1, keepdims=True)
+    want = (yc @ gc.T) / (gc * gc).sum(axis=1)
+    for r in found.filter("gene_id in ('g5', 'g17') and snp in ('s7', 's0', 's999')").collect():
+        assert r["beta"] == pytest.approx(want[int(r["gene_id"][1:]), int(r["snp"][1:])]) and r["df"] == people - 2
+    assert found.agg(F.sum(F.abs("beta")).alias("b")).first()["b"] == pytest.approx(np.abs(want).sum())
+
+
+def test_associations_with_missing_values(spark):
+    rng = np.random.default_rng(12)
+    made = [(f"g{k}", str(i), float(rng.normal())) for k in range(3) for i in range(20) if (k, i) != (1, 3)]
+    doses = [(f"s{k}", str(i), float(rng.integers(0, 3))) for k in range(2) for i in range(20) if (k, i) != (0, 5)]
+    expression = spark.createDataFrame(made, "gene_id string, individual string, value double")
+    genotypes = spark.createDataFrame(doses, "snp string, individual string, dosage double")
+    pairs_ = spark.createDataFrame([("g0", "s1"), ("g1", "s0"), ("g2", "s0"), ("g9", "s0")], "gene_id string, snp string")
+    found = {(r["gene_id"], r["snp"]): r for r in testing.pseudobulk_linear(expression, genotypes, pairs_).collect()}
+    assert set(found) == {("g0", "s1"), ("g1", "s0"), ("g2", "s0")} and [found[k]["df"] for k in sorted(found)] == [18, 16, 17]
+    y, g = (np.array([v for n, _, v in rows if n == name]) for rows, name in ((made, "g0"), (doses, "s1")))
+    assert found["g0", "s1"]["beta"] == pytest.approx(np.polyfit(g, y, 1)[0])
+
+
+@pytest.mark.parametrize("length", [1, 40])
+def test_dense_regions_meet_few_that_do_not_overlap(spark, length):
+    """A third of all intervals in one bin: what is compared is at most twice what overlaps, and a share of the intervals."""
+    rng = np.random.default_rng(length)
+    place = np.where(np.arange(3000) % 3 == 0, rng.integers(0, 900, 3000), rng.integers(0, 3_000_000, 3000))
+    made = [(f"c{i % 2}", int(p), int(p + rng.integers(1, length + 1)), f"n{i}") for i, p in enumerate(place)]
+    a, b = (spark.createDataFrame(rows, "chrom string, start bigint, end bigint, name string") for rows in (made, made[::-1]))
+    found = intervals.interval_overlap(a, b, width=1000)
+    want = {(x[3], y[3], max(x[1], y[1]), min(x[2], y[2])) for x in made for y in made if x[0] == y[0] and x[1] < y[2] and y[1] < x[2]}
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r["a_name"], r["b_name"], r["start"], r["end"]) for r in rows} == want
+    found.write.format("noop").mode("overwrite").save()
+    joined = intervals.meeting(a, b, width=1000).count()
+    assert joined <= 2 * len(want) + len(made)
+
+
+def test_very_many_equal_p_values(spark):
+    p = np.concatenate([np.ones(1500), np.random.default_rng(1).random(1500)])
+    frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "k bigint, pval double")
+    got = {r["k"]: r["fdr"] for r in pvalues.bh_fdr(frame).collect()}
+    order = np.argsort(p, kind="stable")
+    steps = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    assert np.allclose([got[i] for i in order], np.minimum(1, steps))
+    points = sorted((tuple(r) for r in pvalues.qq_points(frame).collect()), key=lambda r: r[0])
+    assert [r[0] for r in points] == list(range(1, 3001)) and points[-1][1] == 0 and points[-1][2] == 0
+
+
+def test_a_cube_grows_by_new_batches_of_new_cells(spark, tmp_path):
+    counts_ = spark.createDataFrame([(c, f"g{g}", 1 + (c * g) % 4) for c in range(12) for g in range(3)], "cell_id bigint, gene_id string, x bigint")
+    cells_ = spark.createDataFrame([(c, "a" if c % 3 else "b") for c in range(12)], "cell_id bigint, d string")
+    path = f"file://{tmp_path}/cube"
+    part = lambda low, high, gene: counts_.filter((F.col("cell_id") >= low) & (F.col("cell_id") < high) & F.col("gene_id").isin(gene))
+    cube.grow(path, {"one": part(0, 5, ["g0"]), "two": part(0, 5, ["g1", "g2"])}, cells_, ["d"])
+    with pytest.raises(ValueError, match="before"):
+        cube.grow(path, {"two": part(5, 12, ["g0"])}, cells_, ["d"])
+    with pytest.raises(ValueError, match="already"):
+        cube.grow(path, {"three": part(4, 6, ["g0"])}, cells_, ["d"])
+    cube.grow(path, {"four": part(5, 12, ["g0", "g1", "g2"])}, cells_, ["d"])  # what "three" has left behind does not count
+    got, want = ({(r["d"], r["gene_id"]): r for r in f.collect()} for f in (cube.read_cube(spark, path, ["d"]), estimators.estimator_cube(counts_, cells_, ["d"])))
+    assert set(got) == set(want)
+    for k, r in want.items():
+        assert all(got[k][c] == pytest.approx(r[c]) for c in ("nnz", "n_obs", "min", "max", "sum", "mean", "sem"))
