@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from ..functions.lineage import materialize
 
 UNKNOWN = "und"
+#: Most frequencies of words, and of n-grams, that a model may have: what the driver and each worker hold.
+MODEL_ROWS = 5_000_000
 LONGEST_GRAM = 4
 #: A worker forgets words when their scores are so many numbers; they are then worked out anew.
 CACHED_NUMBERS = 500_000
@@ -189,6 +191,13 @@ def _most_frequent(counts: DataFrame, by: list[str], most: int) -> DataFrame:
     return counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
 
 
+def _bounded(counts: DataFrame) -> pd.DataFrame:
+    counts = materialize(counts)
+    if (n := counts.count()) > MODEL_ROWS:
+        raise ValueError(f"a model of {n} frequencies would not fit the driver; lower max_words or max_grams")
+    return counts.toPandas()
+
+
 def learn(docs: DataFrame, per_language: int = 4000, max_words: int = 40_000, max_grams: int = 5_000) -> LanguageModel:
     """Learn from the rows of ``docs`` whose text and lang are not null; every value of lang is learned.
 
@@ -197,9 +206,13 @@ def learn(docs: DataFrame, per_language: int = 4000, max_words: int = 40_000, ma
     holds the ``max_words`` most frequent words and the ``max_grams`` most frequent n-grams of each
     length; rarer words are scored by backoff like any unseen one. Languages do not share these
     limits, so one more language takes nothing from the others. Without labelled rows the model is empty.
+    A word that stands once in the whole sample is no known word. The model passes through the driver
+    to all tasks; one of more than MODEL_ROWS frequencies, or of more than a thousandth as many languages, is an error.
     """
     labelled = docs.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("hash")).filter("text is not null and lang is not null")
-    sizes = labelled.groupBy("lang", "hash").count().groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
+    sizes = labelled.groupBy("lang", "hash").count().groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MODEL_ROWS // 1000 + 1).collect()
+    if len(sizes) > MODEL_ROWS // 1000:
+        raise ValueError(f"more than {MODEL_ROWS // 1000} languages: the model would not fit the driver")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return LanguageModel([])
@@ -210,10 +223,10 @@ def learn(docs: DataFrame, per_language: int = 4000, max_words: int = 40_000, ma
     words = materialize(words)
     totals = {(r["lang"], 0): r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     repeated = words.join(words.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1").select("key"), "key", "left_semi")
-    kept = _most_frequent(repeated, ["lang"], max_words).toPandas()
+    kept = _bounded(_most_frequent(repeated, ["lang"], max_words))
     grams = materialize(words.mapInPandas(_count_grams, "lang string, size int, key string, n bigint").groupBy("lang", "size", "key").agg(F.sum("n").alias("n")))
     totals |= {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    most = _most_frequent(grams, ["lang", "size"], max_grams).toPandas()
+    most = _bounded(_most_frequent(grams, ["lang", "size"], max_grams))
     of_size = lambda size: {language: totals.get((language, size), 0) for language in languages}
     tables = tuple(LogTable.of(most[most["size"] == size], languages, of_size(size)) for size in range(1, LONGEST_GRAM + 1))
     return LanguageModel(languages, LogTable.of(kept, languages, of_size(0)), tables)

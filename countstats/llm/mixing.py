@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage import materialize
-from .common import count_words, tasks_for
+from .common import by_bytes, count_words, tasks_for
 
 #: Words of a block at most. A source whose target is less than SLOTS times that has shorter blocks, so
 #: that rounding to whole slots stays below half a percent of any target.
@@ -96,8 +96,8 @@ def block_counts(sizes: np.ndarray, target: np.ndarray, block: int = BLOCK) -> n
 
 def _streams(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     """Rows with their size, their bucket, and what ``keep`` names."""
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("source").cast("string").alias("_source"), F.col("doc_id").alias("_id"), count_words(F.col("text")).alias("_size"))
-    return rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_size"), F.lit(buckets)))
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("source").cast("string").alias("_source"), F.col("doc_id").alias("_id"), count_words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_hash"))
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_size", "_hash"), F.lit(buckets)))
 
 
 def _plan(docs: DataFrame, seed: int, block: int, shards: int) -> tuple[pd.DataFrame, DataFrame, DataFrame, int]:
@@ -153,7 +153,7 @@ def _located(docs: DataFrame, keep: list[str], plan: tuple) -> DataFrame:
     starts = starts.withColumnsRenamed({"_source": "_s2", "_bucket": "_b2"})
     if len(sources) <= MAX_BROADCAST_SOURCES:
         figures = F.broadcast(figures)
-    within = Window.partitionBy("_source", "_bucket").orderBy("_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_id", "_size", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = _streams(docs, keep, parts).withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     rows = rows.join(starts, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_bucket") == F.col("_b2")))
     rows = rows.join(figures, F.col("_source").eqNullSafe(F.col("_s")))
@@ -180,7 +180,8 @@ def mix_report(docs: DataFrame, seed: int = 11, block: int = BLOCK, shards: int
     small target, fewer; see ``block_counts``. Sources by code point, null last, weigh 1, 2, 3,
     repeating; see ``targets``. ``taken`` counts a row's words in
     the blocks that the mix takes, repeats included: at most three times its size. The draw depends
-    on doc_id, size and source alone, so reruns agree; rows alike in these may swap. A null or empty
+    on doc_id, text and source alone, so reruns agree; rows alike in these may swap. Rows that only share
+    an id, or have none, are dealt to buckets by their texts. A null or empty
     text has size 0 and gives nothing. Other columns are ignored.
     """
     plan = _plan(docs, seed, block, shards)
@@ -228,8 +229,7 @@ def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shards: int = SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
+            for part in by_bytes(batch, 1):
                 index, texts = [], []
                 for i, row in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))):
                     for copy in _copies(*row):

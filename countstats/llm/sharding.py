@@ -7,8 +7,12 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialize
+
 #: Rows are numbered in buckets of about so many each, and in 1024 buckets at least.
 BUCKET_ROWS = 16_384
+#: Rows alike from which on they are parted.
+HOT_ROWS = 16_384
 ROUNDS = 6
 #: Steps of the walk that are laid out for every row; a row that needs more walks on by itself.
 WALK = 64
@@ -58,15 +62,27 @@ def permuted(number: Column, n: int, seed: int) -> Column:
     return F.when(out < n, out).otherwise(walked(out, F.lit(a) + out * 0)) if a > WALK else out
 
 
-def row_numbers(rows: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
-    """``rows`` with ``_number``: 0, 1, ... over all rows by bucket and, in it, by ``order``.
+def row_numbers(rows: DataFrame, keys: list[str], bucket: Column, buckets: int, hot: int) -> DataFrame:
+    """``rows`` with ``_number``: 0, 1, ... over all rows by bucket, 0 to ``buckets`` - 1, and, in it, by ``keys``.
 
-    Only the buckets' counts, a row for BUCKET_ROWS rows, meet in one task.
+    Only the buckets' counts, a row for BUCKET_ROWS rows, meet in one task. Rows alike in ``keys`` of which there
+    are more than ``hot`` come after all buckets, in parts of about so many, so that no task sorts them
+    all; they may swap places.
     """
-    counts = rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    many = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot)
+    many = materialize(many.select(*[F.col(k).alias(f"_many_{k}") for k in keys], F.ceil(F.col("_n") / hot).alias("_parts")))
+    placed = rows.withColumn("_bucket", bucket.cast("long"))
+    if not many.isEmpty():
+        same = [F.col(k).eqNullSafe(F.col(f"_many_{k}")) for k in keys]
+        part = F.shiftleft(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)), 30) + F.pmod(F.monotonically_increasing_id(), F.col("_parts")) + buckets
+        # Written, as a part must be the same whenever it is read.
+        parted = materialize(rows.join(many, same).select(*rows.columns, part.alias("_bucket")))
+        placed = placed.join(many, same, "left_anti").unionByName(parted)
+    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = rows.withColumn("_bucket", bucket).withColumn("_in_bucket", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1)
+    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys])) - 1
+    numbered = placed.withColumn("_in_bucket", in_bucket)
     return numbered.join(starts, "_bucket").withColumn("_number", F.col("_start") + F.col("_in_bucket")).drop("_bucket", "_start", "_in_bucket")
 
 
@@ -82,8 +98,8 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, keep: list[s
     number p gives shard p mod ``shards`` and slot p div ``shards``. So counts of shards are at most
     one apart (law ``rows``), slots have no gaps, and anyone can work out the place of a row number.
     A null text has size 16 and no checksum; null ids come first. Ids that are not integers count as
-    their hash. Rows alike in these three columns
-    may swap places. Existing columns of the new names are replaced.
+    their hash. Rows alike in these three columns may swap places; where there are very many, they are
+    numbered after all others. Existing columns of the new names are replaced.
     """
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
@@ -94,7 +110,8 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 7, keep: list[s
         number = F.lit(0).cast("long")
     else:
         key = _mixed(F.coalesce("_id", F.lit(-1)), _ROOT) + _mixed(F.col("size"), _factor(1, 0)) + F.coalesce("text_crc32", F.lit(0))
-        rows = row_numbers(rows, [F.col("_id").asc_nulls_first(), F.col("size"), F.col("text_crc32").asc_nulls_first()], F.pmod(_mixed(key, _factor(1, 1)), F.lit(max(1024, n // BUCKET_ROWS))))
+        buckets = max(1024, n // BUCKET_ROWS)
+        rows = row_numbers(rows, ["_id", "size", "text_crc32"], F.pmod(_mixed(key, _factor(1, 1)), F.lit(buckets)), buckets, HOT_ROWS)
         number = permuted(F.col("_number"), n, seed)
     placed = rows.withColumn("_at", number)
     return placed.select("_row.*", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("_at") % shards).cast("int").alias("shard"), ((F.col("_at") - F.col("_at") % shards) / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from countstats.llm import fim, hnsw, negatives, queries
+from countstats.llm import fim, hnsw, language, mixing, negatives, queries, sharding
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 VECTORS = "vec_id bigint, embedding array<double>, label int"
@@ -196,3 +196,39 @@ def test_recall_of_the_query(spark, sf_dir):
     for r in queries.op12_nearest(spark, sf_dir).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(truth[q] & got[q]) / len(truth[q]) for q in truth]) >= 0.9
+
+
+# Hot keys and long texts of the earlier operators -------------------------------------------------
+
+
+def test_a_third_of_all_rows_alike_is_sharded_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    made = [(None if i % 3 == 0 else i, "same" if i % 3 == 0 else f"text {i}", "en", "a", 1) for i in range(300)]
+    frame = spark.createDataFrame(made, DOCS)
+    got = sharding.assign_shards(frame, shards=7).collect()
+    assert Counter(r["shard"] for r in got) == Counter(i % 7 for i in range(300))
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((i % 7, i // 7) for i in range(300))
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(m[:2] for m in made)
+
+
+def test_rows_of_one_id_are_mixed_by_their_texts(spark):
+    made = [(None, f"w{i} x{i} y{i}", "en", "a", 1) for i in range(400)] + [(7, "four words are here", "en", "b", 1)] * 50
+    frame = spark.createDataFrame(made, DOCS)
+    report = mixing.mix_report(frame, seed=3).collect()
+    assert len(report) == 450 and all(0 <= r["taken"] <= 3 * r["size"] for r in report)
+    for source, size in ((1200, 1200), (200, 200)):
+        own = [r for r in report if r["source_size"] == size]
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.02)
+    mixed = mixing.mix(frame, seed=3)
+    assert mixed.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] == sum(r["taken"] for r in report)
+
+
+def test_a_model_too_large_for_the_driver_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_ROWS", 3000)
+    word = lambda i: "".join(chr(97 + int(c, 16)) for c in hashlib.sha256(str(i).encode()).hexdigest()[:8])
+    frame = spark.createDataFrame([(i, " ".join([word(3 * i + k) for k in range(3)] * 2), f"l{i % 5}", "a", 1) for i in range(2000)], DOCS)
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(frame)
+    monkeypatch.setattr(language, "MODEL_ROWS", 5000)
+    with pytest.raises(ValueError, match="frequencies"):
+        language.learn(frame)
