@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import string
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lineage import materialize
+from ..functions.lineage import materialize, remove_folder, shared_folder
+from .common import by_bytes
 
 _CLASSES = [string.ascii_uppercase.encode(), string.ascii_lowercase.encode(), string.digits.encode(), string.punctuation.encode(), b" \t\n\r\x0b\x0c", bytes(range(128, 256)), b".,;:", b"!?", b"|#$%&*"]
 _SOURCES, _LANGUAGES = 32, 16
@@ -24,6 +27,8 @@ WORD_PLACES, GRAM_PLACES = 256, 128
 TEXT_FEATURES = _STYLE + WORD_PLACES + GRAM_PLACES
 META_FEATURES = _SOURCES + _LANGUAGES + 3
 _GRAM_BYTES = 1 << 20
+#: Features are stored in short floats; what is learned and scored is in long ones.
+_STORED = np.float16
 
 
 class _Places(dict):
@@ -136,68 +141,105 @@ class QualityModel:
     meta: View | None = None
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, held_back: np.ndarray, rounds: int = 4, share: float = 0.05, confident: float = 0.95) -> QualityModel:
-    """``labels`` are 1, 0, or nan for the unlabelled pool. In each round both views are fitted, and
-    each gives its surest pool rows, ``share`` of the pool at most by class prior and only those it
-    is ``confident`` of, to the other view as pseudo-labels. Then the rows ``held_back`` calibrate
-    the views. With labels of one class or none the model is the prior alone."""
-    known = ~np.isnan(labels)
-    fit, check = known & ~held_back, known & held_back
-    share_good = float(labels[known].mean()) if known.any() else 0.5
+def _raw_logits(batches: Iterator[pa.RecordBatch], views: tuple[View, View]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = [v.raw(np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=_STORED).reshape(len(batch), -1).astype(float)) for v, c in zip(views, ("text", "meta"))]
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), *map(pa.array, both)], names=["digest", "text_logit", "meta_logit"])
+
+
+def _matrices(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(rows[c]), dtype=_STORED).reshape(len(rows), n).astype(float) for c, n in (("text", TEXT_FEATURES), ("meta", META_FEATURES)))
+
+
+def co_train(labelled: pd.DataFrame, pool: DataFrame, rounds: int = 4, share: float = 0.05, confident: float = 0.95, teach: int = 2000) -> QualityModel:
+    """``labelled`` (digest, quality, text, meta: features as bytes) is on the driver, ``pool`` (digest, text, meta)
+    holds the features of all unlabelled texts. In each round both views are fitted and score the whole
+    pool; each gives its surest rows (see ``_limits``) to the other view as pseudo-labels, of each
+    class ``teach`` texts at most, drawn among them by a hash. A fifth of the labelled, by digest, is held back and
+    calibrates the views. With labels of one class or none the model is the prior alone."""
+    labels, held_back = labelled["quality"].to_numpy(dtype=float), labelled["digest"].to_numpy() % 5 == 0
+    share_good = float(labels.mean()) if len(labels) else 0.5
     prior = float(np.log(np.clip(share_good, 1e-3, 1 - 1e-3) / (1 - np.clip(share_good, 1e-3, 1 - 1e-3))))
-    if len(set(labels[fit].tolist())) < 2:
+    if len(set(labels[~held_back].tolist())) < 2:
         return QualityModel(prior)
-    features, taught = (text, meta), [np.where(fit, labels, np.nan), np.where(fit, labels, np.nan)]
-    views: list[View] = []
+    features = _matrices(labelled)
+    fit = [(x[~held_back], labels[~held_back]) for x in features]
+    known: list[set[int]] = [set(), set()]
     for turn in range(rounds + 1):
-        views = [View.fit(x[~np.isnan(t)], t[~np.isnan(t)]) for x, t in zip(features, taught)]
+        views = tuple(View.fit(x, y) for x, y in fit)
         if turn == rounds:
             break
+        logits = materialize(pool.mapInArrow(lambda batches, v=views: _raw_logits(batches, v), "digest bigint, text_logit double, meta_logit double"))
         for own, other in ((0, 1), (1, 0)):
-            pool = np.flatnonzero(~known & np.isnan(taught[other]))
-            p = _sigmoid(views[own].raw(features[own][pool]))
-            for value, sure, part in ((1.0, p, share_good), (0.0, 1 - p, 1 - share_good)):
-                most = np.argsort(-sure, kind="stable")[: max(1, int(len(p) * share * part))]
-                taught[other][pool[most[sure[most] >= confident]]] = value
-    return QualityModel(prior, *(v.calibrated(x[check], labels[check]) for v, x in zip(views, features)))
+            logit = F.col(("text_logit", "meta_logit")[own])
+            high, low = _limits(logits, logit, share_good, share, confident)
+            taught = []
+            for value, sure in ((1.0, logit >= high), (0.0, logit <= low)):
+                drawn = logits.filter(sure).select("digest").distinct().orderBy(F.xxhash64("digest", F.lit(turn))).limit(teach + len(known[other]))
+                new = [r["digest"] for r in drawn.collect() if r["digest"] not in known[other]][:teach]
+                taught += [(d, value) for d in new]
+            known[other] |= {d for d, _ in taught}
+            if taught:
+                wanted = F.broadcast(pool.sparkSession.createDataFrame(taught, "digest bigint, quality double"))  # 2 x teach rows at most
+                rows = pool.join(wanted, "digest").groupBy("digest").agg(F.min("quality").alias("quality"), F.min("text").alias("text"), F.min("meta").alias("meta")).toPandas().sort_values("digest")
+                x, y = fit[other]
+                fit[other] = np.concatenate([x, _matrices(rows)[other]]), np.concatenate([y, rows["quality"].to_numpy()])
+    return QualityModel(prior, *(v.calibrated(x[held_back], labels[held_back]) for v, x in zip(views, features)))
+
+
+def _limits(logits: DataFrame, logit: Column, share_good: float, share: float, confident: float) -> tuple[float, float]:
+    """The logits from which on, and up to which, rows are taught as good and as bad: the surest ``share`` of
+    the pool, dealt to both by class prior, and only those that are sure to ``confident``."""
+    sure = float(np.log(confident / (1 - confident)))
+    ends = [share * (1 - share_good), 1 - share * share_good]
+    low, high = logits.agg(F.percentile_approx(logit, F.array(*[F.lit(e) for e in ends]), F.lit(100_000)).alias("q")).first()["q"] or (-np.inf, np.inf)
+    return max(sure, high), min(-sure, low)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features as bytes of 32-bit floats: the driver reads them into one array."""
-    for batch in batches:
-        text, source, lang, n_chars = (batch.column(i).to_pylist() for i in range(4))
-        texts = [text_features(t).astype(np.float32).tobytes() for t in text]
-        metas = [np.array(meta_features(*m), dtype=np.float32).tobytes() for m in zip(source, lang, n_chars)]
-        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(texts, pa.binary()), pa.array(metas, pa.binary())], names=["order", "quality", "text", "meta"])
+    """Features as bytes of short floats."""
+    for whole in batches:
+        for batch in by_bytes(whole, 0):
+            text, source, lang, n_chars = (batch.column(i).to_pylist() for i in range(4))
+            texts = [np.minimum(text_features(t), 60_000.0).astype(_STORED).tobytes() for t in text]
+            metas = [np.array(meta_features(*m), dtype=_STORED).tobytes() for m in zip(source, lang, n_chars)]
+            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(texts, pa.binary()), pa.array(metas, pa.binary())], names=["digest", "quality", "text", "meta"])
 
 
 def _views() -> list[Column]:
     return [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 5000, pool: int = 10_000, **options) -> QualityModel:
-    """Co-train on a bounded sample: about ``per_class`` labelled texts of either quality and ``pool``
-    unlabelled ones, chosen by a hash of id and text; a fifth of the labelled ones is held back for
-    calibration. A text that stands on many rows of one id is drawn once at most, and each text of an
-    id that has many is drawn on its own. A document labelled twice has the lower label; null labels
-    don't count. The pool bounds what the fit sees, not what is scored: ``score`` covers all rows."""
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 5000, **options) -> QualityModel:
+    """Co-train on a bounded sample of labelled texts, about ``per_class`` of either quality, chosen by a hash of
+    id and text, and on all unlabelled ones, whose features are written once to the shared folder.
+    A labelled text that stands on many rows of one id is drawn once at most, with its least source,
+    language and length; each text of an id that has many is drawn on its own. A document labelled
+    twice has the lower label; null labels don't count. Rows without doc_id are not learned from."""
+    spark = docs.sparkSession
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     digest = F.xxhash64("doc_id", "text").alias("digest")
-    keys = docs.filter("doc_id is not null").select("doc_id", digest).distinct().join(marks, "doc_id", "left")
-    keys = materialize(keys.select("digest", "quality"))
+    marked = docs.filter("doc_id is not null").select("doc_id", digest).distinct().join(marks, "doc_id")
+    keys = materialize(marked.select("digest", "quality"))
     sizes = {r["quality"]: r["n"] for r in keys.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    rate = F.lit(min(1.0, pool / sizes[None]) if sizes.get(None) else 0.0)
-    for value in (0.0, 1.0):
-        if sizes.get(value):
-            rate = F.when(F.col("quality") == value, min(1.0, per_class / sizes[value])).otherwise(rate)
+    rate = F.lit(0.0)
+    for value, n in sizes.items():
+        rate = F.when(F.col("quality") == value, min(1.0, per_class / n)).otherwise(rate)
     draw = F.pmod(F.xxhash64("digest", F.lit("quality")), F.lit(1_000_003)) / 1_000_003.0
-    sample = F.broadcast(keys.filter(draw < rate))  # bounded by per_class and pool
-    seen = docs.filter("doc_id is not null").select(digest, F.struct(*[c.alias(f"_{i}") for i, c in enumerate(_views())]).alias("views"))
-    rows = seen.join(sample, "digest").groupBy("digest").agg(F.first("views").alias("views"), F.min("quality").alias("quality"))
-    rows = rows.select("views.*", F.col("digest").alias("order"), "quality")
-    rows = rows.mapInArrow(_feature_rows, "order bigint, quality double, text binary, meta binary").toPandas().sort_values("order", kind="stable")
-    text, meta = (np.frombuffer(b"".join(rows.pop(c)), dtype=np.float32).reshape(len(rows), n).astype(float) for c, n in (("text", TEXT_FEATURES), ("meta", META_FEATURES)))
-    return co_train(text, meta, rows["quality"].to_numpy(dtype=float), rows["order"].to_numpy() % 5 == 0, **options)
+    sample = F.broadcast(keys.filter(draw < rate))  # bounded by per_class
+    seen = docs.filter("doc_id is not null").select("doc_id", digest, *[c.alias(f"_{i}") for i, c in enumerate(_views())])
+    schema = "digest bigint, quality double, text binary, meta binary"
+    views = F.struct(*[f"_{i}" for i in range(4)])
+    drawn = seen.join(sample, "digest").groupBy("digest").agg(F.min(views).alias("views"), F.min("quality").alias("quality"))
+    labelled = drawn.select("views.*", "digest", "quality").mapInArrow(_feature_rows, schema).toPandas().sort_values("digest", kind="stable")
+
+    rest = seen.join(marks.select("doc_id"), "doc_id", "left_anti").select("_0", "_1", "_2", "_3", "digest", F.lit(None).cast("double").alias("quality"))
+    folder = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
+    try:
+        rest.mapInArrow(_feature_rows, schema).drop("quality").write.parquet(folder)
+        return co_train(labelled, spark.read.parquet(folder), **options)
+    finally:
+        remove_folder(spark, folder)
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:

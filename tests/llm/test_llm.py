@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -262,12 +263,12 @@ def test_quality_of_content_alone(spark):
 def test_quality_sample_is_bounded_if_one_id_has_very_many_rows(spark, monkeypatch):
     frame = spark.range(6000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5000).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(9).alias("n_chars"))
     seen = []
-    monkeypatch.setattr(quality, "co_train", lambda text, *more: seen.append((len(text), more)))
-    quality.learn(frame, spark.createDataFrame([(1, 1, 0), (5000, 0, 0)], "doc_id bigint, quality int, toxic int"), per_class=100, pool=50)
-    assert 90 < seen[0][0] < 220
+    monkeypatch.setattr(quality, "co_train", lambda labelled, pool: seen.append((labelled["quality"].tolist(), pool.count())))
+    quality.learn(frame, spark.createDataFrame([(1, 1, 0), (5000, 0, 0)], "doc_id bigint, quality int, toxic int"), per_class=100)
+    assert 60 < sum(seen[0][0]) < 140 and seen[0][1] == 1999  # the pool is all that is not labelled
     same = frame.withColumn("text", F.lit("alike"))
-    quality.learn(same, spark.createDataFrame([(1, 1, 0), (5000, 0, 0)], "doc_id bigint, quality int, toxic int"), per_class=100, pool=50)
-    assert np.sum(seen[1][1][1] == 1) == 1
+    quality.learn(same, spark.createDataFrame([(1, 1, 0), (5000, 0, 0)], "doc_id bigint, quality int, toxic int"), per_class=100)
+    assert sum(seen[1][0]) == 1
 
 
 def test_quality_features_by_definition():
@@ -292,14 +293,50 @@ def test_quality_edges(docs, empty, spark):
     assert quality.score(docs, model).count() == len(ROWS) and quality.score(empty, model).count() == 0
 
 
-def test_views_teach_each_other():
+def brute_co_training(labelled, pool, rounds, share, confident):
+    """Co-training by definition, with numpy over whole arrays."""
+    (texts, metas, y, digests), (pool_text, pool_meta) = labelled, pool
+    held = digests % 5 == 0
+    good = y.mean()
+    prior = np.log(good / (1 - good))
+    fit = [(x[~held], y[~held]) for x in (texts, metas)]
+    known = [set(), set()]
+    for turn in range(rounds + 1):
+        views = [quality.View.fit(*f) for f in fit]
+        if turn == rounds:
+            break
+        scores = [views[0].raw(pool_text), views[1].raw(pool_meta)]
+        for own, other in ((0, 1), (1, 0)):
+            s, n, sure = np.sort(scores[own]), len(pool_text), np.log(confident / (1 - confident))
+            low, high = (s[max(0, math.ceil(q * n) - 1)] for q in (share * (1 - good), 1 - share * good))
+            new = [(i, v) for v, hit in ((1.0, scores[own] >= max(sure, high)), (0.0, scores[own] <= min(-sure, low))) for i in np.flatnonzero(hit) if i not in known[other]]
+            new.sort()
+            known[other] |= {i for i, _ in new}
+            x, t = fit[other]
+            fit[other] = np.concatenate([x, (pool_text, pool_meta)[other][[i for i, _ in new]]]), np.concatenate([t, [v for _, v in new]])
+    return prior, [v.calibrated(x[held], y[held]) for v, x in zip(views, (texts, metas))], known
+
+
+def test_co_training_by_brute_force(spark, monkeypatch):
+    """Every round scores the whole pool; both views teach each other."""
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 3000).astype(float)
-    text, meta = (np.column_stack([y + rng.normal(0, s, 3000), rng.normal(size=3000)]) for s in (0.3, 0.4))
-    labels = np.where(np.arange(3000) < 40, y, np.nan)
-    model = quality.co_train(text, meta, labels, np.arange(3000) % 5 == 0)
+    monkeypatch.setattr(quality, "TEXT_FEATURES", 2)
+    monkeypatch.setattr(quality, "META_FEATURES", 2)
+    y = rng.integers(0, 2, 1500).astype(float)
+    text, meta = (np.column_stack([y + rng.normal(0, s, 1500), rng.normal(size=1500)]).astype(quality._STORED) for s in (0.3, 0.4))
+    as_bytes = lambda m: [r.tobytes() for r in m]
+    n = 60
+    labelled = pd.DataFrame({"digest": np.arange(n), "quality": y[:n], "text": as_bytes(text[:n]), "meta": as_bytes(meta[:n])})
+    pool = spark.createDataFrame([(i - n, bytearray(t), bytearray(m)) for i, (t, m) in enumerate(zip(as_bytes(text), as_bytes(meta))) if i >= n], "digest bigint, text binary, meta binary")
+    model = quality.co_train(labelled, pool, rounds=3, share=0.1, confident=0.9)
+    text, meta = text.astype(float), meta.astype(float)
+    prior, (a, b), known = brute_co_training((text[:n], meta[:n], y[:n], np.arange(n)), (text[n:], meta[n:]), 3, 0.1, 0.9)
+    assert min(map(len, known)) > 100 and model.prior == pytest.approx(prior)
+    assert np.allclose(model.text.logit(text), a.logit(text), atol=1e-6) and np.allclose(model.meta.logit(meta), b.logit(meta), atol=1e-6)
     both = model.text.logit(text) + model.meta.logit(meta) - model.prior
     assert ((both > 0) == (y == 1)).mean() > 0.97
+    few = quality.co_train(labelled, pool, rounds=3, share=0.1, confident=0.9, teach=20)
+    assert ((few.text.logit(text) + few.meta.logit(meta) - few.prior > 0) == (y == 1)).mean() > 0.95
 
 
 # 5 ---------------------------------------------------------------------------------------------
