@@ -144,16 +144,16 @@ class QualityModel:
 def _raw_logits(batches: Iterator[pa.RecordBatch], views: tuple[View, View]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both = [v.raw(np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=_STORED).reshape(len(batch), -1).astype(float)) for v, c in zip(views, ("text", "meta"))]
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), *map(pa.array, both)], names=["digest", "text_logit", "meta_logit"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *map(pa.array, both)], names=["id", "digest", "text_logit", "meta_logit"])
 
 
 def _matrices(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.frombuffer(b"".join(rows[c]), dtype=_STORED).reshape(len(rows), n).astype(float) for c, n in (("text", TEXT_FEATURES), ("meta", META_FEATURES)))
 
 
-def co_train(labelled: pd.DataFrame, pool: DataFrame, rounds: int = 4, share: float = 0.05, confident: float = 0.95, teach: int = 2000) -> QualityModel:
-    """``labelled`` (digest, quality, text, meta: features as bytes) is on the driver, ``pool`` (digest, text, meta)
-    holds the features of all unlabelled texts. In each round both views are fitted and score the whole
+def co_train(labelled: pd.DataFrame, pool: DataFrame, marked: DataFrame, rounds: int = 4, share: float = 0.05, confident: float = 0.95, teach: int = 2000) -> QualityModel:
+    """``labelled`` (digest, quality, text, meta: features as bytes) is on the driver, ``pool`` (id, digest, text, meta)
+    holds the features of all texts, of which those are unlabelled whose id is not in ``marked`` (id). In each round both views are fitted and score the whole
     pool; each gives its surest rows (see ``_limits``) to the other view as pseudo-labels, of each
     class ``teach`` texts at most, drawn among them by a hash. A fifth of the labelled, by digest, is held back and
     calibrates the views. With labels of one class or none the model is the prior alone."""
@@ -169,7 +169,9 @@ def co_train(labelled: pd.DataFrame, pool: DataFrame, rounds: int = 4, share: fl
         views = tuple(View.fit(x, y) for x, y in fit)
         if turn == rounds:
             break
-        logits = materialize(pool.mapInArrow(lambda batches, v=views: _raw_logits(batches, v), "digest bigint, text_logit double, meta_logit double"))
+        schema = T.StructType([pool.schema["id"], *[T.StructField(c, k) for c, k in (("digest", T.LongType()), ("text_logit", T.DoubleType()), ("meta_logit", T.DoubleType()))]])
+        logits = pool.mapInArrow(lambda batches, v=views: _raw_logits(batches, v), schema)
+        logits = materialize(logits.join(marked, "id", "left_anti").drop("id"))  # narrow rows: the texts are not shuffled
         for own, other in ((0, 1), (1, 0)):
             logit = F.col(("text_logit", "meta_logit")[own])
             high, low = _limits(logits, logit, share_good, share, confident)
@@ -203,7 +205,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             text, source, lang, n_chars = (batch.column(i).to_pylist() for i in range(4))
             texts = [np.minimum(text_features(t), 60_000.0).astype(_STORED).tobytes() for t in text]
             metas = [np.array(meta_features(*m), dtype=_STORED).tobytes() for m in zip(source, lang, n_chars)]
-            yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(texts, pa.binary()), pa.array(metas, pa.binary())], names=["digest", "quality", "text", "meta"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], pa.array(texts, pa.binary()), pa.array(metas, pa.binary())], names=[*batch.schema.names[4:], "text", "meta"])
 
 
 def _views() -> list[Column]:
@@ -212,7 +214,7 @@ def _views() -> list[Column]:
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 5000, **options) -> QualityModel:
     """Co-train on a bounded sample of labelled texts, about ``per_class`` of either quality, chosen by a hash of
-    id and text, and on all unlabelled ones, whose features are written once to the shared folder.
+    id and text, and on all unlabelled ones; the features of all texts are written once to the shared folder.
     A labelled text that stands on many rows of one id is drawn once at most, with its least source,
     language and length; each text of an id that has many is drawn on its own. A document labelled
     twice has the lower label; null labels don't count. Rows without doc_id are not learned from."""
@@ -228,16 +230,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 5000, **options)
     draw = F.pmod(F.xxhash64("digest", F.lit("quality")), F.lit(1_000_003)) / 1_000_003.0
     sample = F.broadcast(keys.filter(draw < rate))  # bounded by per_class
     seen = docs.filter("doc_id is not null").select("doc_id", digest, *[c.alias(f"_{i}") for i, c in enumerate(_views())])
-    schema = "digest bigint, quality double, text binary, meta binary"
     views = F.struct(*[f"_{i}" for i in range(4)])
     drawn = seen.join(sample, "digest").groupBy("digest").agg(F.min(views).alias("views"), F.min("quality").alias("quality"))
-    labelled = drawn.select("views.*", "digest", "quality").mapInArrow(_feature_rows, schema).toPandas().sort_values("digest", kind="stable")
+    labelled = drawn.select("views.*", "digest", "quality").mapInArrow(_feature_rows, "digest bigint, quality double, text binary, meta binary").toPandas().sort_values("digest", kind="stable")
 
-    rest = seen.join(marks.select("doc_id"), "doc_id", "left_anti").select("_0", "_1", "_2", "_3", "digest", F.lit(None).cast("double").alias("quality"))
+    every = seen.select("_0", "_1", "_2", "_3", F.col("doc_id").alias("id"), "digest")
+    schema = T.StructType([every.schema["id"], T.StructField("digest", T.LongType()), T.StructField("text", T.BinaryType()), T.StructField("meta", T.BinaryType())])
     folder = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
     try:
-        rest.mapInArrow(_feature_rows, schema).drop("quality").write.parquet(folder)
-        return co_train(labelled, spark.read.parquet(folder), **options)
+        every.mapInArrow(_feature_rows, schema).write.parquet(folder)
+        return co_train(labelled, spark.read.parquet(folder), marks.select(F.col("doc_id").alias("id")), **options)
     finally:
         remove_folder(spark, folder)
 

@@ -1,4 +1,5 @@
-"""The registered queries of this subpackage: (spark, sf_dir) -> DataFrame over the whole tables."""
+"""The registered queries of this subpackage: (spark, sf_dir) -> DataFrame over the whole tables. What nulls, empty
+and repeated rows give is stated by the operators that they call."""
 
 from __future__ import annotations
 
@@ -12,10 +13,12 @@ from .common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the two thirds that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
     found = language.predict(docs, model, keep=["doc_id"])
@@ -23,10 +26,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of ten words of a benchmark item."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10).drop("spans")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained scores of quality of every document."""
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     found = quality.score(docs, model, keep=["doc_id"])
@@ -34,27 +39,33 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later copies of repeated runs of lines."""
     return lines.dedup_lines(table(spark, sf_dir, "documents"), min_lines=2, keep=["doc_id"])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, beside its source's target."""
     return mixing.mix_report(table(spark, sf_dir, "documents"), seed=11)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40, keep=["doc_id"])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later copies of repeated passages."""
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2, blocks=5)
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth row of ``embeddings`` with all others."""
     return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
 
 

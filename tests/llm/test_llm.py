@@ -263,7 +263,7 @@ def test_quality_of_content_alone(spark):
 def test_quality_sample_is_bounded_if_one_id_has_very_many_rows(spark, monkeypatch):
     frame = spark.range(6000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5000).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(9).alias("n_chars"))
     seen = []
-    monkeypatch.setattr(quality, "co_train", lambda labelled, pool: seen.append((labelled["quality"].tolist(), pool.count())))
+    monkeypatch.setattr(quality, "co_train", lambda labelled, pool, marked: seen.append((labelled["quality"].tolist(), pool.join(marked, "id", "left_anti").count())))
     quality.learn(frame, spark.createDataFrame([(1, 1, 0), (5000, 0, 0)], "doc_id bigint, quality int, toxic int"), per_class=100)
     assert 60 < sum(seen[0][0]) < 140 and seen[0][1] == 1999  # the pool is all that is not labelled
     same = frame.withColumn("text", F.lit("alike"))
@@ -327,15 +327,16 @@ def test_co_training_by_brute_force(spark, monkeypatch):
     as_bytes = lambda m: [r.tobytes() for r in m]
     n = 60
     labelled = pd.DataFrame({"digest": np.arange(n), "quality": y[:n], "text": as_bytes(text[:n]), "meta": as_bytes(meta[:n])})
-    pool = spark.createDataFrame([(i - n, bytearray(t), bytearray(m)) for i, (t, m) in enumerate(zip(as_bytes(text), as_bytes(meta))) if i >= n], "digest bigint, text binary, meta binary")
-    model = quality.co_train(labelled, pool, rounds=3, share=0.1, confident=0.9)
+    pool = spark.createDataFrame([(i, i - n, bytearray(t), bytearray(m)) for i, (t, m) in enumerate(zip(as_bytes(text), as_bytes(meta)))], "id bigint, digest bigint, text binary, meta binary")
+    marked = spark.range(n)
+    model = quality.co_train(labelled, pool, marked, rounds=3, share=0.1, confident=0.9)
     text, meta = text.astype(float), meta.astype(float)
     prior, (a, b), known = brute_co_training((text[:n], meta[:n], y[:n], np.arange(n)), (text[n:], meta[n:]), 3, 0.1, 0.9)
     assert min(map(len, known)) > 100 and model.prior == pytest.approx(prior)
     assert np.allclose(model.text.logit(text), a.logit(text), atol=1e-6) and np.allclose(model.meta.logit(meta), b.logit(meta), atol=1e-6)
     both = model.text.logit(text) + model.meta.logit(meta) - model.prior
     assert ((both > 0) == (y == 1)).mean() > 0.97
-    few = quality.co_train(labelled, pool, rounds=3, share=0.1, confident=0.9, teach=20)
+    few = quality.co_train(labelled, pool, marked, rounds=3, share=0.1, confident=0.9, teach=20)
     assert ((few.text.logit(text) + few.meta.logit(meta) - few.prior > 0) == (y == 1)).mean() > 0.95
 
 

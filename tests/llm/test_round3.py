@@ -232,3 +232,35 @@ def test_a_model_too_large_for_the_driver_is_refused(spark, monkeypatch):
     monkeypatch.setattr(language, "MODEL_ROWS", 5000)
     with pytest.raises(ValueError, match="frequencies"):
         language.learn(frame)
+
+
+# The pipeline on odd tables ------------------------------------------------------------------------
+
+
+def words(seed, n):
+    return " ".join("".join(np.random.default_rng((seed, i)).choice(list("abcdefghij"), 7)) for i in range(n))
+
+
+BASE = [(i, words(i, 60), "en" if i % 2 else "de", f"s{i % 3}", 480) for i in range(40)]
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls", "no benchmark", "repeated and clashing", "one text for all"])
+def test_pipeline_of_odd_tables(spark, tmp_path, kind):
+    import corpus_pipeline
+
+    rows = {"empty": [], "nulls": [(i, None, None, None, None) for i in range(5)], "one text for all": [(i, words(1, 60), "en", "s", 480) for i in range(30)]}.get(kind, BASE)
+    rows = rows + BASE[:10] + [(None, None, None, None, None), (100, "", "en", "s1", 0)] if kind.startswith("repeated") else rows
+    docs = spark.createDataFrame(rows, DOCS)
+    if kind.startswith("repeated"):
+        docs = docs.withColumns({c: F.lit("x") for c in (*EXTRA, "label", "key", "first", "set", "fp", "a", "b", "_doc", "_row", "_bucket", "size", "lang_pred")})
+    items = [] if kind == "no benchmark" else [(1, " ".join(BASE[3][1].split()[5:30]))]
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    got = out.collect()
+    assert set(docs.columns) - {"size"} <= set(out.columns)
+    left = {r["doc_id"] for r in got}
+    want = {"empty": set(), "nulls": set(), "one text for all": {0}, "no benchmark": set(range(40))}.get(kind, set(range(40)) - {3})
+    assert left <= want and len(left) >= 0.5 * len(want)  # the mix takes no words of some, as sources are brought to weights
+    counts = Counter(r["shard"] for r in got)
+    assert not got or max(counts.values()) - min(counts[i] for i in range(40)) <= 1
