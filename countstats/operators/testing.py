@@ -71,8 +71,10 @@ def _heads(params: DataFrame, keys: list[str], tests: DataFrame | None, covariat
     return _with_covariates(known, keys, covariates_for).withColumn("grp", F.lit(None).cast("string"))
 
 
-def _tests(plan: Plan, params: DataFrame, cells: DataFrame, heads: DataFrame, block: int | None) -> DataFrame:
-    segments = params.join(cells, [*plan.keys, "grp"]).join(heads.select(*plan.keys), plan.keys, "left_semi")
+def _sums(plan: Plan, params: DataFrame, cells: DataFrame, tests: DataFrame | None, covariates_for: DataFrame | None, block: int | None) -> DataFrame:
+    heads, segments = _heads(params, plan.keys, tests, covariates_for), params.join(cells, [*plan.keys, "grp"])
+    if tests is not None:  # not all of the genes have tests
+        segments = segments.join(heads.select(*plan.keys), plan.keys, "left_semi")
     return tests_by_stream(plan, segments, heads, block)
 
 
@@ -119,7 +121,7 @@ def ht_1d(params: DataFrame, compressed: DataFrame, design: pd.DataFrame, treatm
             return None if found is None else (np.log([g["mean"], g["res_var"]]), np.log(found))
 
     plan = Plan(["gene_id"], 2, num_boot, logs, _design_of(frame, treatments, covariates), _picks(resample_groups, "w" in compressed.columns, seed))
-    sums = _tests(plan, params, cells_of(compressed, ["gene_id"], ["x"]), _heads(params, ["gene_id"], tests, covariates_for), block)
+    sums = _sums(plan, params, cells_of(compressed, ["gene_id"], ["x"]), tests, covariates_for, block)
     return summarised(sums, ["gene_id"], ["de", "dv"], approx).withColumnRenamed("gene_id", "gene")
 
 
@@ -180,7 +182,7 @@ def ht_2d(pair_params: DataFrame, compressed: DataFrame, design: pd.DataFrame, t
 
     plan = Plan(keys, 1, num_boot, draw, _design_of(frame, treatments, covariates), _picks(resample_groups, "w" in compressed.columns, seed))
     params = pair_params.select("grp", *keys, "corr", "n_cells", "q")
-    sums = _tests(plan, params, cells_of(compressed, keys, ["x1", "x2"]), _heads(params, keys, tests, covariates_for), block)
+    sums = _sums(plan, params, cells_of(compressed, keys, ["x1", "x2"]), tests, covariates_for, block)
     return summarised(sums, keys, ["corr"], approx, observed_only=True)
 
 

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def counts(spark: SparkSession, d: str, feature: str = "p_brand") -> DataFrame:
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.groupBy(F.col("o_custkey").alias("cell_id"), F.col(feature).cast("string").alias("gene_id")).agg(F.sum(F.ceil(F.col("l_quantity") / 10)).cast("long").alias("x"))
+    return lines.groupBy(F.col("o_custkey").alias("cell_id"), F.expr(feature).cast("string").alias("gene_id")).agg(F.sum(F.ceil(F.col("l_quantity") / 10)).cast("long").alias("x"))
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:

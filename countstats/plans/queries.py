@@ -635,10 +635,11 @@ _V = "sum((x{i} * x{i} - (1 - q) * x{i}) / (sf_bin * sf_bin) * w) / any_value(ce
 
 
 @query(
-    f"WITH {_given('stim', '2 * x1 + 3 * x2', _GIVEN_2D, 12)}, s AS (SELECT grp, gene_1, gene_2, d, {_V.format(i=1)}, {_V.format(i=2)}, sum(x1 * x2 / (sf_bin * sf_bin) * w) / any_value(cells) - sum(x1 / sf_bin * w) / any_value(cells) * (sum(x2 / sf_bin * w) / any_value(cells)) AS cov FROM w JOIN qs USING (grp) GROUP BY grp, gene_1, gene_2, d), m AS (SELECT grp, gene_1, gene_2, d, CASE WHEN v1 > 0 AND v2 > 0 THEN cov / sqrt(v1 * v2) END AS r FROM s), {_filled('r', 'm', 'grp, gene_1, gene_2', 'abs(r) < 1')}, o AS (SELECT * FROM corrs_stim WHERE abs(corr) < 1), t AS (SELECT a.gene_1, a.gene_2, b.r - a.r AS d_corr, p.corr - c.corr AS o_corr FROM f_r a JOIN f_r b ON b.gene_1 = a.gene_1 AND b.gene_2 = a.gene_2 AND b.d = a.d AND a.grp = 'sg^0' AND b.grp = 'sg^1' JOIN o c ON c.gene_1 = a.gene_1 AND c.gene_2 = a.gene_2 AND c.grp = 'sg^0' JOIN o p ON p.gene_1 = a.gene_1 AND p.gene_2 = a.gene_2 AND p.grp = 'sg^1') SELECT gene_1, gene_2, 'stim' AS tx, {_summary('corr', True)} FROM t GROUP BY ALL"
+    f"WITH {_given('stim', '2 * x1 + 3 * x2', _GIVEN_2D, 12)}, s AS (SELECT grp, gene_1, gene_2, d, {_V.format(i=1)}, {_V.format(i=2)}, sum(x1 * x2 / (sf_bin * sf_bin) * w) / any_value(cells) - sum(x1 / sf_bin * w) / any_value(cells) * (sum(x2 / sf_bin * w) / any_value(cells)) AS cov FROM w JOIN qs USING (grp) GROUP BY grp, gene_1, gene_2, d), m AS (SELECT grp, gene_1, gene_2, d, CASE WHEN v1 > 0 AND v2 > 0 THEN cov / sqrt(v1 * v2) END AS r FROM s), {_filled('r', 'm', 'grp, gene_1, gene_2', 'abs(r) < 1')}, g AS (SELECT f_r.*, corr FROM f_r JOIN (SELECT grp, gene_1, gene_2, corr FROM corrs_stim WHERE abs(corr) < 1) USING (grp, gene_1, gene_2)), t AS (SELECT b.gene_1, b.gene_2, b.r - coalesce(a.r, 0) AS d_corr, b.corr - coalesce(a.corr, 0) AS o_corr FROM g b LEFT JOIN (SELECT * FROM g WHERE grp = 'sg^0') a ON a.gene_1 = b.gene_1 AND a.gene_2 = b.gene_2 AND a.d = b.d WHERE b.grp = 'sg^1') SELECT gene_1, gene_2, 'stim' AS tx, {_summary('corr', True)} FROM ks LEFT JOIN t USING (gene_1, gene_2) GROUP BY gene_1, gene_2"
 )
 def h9_given_draws(spark, d):
-    """The test of correlations on given weights, invalid draws replaced, with p-values: H2, H3, H9."""
+    """The test of correlations on given weights, invalid draws replaced, with p-values: H2, H3, H9. Where only
+    the treated group can be tested, it is a test of one sample."""
     a = _analysis(spark, d, ["stim"], min_share=0.9)
     params, compressed = analysis.pair_analysis(a, _pairs(spark, d).filter("gene_1 < gene_2"))
     found = testing.ht_2d(params, groups.with_weights(compressed, 12), analysis.design_of(a, ["stim"]), ["stim"], num_boot=12)
