@@ -24,6 +24,8 @@ PAIR_BUCKET = 32
 TILE = 2048
 #: One node in so many is counted to find these buckets.
 _COUNTED = 32
+#: So many such buckets are sent to all tasks; with more, rows are shuffled to meet them.
+_FEW = 100_000
 #: Shingle fingerprints of texts at cosine 0.8 differ in 13 of 64 bits on average, hardly ever in more than this.
 CANDIDATE_BITS = 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -209,21 +211,21 @@ def _forest(fps: np.ndarray, word_fps: np.ndarray, distance: int) -> tuple[np.nd
 
 
 def _scan(distance: int):
-    """Links within each bucket, of rows (key, tile, fp, word_fp, node) sorted by key and tile."""
+    """Links within each bucket, of rows (key, fp, word_fp, node) sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.zeros((0, 5), dtype=np.int64)
+        rows = np.zeros((0, 4), dtype=np.int64)
         for batch in chain(batches, [None]):
             if batch is not None:
                 rows = np.concatenate([rows, np.column_stack([c.to_numpy() for c in batch.columns])])
             change = np.ones(len(rows), dtype=bool)
-            change[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+            change[1:] = rows[1:, 0] != rows[:-1, 0]
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], len(rows))
             if batch is not None:  # the last bucket may go on
                 starts, ends = starts[:-1], ends[:-1]
             done = ends[-1] if len(ends) else 0
-            fps, word_fps, nodes = (rows[:, i].copy() for i in (2, 3, 4))
+            fps, word_fps, nodes = (rows[:, i].copy() for i in (1, 2, 3))
             fps, word_fps = fps.view(np.uint64), word_fps.view(np.uint64)
             two = starts[ends - starts == 2]
             two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
@@ -256,11 +258,14 @@ def similar_links(nodes: DataFrame, distance: int = CANDIDATE_BITS, agreeing: in
     some = keyed.filter(F.pmod(F.xxhash64("node", F.lit("count")), F.lit(_COUNTED)) == 0).groupBy("key").agg(F.count("*").alias("n"))
     tiles = materialize(some.filter(F.col("n") * _COUNTED > TILE).select("key", F.ceil(F.col("n") * _COUNTED / (TILE / 2)).cast("int").alias("tiles")))
 
-    own = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("long")
-    hot = keyed.join(tiles, "key").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)))
-    hot = hot.select("key", (F.shiftleft(F.least("tile", "other"), 32) + F.greatest("tile", "other") + 1).alias("tile"), "fp", "word_fp", "node")
-    rest = keyed.join(tiles.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("tile"), "fp", "word_fp", "node")
-    dealt = rest.union(hot).repartition(tasks_for(nodes.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
+    if (n := tiles.count()) > 0:
+        tiles = F.broadcast(tiles) if n <= _FEW else tiles
+        own = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("long")
+        hot = keyed.join(tiles, "key").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)))
+        # Two buckets that share a hash only bring more candidates.
+        hot = hot.select("node", "fp", "word_fp", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"))
+        keyed = keyed.join(tiles.select("key"), "key", "left_anti").select("node", "fp", "word_fp", "key").union(hot)
+    dealt = keyed.select("key", "fp", "word_fp", "node").repartition(tasks_for(nodes.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(_scan(distance), "a bigint, b bigint").distinct()
 
 
