@@ -22,7 +22,7 @@ UNKNOWN = "und"
 MODEL_ROWS = 5_000_000
 LONGEST_GRAM = 4
 #: A worker forgets words when their scores are so many numbers; they are then worked out anew.
-CACHED_NUMBERS = 500_000
+CACHED_NUMBERS = 200_000
 #: A table of at most so many numbers is laid out in full by a worker.
 DENSE_NUMBERS = 16_000_000
 #: Rows that are turned into Python objects at once.
@@ -257,6 +257,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
                 if min_score is not None:
                     out = out.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_()))
                 yield out
+            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([source.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema).select("_row.*", "lang_pred", "score")
