@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from countstats.functions.lineage import remove_folder, shared_folder
 from countstats.llm import decontaminate, language, mixing, sharding, simhash
+from countstats.llm.common import bound_batches
 
 #: A document goes if no language has at least this share of belief, or if its text has no letter.
 MIN_LANGUAGE_SCORE = 0.5
@@ -16,12 +17,14 @@ MIN_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled documents; keep those whose language is clear. Without any label there
     is nothing to judge by, and all stay."""
+    bound_batches(spark)
     model = language.learn(docs)
     return language.predict(docs, model, min_score=MIN_LANGUAGE_SCORE).select(*docs.columns) if model.languages else docs
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
+    bound_batches(spark)
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
@@ -32,6 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take the words of each source in the proportion of its weight."""
+    bound_batches(spark)
     return mixing.mix(docs, seed=11)
 
 

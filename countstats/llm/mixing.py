@@ -225,7 +225,9 @@ def mix(docs: DataFrame, seed: int = 11, block: int = BLOCK, shards: int = SHARD
     # Narrow rows go through the blocks; the texts meet their spans once, by their place in the stream.
     narrow = materialize(_located(docs, ["doc_id"], plan))
     spans = _pieces(narrow, plan[2]).filter("_times > 0").groupBy("_rank", "_at").agg(F.collect_list(F.struct(F.col("_first").alias("first"), F.col("_words").alias("words"), F.col("_times").alias("times"))).alias("_spans"))
-    found = rows.filter("_size > 0").join(spans, ["_rank", "_at"]).select("_row", F.col("_row.text").alias("_text"), "_spans", "_size")
+    # The text travels once, beside its row: in it, it is null until the copies are there.
+    bare = F.col("_row").withField("text", F.lit(None).cast("string"))
+    found = rows.filter("_size > 0").join(spans, ["_rank", "_at"]).select(bare.alias("_row"), F.col("_row.text").alias("_text"), "_spans", "_size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
