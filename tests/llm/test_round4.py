@@ -37,7 +37,7 @@ def test_batches_are_bounded_and_never_widened(unbounded, given, bound):
     assert bound / 2 < largest_batch(unbounded) < bound + 200_000
 
 
-@pytest.mark.parametrize("name", ["language_id", "simhash_near_dedup", "mixing"])
+@pytest.mark.parametrize("name", ["op8_substring_dedup", "language_id", "simhash_near_dedup", "mixing"])
 def test_what_passes_whole_texts_bounds_its_batches(unbounded, sf_dir, name):
     stages = dict(corpus_pipeline.STAGES)
     docs = unbounded.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
