@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -19,61 +21,60 @@ from pyspark.sql import types as T
 from ..functions.lineage import materialize, remove_folder, shared_folder
 from .common import by_bytes
 
-_CLASSES = [string.ascii_uppercase.encode(), string.ascii_lowercase.encode(), string.digits.encode(), string.punctuation.encode(), b" \t\n\r\x0b\x0c", bytes(range(128, 256)), b".,;:", b"!?", b"|#$%&*"]
+_SPACE, _ENDS = b" \t\n\r\x0b\x0c", b".,!?#$%&*|"
+_CLASSES = [string.ascii_uppercase.encode(), string.ascii_lowercase.encode(), string.digits.encode(), string.punctuation.encode(), _SPACE, bytes(range(128, 256)), b".,;:", b"!?", b"|#$%&*"]
+#: Which bytes a class has, as a matrix; and for each byte whether it is of _ENDS (1), white space (2) or neither.
+_IN_CLASS = np.array([[byte in c for byte in range(256)] for c in _CLASSES], dtype=np.int64)
+_KINDS = bytes(1 if byte in _ENDS else 2 if byte in _SPACE else 0 for byte in range(256))
 _SOURCES, _LANGUAGES = 32, 16
 _STYLE = len(_CLASSES) + 9
 #: Places that words, and that runs of three bytes, are hashed to.
 WORD_PLACES, GRAM_PLACES = 256, 128
 TEXT_FEATURES = _STYLE + WORD_PLACES + GRAM_PLACES
 META_FEATURES = _SOURCES + _LANGUAGES + 3
-_GRAM_BYTES = 1 << 20
+#: Bytes of a text that become numbers of more bytes at once.
+_BLOCK = 1 << 20
 #: Features are stored in short floats; what is learned and scored is in long ones.
 _STORED = np.float16
 
 
-class _Places(dict):
-    """Word -> its place; a worker forgets the words after so many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        place = self[word] = zlib.crc32(word) % WORD_PLACES
-        return place
-
-
-_PLACES = _Places()
-
-
 def _spread(counts: np.ndarray) -> np.ndarray:
     """Square roots of shares: long and short texts are alike, common places do not drown the others."""
     return np.sqrt(counts / max(1, counts.sum()))
 
 
+def _bytes_of_class(data: bytes) -> np.ndarray:
+    raw, found = np.frombuffer(data, dtype=np.uint8), np.zeros(256, dtype=np.int64)
+    for at in range(0, len(raw), _BLOCK):
+        found += np.bincount(raw[at : at + _BLOCK], minlength=256)
+    return _IN_CLASS @ found
+
+
 def _content(data: bytes, words: Counter) -> np.ndarray:
     """What the text is about: hashed words and hashed runs of three bytes, all of them."""
-    places = np.fromiter(map(_PLACES.__getitem__, words), dtype=np.int64, count=len(words))
+    places = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % WORD_PLACES
     by_word = np.bincount(places, weights=np.fromiter(words.values(), dtype=float, count=len(words)), minlength=WORD_PLACES)
     raw, by_gram = np.frombuffer(data, dtype=np.uint8), np.zeros(GRAM_PLACES)
-    for at in range(0, len(raw) - 2, _GRAM_BYTES):
-        x = raw[at : at + _GRAM_BYTES + 2].astype(np.uint32)
+    for at in range(0, len(raw) - 2, _BLOCK):
+        x = raw[at : at + _BLOCK + 2].astype(np.uint32)
         mixed = (x[:-2] * np.uint32(40_503) + x[1:-1] * np.uint32(1_566_083) + x[2:] * np.uint32(69_069_069)) >> np.uint32(11)
-        by_gram += np.bincount(mixed % GRAM_PLACES, minlength=GRAM_PLACES)
+        by_gram += np.bincount(mixed % np.uint32(GRAM_PLACES), minlength=GRAM_PLACES)
     return np.concatenate([_spread(by_word), _spread(by_gram)])
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Of the whole text: shares of character classes, of repeated words and lines, and its content."""
+    """Of the whole text: shares of character classes, of repeated words and lines, and its content. No Python
+    code runs for each word: a corpus is mostly words, and every text is read twice, to learn and to score."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    n = max(1, len(data))
-    shares = [(len(data) - len(data.translate(None, c))) / n for c in _CLASSES]
-    words = data.lower().split()
+    lower, kinds = data.lower(), data.translate(_KINDS)
+    words = lower.split()
     lines = [line for line in data.split(b"\n") if line.strip()]
     w, counts = max(1, len(words)), Counter(words)
-    most = counts.most_common(1)[0][1] / w if words else 0.0
-    twice = sum(map(bytes.__eq__, words, words[1:])) / w
-    ended = sum(x[-1:] in b".,!?#$%&*|" for x in words) / w
-    style = [*shares, np.log1p(len(words)), len(data) / w / 10, len(counts) / w, len(counts) / np.sqrt(w) / 10, most, twice, ended, len(set(lines)) / max(1, len(lines)), np.log1p(w / max(1, len(lines)))]
-    return np.concatenate([style, _content(data.lower(), counts)])
+    most = max(counts.values(), default=0) / w
+    twice = sum(map(eq, words, islice(words, 1, None))) / w
+    ended = (kinds.count(b"\x01\x02") + kinds.endswith(b"\x01")) / w  # words end at white space or with the text
+    style = [*_bytes_of_class(data) / max(1, len(data)), np.log1p(len(words)), len(data) / w / 10, len(counts) / w, len(counts) / np.sqrt(w) / 10, most, twice, ended, len(set(lines)) / max(1, len(lines)), np.log1p(w / max(1, len(lines)))]
+    return np.concatenate([style, _content(lower, counts)])
 
 
 def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
