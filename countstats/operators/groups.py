@@ -36,7 +36,7 @@ def total_size_factor(counts: DataFrame, cells: DataFrame, absolute: bool = Fals
 def trimmed_size_factor(counts: DataFrame, cells: DataFrame, genes: DataFrame, shrinkage: float = 0.5) -> DataFrame:
     """S4. ``cells`` with size_factor from the sum over ``genes`` (gene_id), raised by its
     ``shrinkage`` quantile, divided by the raised sums' median, times the median of all totals.
-    Both statistics are over all of ``cells``."""
+    Both statistics are over all of ``cells``. Where that median is 0, as without genes, size factors are null."""
     flagged = counts.join(genes.select("gene_id", F.lit(1).alias("_in")), "gene_id", "left")
     sums = flagged.groupBy("cell_id").agg(F.sum("x").cast("double").alias("_total"), F.sum(F.when(F.col("_in") == 1, F.col("x"))).cast("double").alias("_part"))
     joined = materialize(cells.join(sums, "cell_id", "left").fillna(0.0, ["_total", "_part"]))
@@ -46,7 +46,7 @@ def trimmed_size_factor(counts: DataFrame, cells: DataFrame, genes: DataFrame, s
     stats = found.agg(of(False, "mid").alias("_depth"), of(True, "shift").alias("_shift"), of(True, "mid").alias("_mid"))
     # Raising all sums alike raises their median by as much.
     shift = F.col("_shift") if shrinkage > 0 else F.lit(0.0)
-    factor = (F.col("_part") + shift) / (F.col("_mid") + shift) * F.col("_depth")
+    factor = F.try_divide(F.col("_part") + shift, F.col("_mid") + shift) * F.col("_depth")
     return joined.crossJoin(F.broadcast(stats)).withColumn("size_factor", factor).drop("_total", "_part", "_depth", "_shift", "_mid")
 
 

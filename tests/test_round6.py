@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from countstats.operators import tables
+from pyspark.sql import functions as F
+
+from countstats.operators import groups, tables, testing
+from countstats.plans import analysis
 from countstats.plans.queries import QUERIES
 
 
@@ -15,3 +18,13 @@ def test_all_pairs_of_parts_and_suppliers_are_listed_however_many(spark, sf_dir,
     assert len(rows) == len(set(rows)) == len(parts) * len(suppliers) - len(parts & suppliers)
     assert all(x in parts and y in suppliers and x != y for x, y in rows)
     assert found.rdd.getNumPartitions() >= len(parts) * len(suppliers) // 100
+
+
+def test_features_too_rare_for_size_factors_give_no_rows(spark):
+    """A hundred features, each in one cell of a hundred: none is common enough to take size factors from."""
+    cells = spark.range(100).select(F.col("id").alias("cell_id"), (F.col("id") % 2).cast("int").alias("stim"), F.lit(0.07).alias("q"))
+    counts = cells.select("cell_id", F.concat(F.lit("g"), "cell_id").alias("gene_id"), F.lit(2).cast("long").alias("x"))
+    a = analysis.analyse(counts, cells, ["stim"], min_share=0.9, trim_percent=0.5)
+    assert a.cells.filter("size_factor is null").count() == 100
+    assert a.moments.count() == 0
+    assert testing.draws_of(a.parameters, groups.with_weights(a.compressed, 4), 4).count() == 0
