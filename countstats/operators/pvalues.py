@@ -13,6 +13,8 @@ from ..functions.lineage import materialize
 
 #: Rows of one p that a task puts out.
 _TIES = 1 << 16
+#: Sums beyond it are scaled down.
+_LARGE = 1e200
 
 
 def _ranked(df: DataFrame, p: str, by: list[str]) -> DataFrame:
@@ -71,11 +73,20 @@ def storey_qvalue(df: DataFrame, p: str = "pval", pi0: float | None = None, out:
 
 
 def fisher_combine(df: DataFrame, p: str, by: list[str]) -> DataFrame:
-    """P3. ``by``, chi2, k, pval. The even-degree tail is a finite sum, so it needs no UDF."""
+    """P3. ``by``, chi2, k, pval. The even-degree tail is a finite sum, so it needs no UDF. Its terms go far beyond what a
+    double holds where many are combined, so the sum is scaled down as it grows and ``scale`` is the log of that."""
     sums = df.groupBy(*by).agg((-2 * F.sum(F.log(p))).alias("chi2"), F.count(p).alias("k"))
     half = F.col("chi2") / 2
-    terms = F.aggregate(F.sequence(F.lit(1), F.col("k").cast("int")), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")), lambda s, i: F.struct((s["term"] * half / i).alias("term"), (s["sum"] + s["term"]).alias("sum")))["sum"]
-    return sums.filter("k > 0").withColumn("pval", F.exp(-half) * terms)
+
+    def add(s: Column, i: Column) -> Column:
+        term = s["term"] * half / i
+        down = F.when(s["sum"] + term > _LARGE, 1 / _LARGE).otherwise(1.0)
+        return F.struct((term * down).alias("term"), ((s["sum"] + term) * down).alias("sum"), (s["scale"] - F.log(down)).alias("scale"))
+
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"), F.lit(0.0).alias("scale"))
+    terms = F.aggregate(F.sequence(F.lit(1), F.col("k").cast("int") - 1), start, add)
+    terms = F.when(F.col("k") > 1, terms).otherwise(start)
+    return sums.filter("k > 0").withColumn("_terms", terms).withColumn("pval", F.exp(F.col("_terms.scale") - half) * F.col("_terms.sum")).drop("_terms")
 
 
 def qq_points(df: DataFrame, p: str = "pval", by: list[str] | None = None) -> DataFrame:

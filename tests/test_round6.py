@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+
+import pytest
 from pyspark.sql import functions as F
 
-from countstats.operators import groups, tables, testing
+from countstats.operators import groups, pvalues, tables, testing
 from countstats.plans import analysis
 from countstats.plans.queries import QUERIES
 
@@ -28,3 +31,18 @@ def test_features_too_rare_for_size_factors_give_no_rows(spark):
     assert a.cells.filter("size_factor is null").count() == 100
     assert a.moments.count() == 0
     assert testing.draws_of(a.parameters, groups.with_weights(a.compressed, 4), 4).count() == 0
+
+
+def test_many_p_values_are_combined(spark):
+    """Against the same sum in decimals: for one, two, 200 and 5,000 p-values."""
+    sizes = {"a": 1, "b": 2, "c": 200, "d": 5000}
+    rows = [(g, (i * 7919 % 10007 + 0.5) / 10007) for g, n in sizes.items() for i in range(1, n + 1)]
+    found = {r["g"]: r for r in pvalues.fisher_combine(spark.createDataFrame(rows, "g string, pval double"), "pval", ["g"]).collect()}
+    with localcontext() as context:
+        context.prec = 60
+        for g, n in sizes.items():
+            half, term, total = Decimal(found[g]["chi2"]) / 2, Decimal(1), Decimal(1)
+            for i in range(1, n):
+                term = term * half / i
+                total += term
+            assert found[g]["k"] == n and found[g]["pval"] == pytest.approx(float(total * (-half).exp()), rel=1e-9), g
