@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import quantiles
 from ..functions.lineage import materialize
 
+#: Listed pairs that every task may hold.
+LISTED = 200_000
+#: Entries of one group and bin that a task counts together, about.
+BIN_ROWS = 500_000
+
 
 def validate(counts: DataFrame, cells: DataFrame) -> dict[str, int]:
     """Check q < 1, x >= 0 and unique keys; the number of cells without counts comes back."""
@@ -107,8 +112,10 @@ def compress(counts: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame
 def joint_counts(counts: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """(grp, gene_1, gene_2, sf_bin, x1, x2, n): cells that have both genes of a listed pair.
 
-    Either the entries of each cell meet and listed pairs are kept, or each entry meets its partners;
-    what makes fewer rows by an exact count is done. Only joint entries, summed up, go on from there.
+    Up to LISTED pairs go to all tasks and each cell becomes one row, whose entries meet in place: what is
+    made of a cell is shuffled only when it has been counted, and cells of one group and bin come to the same tasks, where
+    counts are few. For more pairs, or few among many genes, either the entries of each cell meet and listed pairs are kept, or each
+    entry meets its partners; what makes fewer rows by an exact count is done. Only joint entries, summed up, go on from there.
     """
     listed = materialize(pairs.select("gene_1", "gene_2").distinct())
     involved = listed.select(F.col("gene_1").alias("gene_id")).union(listed.select("gene_2")).distinct()
@@ -119,7 +126,16 @@ def joint_counts(counts: DataFrame, cells: DataFrame, pairs: DataFrame) -> DataF
     in_pairs = only.join(partners, "gene_id").agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
     first = only.select("cell_id", "grp", "sf_bin", F.col("gene_id").alias("gene_1"), F.col("x").alias("x1"))
     second = only.select("cell_id", F.col("gene_id").alias("gene_2"), F.col("x").alias("x2"))
-    if in_cells <= in_pairs:
+    if in_cells <= 4 * in_pairs and listed.count() <= LISTED:
+        largest = only.groupBy("grp", "sf_bin").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        place = ["grp", "sf_bin", "_part"]
+        tasks = max(only.sparkSession.sparkContext.defaultParallelism, int(only.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = only.withColumn("_part", F.pmod(F.xxhash64("cell_id"), F.lit(-(-largest // BIN_ROWS) or 1))).repartition(tasks, *place)
+        whole = dealt.groupBy(*place, "cell_id").agg(F.collect_list(F.struct("gene_id", "x")).alias("_all"))
+        one = whole.select("grp", "sf_bin", "_all", F.explode("_all").alias("_1"))
+        two = one.select("grp", "sf_bin", F.col("_1.gene_id").alias("gene_1"), F.col("_1.x").alias("x1"), F.explode("_all").alias("_2"))
+        met = two.select("grp", "sf_bin", "gene_1", "x1", F.col("_2.gene_id").alias("gene_2"), F.col("_2.x").alias("x2")).join(F.broadcast(listed), ["gene_1", "gene_2"])
+    elif in_cells <= in_pairs:
         met = first.join(second, "cell_id").join(listed, ["gene_1", "gene_2"])
     else:
         met = first.join(listed, "gene_1").join(second, ["cell_id", "gene_2"])

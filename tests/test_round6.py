@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from decimal import Decimal, localcontext
 
 import pytest
@@ -46,3 +47,22 @@ def test_many_p_values_are_combined(spark):
                 term = term * half / i
                 total += term
             assert found[g]["k"] == n and found[g]["pval"] == pytest.approx(float(total * (-half).exp()), rel=1e-9), g
+
+
+def test_joint_counts_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    """For few listed pairs no join moves what is made of a cell; all ways to count give the same rows."""
+    rows = [(c, f"g{g}", 1 + (c * g) % 3) for c in range(90) for g in range(8) if (c * 7 + g * 5) % 3]
+    counts = spark.createDataFrame(rows, "cell_id bigint, gene_id string, x bigint")
+    cells = spark.createDataFrame([(c, "u" if c % 2 else "v", 1.0 + c % 4) for c in range(90)], "cell_id bigint, grp string, sf_bin double")
+    pairs = spark.createDataFrame([(f"g{i}", f"g{j}") for i in range(8) for j in range(i, 8)], "gene_1 string, gene_2 string")
+    monkeypatch.setattr(groups, "BIN_ROWS", 20, raising=False)
+    found = groups.joint_counts(counts, cells, pairs)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    listed = lambda f: sorted(tuple(r) for r in f.select("grp", "gene_1", "gene_2", "sf_bin", "x1", "x2", "n").collect())
+    own = Counter(("u" if c % 2 else "v", a, b, 1.0 + c % 4, x, y) for c, a, x in rows for d, b, y in rows if c == d and a <= b)
+    assert listed(found) == sorted((*k, n) for k, n in own.items())
+    monkeypatch.setattr(groups, "LISTED", 0, raising=False)
+    assert listed(groups.joint_counts(counts, cells, pairs)) == listed(found)
+    monkeypatch.setattr(groups, "LISTED", 1000, raising=False)
+    few = pairs.filter("gene_1 = 'g0' and gene_2 = 'g1'")
+    assert listed(groups.joint_counts(counts, cells, few)) == [r for r in listed(found) if r[1:3] == ("g0", "g1")]
